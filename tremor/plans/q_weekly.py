@@ -30,29 +30,31 @@ def weekly_feature_table(spark, sf_dir) -> DataFrame:
     return finalize(log_energy_report(weekly_features(quake_long(spark, sf_dir))))
 
 
-def _feature_sql() -> str:
+def _feature_sql(log_energy: bool = True, name: str = "feat") -> str:
+    """DuckDB twin of the feature table; energy columns log1p-scaled or raw."""
     w = "OVER (ORDER BY date)"
+    L, P = (("ln(1 + ", ")"), "log1p_") if log_energy else (("(", ")"), "")
     cols = ["date", "nb_seismes", "tsunami_sum", "nb_zones", "mag_max", "mag_mean", "mag_median",
-            "depth_mean", "ln(1 + energy_sum) AS log1p_energy_sum"]
+            "depth_mean", f"{L[0]}energy_sum{L[1]} AS {P}energy_sum"]
     cols += [f"CAST(lag(nb_seismes, {k}) {w} AS DOUBLE) AS lag_{k}" for k in COUNT_LAGS]
-    cols += [f"ln(1 + lag(energy_sum, {k}) {w}) AS log1p_energy_lag_{k}" for k in ENERGY_LAGS]
+    cols += [f"{L[0]}lag(energy_sum, {k}) {w}{L[1]} AS {P}energy_lag_{k}" for k in ENERGY_LAGS]
     cols += [f"CAST(lag(nb_zones, {k}) {w} AS DOUBLE) AS zones_lag_{k}" for k in ZONE_LAGS]
     cols += [f"{roll_sql('nb_seismes', n, 'avg')} AS rolling_mean_{n}" for n in ROLL_MEAN]
     cols += [f"{roll_sql('nb_seismes', n, 'stddev_samp')} AS rolling_std_{n}" for n in ROLL_STD]
     cols += [f"CAST({roll_sql('nb_seismes', n, 'max')} AS DOUBLE) AS rolling_max_{n}" for n in ROLL_MAX]
-    cols += [f"ln(1 + {roll_sql('energy_sum', n, 'avg')}) AS log1p_energy_rolling_{n}" for n in ENERGY_ROLL]
+    cols += [f"{L[0]}{roll_sql('energy_sum', n, 'avg')}{L[1]} AS {P}energy_rolling_{n}" for n in ENERGY_ROLL]
     cols += ["weekofyear(date) AS week_of_year", "month(date) AS month", "quarter(date) AS quarter",
              "year(date) AS year",
              "sin(2 * pi() * weekofyear(date) / 52.0) AS week_sin",
              "cos(2 * pi() * weekofyear(date) / 52.0) AS week_cos",
              "sin(2 * pi() * month(date) / 12.0) AS month_sin",
              "cos(2 * pi() * month(date) / 12.0) AS month_cos",
-             "ln(1 + energy_sum / (nb_seismes + 1)) AS log1p_energy_per_seisme",
+             f"{L[0]}energy_sum / (nb_seismes + 1){L[1]} AS {P}energy_per_seisme",
              "tsunami_sum / (nb_seismes + 1) AS tsunami_ratio",
              "mag_max - mag_mean AS mag_spread",
              f"CAST(nb_seismes - lag(nb_seismes, 1) {w} AS DOUBLE) AS delta_seismes",
              "ln(1 + energy_sum) AS log_energy"]
-    return f"{WITH_LONG}, {filled_weekly_sql()}, feat AS (SELECT {', '.join(cols)} FROM filled)"
+    return f"{WITH_LONG}, {filled_weekly_sql()}, {name} AS (SELECT {', '.join(cols)} FROM filled)"
 
 
 def _final_sql(cte_tail: str, types: dict[str, str]) -> str:

@@ -82,3 +82,36 @@ def weekly_features(events: DataFrame, ts: str = "time_utc", mode: str = "w_mon_
                     exact_median: bool = True) -> DataFrame:
     """The full weekly feature table (notebook §02 / forecast job features)."""
     return add_weekly_features(weekly_series(events, ts, mode, exact_median))
+
+
+def next_features(feat: DataFrame, date: str = "date") -> DataFrame:
+    """W12 (compat): the next-week feature row built from the newest week as
+    the reference does — current values shifted into next week's lags.
+
+    Same-week measures are carried over unchanged and rolling statistics
+    stay one step stale (SURVEY D8); :func:`next_features_consistent` is the
+    variant that reruns the window code on an appended future row.
+    """
+    last = feat.orderBy(F.desc(date)).limit(1)
+    nxt = F.date_add(F.col(date), 7)
+    sin_w, _ = cyclic(iso_week(nxt), 52)
+    return last.select(
+        nxt.alias("next_date"),
+        F.col("nb_zones").cast("double").alias("nb_zones"),
+        "energy_per_seisme", "log_energy",
+        F.col("energy_sum").alias("energy_lag_1"), "energy_rolling_4", "mag_max", "mag_spread",
+        "depth_mean", F.col("nb_seismes").cast("double").alias("lag_1"),
+        F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"),
+        "rolling_mean_4", "rolling_mean_8", "rolling_mean_26", "rolling_std_8", "rolling_max_4",
+        F.col("nb_zones").cast("double").alias("zones_lag_1"), F.col("zones_lag_1").alias("zones_lag_2"),
+        sin_w.alias("week_sin"))
+
+
+def next_features_consistent(weekly: DataFrame, date: str = "date") -> DataFrame:
+    """W12 (consistent): append next week's spine row with unknown measures
+    and run the *same* feature code, so lags and rolling windows include the
+    newest week exactly as they do in training rows."""
+    last = weekly.agg(F.max(date).alias(date)).select(F.date_add(F.col(date), 7).alias(date))
+    future = last.select(date, *[F.lit(None).cast(t).alias(c) for c, t in weekly.dtypes if c != date])
+    feats = add_weekly_features(weekly.unionByName(future))
+    return feats.orderBy(F.desc(date)).limit(1)
