@@ -1 +1,127 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: imputation (P35, P36/J8), encoding (P27-P29) and the
+classification plan (M4, M5, M18, A8, A27)."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+                                       LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.sql import functions as F
+
+from tremor.functions.scalars import log1p0, time_parts
+from tremor.operators.cleaning import only_kind, range_filter
+from tremor.operators.encode import align, assemble, one_hot
+from tremor.operators.impute import impute_knn, impute_median
+from tremor.operators.rollup import class_summary
+from tremor.operators.stats import class_metrics
+from tremor.plans.catalog import register
+from tremor.plans.classification import FEATURES_NUM, mag_class, prepare, score, train_classifier
+from tremor.plans.report import finalize, r6
+from tremor.plans.sqlparts import WITH_QUAKE
+from tremor.sources.views import quake
+
+# The network vocabulary of the one-hot encoding (the event
+# kinds present in the catalogue feed).
+NET_VOCAB = ["click", "error", "purchase", "search", "view"]
+
+PREP_SQL = f"""{WITH_QUAKE},
+    src AS (SELECT *, hour(time_utc) AS hour FROM quake
+            WHERE type = 'earthquake' AND coalesce(depth_km BETWEEN 0 AND 700 AND mag BETWEEN 2 AND 9, false))"""
+
+
+def _knn_sql(target: str) -> str:
+    return f"""d_{target} AS (SELECT id AS did, latitude, longitude, hour, {target} AS v FROM src WHERE {target} IS NOT NULL),
+    r_{target} AS (SELECT DISTINCT latitude, longitude, hour FROM src WHERE {target} IS NULL),
+    p_{target} AS (SELECT r.latitude, r.longitude, r.hour, d.did, d.v,
+                  0.0 + (r.latitude - d.latitude) * (r.latitude - d.latitude)
+                  + (r.longitude - d.longitude) * (r.longitude - d.longitude)
+                  + (r.hour - d.hour) * (r.hour - d.hour) AS d2
+           FROM r_{target} r, d_{target} d),
+    m_{target} AS (SELECT latitude, longitude, hour, avg(v) AS knn FROM (
+             SELECT *, row_number() OVER (PARTITION BY latitude, longitude, hour ORDER BY d2, did) AS rn FROM p_{target})
+           WHERE rn <= 5 GROUP BY latitude, longitude, hour)"""
+
+
+@register("P36_J8_knn_impute", f"""{PREP_SQL}, {_knn_sql('gap')}, {_knn_sql('rms')}
+    SELECT src.id, {r6('coalesce(src.gap, m_gap.knn)')} AS gap, {r6('coalesce(src.rms, m_rms.knn)')} AS rms
+    FROM src
+    LEFT JOIN m_gap ON src.latitude = m_gap.latitude AND src.longitude = m_gap.longitude AND src.hour = m_gap.hour
+    LEFT JOIN m_rms ON src.latitude = m_rms.latitude AND src.longitude = m_rms.longitude AND src.hour = m_rms.hour""")
+def q_knn(spark, sf_dir):
+    """Exact 5-NN mean imputation of gap and rms on (lat, lon, hour); the
+    oracle is brute force over all receiver x donor pairs."""
+    df = range_filter(only_kind(quake(spark, sf_dir)))
+    df = df.withColumn("hour", time_parts("time_utc")["hour"])
+    for t in ("gap", "rms"):
+        df = impute_knn(df, t, ("latitude", "longitude", "hour"), k=5)
+    return finalize(df.select("id", "gap", "rms"))
+
+
+@register("P35_median_impute", f"""{PREP_SQL},
+    m AS (SELECT median(gap) AS mg, median(rms) AS mr, median(nst) AS mn FROM src)
+    SELECT id, {r6('coalesce(gap, mg)')} AS gap, {r6('coalesce(rms, mr)')} AS rms, {r6('coalesce(nst, mn)')} AS nst
+    FROM src, m""")
+def q_median(spark, sf_dir):
+    df = range_filter(only_kind(quake(spark, sf_dir))).select("id", "gap", "rms", F.col("nst").cast("double").alias("nst"))
+    return finalize(impute_median(df, ["gap", "rms", "nst"]))
+
+
+_OH = ", ".join(f"CASE WHEN net = '{v}' THEN 1 ELSE 0 END AS net_{v}" for v in NET_VOCAB + ["absent"])
+
+
+@register("P27_P28_one_hot_align", f"""{WITH_QUAKE}
+    SELECT id, {_OH}, {r6('0.0')} AS not_in_data FROM quake""")
+def q_one_hot(spark, sf_dir):
+    """Fixed-vocabulary one-hot ('absent' never occurs -> zeros) and alignment
+    to a model column list that includes a feature the data lacks (-> 0)."""
+    df = one_hot(quake(spark, sf_dir), "net", NET_VOCAB + ["absent"])
+    names = [f"net_{v}" for v in NET_VOCAB + ["absent"]]
+    out = align(df, names + ["not_in_data"], keep=["id"])
+    return finalize(out.withColumns({n: F.col(n).cast("bigint") for n in names}))
+
+
+def _prepared(spark, sf_dir):
+    return prepare(quake(spark, sf_dir), NET_VOCAB)
+
+
+@register("L2_M4_M5_classification")
+def q_classify(spark, sf_dir):
+    """Serving classification: train on the prepared catalogue (label = class
+    cut of the magnitude), score every event; rows-only check."""
+    rows, names = _prepared(spark, sf_dir)
+    model = train_classifier(rows, names, num_trees=20, max_depth=6)
+    return finalize(score(model, rows, names).orderBy(F.desc("time_utc"), "id"))
+
+
+@register("A8_class_summary")
+def q_class_summary(spark, sf_dir):
+    """Header counts of the classification document."""
+    rows, names = _prepared(spark, sf_dir)
+    model = train_classifier(rows, names, num_trees=20, max_depth=6)
+    return finalize(class_summary(score(model, rows, names)))
+
+
+@register("M18_A27_compare_classifiers")
+def q_compare_classifiers(spark, sf_dir):
+    """Forest, boosted trees (one-vs-rest), decision tree, logistic regression
+    and linear SVM (one-vs-rest) on an 80/20 split by id hash; accuracy and
+    macro-F1 per model, best first."""
+    rows, names = _prepared(spark, sf_dir)
+    data = assemble(rows.withColumn("label", mag_class().cast("double")), names).select("id", "features", "label")
+    data = data.withColumn("__test", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0).cache()
+    train, test = data.where(~F.col("__test")), data.where(F.col("__test"))
+    models = {
+        "random_forest": RandomForestClassifier(numTrees=20, maxDepth=6, seed=42),
+        "gbt_ovr": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=4, seed=42)),
+        "decision_tree": DecisionTreeClassifier(maxDepth=6, seed=42),
+        "logistic": LogisticRegression(maxIter=50),
+        "linear_svc_ovr": OneVsRest(classifier=LinearSVC(maxIter=30)),
+    }
+    out = None
+    for name, est in models.items():
+        pred = est.fit(train).transform(test)
+        m = class_metrics(pred, "label", "prediction").withColumn("model", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return finalize(out.orderBy(F.desc("f1_macro"), "model"))
+
+
+_ = (FEATURES_NUM, log1p0)

@@ -1 +1,73 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: current-week snapshot (A2), period upsert (S10/J6),
+metric history (S13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremor.operators import stats as ST
+from tremor.operators.cleaning import only_kind
+from tremor.operators.rollup import week_snapshot, weekly_rollup
+from tremor.plans.catalog import register
+from tremor.plans.q_weekly import log_energy_report
+from tremor.plans.q_windows import _BASE_SQL, baseline_predictions
+from tremor.plans.report import dstr, finalize, r6
+from tremor.plans.sqlparts import WITH_QUAKE, wk
+from tremor.sources.history import latest_metrics, upsert_period
+from tremor.sources.views import quake
+
+AS_OF = "2024-01-29 12:00:00"
+
+SNAPSHOT_SQL = f"""s AS (SELECT CAST(date_trunc('week', TIMESTAMP '{AS_OF}') AS DATE) + 6 AS date,
+        count(*) AS nb_seismes, coalesce(max(mag), 0.0) AS mag_max, coalesce(avg(mag), 0.0) AS mag_mean,
+        coalesce(median(mag), 0.0) AS mag_median, coalesce(avg(depth_km), 0.0) AS depth_mean,
+        CAST(coalesce(sum(coalesce(tsunami, 0)), 0) AS BIGINT) AS tsunami_sum, count(DISTINCT place) AS nb_zones,
+        coalesce(sum(pow(10.0, 1.5 * coalesce(mag, 0.0))), 0.0) AS energy_sum
+    FROM quake WHERE time_utc >= date_trunc('week', TIMESTAMP '{AS_OF}')
+      AND time_utc < date_trunc('week', TIMESTAMP '{AS_OF}') + INTERVAL 7 DAY AND type = 'earthquake')"""
+
+_COLS = (f"{dstr('date')} AS date, nb_seismes, {r6('mag_max')} AS mag_max, {r6('mag_mean')} AS mag_mean, "
+         f"{r6('mag_median')} AS mag_median, {r6('depth_mean')} AS depth_mean, tsunami_sum, nb_zones, "
+         f"{r6('ln(1 + energy_sum)')} AS log1p_energy_sum")
+
+
+@register("A2_S9_week_snapshot", f"""{WITH_QUAKE}, {SNAPSHOT_SQL} SELECT {_COLS} FROM s""")
+def q_snapshot(spark, sf_dir):
+    """Single-row rollup of the Monday..Sunday week containing as_of (serving
+    semantics: NULL magnitude counts as energy 1); zeros if empty."""
+    return finalize(log_energy_report(week_snapshot(quake(spark, sf_dir), AS_OF)))
+
+
+@register("S10_J6_upsert_week", f"""{WITH_QUAKE}, {SNAPSHOT_SQL},
+    h AS (SELECT {wk('time_utc', 'iso_end')} AS date, count(id) AS nb_seismes, max(mag) AS mag_max,
+                 avg(mag) AS mag_mean, median(mag) AS mag_median, avg(depth_km) AS depth_mean,
+                 CAST(sum(tsunami) AS BIGINT) AS tsunami_sum, count(DISTINCT place) AS nb_zones,
+                 sum(pow(10.0, 1.5 * mag)) AS energy_sum
+          FROM quake WHERE type = 'earthquake' AND time_utc IS NOT NULL GROUP BY 1),
+    u AS (SELECT * FROM h WHERE date NOT IN (SELECT date FROM s) UNION ALL SELECT * FROM s)
+    SELECT {_COLS} FROM u""")
+def q_upsert(spark, sf_dir):
+    """Weekly history (Sunday labels) with the current week's row replaced by
+    the fresh snapshot — anti join on the period + union."""
+    events = quake(spark, sf_dir)
+    history = weekly_rollup(only_kind(events), mode="iso_end")
+    new = week_snapshot(events, AS_OF)
+    return finalize(log_energy_report(upsert_period(history, new, "date")))
+
+
+@register("S13_metric_history", f"""{_BASE_SQL},
+    e AS (SELECT * FROM p WHERE y IS NOT NULL AND yhat IS NOT NULL),
+    h AS (SELECT make_date(year(date), 12, 31) AS date, model, avg(abs(y - yhat)) AS mae,
+                 sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
+                 1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y)) AS r2
+          FROM e GROUP BY 1, 2)
+    SELECT model, {dstr('max(date)')} AS latest_date, {r6('arg_max(mae, date)')} AS latest_mae,
+           {r6('arg_max(rmse, date)')} AS latest_rmse, {r6('arg_max(r2, date)')} AS latest_r2,
+           {r6('min(mae)')} AS best_mae, {dstr('arg_min(date, (mae, date))')} AS best_date, count(*) AS runs
+    FROM h GROUP BY model""")
+def q_metric_history(spark, sf_dir):
+    """Metric history (one evaluation per model and year of the hold-out) and
+    its latest / best row per model."""
+    p = baseline_predictions(spark, sf_dir)
+    hist = ST.regression_metrics(p, "y", "yhat", by=[F.make_date(F.year("date"), F.lit(12), F.lit(31)).alias("date"), "model"])
+    return finalize(latest_metrics(hist.select("date", "model", "mae", "rmse", "r2")))

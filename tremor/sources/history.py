@@ -58,5 +58,5 @@ def latest_metrics(hist: DataFrame, date: str = "date", model: str = "model") ->
         F.max_by("rmse", date).alias("latest_rmse"),
         F.max_by("r2", date).alias("latest_r2"),
         F.min("mae").alias("best_mae"),
-        F.min_by(date, "mae").alias("best_date"),
+        F.min_by(date, F.struct("mae", date)).alias("best_date"),
         F.count(F.lit(1)).alias("runs"))
