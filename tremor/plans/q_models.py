@@ -1 +1,137 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: forecasting models (M3, M6-M13) on the weekly table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremor.functions.scalars import nonneg_int
+from tremor.operators import ml
+from tremor.operators import stats as ST
+from tremor.operators import windows as W
+from tremor.plans.catalog import register
+from tremor.plans.q_windows import _feature_sql, baseline_predictions, zone_features
+from tremor.plans.report import dstr, finalize, r6
+from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql
+from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
+from tremor.sources.documents import ordered_records
+from tremor.sources.views import quake_long
+
+FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
+ZONE_FEATURES = ["zone", "lag_1", "lag_2", "lag_3", "lag_4", "rolling_mean_4", "rolling_mean_8",
+                 "rolling_std_4", "rolling_std_8"]
+
+
+@register("M3_minmax", f"""{FILLED}
+    SELECT {dstr('date')} AS date,
+      {r6('coalesce((nb_seismes - min(nb_seismes) OVER ()) / nullif(max(nb_seismes) OVER () - min(nb_seismes) OVER (), 0), 0.0)')} AS nb_seismes,
+      {r6('coalesce((mag_max - min(mag_max) OVER ()) / nullif(max(mag_max) OVER () - min(mag_max) OVER (), 0), 0.0)')} AS mag_max,
+      {r6('coalesce((depth_mean - min(depth_mean) OVER ()) / nullif(max(depth_mean) OVER () - min(depth_mean) OVER (), 0), 0.0)')} AS depth_mean
+    FROM filled""")
+def q_minmax(spark, sf_dir):
+    weekly = weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes", "mag_max", "depth_mean")
+    return finalize(ml.minmax(weekly, ["nb_seismes", "mag_max", "depth_mean"]))
+
+
+@register("M9_conformal_interval", f"""{_feature_sql(log_energy=False)},
+    r AS (SELECT date, CAST(nb_seismes AS DOUBLE) AS y, rolling_mean_4 AS yhat,
+                 row_number() OVER (ORDER BY date DESC) <= 52 AS is_test FROM feat),
+    q AS (SELECT quantile_cont(y - yhat, 0.10) AS q_lo, quantile_cont(y - yhat, 0.90) AS q_hi
+          FROM r WHERE NOT is_test AND yhat IS NOT NULL)
+    SELECT {dstr('date')} AS date, {r6('y')} AS y, {r6('yhat')} AS yhat,
+           {r6('least(greatest(yhat + q_lo, 0.0), yhat)')} AS lo, {r6('greatest(yhat + q_hi, yhat)')} AS hi
+    FROM r, q WHERE is_test""")
+def q_conformal(spark, sf_dir):
+    """Split-conformal 10-90 % interval around the 4-week-mean forecast:
+    residual quantiles from the weeks before the hold-out, applied to it."""
+    feats = W.holdout_last(weekly_features(quake_long(spark, sf_dir)), 52)
+    pred = feats.select("date", "is_test", F.col("nb_seismes").cast("double").alias("y"),
+                        F.col("rolling_mean_4").alias("yhat"))
+    bounds = ml.conformal_bounds(pred.where(~F.col("is_test")))
+    return finalize(ml.apply_interval(pred.where("is_test"), bounds).drop("is_test"))
+
+
+def _train_test(spark, sf_dir):
+    feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
+    split = W.holdout_last(feats, 52)
+    train = W.holdout_last(split.where(~F.col("is_test")).drop("is_test"), 40).withColumnRenamed("is_test", "is_val")
+    return train.cache(), split.where("is_test").cache()
+
+
+@register("M6_M7_M9_M12_model_comparison")
+def q_models(spark, sf_dir):
+    """Random forest and boosted trees vs the SQL baselines on the 52-week
+    hold-out (leaderboard by MAE); interval coverage of the conformal band."""
+    train, test = _train_test(spark, sf_dir)
+    fit_rows = train.where(~F.col("is_val"))
+    rf = ml.train_rf(fit_rows, MODEL_FEATURES, num_trees=500, max_depth=10, min_leaf=5)
+    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=100, validation_col="is_val")
+    rows = []
+    for name, model in (("random_forest", rf), ("gbt", gbt)):
+        val = ml.predict(model, train.where("is_val"), MODEL_FEATURES).select(
+            F.col("nb_seismes").cast("double").alias("y"), "yhat")
+        scored = ml.predict(model, test, MODEL_FEATURES).select(
+            F.lit(name).alias("model"), "date", F.col("nb_seismes").cast("double").alias("y"), "yhat")
+        cov = ST.coverage(ml.apply_interval(scored, ml.conformal_bounds(val)), "y", "lo", "hi")
+        met = ST.regression_metrics(scored, "y", "yhat", by=["model"])
+        rows.append(met.join(F.broadcast(cov), on=F.lit(True), how="inner"))
+    base = ST.regression_metrics(baseline_predictions(spark, sf_dir), "y", "yhat", by=["model"]).withColumn(
+        "coverage_pct", F.lit(None).cast("double"))
+    out = rows[0].unionByName(rows[1]).unionByName(base)
+    return finalize(out.orderBy("mae", "model"))
+
+
+@register("M11_walk_forward_gbt")
+def q_walk_forward(spark, sf_dir):
+    """Walk-forward validation (5 expanding folds) of boosted trees: MAE per
+    fold summarised as mean ± population sd."""
+    feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
+    per_fold = ml.walk_forward(feats, MODEL_FEATURES,
+                               lambda tr: ml.train_gbt(tr, MODEL_FEATURES, max_iter=30, step=0.05))
+    return finalize(ST.cv_summary(per_fold, "mae"))
+
+
+@register("M13_forecast_next")
+def q_forecast(spark, sf_dir):
+    """Next-week forecast document: boosted-tree central value on the
+    next-week feature row, conformal low/high, current week and the last
+    12 weeks of history (bounded array)."""
+    feats = weekly_features(quake_long(spark, sf_dir)).cache()
+    train = W.holdout_last(feats.dropna(subset=MODEL_FEATURES + ["nb_seismes"]), 40).withColumnRenamed("is_test", "is_val")
+    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=100, validation_col="is_val")
+    val = ml.predict(gbt, train.where("is_val"), MODEL_FEATURES).select(
+        F.col("nb_seismes").cast("double").alias("y"), "yhat")
+    nxt = ml.predict(gbt, next_features(feats).fillna(0.0), MODEL_FEATURES)
+    band = ml.apply_interval(nxt, ml.conformal_bounds(val))
+    pred = band.select(F.col("next_date"), nonneg_int("yhat").alias("central"),
+                       nonneg_int("lo").alias("low"), nonneg_int("hi").alias("high"))
+    cur = feats.orderBy(F.desc("date")).limit(1).select(
+        F.struct(F.date_format("date", "yyyy-MM-dd").alias("start"), F.col("nb_seismes").cast("int").alias("nb_seismes"),
+                 F.round("mag_max", 2).alias("mag_max"), F.col("nb_zones").cast("int").alias("nb_zones")).alias("current_week"))
+    hist = W.tail(feats.select("date", "nb_seismes"), 12).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("nb_seismes").cast("int").alias("nb_seismes"))
+    hist_doc = hist.agg(ordered_records(hist, ["date", "nb_seismes"], [("date", False)]).alias("history_12w"))
+    doc = (pred.join(F.broadcast(cur), on=F.lit(True)).join(F.broadcast(hist_doc), on=F.lit(True))
+           .select(F.date_format("next_date", "yyyy-MM-dd").alias("next_week_start"), F.lit("gbt_global").alias("model_used"),
+                   F.struct("central", "low", "high").alias("prediction"), "current_week", "history_12w"))
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("document"), "prediction.central",
+                      "prediction.low", "prediction.high")
+
+
+@register("M8_zone_forecast")
+def q_zone_forecast(spark, sf_dir):
+    """Per-zone boosted trees with the zone as a feature on the dense zone
+    grid; split by week (last 20 % of weeks test); next-week prediction per
+    zone from its newest row."""
+    grid = zone_features(spark, sf_dir).dropna().cache()
+    split = W.holdout_frac(grid.select("date").distinct(), 0.8)
+    data = grid.join(split, "date")
+    gbt = ml.train_gbt(data.where(~F.col("is_test")), ZONE_FEATURES, max_iter=30, step=0.1)
+    test = ml.predict(gbt, data.where("is_test"), ZONE_FEATURES)
+    mae = test.agg(F.avg(F.abs(F.col("nb_seismes") - F.col("yhat"))).alias("test_mae"))
+    latest = W.latest_per(grid, "zone", "date")
+    nxt = latest.select("zone", "date", F.col("nb_seismes").cast("double").alias("lag_1"),
+                        F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"), F.col("lag_3").alias("lag_4"),
+                        "rolling_mean_4", "rolling_mean_8", "rolling_std_4", "rolling_std_8")
+    pred = ml.predict(gbt, nxt, ZONE_FEATURES).select("zone", F.date_add("date", 7).alias("next_week"),
+                                                      nonneg_int("yhat").alias("pred_seismes"))
+    return finalize(pred.join(F.broadcast(mae), on=F.lit(True)).orderBy(F.desc("pred_seismes"), "zone"))
