@@ -1 +1,81 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: per-zone series statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tremor.operators import series as SR
+from tremor.operators.joins import dense_grid
+from tremor.operators.rollup import zone_weekly
+from tremor.plans.catalog import register
+from tremor.plans.q_windows import ZONE_GRID_SQL
+from tremor.plans.report import dstr, finalize, r6
+from tremor.sources.views import quake_long
+
+
+def _zone_grid(spark, sf_dir):
+    return dense_grid(zone_weekly(quake_long(spark, sf_dir)))
+
+
+W = "OVER (PARTITION BY zone ORDER BY date)"
+WIN = "OVER (PARTITION BY zone ORDER BY date ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING)"
+
+
+@register("M14_decompose_zone", f"""{ZONE_GRID_SQL},
+    t AS (SELECT date, zone, nb_seismes, (row_number() {W} - 1) % 52 AS phase,
+            CASE WHEN count(nb_seismes) {WIN} = 53 THEN
+              (sum(nb_seismes) {WIN} - 0.5 * (lag(nb_seismes, 26) {W} + lead(nb_seismes, 26) {W})) / 52 END AS trend
+          FROM g),
+    p AS (SELECT *, avg(nb_seismes - trend) OVER (PARTITION BY zone, phase) AS pm,
+                 row_number() OVER (PARTITION BY zone, phase ORDER BY date) = 1 AS first_phase FROM t),
+    s AS (SELECT *, pm - avg(CASE WHEN first_phase THEN pm END) OVER (PARTITION BY zone) AS seasonal FROM p)
+    SELECT {dstr('date')} AS date, CAST(zone AS BIGINT) AS zone, nb_seismes, {r6('trend')} AS trend,
+           {r6('seasonal')} AS seasonal, {r6('nb_seismes - trend - seasonal')} AS resid FROM s""")
+def q_decompose(spark, sf_dir):
+    """Classical additive decomposition (period 52) of every zone's weekly series."""
+    return finalize(SR.decompose(_zone_grid(spark, sf_dir), "nb_seismes", 52, by=["zone"]))
+
+
+@register("M15_dickey_fuller", f"""{ZONE_GRID_SQL},
+    d AS (SELECT zone, CAST(nb_seismes - lag(nb_seismes) {W} AS DOUBLE) AS dy, CAST(lag(nb_seismes) {W} AS DOUBLE) AS x FROM g),
+    a AS (SELECT zone, regr_count(dy, x) AS n, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy
+          FROM d GROUP BY zone)
+    SELECT CAST(zone AS BIGINT) AS zone, n, {r6('sxy / sxx')} AS beta,
+           {r6('(sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)')} AS df_stat,
+           CAST((sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) < -2.86 AS BIGINT) AS stationary_5pct
+    FROM a""")
+def q_df(spark, sf_dir):
+    """Dickey-Fuller statistic (constant, lag 0) per zone with the 5 % verdict."""
+    return finalize(SR.dickey_fuller(_zone_grid(spark, sf_dir), by=["zone"]))
+
+
+@register("M16_ar2", f"""{ZONE_GRID_SQL},
+    d AS (SELECT zone, date, CAST(nb_seismes AS DOUBLE) AS y, CAST(lag(nb_seismes, 1) {W} AS DOUBLE) AS x1,
+                 CAST(lag(nb_seismes, 2) {W} AS DOUBLE) AS x2 FROM g),
+    l AS (SELECT zone, arg_max(y, date) AS yT, arg_max(x1, date) AS yT1 FROM d GROUP BY zone),
+    s AS (SELECT zone, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2,
+                 covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12,
+                 covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM d WHERE x2 IS NOT NULL GROUP BY zone),
+    c AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS a1,
+                    (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS a2 FROM s),
+    c2 AS (SELECT *, my - a1 * m1 - a2 * m2 AS c0 FROM c),
+    f AS (SELECT c2.*, yT, yT1, c0 + a1 * yT + a2 * yT1 AS f1 FROM c2 JOIN l USING (zone))
+    SELECT CAST(zone AS BIGINT) AS zone, n, {r6('c0')} AS c, {r6('a1')} AS a1, {r6('a2')} AS a2,
+           {r6('f1')} AS f1, {r6('c0 + a1 * f1 + a2 * yT')} AS f2 FROM f""")
+def q_ar2(spark, sf_dir):
+    """AR(2) per zone (least squares on centred sums) and its 2-step forecast."""
+    out = SR.ar2(_zone_grid(spark, sf_dir), by=["zone"], horizon=2)
+    return finalize(out.select("zone", "n", "c", "a1", "a2", F.col("forecast")[0].alias("f1"),
+                               F.col("forecast")[1].alias("f2")))
+
+
+@register("A21_pacf_zone")
+def q_pacf(spark, sf_dir):
+    """Partial autocorrelation (lags 0..20) of every zone's weekly series."""
+    return finalize(SR.pacf(_zone_grid(spark, sf_dir), "nb_seismes", 20, by=["zone"]))
+
+
+@register("M17_holt_winters_zone")
+def q_hw(spark, sf_dir):
+    """Additive Holt-Winters (period 52, fixed smoothing) per zone: 4-week forecast."""
+    return SR.holt_winters(_zone_grid(spark, sf_dir), "nb_seismes", 52, by=["zone"], horizon=4)
