@@ -1 +1,82 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: streaming forms (T1-T6), driven over the events
+table as a landing folder with ``trigger(availableNow=True)``."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tremor.operators.cleaning import only_kind
+from tremor.operators.geo import nearest_centre, scaler_stats
+from tremor.plans.catalog import register
+from tremor.plans.report import finalize, r6, tstr
+from tremor.plans.sqlparts import WITH_QUAKE
+from tremor.plans.zones import DEFAULT_CENTRES
+from tremor.session import checkpoint_dir
+from tremor.sources.tables import load_table
+from tremor.sources.views import quake, quake_rows
+from tremor.streaming.events import (run_available, sliding_counts, stream_dedup, stream_events,
+                                     stream_upsert, stream_weekly, with_event_time)
+
+
+def _stream_quakes(spark, sf_dir):
+    schema = load_table(spark, sf_dir, "events").schema
+    ev = stream_events(spark, sf_dir, schema, pattern="events.parq*")
+    return with_event_time(quake_rows(ev))
+
+
+@register("T1_T2_stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """File-stream ingest of the events folder, watermarked dedup by id."""
+    out = run_available(stream_dedup(_stream_quakes(spark, sf_dir)).select("id", "type"), "t2_dedup")
+    return finalize(out)
+
+
+@register("T3_stream_weekly", f"""{WITH_QUAKE},
+    e AS (SELECT * FROM quake WHERE type = 'earthquake'),
+    wm AS (SELECT max(time_utc) - INTERVAL 1 DAY AS wm FROM e)
+    SELECT strftime(CAST(date_trunc('week', time_utc) AS DATE), '%Y-%m-%d') AS week_start, count(*) AS nb_seismes,
+           {r6('max(mag)')} AS mag_max
+    FROM e, wm GROUP BY 1, wm.wm HAVING CAST(date_trunc('week', min(time_utc)) AS DATE) + 7 <= wm.wm""")
+def q_stream_weekly(spark, sf_dir):
+    """Monday weeks counted by a watermarked stream (append mode): only closed
+    weeks are emitted, and they equal the batch rollup."""
+    s = only_kind(_stream_quakes(spark, sf_dir))
+    return finalize(run_available(stream_weekly(s, delay="1 day"), "t3_weekly"))
+
+
+@register("T4_sliding_24h", f"""{WITH_QUAKE},
+    b AS (SELECT time_bucket(INTERVAL 6 HOUR, time_utc) AS b0 FROM quake WHERE time_utc IS NOT NULL),
+    w AS (SELECT b0 - k * INTERVAL 6 HOUR AS ws FROM b, (SELECT unnest(range(0, 4)) AS k) ks)
+    SELECT {tstr('ws')} AS window_start, {tstr("ws + INTERVAL 24 HOUR")} AS window_end, count(*) AS n
+    FROM w GROUP BY ws""")
+def q_sliding(spark, sf_dir):
+    """24-hour windows sliding every 6 hours (batch form of the stream)."""
+    return finalize(sliding_counts(quake(spark, sf_dir).where(F.col("time_utc").isNotNull())))
+
+
+@register("T5_stream_upsert", f"""{WITH_QUAKE}
+    SELECT strftime(CAST(date_trunc('week', time_utc) AS DATE), '%Y-%m-%d') AS week_start, count(*) AS nb_seismes,
+           {r6('max(mag)')} AS mag_max
+    FROM quake WHERE type = 'earthquake' GROUP BY 1""")
+def q_stream_upsert(spark, sf_dir):
+    """Update-mode weekly rollup upserted per micro-batch into a Parquet
+    table partitioned by week (restated periods replace their rows)."""
+    s = only_kind(_stream_quakes(spark, sf_dir)).withWatermark("time_utc", "7 days")
+    agg = (s.groupBy(F.window("time_utc", "7 days", startTime="4 days").alias("w"))
+           .agg(F.count(F.lit(1)).alias("nb_seismes"), F.max("mag").alias("mag_max"))
+           .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("week_start"), "nb_seismes", "mag_max"))
+    table = f"{checkpoint_dir(spark).rstrip('/')}/weekly-upsert-{uuid.uuid4().hex}"
+    return finalize(stream_upsert(agg, table, "week_start").select("week_start", "nb_seismes", "mag_max"))
+
+
+@register("T6_stream_zones")
+def q_stream_zones(spark, sf_dir):
+    """Stream-static zone assignment: scales from the batch table (one row,
+    broadcast), nearest of the ten centres per streamed event."""
+    stats = scaler_stats(only_kind(quake(spark, sf_dir))).select("latitude_sd", "longitude_sd")
+    s = only_kind(_stream_quakes(spark, sf_dir)).join(F.broadcast(stats), on=F.lit(True), how="inner")
+    zoned = s.select("id", nearest_centre(F.col("latitude"), F.col("longitude"), DEFAULT_CENTRES,
+                                          F.col("latitude_sd"), F.col("longitude_sd")).alias("zone"))
+    return finalize(run_available(zoned, "t6_zones"))

@@ -46,11 +46,15 @@ QUAKE_LONG_EXPRS = {
 }
 
 
+def quake_rows(events: DataFrame) -> DataFrame:
+    """Map `events` rows (batch or stream) onto the event schema."""
+    ev = events.withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS INT)"))
+    return ev.select([F.expr(e).alias(c) for c, e in QUAKE_EXPRS.items()])
+
+
 def quake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-level catalogue (30 days, planted nulls) over `events`."""
-    ev = load_table(spark, sf_dir, "events").withColumn(
-        "k", F.expr("CAST(get_json_object(props, '$.k') AS INT)"))
-    return ev.select([F.expr(e).alias(c) for c, e in QUAKE_EXPRS.items()])
+    return quake_rows(load_table(spark, sf_dir, "events"))
 
 
 def quake_long(spark: SparkSession, sf_dir: str) -> DataFrame:
