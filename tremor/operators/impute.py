@@ -56,9 +56,14 @@ def _cells(feats: list[str], s: float, prefix: str):
 
 
 def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
-              id_col: str = "id", base: float = 1.0 / 64, factor: float = 4.0) -> DataFrame:
+              id_col: str = "id", base: float | None = None, factor: float = 4.0) -> DataFrame:
     """Distinct receiver points with the mean target of their k nearest donors
-    (``__knn``); receivers with no donor at all get NULL."""
+    (``__knn``); receivers with no donor at all get NULL.
+
+    ``base`` (finest cell side) defaults to the mean donor spacing
+    extent / points^(1/d), so the first level holds about one donor point
+    per cell and resolves most receivers; sparse ones climb the levels.
+    """
     feats = list(feats)
     ok = F.lit(True)
     for f in feats:
@@ -73,9 +78,12 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
     donors = cut_lineage(donors)
     pending = cut_lineage(pending)
 
-    # Extent of the data (one row of 2*d numbers) fixes the number of levels.
-    ext = src.agg(*[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
-    extent = max([float(ext[f] or 0.0) for f in feats] + [base])
+    # Extent and donor-point count (one row) fix the cell sizes and levels.
+    ext = donors.agg(F.count(F.lit(1)).alias("__n"), *[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
+    span = max([float(ext[f] or 0.0) for f in feats])
+    if base is None:
+        base = span / max(float(ext["__n"] or 1) / k, 1.0) ** (1.0 / len(feats)) if span > 0 else 1.0
+    extent = max(span, base)
     levels = max(1, int(math.ceil(math.log(extent / base, factor))) + 1)
 
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(feats))]
@@ -111,7 +119,7 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
 
 
 def impute_knn(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
-               id_col: str = "id", base: float = 1.0 / 64) -> DataFrame:
+               id_col: str = "id", base: float | None = None) -> DataFrame:
     """Fill NULL ``target`` with the mean of its k nearest donors."""
     means = knn_means(df, target, feats, k, id_col, base)
     out = df.join(means, list(feats), "left")
