@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremor.operators import joins as J
 from tremor.operators import rollup as R
+from tremor.operators import windows as W
 from tremor.operators import stats as ST
 from tremor.plans.catalog import register
 from tremor.plans.q_weekly import _feature_sql
@@ -185,3 +187,40 @@ def q_hist(spark, sf_dir):
            CAST(max(nb_seismes) AS BIGINT) AS max FROM filled""")
 def q_five(spark, sf_dir):
     return finalize(ST.five_numbers(weekly_series(quake_long(spark, sf_dir)), "nb_seismes"))
+
+
+@register("A3_weekly_energy", f"""{WITH_LONG}
+    SELECT {dstr(wk())} AS date, {r6('ln(1 + sum(pow(10.0, 1.5 * mag)))')} AS log1p_energy_sum
+    FROM quake_long WHERE time_utc IS NOT NULL GROUP BY 1""")
+def q_weekly_energy(spark, sf_dir):
+    """Weekly sum of released-energy proxies (log1p in the report)."""
+    e = R.weekly_energy(quake_long(spark, sf_dir))
+    return finalize(e.select("date", F.log1p("energy_sum").alias("log1p_energy_sum")))
+
+
+@register("J1_join_weekly_energy", f"""{WITH_LONG},
+    c AS (SELECT {wk()} AS date, count(id) AS nb_seismes FROM quake_long WHERE time_utc IS NOT NULL GROUP BY 1),
+    e AS (SELECT {wk()} AS date, sum(pow(10.0, 1.5 * mag)) AS energy_sum FROM quake_long WHERE time_utc IS NOT NULL GROUP BY 1)
+    SELECT {dstr('c.date')} AS date, c.nb_seismes, {r6('ln(1 + coalesce(e.energy_sum, 0))')} AS log1p_energy_sum
+    FROM c LEFT JOIN e ON c.date = e.date""")
+def q_join_energy(spark, sf_dir):
+    """The notebook's two-pass form: weekly counts left-joined with weekly
+    energy on the week (the fused rollup A1 does both in one aggregate)."""
+    src = quake_long(spark, sf_dir)
+    counts = R.weekly_rollup(src, with_energy=False).select("date", "nb_seismes")
+    joined = J.join_left(counts, R.weekly_energy(src), "date").fillna(0.0, subset=["energy_sum"])
+    return finalize(joined.select("date", "nb_seismes", F.log1p("energy_sum").alias("log1p_energy_sum")))
+
+
+@register("J2_J3_zone_map", f"""{WITH_LONG},
+    z AS (SELECT {wk()} AS date, zone, count(*) AS nb_seismes FROM quake_long GROUP BY 1, 2),
+    p AS (SELECT zone, nb_seismes FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY date DESC) AS rn FROM z) WHERE rn = 1),
+    c AS (SELECT zone, avg(latitude) AS latitude, avg(longitude) AS longitude FROM quake_long GROUP BY zone)
+    SELECT CAST(p.zone AS BIGINT) AS zone, CAST(p.nb_seismes AS BIGINT) AS pred_seismes,
+           {r6('c.latitude')} AS latitude, {r6('c.longitude')} AS longitude
+    FROM p LEFT JOIN c ON p.zone = c.zone""")
+def q_zone_map(spark, sf_dir):
+    """Persistence prediction per zone joined with the zone centres (map table)."""
+    src = quake_long(spark, sf_dir)
+    pred = W.persist_zone(R.zone_weekly(src)).select("zone", F.col("pred_seismes").cast("bigint").alias("pred_seismes"))
+    return finalize(J.zone_map(pred, R.zone_centroids(src)))
