@@ -1,58 +1,79 @@
 """Joins, spines and grids.
 
-Spines are generated from the data's own bounds with
-``explode(sequence(lo, hi, 7 days))`` — their size is (weeks in range),
-which grows with time, not with event volume.  Dense grids join the week
-spine with the zone list; both sides are rollup outputs, so the grid is
-weeks x zones rows, the size of the result itself.
+Gap filling never re-reads the events: each rollup row emits itself plus
+the missing labels up to the next row of its series (``lead`` over the
+rollup, then ``explode(sequence(...))``).  The rows generated are exactly
+the output rows, the rollup is computed once, and no join against a
+separate spine is planned.  The grid/spine size grows with time (weeks x
+zones), not with event volume.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.windows import interpolate
 
 
 def week_spine(df: DataFrame, date: str = "date", step_days: int = 7) -> DataFrame:
-    """All labels from min(date) to max(date) every ``step_days`` days."""
+    """All labels from min(date) to max(date) every ``step_days`` days (A26 bounds)."""
     bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     return bounds.select(F.explode(
         F.sequence("lo", "hi", F.expr(f"INTERVAL {step_days} DAYS"))).alias(date))
 
 
+def _fill_forward(df: DataFrame, date: str, upto, keep_cols, step_days: int = 7,
+                  start=None) -> DataFrame:
+    """Each row emits labels from ``start`` (default: its own date) to ``upto``;
+    generated rows keep ``keep_cols`` and get NULL elsewhere."""
+    step = F.expr(f"INTERVAL {step_days} DAYS")
+    begin = start if start is not None else F.col(date)
+    cols = [c for c in df.columns if c not in (date, "__upto", "__begin")]
+    gen = (df.withColumn("__upto", upto).withColumn("__begin", begin)
+           .select(*[F.col(c) for c in df.columns], F.explode(F.sequence("__begin", "__upto", step)).alias("__d")))
+    own = F.col("__d") == F.col(date)
+    return gen.select(F.col("__d").alias(date),
+                      *[F.col(c) if c in keep_cols else F.when(own, F.col(c)).alias(c) for c in cols])
+
+
 def fill_weeks(weekly: DataFrame, date: str = "date", zero_cols=("nb_seismes", "tsunami_sum",
                "nb_zones", "energy_sum"), interp_cols=("mag_max", "mag_mean", "mag_median",
-               "depth_mean")) -> DataFrame:
-    """Gap-free weekly series.
+               "depth_mean"), step_days: int = 7) -> DataFrame:
+    """Gap-free weekly series from the first to the last label.
 
     Missing weeks get 0 for counts/sums and linear interpolation for the
     continuous columns (notebook gap fill, then W14).
     """
-    spine = week_spine(weekly, date)
-    full = spine.join(weekly, date, "left")
+    nxt = F.lead(date).over(Window.orderBy(date))
+    upto = F.coalesce(F.date_sub(nxt, step_days), F.col(date))
+    full = _fill_forward(weekly, date, upto, keep_cols=(), step_days=step_days)
     full = full.fillna(0, subset=[c for c in zero_cols if c in weekly.columns])
     present = [c for c in interp_cols if c in weekly.columns]
     return interpolate(full, present, order=date) if present else full
 
 
 def dense_grid(df: DataFrame, date: str = "date", zone: str = "zone",
-               value: str = "nb_seismes") -> DataFrame:
+               value: str = "nb_seismes", step_days: int = 7) -> DataFrame:
     """Every (week, zone) cell between the global first and last week;
     absent cells count 0.
 
-    The global bounds are a one-row aggregate (a proven size bound, so it
-    is broadcast); each zone explodes its own week sequence from them.  No
-    cartesian product is planned: the generated rows are exactly the output
-    grid, which is then left-joined with the counts on (week, zone).
+    The global bounds are window aggregates over the rollup rows; each zone
+    row emits the missing weeks up to its zone's next row (the last row up
+    to the global end, the first row also back to the global start).  No
+    cartesian product and no second pass over the events.
     """
-    bounds = df.agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"))
-    zones = df.select(zone).distinct()
-    grid = (zones.join(F.broadcast(bounds), on=F.lit(True), how="inner")
-            .select(zone, F.explode(F.sequence("__lo", "__hi", F.expr("INTERVAL 7 DAYS"))).alias(date)))
-    return (grid.join(df.select(date, zone, value), [date, zone], "left")
-            .fillna(0, subset=[value]))
+    allw = Window.partitionBy()
+    zw = Window.partitionBy(zone).orderBy(date)
+    base = (df.select(date, zone, value)
+            .withColumn("__lo", F.min(date).over(allw)).withColumn("__hi", F.max(date).over(allw))
+            .withColumn("__next", F.lead(date).over(zw))
+            .withColumn("__first", F.row_number().over(zw) == 1))
+    upto = F.coalesce(F.date_sub("__next", step_days), F.col("__hi"))
+    start = F.when(F.col("__first"), F.col("__lo")).otherwise(F.col(date))
+    base = base.withColumn("__start", start).drop("__first")
+    out = _fill_forward(base, date, upto, keep_cols=(zone,), step_days=step_days, start=F.col("__start"))
+    return out.select(date, zone, F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 
 def zone_map(pred: DataFrame, centroids: DataFrame, zone: str = "zone") -> DataFrame:
