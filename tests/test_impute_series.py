@@ -86,3 +86,22 @@ def test_pacf_and_holt_winters_per_series(spark):
     hw = holt_winters(df, period=52, by=["zone"], horizon=4).collect()
     assert len(hw) == 2 and all(len(r.forecast) == 4 and r.sse > 0 for r in hw)
     _ = F
+
+
+def test_knn_exact_on_clustered_points(spark):
+    """A tight cluster of distinct points next to sparse ones: cells are
+    refined for the cluster and the sparse receivers climb levels."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(500):
+        if i < 350:
+            x, y, z = (float(v) for v in rng.uniform(0, 0.01, 3))
+        else:
+            x, y, z = (float(v) for v in rng.uniform(-100, 100, 3))
+        v = None if rng.random() < 0.25 else float(rng.normal(0, 1))
+        rows.append((i, x, y, z, v))
+    df = spark.createDataFrame(rows, "id int, latitude double, longitude double, hour double, gap double")
+    got = {r.id: r.gap for r in impute_knn(df, "gap").collect()}
+    want = _brute(rows)
+    for i in want:
+        assert math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12), i

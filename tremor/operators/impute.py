@@ -56,13 +56,16 @@ def _cells(feats: list[str], s: float, prefix: str):
 
 
 def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
-              id_col: str = "id", base: float | None = None, factor: float = 4.0) -> DataFrame:
+              id_col: str = "id", base: float | None = None, factor: float = 4.0,
+              max_cell: int = 256) -> DataFrame:
     """Distinct receiver points with the mean target of their k nearest donors
     (``__knn``); receivers with no donor at all get NULL.
 
-    ``base`` (finest cell side) defaults to the mean donor spacing
-    extent / points^(1/d), so the first level holds about one donor point
-    per cell and resolves most receivers; sparse ones climb the levels.
+    ``base`` (finest cell side) defaults to the side at which a cell holds
+    about k donor points on average ((volume / (points/k))^(1/d)), so the
+    first level resolves most receivers; sparse ones climb the levels.  If
+    the fullest cell then holds more than ``max_cell`` distinct donor points
+    (clustered data), the side is divided by ``factor`` until it does not.
     """
     feats = list(feats)
     ok = F.lit(True)
@@ -80,9 +83,21 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
 
     # Extent and donor-point count (one row) fix the cell sizes and levels.
     ext = donors.agg(F.count(F.lit(1)).alias("__n"), *[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
-    span = max([float(ext[f] or 0.0) for f in feats])
+    spans = [float(ext[f] or 0.0) for f in feats]
+    span = max(spans)
     if base is None:
-        base = span / max(float(ext["__n"] or 1) / k, 1.0) ** (1.0 / len(feats)) if span > 0 else 1.0
+        # cell side at which a cell holds about k donor points on average
+        live = [x for x in spans if x > 0]
+        volume = math.prod(live) if live else 1.0
+        base = (volume / max(float(ext["__n"] or 1) / k, 1.0)) ** (1.0 / max(len(live), 1))
+        # Clustered data: refine until the fullest cell holds at most
+        # `max_cell` donor points, so no receiver meets an unbounded cell.
+        while base > span * 1e-9:
+            occ = (donors.groupBy(*_cells(feats, base, "__o")).count()
+                   .agg(F.max("count")).first()[0] or 0)
+            if occ <= max_cell:
+                break
+            base /= factor
     extent = max(span, base)
     levels = max(1, int(math.ceil(math.log(extent / base, factor))) + 1)
 
@@ -111,6 +126,8 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
         done = agg.where((F.col("__cnt") == k) & (F.col("__dk") <= F.lit(s * s)))
         results.append(done.select(*feats, "__knn"))
         pending = cut_lineage(pending.join(done.select(*feats), feats, "left_anti"))
+        if pending.isEmpty():  # checkpointed: a cheap look at saved files
+            break
         s *= factor
     out = results[0]
     for r in results[1:]:
