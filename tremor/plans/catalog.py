@@ -32,4 +32,4 @@ def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from tremor.plans import (q_weekly, q_scalars, q_aggregates, q_windows,  # noqa: F401
                               q_zones, q_monitor, q_tables, q_impute, q_models,
-                              q_series, q_stream)
+                              q_series, q_stream, q_io)

@@ -52,12 +52,31 @@ def flatten_features(docs: DataFrame) -> DataFrame:
         F.get(coords, 2).alias("depth_km"), *props)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON FeatureCollection files (one document per file) -> events."""
-    docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
+def read_geojson(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """GeoJSON FeatureCollection documents -> events.
+
+    ``multiline=True`` reads one (pretty-printed) document per file, as a
+    feed download is stored; ``False`` reads one document per line.
+    """
+    docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", multiline).json(path)
     return flatten_features(docs)
 
 
+def to_geojson_lines(events: DataFrame, batch: int = 1000) -> DataFrame:
+    """Events -> FeatureCollection documents of at most ``batch`` features,
+    one JSON document per row.  Rows are grouped by their position inside
+    their own input partition, so every group is bounded by ``batch``."""
+    feature = F.struct(
+        F.col("id").cast("string").alias("id"),
+        F.struct(F.col("mag"), F.col("place"), F.unix_millis(F.col("time_utc").cast("timestamp")).alias("time"),
+                 F.col("tsunami"), F.col("sig"), F.col("net"), F.col("nst"), F.col("dmin"), F.col("rms"),
+                 F.col("gap"), F.col("type")).alias("properties"),
+        F.struct(F.array("longitude", "latitude", "depth_km").alias("coordinates")).alias("geometry"))
+    chunk = F.floor(F.monotonically_increasing_id() / F.lit(batch))
+    docs = events.groupBy(chunk.alias("__chunk")).agg(F.collect_list(feature).alias("features"))
+    return docs.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and an explicit schema (dates parsed by type)."""
     return (spark.read.schema(schema).option("header", True)
