@@ -13,6 +13,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
+
 
 def scaler_stats(df: DataFrame, cols=("latitude", "longitude"), population: bool = True) -> DataFrame:
     """M1 (SQL form): one row of means and sds; population sd matches
@@ -25,8 +27,8 @@ def scaler_stats(df: DataFrame, cols=("latitude", "longitude"), population: bool
 
 
 def standardise(df: DataFrame, stats: DataFrame, cols=("latitude", "longitude")) -> DataFrame:
-    """M1: (x - mean) / sd with the one-row stats attached by broadcast."""
-    out = df.join(F.broadcast(stats), on=F.lit(True), how="inner")
+    """M1: (x - mean) / sd with the one-row stats attached as a scalar subquery."""
+    out = attach_row(df, stats)
     out = out.withColumns({f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in cols})
     return out.drop(*[f"{c}_{s}" for c in cols for s in ("mean", "sd")])
 
@@ -59,11 +61,11 @@ def assign_zone_scaled(df: DataFrame, centres: list[tuple[int, float, float]],
                        stats: DataFrame) -> DataFrame:
     """J7 on standardised coordinates (centres given in degrees).
 
-    The scaler's one-row stats are attached by broadcast; the assignment is
-    a per-row expression, so the plan is scan -> project, no shuffle.
+    The scaler's one-row stats come in as one scalar subquery; the
+    assignment is a per-row expression, so the plan is scan -> project.
     """
     pts = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    out = pts.join(F.broadcast(stats.select("latitude_sd", "longitude_sd")), on=F.lit(True), how="inner")
+    out = attach_row(pts, stats.select("latitude_sd", "longitude_sd"))
     zone = nearest_centre(F.col("latitude"), F.col("longitude"), centres,
                           F.col("latitude_sd"), F.col("longitude_sd"))
     return out.withColumn("zone", zone).drop("latitude_sd", "longitude_sd")

@@ -28,16 +28,17 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
 from tremor.session import cut_lineage
 
 
 def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """NULL -> the column's median over the batch (one global aggregate,
-    attached to every row by a one-row broadcast)."""
+    attached to every row as a scalar subquery)."""
     cols = list(cols)
     med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
     stats = df.agg(*[med(c).alias(f"__med_{c}") for c in cols])
-    out = df.join(F.broadcast(stats), on=F.lit(True), how="inner")
+    out = attach_row(df, stats)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
         *[f"__med_{c}" for c in cols])
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
 from tremor.operators.windows import interpolate
 
 
@@ -95,15 +96,15 @@ def compare_forecast(weekly: DataFrame, forecast: DataFrame, date: str = "date")
     """Forecast document vs the latest week: difference, %, interval width.
 
     ``forecast`` has columns central, low, high, next_week_start.  The latest
-    week is found with ``max_by`` (one aggregate, one row), then combined
-    with the forecast rows on a constant key.
+    week is found with ``max_by`` (one aggregate, one row) and attached to
+    the forecast row as a scalar subquery.
     """
     from tremor.functions.bands import direction
     from tremor.functions.scalars import safe_pct
 
     last = weekly.agg(F.max_by(F.col("nb_seismes"), F.col(date)).alias("current"),
                       F.max(date).alias("current_week"))
-    out = forecast.join(F.broadcast(last), how="inner", on=F.lit(True))  # one-row side
+    out = attach_row(forecast, last)
     diff = F.col("central") - F.col("current")
     return out.select(
         "next_week_start", "current_week",

@@ -12,17 +12,18 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
 from tremor.operators.encode import assemble
 
 
 def minmax(df: DataFrame, cols) -> DataFrame:
     """M3: (x - min) / (max - min) per column (0 when the column is constant).
 
-    min/max come from one global aggregate attached by a one-row broadcast.
+    min/max come from one global aggregate attached as a scalar subquery.
     """
     cols = list(cols)
     stats = df.agg(*[F.min(c).alias(f"__lo_{c}") for c in cols], *[F.max(c).alias(f"__hi_{c}") for c in cols])
-    out = df.join(F.broadcast(stats), on=F.lit(True), how="inner")
+    out = attach_row(df, stats)
     scaled = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")),
                             F.lit(0.0)) for c in cols}
     return out.withColumns(scaled).drop(*[f"__{s}_{c}" for c in cols for s in ("lo", "hi")])
@@ -65,7 +66,7 @@ def conformal_bounds(calib: DataFrame, y: str = "y", yhat: str = "yhat", alpha_l
 
 def apply_interval(pred: DataFrame, bounds: DataFrame, yhat: str = "yhat") -> DataFrame:
     """M9: lo = max(yhat + q_lo, 0), hi = yhat + q_hi, with lo <= yhat <= hi."""
-    out = pred.join(F.broadcast(bounds), on=F.lit(True), how="inner")
+    out = attach_row(pred, bounds)
     lo = F.least(F.greatest(F.col(yhat) + F.col("q_lo"), F.lit(0.0)), F.col(yhat))
     hi = F.greatest(F.col(yhat) + F.col("q_hi"), F.col(yhat))
     return out.withColumn("lo", lo).withColumn("hi", hi).drop("q_lo", "q_hi")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
 from tremor.operators.stats import acf
 
 # Dickey-Fuller critical values, constant and no trend
@@ -90,7 +91,7 @@ def ar2(df: DataFrame, y: str = "nb_seismes", order: str = "date", by=None, hori
     a2 = (F.col("__s2y") * F.col("__s11") - F.col("__s1y") * F.col("__s12")) / det
     s = s.withColumn("a1", a1).withColumn("a2", a2)
     s = s.withColumn("c", F.col("__my") - F.col("a1") * F.col("__m1") - F.col("a2") * F.col("__m2"))
-    out = s.join(last, by, "inner") if by else s.join(F.broadcast(last), on=F.lit(True))
+    out = s.join(last, by, "inner") if by else attach_row(s, last)
     init = F.struct(F.col("__yT").alias("p1"), F.col("__yT1").alias("p2"),
                     F.array().cast("array<double>").alias("fc"))
 

@@ -2,7 +2,7 @@
 
 Each is one aggregate (partial + final) or an aggregate over a rollup
 output.  Bounds computed by a global aggregate are a single row and are
-attached with a broadcast of that one row.
+attached as one scalar subquery (evaluated once, size enforced).
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
+
 
 def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast of a 1-row side)."""
-    return df.join(F.broadcast(one_row), on=F.lit(True), how="inner")
+    """Attach a one-row aggregate to every row (one scalar subquery)."""
+    return attach_row(df, one_row)
 
 
 def quartile_fences(df: DataFrame, col: str, k: float = 3.0, exact: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremor.operators.cleaning import only_kind
+from tremor.operators.common import attach_row
 from tremor.operators.rollup import weekly_rollup
 from tremor.plans.catalog import register
 from tremor.plans.q_monitor import FORECAST_SQL, rolling_mean_forecast
@@ -91,7 +92,7 @@ def q_forecast_doc(spark, sf_dir):
     last12 = weekly.orderBy(F.desc("date")).limit(12).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "nb_seismes")
     hist = last12.agg(ordered_records(last12, ["date", "nb_seismes"], [("date", False)]).alias("history_12w"))
-    doc = fc.join(F.broadcast(hist), on=F.lit(True)).select(
+    doc = attach_row(fc, hist).select(
         F.date_format("next_week_start", "yyyy-MM-dd").alias("next_week_start"),
         F.struct("central", "low", "high").alias("prediction"), "history_12w")
     path = _scratch(spark, "forecast-doc")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions.scalars import nonneg_int
 from tremor.operators import ml
+from tremor.operators.common import attach_row
 from tremor.operators import stats as ST
 from tremor.operators import windows as W
 from tremor.plans.catalog import register
@@ -73,7 +74,7 @@ def q_models(spark, sf_dir):
             F.lit(name).alias("model"), "date", F.col("nb_seismes").cast("double").alias("y"), "yhat")
         cov = ST.coverage(ml.apply_interval(scored, ml.conformal_bounds(val)), "y", "lo", "hi")
         met = ST.regression_metrics(scored, "y", "yhat", by=["model"])
-        rows.append(met.join(F.broadcast(cov), on=F.lit(True), how="inner"))
+        rows.append(attach_row(met, cov))
     base = ST.regression_metrics(baseline_predictions(spark, sf_dir), "y", "yhat", by=["model"]).withColumn(
         "coverage_pct", F.lit(None).cast("double"))
     out = rows[0].unionByName(rows[1]).unionByName(base)
@@ -110,7 +111,7 @@ def q_forecast(spark, sf_dir):
     hist = W.tail(feats.select("date", "nb_seismes"), 12).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("nb_seismes").cast("int").alias("nb_seismes"))
     hist_doc = hist.agg(ordered_records(hist, ["date", "nb_seismes"], [("date", False)]).alias("history_12w"))
-    doc = (pred.join(F.broadcast(cur), on=F.lit(True)).join(F.broadcast(hist_doc), on=F.lit(True))
+    doc = (attach_row(attach_row(pred, cur), hist_doc)
            .select(F.date_format("next_date", "yyyy-MM-dd").alias("next_week_start"), F.lit("gbt_global").alias("model_used"),
                    F.struct("central", "low", "high").alias("prediction"), "current_week", "history_12w"))
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("document"), "prediction.central",
@@ -134,4 +135,4 @@ def q_zone_forecast(spark, sf_dir):
                         "rolling_mean_4", "rolling_mean_8", "rolling_std_4", "rolling_std_8")
     pred = ml.predict(gbt, nxt, ZONE_FEATURES).select("zone", F.date_add("date", 7).alias("next_week"),
                                                       nonneg_int("yhat").alias("pred_seismes"))
-    return finalize(pred.join(F.broadcast(mae), on=F.lit(True)).orderBy(F.desc("pred_seismes"), "zone"))
+    return finalize(attach_row(pred, mae).orderBy(F.desc("pred_seismes"), "zone"))

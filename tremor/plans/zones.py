@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tremor.functions.bands import risk_tier
 from tremor.functions.weeks import week_label
 from tremor.operators.cleaning import lookback, only_kind
+from tremor.operators.common import attach_row
 from tremor.operators.geo import assign_zone_scaled, scaler_stats
 from tremor.operators.stats import tier_bounds
 from tremor.operators.windows import latest_per
@@ -54,7 +55,7 @@ def risk_zones(events: DataFrame, as_of: str, centres=DEFAULT_CENTRES, history:
     latest = latest_per(hist.select("zone", "date", "nb_seismes", "latitude", "longitude"), "zone", "date")
     pred = latest.withColumn("pred_seismes", F.col("nb_seismes").cast("int"))
     tiers = tier_bounds(pred, "pred_seismes")
-    out = pred.join(F.broadcast(tiers), on=F.lit(True), how="inner")  # one-row side
+    out = attach_row(pred, tiers)
     return out.select("zone", "pred_seismes", risk_tier("pred_seismes", F.col("p33"), F.col("p66")).alias("risk_level"),
                       F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 
