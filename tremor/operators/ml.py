@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
 from tremor.operators.encode import assemble
+from tremor.session import materialize
 
 
 def minmax(df: DataFrame, cols) -> DataFrame:
@@ -81,7 +82,7 @@ def walk_forward(df: DataFrame, feats, fit, n_splits: int = 5, order: str = "dat
                  label: str = "nb_seismes") -> DataFrame:
     """Expanding folds (W16), one fit per fold; rows (fold, mae)."""
     from tremor.operators.windows import ts_folds
-    folds = ts_folds(df, n_splits, order).cache()
+    folds = materialize(ts_folds(df, n_splits, order))
     out = None
     for f in range(1, n_splits + 1):
         part = folds.where(F.col("fold") == f)

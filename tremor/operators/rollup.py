@@ -91,18 +91,24 @@ def zone_weekly(df: DataFrame, ts: str = "time_utc", zone: str = "zone",
             .groupBy(week_label(ts, mode).alias("date"), F.col(zone)).agg(*aggs))
 
 
-def zone_centroids(df: DataFrame, zone: str = "zone", circular: bool = False) -> DataFrame:
-    """Mean latitude/longitude per zone.
+def circular_mean_deg(col: str):
+    """Mean of angles in degrees on the circle (date-line safe, SURVEY D14)."""
+    rad = F.radians(col)
+    return F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad))))
 
-    ``circular=True`` averages longitude on the circle (zones across +-180°,
-    SURVEY D14).
+
+def zone_centroids(df: DataFrame, zone: str = "zone", circular: bool = False,
+                   both: bool = False) -> DataFrame:
+    """Mean latitude/longitude per zone in one aggregate.
+
+    ``circular=True`` averages longitude on the circle; ``both=True`` adds
+    the circular mean as ``longitude_circular`` next to the plain mean.
     """
-    if circular:
-        rad = F.radians("longitude")
-        lon = F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad))))
-    else:
-        lon = F.avg("longitude")
-    return df.groupBy(zone).agg(F.avg("latitude").alias("latitude"), lon.alias("longitude"))
+    lon = circular_mean_deg("longitude") if circular else F.avg("longitude")
+    aggs = [F.avg("latitude").alias("latitude"), lon.alias("longitude")]
+    if both:
+        aggs.append(circular_mean_deg("longitude").alias("longitude_circular"))
+    return df.groupBy(zone).agg(*aggs)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, WITH_QUAKE, filled_weekly_sql, wk
 from tremor.plans.weekly import (COUNT_LAGS, ENERGY_LAGS, ENERGY_ROLL, ROLL_MAX, ROLL_MEAN,
                                  ROLL_STD, ZONE_LAGS, weekly_features, weekly_series)
+from tremor.session import materialize
 from tremor.sources.views import quake, quake_long
 
 WEEKLY_COLS = ["nb_seismes", "mag_max", "mag_mean", "mag_median", "depth_mean", "tsunami_sum",
@@ -54,10 +55,7 @@ def q_zone_weekly(spark, sf_dir):
     FROM quake_long GROUP BY zone""")
 def q_centroids(spark, sf_dir):
     """Arithmetic and circular (date-line safe) mean coordinates per zone."""
-    src = quake_long(spark, sf_dir)
-    plain = R.zone_centroids(src)
-    circ = R.zone_centroids(src, circular=True).select("zone", F.col("longitude").alias("longitude_circular"))
-    return finalize(plain.join(circ, "zone"))
+    return finalize(R.zone_centroids(quake_long(spark, sf_dir), both=True))
 
 
 @register("A7_value_counts", f"""{WITH_QUAKE} SELECT net, count(*) AS n FROM quake GROUP BY net""")
@@ -74,7 +72,7 @@ def q_value_counts(spark, sf_dir):
     FROM filled, b""")
 def q_iqr(spark, sf_dir):
     """3xIQR fences on the weekly count, outlier flag and winsorised copy."""
-    weekly = weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes")
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes"))
     return finalize(ST.iqr_outliers(weekly, "nb_seismes", k=3.0))
 
 
@@ -178,7 +176,8 @@ def q_acf(spark, sf_dir):
     FROM filled, b WHERE nb_seismes IS NOT NULL GROUP BY 1""")
 def q_hist(spark, sf_dir):
     """40-bin equal-width histogram of the weekly count."""
-    return finalize(ST.histogram(weekly_series(quake_long(spark, sf_dir)), "nb_seismes", 40))
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("nb_seismes"))
+    return finalize(ST.histogram(weekly, "nb_seismes", 40))
 
 
 @register("A25_five_numbers", f"""{FILLED}

@@ -17,7 +17,7 @@ from tremor.plans.q_weekly import log_energy_report
 from tremor.plans.report import dstr, finalize, r6, tstr
 from tremor.plans.sqlparts import WITH_LONG, WITH_QUAKE, filled_weekly_sql, wk
 from tremor.plans.weekly import weekly_series
-from tremor.session import checkpoint_dir
+from tremor.session import checkpoint_dir, materialize
 from tremor.sources import files as FS
 from tremor.sources.documents import ordered_records, to_document, write_document
 from tremor.sources.views import quake, quake_long
@@ -87,7 +87,7 @@ FORECAST_DOC_SCHEMA = T.StructType([
 def q_forecast_doc(spark, sf_dir):
     """Forecast document (S7: header + ordered 12-week history) written as
     JSON, read back with a declared nested schema and unpacked (S8)."""
-    weekly = weekly_series(quake_long(spark, sf_dir))
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes"))
     fc = rolling_mean_forecast(weekly)
     last12 = weekly.orderBy(F.desc("date")).limit(12).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "nb_seismes")

@@ -15,6 +15,7 @@ from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql
 from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
 from tremor.sources.documents import ordered_records
+from tremor.session import materialize
 from tremor.sources.views import quake_long
 
 FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
@@ -29,7 +30,7 @@ ZONE_FEATURES = ["zone", "lag_1", "lag_2", "lag_3", "lag_4", "rolling_mean_4", "
       {r6('coalesce((depth_mean - min(depth_mean) OVER ()) / nullif(max(depth_mean) OVER () - min(depth_mean) OVER (), 0), 0.0)')} AS depth_mean
     FROM filled""")
 def q_minmax(spark, sf_dir):
-    weekly = weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes", "mag_max", "depth_mean")
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes", "mag_max", "depth_mean"))
     return finalize(ml.minmax(weekly, ["nb_seismes", "mag_max", "depth_mean"]))
 
 
@@ -44,7 +45,7 @@ def q_minmax(spark, sf_dir):
 def q_conformal(spark, sf_dir):
     """Split-conformal 10-90 % interval around the 4-week-mean forecast:
     residual quantiles from the weeks before the hold-out, applied to it."""
-    feats = W.holdout_last(weekly_features(quake_long(spark, sf_dir)), 52)
+    feats = materialize(W.holdout_last(weekly_features(quake_long(spark, sf_dir)), 52))
     pred = feats.select("date", "is_test", F.col("nb_seismes").cast("double").alias("y"),
                         F.col("rolling_mean_4").alias("yhat"))
     bounds = ml.conformal_bounds(pred.where(~F.col("is_test")))
@@ -55,7 +56,7 @@ def _train_test(spark, sf_dir):
     feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
     split = W.holdout_last(feats, 52)
     train = W.holdout_last(split.where(~F.col("is_test")).drop("is_test"), 40).withColumnRenamed("is_test", "is_val")
-    return train.cache(), split.where("is_test").cache()
+    return materialize(train), materialize(split.where("is_test"))
 
 
 @register("M6_M7_M9_M12_model_comparison")
@@ -96,7 +97,7 @@ def q_forecast(spark, sf_dir):
     """Next-week forecast document: boosted-tree central value on the
     next-week feature row, conformal low/high, current week and the last
     12 weeks of history (bounded array)."""
-    feats = weekly_features(quake_long(spark, sf_dir)).cache()
+    feats = materialize(weekly_features(quake_long(spark, sf_dir)))
     train = W.holdout_last(feats.dropna(subset=MODEL_FEATURES + ["nb_seismes"]), 40).withColumnRenamed("is_test", "is_val")
     gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=100, validation_col="is_val")
     val = ml.predict(gbt, train.where("is_val"), MODEL_FEATURES).select(
@@ -123,7 +124,7 @@ def q_zone_forecast(spark, sf_dir):
     """Per-zone boosted trees with the zone as a feature on the dense zone
     grid; split by week (last 20 % of weeks test); next-week prediction per
     zone from its newest row."""
-    grid = zone_features(spark, sf_dir).dropna().cache()
+    grid = materialize(zone_features(spark, sf_dir).dropna())
     split = W.holdout_frac(grid.select("date").distinct(), 0.8)
     data = grid.join(split, "date")
     gbt = ml.train_gbt(data.where(~F.col("is_test")), ZONE_FEATURES, max_iter=30, step=0.1)

@@ -11,6 +11,7 @@ from tremor.plans.monitoring import anomaly, bar_lengths, week_on_week
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql
 from tremor.plans.weekly import weekly_series
+from tremor.session import materialize
 from tremor.sources.views import quake_long
 
 FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
@@ -74,7 +75,7 @@ def q_anomaly(spark, sf_dir):
     FROM fc2, cur""")
 def q_compare(spark, sf_dir):
     """Forecast (4-week-mean baseline, +-50 interval) vs the newest week."""
-    weekly = weekly_series(quake_long(spark, sf_dir))
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes"))
     return finalize(compare_forecast(weekly, rolling_mean_forecast(weekly)))
 
 
@@ -86,6 +87,6 @@ def q_compare(spark, sf_dir):
     FROM b""")
 def q_bars(spark, sf_dir):
     """Bar lengths over the last 8 weeks plus the forecast week."""
-    weekly = weekly_series(quake_long(spark, sf_dir))
+    weekly = materialize(weekly_series(quake_long(spark, sf_dir)).select("date", "nb_seismes"))
     fc = rolling_mean_forecast(weekly).select(F.col("next_week_start").alias("date"), "central")
     return finalize(bar_lengths(weekly, fc, 8))

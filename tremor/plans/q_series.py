@@ -10,6 +10,7 @@ from tremor.operators.rollup import zone_weekly
 from tremor.plans.catalog import register
 from tremor.plans.q_windows import ZONE_GRID_SQL
 from tremor.plans.report import dstr, finalize, r6
+from tremor.session import materialize
 from tremor.sources.views import quake_long
 
 
@@ -64,7 +65,7 @@ def q_df(spark, sf_dir):
            {r6('f1')} AS f1, {r6('c0 + a1 * f1 + a2 * yT')} AS f2 FROM f""")
 def q_ar2(spark, sf_dir):
     """AR(2) per zone (least squares on centred sums) and its 2-step forecast."""
-    out = SR.ar2(_zone_grid(spark, sf_dir), by=["zone"], horizon=2)
+    out = SR.ar2(materialize(_zone_grid(spark, sf_dir)), by=["zone"], horizon=2)
     return finalize(out.select("zone", "n", "c", "a1", "a2", F.col("forecast")[0].alias("f1"),
                                F.col("forecast")[1].alias("f2")))
 

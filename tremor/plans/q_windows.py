@@ -14,6 +14,7 @@ from tremor.plans.q_weekly import _feature_sql
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql, roll_sql, wk
 from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
+from tremor.session import materialize
 from tremor.sources.views import quake_long
 
 FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
@@ -131,7 +132,7 @@ def baseline_predictions(spark, sf_dir):
     """M12 inputs: (model, date, y, yhat) for SQL-computable baselines on the
     last 52 weeks — lag-1 (W17), lag-52 (seasonal) and 4-week mean."""
     feats = weekly_features(quake_long(spark, sf_dir))
-    test = W.holdout_last(feats, 52).where("is_test")
+    test = materialize(W.holdout_last(feats, 52).where("is_test"))
     y = F.col("nb_seismes").cast("double")
     models = {"naive_lag1": F.col("lag_1"), "seasonal_lag52": F.col("lag_52"),
               "rolling_mean_4": F.col("rolling_mean_4")}

@@ -18,6 +18,7 @@ from tremor.operators.geo import assign_zone_scaled, scaler_stats
 from tremor.operators.stats import tier_bounds
 from tremor.operators.windows import latest_per
 from tremor.sources.documents import to_document
+from tremor.session import materialize
 from tremor.sources.history import upsert_period
 
 # Ten zone centres (zone, lat, lon) used when no fitted model
@@ -33,29 +34,44 @@ def zone_counts(zoned: DataFrame, ts: str = "time_utc", mode: str = "iso_start")
 
 
 def risk_zones(events: DataFrame, as_of: str, centres=DEFAULT_CENTRES, history: DataFrame | None = None,
-               ts: str = "time_utc") -> DataFrame:
+               ts: str = "time_utc", stats: DataFrame | None = None) -> DataFrame:
     """Zones job: returns (zone, pred_seismes, risk_level, lat, lon).
 
-    ``history`` is the stored zone history (date, zone, nb_seismes, latitude,
-    longitude); when absent it is rebuilt from the events before the current
-    week.  The current week is the 7-day look-back ending at ``as_of``,
-    labelled by the Monday of ``as_of``'s week, and replaces any stored row
-    for that week (S10).
+    ``stats`` are the scaler parameters (fitted offline; computed from the
+    events when absent).  ``history`` is the stored zone history (date,
+    zone, nb_seismes, latitude, longitude).  The current week is the 7-day
+    look-back ending at ``as_of``, labelled by the Monday of ``as_of``'s
+    week, and replaces any stored row for that week (S10).
+
+    Without a stored history, history weeks and the current look-back come
+    from ONE aggregate: each event carries the keys it counts under (its own
+    week if before the current one, the current label if inside the
+    look-back), so the events are scanned and shuffled once.
     """
     quakes = only_kind(events)
-    zoned = assign_zone_scaled(quakes, centres, scaler_stats(quakes))
+    if stats is None:
+        stats = materialize(scaler_stats(quakes))
+    zoned = assign_zone_scaled(quakes, centres, stats)
     week_start = F.to_date(F.date_trunc("week", F.lit(as_of).cast("timestamp_ntz")))
-    new = (lookback(zoned, as_of, "7 DAYS", ts).groupBy("zone")
-           .agg(F.count(F.lit(1)).alias("nb_seismes"), F.avg("latitude").alias("latitude"),
-                F.avg("longitude").alias("longitude"))
-           .withColumn("date", week_start))
+    end = F.lit(as_of).cast("timestamp_ntz")
+    in_lookback = F.col(ts).between(end - F.expr("INTERVAL 7 DAYS"), end)
     if history is None:
-        history = zone_counts(zoned.where(F.to_date(F.col(ts)) < week_start), ts)
-    hist = upsert_period(history, new, "date")
+        keys = F.array_compact(F.array(
+            F.when(F.to_date(F.col(ts)) < week_start, week_label(ts, "iso_start")),
+            F.when(in_lookback, week_start)))
+        hist = (zoned.select("zone", "latitude", "longitude", F.explode(keys).alias("date"))
+                .groupBy("date", "zone").agg(F.count(F.lit(1)).alias("nb_seismes"),
+                                             F.avg("latitude").alias("latitude"),
+                                             F.avg("longitude").alias("longitude")))
+    else:
+        new = (zoned.where(in_lookback).groupBy("zone")
+               .agg(F.count(F.lit(1)).alias("nb_seismes"), F.avg("latitude").alias("latitude"),
+                    F.avg("longitude").alias("longitude"))
+               .withColumn("date", week_start))
+        hist = upsert_period(history, new, "date")
     latest = latest_per(hist.select("zone", "date", "nb_seismes", "latitude", "longitude"), "zone", "date")
-    pred = latest.withColumn("pred_seismes", F.col("nb_seismes").cast("int"))
-    tiers = tier_bounds(pred, "pred_seismes")
-    out = attach_row(pred, tiers)
+    pred = materialize(latest.withColumn("pred_seismes", F.col("nb_seismes").cast("int")))  # one row per zone
+    out = attach_row(pred, tier_bounds(pred, "pred_seismes"))
     return out.select("zone", "pred_seismes", risk_tier("pred_seismes", F.col("p33"), F.col("p66")).alias("risk_level"),
                       F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
 

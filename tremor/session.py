@@ -62,3 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small derived table (a rollup) once when several branches of
+    a plan read it, so the events behind it are scanned once.  Same reliable
+    checkpoint as :func:`cut_lineage`."""
+    return cut_lineage(df)
