@@ -123,3 +123,13 @@ def test_forecast_interval_order(spark):
     assert 0 <= r.low <= r.central <= r.high
     doc = json.loads(r.document)
     assert len(doc["history_12w"]) == 12 and doc["history_12w"][0]["date"] < doc["history_12w"][-1]["date"]
+
+
+def test_write_periods_rewrites_only_touched_partitions(spark, tmpdir_path):
+    from tremor.sources.history import write_periods
+    path = f"{tmpdir_path}/hist"
+    write_periods(spark.createDataFrame([("2024-01-01", 1), ("2024-01-08", 2)], "date string, n int"), path)
+    write_periods(spark.createDataFrame([("2024-01-08", 5), ("2024-01-15", 7)], "date string, n int"), path)
+    write_periods(spark.createDataFrame([("2024-01-08", 5), ("2024-01-15", 7)], "date string, n int"), path)
+    got = sorted((str(r.date), r.n) for r in spark.read.parquet(path).collect())
+    assert got == [("2024-01-01", 1), ("2024-01-08", 5), ("2024-01-15", 7)]

@@ -22,13 +22,7 @@ def upsert_period(history: DataFrame, new: DataFrame, key: str = "date") -> Data
 def write_periods(df: DataFrame, path: str, key: str = "date") -> None:
     """S10 on a file table: rewrite only the partitions of the periods in
     ``df`` (dynamic partition overwrite), leaving other periods untouched."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(key).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def log_run(spark: SparkSession, path: str, step: str, status: str, message: str = "",

@@ -37,10 +37,15 @@ def stream_dedup(df: DataFrame, key: str = "id", ts: str = "time_utc", delay: st
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_weekly(df: DataFrame, ts: str = "time_utc", delay: str = "1 day") -> DataFrame:
+def stream_weekly(df: DataFrame, ts: str = "time_utc", delay: str | None = "1 day") -> DataFrame:
     """Monday-aligned tumbling weeks (epoch day 0 is a Thursday, so a
-    4-day start offset aligns windows on Monday) with a watermark."""
-    return (df.withWatermark(ts, delay)
+    4-day start offset aligns windows on Monday) with a watermark.
+
+    ``delay=None`` keeps the watermark already defined upstream (e.g. by
+    :func:`stream_dedup`); a stream may define it only once.
+    """
+    wm = df.withWatermark(ts, delay) if delay else df
+    return (wm
             .groupBy(F.window(ts, "7 days", startTime="4 days").alias("w"))
             .agg(F.count(F.lit(1)).alias("nb_seismes"), F.max("mag").alias("mag_max"))
             .select(F.to_date("w.start").alias("week_start"), "nb_seismes", "mag_max"))
@@ -74,14 +79,10 @@ def stream_upsert(agg: DataFrame, table: str, key: str = "week_start", name: str
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-upsert-{uuid.uuid4().hex}"
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            batch.write.mode("overwrite").partitionBy(key).parquet(table)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        # the writer option (not a session conf): foreachBatch runs on a
+        # cloned session, so only per-write settings are guaranteed to apply
+        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(key).parquet(table))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
