@@ -30,8 +30,9 @@ def weekly_feature_table(spark, sf_dir) -> DataFrame:
     return finalize(log_energy_report(weekly_features(quake_long(spark, sf_dir))))
 
 
-def _feature_sql(log_energy: bool = True, name: str = "feat") -> str:
-    """DuckDB twin of the feature table; energy columns log1p-scaled or raw."""
+def _feature_sql(log_energy: bool = True, name: str = "feat", future_row: bool = False) -> str:
+    """DuckDB twin of the feature table; energy columns log1p-scaled or raw.
+    ``future_row`` appends next week's label with unknown measures first."""
     w = "OVER (ORDER BY date)"
     L, P = (("ln(1 + ", ")"), "log1p_") if log_energy else (("(", ")"), "")
     cols = ["date", "nb_seismes", "tsunami_sum", "nb_zones", "mag_max", "mag_mean", "mag_median",
@@ -54,7 +55,14 @@ def _feature_sql(log_energy: bool = True, name: str = "feat") -> str:
              "mag_max - mag_mean AS mag_spread",
              f"CAST(nb_seismes - lag(nb_seismes, 1) {w} AS DOUBLE) AS delta_seismes",
              "ln(1 + energy_sum) AS log_energy"]
-    return f"{WITH_LONG}, {filled_weekly_sql()}, {name} AS (SELECT {', '.join(cols)} FROM filled)"
+    src = "filled"
+    extra = ""
+    if future_row:
+        src = "filled_next"
+        extra = (", filled_next AS (SELECT date, nb_seismes, tsunami_sum, nb_zones, energy_sum, mag_max, mag_mean,"
+                 " mag_median, depth_mean FROM filled UNION ALL SELECT max(date) + 7, NULL, NULL, NULL, NULL, NULL,"
+                 " NULL, NULL, NULL FROM filled)")
+    return f"{WITH_LONG}, {filled_weekly_sql()}{extra}, {name} AS (SELECT {', '.join(cols)} FROM {src})"
 
 
 def _final_sql(cte_tail: str, types: dict[str, str]) -> str:
@@ -108,3 +116,13 @@ def q_weekly_rollup_iso(spark, sf_dir):
 def q_fill_weeks(spark, sf_dir):
     """J4 + W14: gap-free weekly series, zeros for counts, interpolated magnitudes."""
     return finalize(log_energy_report(weekly_series(quake_long(spark, sf_dir))))
+
+
+@register("W12_next_features_consistent", _final_sql(_feature_sql(future_row=True), _FEATURE_TYPES).replace(
+    " FROM feat", " FROM (SELECT * FROM feat ORDER BY date DESC LIMIT 1)"))
+def q_next_consistent(spark, sf_dir):
+    """Next-week feature row built by appending next week's label (unknown
+    measures) and running the same feature code as for training rows, so
+    lags and rolling windows include the newest week (SURVEY D8)."""
+    from tremor.plans.weekly import next_features_consistent
+    return finalize(log_energy_report(next_features_consistent(weekly_series(quake_long(spark, sf_dir)))))
