@@ -69,3 +69,21 @@ def materialize(df: DataFrame) -> DataFrame:
     a plan read it, so the events behind it are scanned once.  Same reliable
     checkpoint as :func:`cut_lineage`."""
     return cut_lineage(df)
+
+
+def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    Scan splits of ~256 MB, an initial shuffle width of input / 128 MB
+    (at least 2x the cores), which AQE coalesces toward the advisory size
+    for the small post-rollup stages and splits for skewed partitions.
+    """
+    width = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
