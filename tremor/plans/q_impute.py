@@ -125,3 +125,30 @@ def q_compare_classifiers(spark, sf_dir):
 
 
 _ = (FEATURES_NUM, log1p0)
+
+
+_CLASS_SQL = "CASE WHEN mag < 4.0 THEN 0 WHEN mag < 6.0 THEN 1 ELSE 2 END"
+
+
+@register("P19_label_class", f"""{WITH_QUAKE}
+    SELECT id, CAST({_CLASS_SQL} AS BIGINT) AS mag_class_id,
+           CASE {_CLASS_SQL} WHEN 0 THEN 'Faible' WHEN 1 THEN 'Modéré' ELSE 'Strong' END AS mag_class,
+           CASE {_CLASS_SQL} WHEN 0 THEN '🟢' WHEN 1 THEN '🟡' ELSE '🔴' END AS emoji
+    FROM quake WHERE type = 'earthquake' AND mag IS NOT NULL""")
+def q_label_class(spark, sf_dir):
+    """Magnitude class (our cuts, SURVEY D11) mapped to label and marker."""
+    from tremor.functions.bands import class_symbol, label_class
+    df = only_kind(quake(spark, sf_dir)).where(F.col("mag").isNotNull())
+    cls = mag_class()
+    return finalize(df.select("id", cls.alias("mag_class_id"), label_class(cls).alias("mag_class"),
+                              class_symbol(cls).alias("emoji")))
+
+
+@register("A8_class_counts_rule", f"""{WITH_QUAKE}
+    SELECT count(*) AS total, count_if({_CLASS_SQL} = 0) AS count_faible,
+           count_if({_CLASS_SQL} = 1) AS count_modere, count_if({_CLASS_SQL} = 2) AS count_strong
+    FROM quake WHERE type = 'earthquake' AND mag IS NOT NULL""")
+def q_class_counts_rule(spark, sf_dir):
+    """Per-class counts and total (document header) over the magnitude classes."""
+    df = only_kind(quake(spark, sf_dir)).where(F.col("mag").isNotNull())
+    return finalize(class_summary(df.withColumn("mag_class_id", mag_class())))
