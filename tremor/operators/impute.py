@@ -43,11 +43,11 @@ def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
         *[f"__med_{c}" for c in cols])
 
 
-def _topk_per_point(donors: DataFrame, feats: list[str], k: int, id_col: str, salts: int = 256) -> DataFrame:
+def _topk_per_point(donors: DataFrame, keys: list[str], k: int, id_col: str, salts: int = 256) -> DataFrame:
     salted = donors.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)))
-    w1 = Window.partitionBy(*feats, "__salt").orderBy(id_col)
+    w1 = Window.partitionBy(*keys, "__salt").orderBy(id_col)
     stage1 = salted.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= k)
-    w2 = Window.partitionBy(*feats).orderBy(id_col)
+    w2 = Window.partitionBy(*keys).orderBy(id_col)
     return (stage1.withColumn("__rn", F.row_number().over(w2)).where(F.col("__rn") <= k)
             .drop("__rn", "__salt"))
 
@@ -56,11 +56,16 @@ def _cells(feats: list[str], s: float, prefix: str):
     return [F.floor(F.col(f) / F.lit(s)).cast("long").alias(f"{prefix}{i}") for i, f in enumerate(feats)]
 
 
-def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
+def knn_means(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k: int = 5,
               id_col: str = "id", base: float | None = None, factor: float = 4.0,
               max_cell: int = 256) -> DataFrame:
-    """Distinct receiver points with the mean target of their k nearest donors
-    (``__knn``); receivers with no donor at all get NULL.
+    """For every target column (index ``__t``) and every distinct receiver
+    point, the mean target of its k nearest donors (``__knn``); receivers
+    with no donor at all get no row (their value stays NULL).
+
+    All targets run together: rows are exploded into (target, value) pairs
+    once, and every join, window and aggregate is keyed by the target, so
+    each grid level is one job for all targets.
 
     ``base`` (finest cell side) defaults to the side at which a cell holds
     about k donor points on average ((volume / (points/k))^(1/d)), so the
@@ -68,15 +73,17 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
     the fullest cell then holds more than ``max_cell`` distinct donor points
     (clustered data), the side is divided by ``factor`` until it does not.
     """
+    targets = [targets] if isinstance(targets, str) else list(targets)
     feats = list(feats)
     ok = F.lit(True)
     for f in feats:
         ok = ok & F.col(f).isNotNull()
-    src = df.where(ok)
-    donors = _topk_per_point(
-        src.where(F.col(target).isNotNull()).select(id_col, *feats, F.col(target).cast("double").alias("__v")),
-        feats, k, id_col)
-    pending = src.where(F.col(target).isNull()).select(*feats).distinct()
+    pairs_tv = F.explode(F.array(*[F.struct(F.lit(i).alias("__t"), F.col(t).cast("double").alias("__v"))
+                                   for i, t in enumerate(targets)])).alias("__e")
+    src = df.where(ok).select(id_col, *feats, pairs_tv).select(id_col, *feats, "__e.__t", "__e.__v")
+    pkey = ["__t"] + feats
+    donors = _topk_per_point(src.where(F.col("__v").isNotNull()), pkey, k, id_col)
+    pending = src.where(F.col("__v").isNull()).select(*pkey).distinct()
     # Each level reads the previous level's output twice; reliable checkpoints
     # (shared checkpoint folder) keep the plan linear and survive executor loss.
     donors = cut_lineage(donors)
@@ -87,14 +94,15 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
     spans = [float(ext[f] or 0.0) for f in feats]
     span = max(spans)
     if base is None:
-        # cell side at which a cell holds about k donor points on average
+        # cell side at which a cell holds about k donor points of one target
         live = [x for x in spans if x > 0]
         volume = math.prod(live) if live else 1.0
-        base = (volume / max(float(ext["__n"] or 1) / k, 1.0)) ** (1.0 / max(len(live), 1))
+        per_target = float(ext["__n"] or 1) / len(targets)
+        base = (volume / max(per_target / k, 1.0)) ** (1.0 / max(len(live), 1))
         # Clustered data: refine until the fullest cell holds at most
         # `max_cell` donor points, so no receiver meets an unbounded cell.
         while base > span * 1e-9:
-            occ = (donors.groupBy(*_cells(feats, base, "__o")).count()
+            occ = (donors.groupBy("__t", *_cells(feats, base, "__o")).count()
                    .agg(F.max("count")).first()[0] or 0)
             if occ <= max_cell:
                 break
@@ -103,30 +111,31 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
     levels = max(1, int(math.ceil(math.log(extent / base, factor))) + 1)
 
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(feats))]
+    ncell = [f"__n{i}" for i in range(len(feats))]
     results = []
     s = base
     for level in range(levels):
         last = level == levels - 1 or s >= extent
         # receivers: one row per neighbour cell; donors: one row each, keyed by cell
-        rc = pending.select(*feats, *_cells(feats, s, "__c"))
+        rc = pending.select(*pkey, *_cells(feats, s, "__c"))
         off = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("__o")
-        rc = rc.select(*feats, *[F.col(f"__c{i}") for i in range(len(feats))], off)
-        rc = rc.select(*feats, *[(F.col(f"__c{i}") + F.col("__o")[i]).alias(f"__n{i}") for i in range(len(feats))])
-        dc = donors.select(F.col(id_col).alias("__did"), "__v",
+        rc = rc.select(*pkey, *[F.col(f"__c{i}") for i in range(len(feats))], off)
+        rc = rc.select(*pkey, *[(F.col(f"__c{i}") + F.col("__o")[i]).alias(f"__n{i}") for i in range(len(feats))])
+        dc = donors.select("__t", F.col(id_col).alias("__did"), "__v",
                            *[F.col(f).alias(f"__d_{f}") for f in feats], *_cells(feats, s, "__n"))
-        pairs = rc.join(dc, [f"__n{i}" for i in range(len(feats))], "inner")
+        pairs = rc.join(dc, ["__t"] + ncell, "inner")
         d2 = sum(((F.col(f) - F.col(f"__d_{f}")) * (F.col(f) - F.col(f"__d_{f}")) for f in feats), F.lit(0.0))
-        w = Window.partitionBy(*feats).orderBy("__d2", "__did")
-        ranked = (pairs.select(*feats, "__did", "__v", d2.alias("__d2"))
+        w = Window.partitionBy(*pkey).orderBy("__d2", "__did")
+        ranked = (pairs.select(*pkey, "__did", "__v", d2.alias("__d2"))
                   .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
-        agg = cut_lineage(ranked.groupBy(*feats).agg(F.avg("__v").alias("__knn"), F.count(F.lit(1)).alias("__cnt"),
-                                                     F.max("__d2").alias("__dk")))
+        agg = cut_lineage(ranked.groupBy(*pkey).agg(F.avg("__v").alias("__knn"), F.count(F.lit(1)).alias("__cnt"),
+                                                    F.max("__d2").alias("__dk")))
         if last:
-            results.append(agg.select(*feats, "__knn"))
+            results.append(agg.select(*pkey, "__knn"))
             break
         done = agg.where((F.col("__cnt") == k) & (F.col("__dk") <= F.lit(s * s)))
-        results.append(done.select(*feats, "__knn"))
-        pending = cut_lineage(pending.join(done.select(*feats), feats, "left_anti"))
+        results.append(done.select(*pkey, "__knn"))
+        pending = cut_lineage(pending.join(done.select(*pkey), pkey, "left_anti"))
         if pending.isEmpty():  # checkpointed: a cheap look at saved files
             break
         s *= factor
@@ -136,9 +145,23 @@ def knn_means(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"
     return out
 
 
+def impute_knn_many(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k: int = 5,
+                    id_col: str = "id", base: float | None = None) -> DataFrame:
+    """P36 for several target columns at once: each NULL gets the mean of its
+    k nearest donors for that column.  The per-target means are pivoted to
+    one row per point (explicit pivot values, no extra job) and joined back
+    once."""
+    targets = list(targets)
+    feats = list(feats)
+    means = knn_means(df, targets, feats, k, id_col, base)
+    wide = means.groupBy(*feats).pivot("__t", list(range(len(targets)))).agg(F.first("__knn"))
+    wide = wide.select(*feats, *[F.col(f"`{i}`").alias(f"__knn_{i}") for i in range(len(targets))])
+    out = df.join(wide, feats, "left")
+    return out.withColumns({t: F.coalesce(F.col(t), F.col(f"__knn_{i}")) for i, t in enumerate(targets)}).drop(
+        *[f"__knn_{i}" for i in range(len(targets))])
+
+
 def impute_knn(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
                id_col: str = "id", base: float | None = None) -> DataFrame:
     """Fill NULL ``target`` with the mean of its k nearest donors."""
-    means = knn_means(df, target, feats, k, id_col, base)
-    out = df.join(means, list(feats), "left")
-    return out.withColumn(target, F.coalesce(F.col(target), F.col("__knn"))).drop("__knn")
+    return impute_knn_many(df, [target], feats, k, id_col, base)

@@ -18,7 +18,7 @@ from tremor.functions.bands import class_symbol, label_class
 from tremor.functions.scalars import log1p0, pct, time_parts
 from tremor.operators.cleaning import only_kind, range_filter
 from tremor.operators.encode import align, assemble, one_hot
-from tremor.operators.impute import impute_knn, impute_median
+from tremor.operators.impute import impute_knn_many, impute_median
 
 # Numeric features of the classifier, in order.
 FEATURES_NUM = ["latitude", "longitude", "gap", "rms", "tsunami", "depth_km_log", "nst_log",
@@ -38,8 +38,7 @@ def prepare(events: DataFrame, net_vocab: list[str], k: int = 5) -> DataFrame:
     parts = time_parts("time_utc")
     df = df.withColumns({"hour": parts["hour"], "dayofweek": parts["dayofweek"], "month": parts["month"]})
     df = df.withColumns({f"{c}_log": log1p0(c) for c in ("depth_km", "nst", "dmin", "sig")})
-    for target in ("gap", "rms"):
-        df = impute_knn(df, target, ("latitude", "longitude", "hour"), k=k)
+    df = impute_knn_many(df, ["gap", "rms"], ("latitude", "longitude", "hour"), k=k)
     df = one_hot(df, "net", net_vocab)
     names = FEATURES_NUM + [f"net_{v}" for v in net_vocab]
     df = impute_median(df, FEATURES_NUM)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremor.functions.scalars import log1p0, time_parts
 from tremor.operators.cleaning import only_kind, range_filter
 from tremor.operators.encode import align, assemble, one_hot
-from tremor.operators.impute import impute_knn, impute_median
+from tremor.operators.impute import impute_knn_many, impute_median
 from tremor.operators.rollup import class_summary
 from tremor.operators.stats import class_metrics
 from tremor.plans.catalog import register
@@ -51,8 +51,7 @@ def q_knn(spark, sf_dir):
     oracle is brute force over all receiver x donor pairs."""
     df = range_filter(only_kind(quake(spark, sf_dir)))
     df = df.withColumn("hour", time_parts("time_utc")["hour"])
-    for t in ("gap", "rms"):
-        df = impute_knn(df, t, ("latitude", "longitude", "hour"), k=5)
+    df = impute_knn_many(df, ["gap", "rms"], ("latitude", "longitude", "hour"), k=5)
     return finalize(df.select("id", "gap", "rms"))
 
 
