@@ -105,3 +105,40 @@ def test_knn_exact_on_clustered_points(spark):
     want = _brute(rows)
     for i in want:
         assert math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12), i
+
+
+def test_dickey_fuller_matches_ols(spark):
+    y = np.array(_ar2_series(150, seed=5))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "date int, nb_seismes double")
+    from tremor.operators.series import dickey_fuller
+    r = dickey_fuller(df).first()
+    dy, x = np.diff(y), y[:-1]
+    X = np.column_stack([np.ones(len(x)), x])
+    coef, res, *_ = np.linalg.lstsq(X, dy, rcond=None)
+    sigma2 = res[0] / (len(x) - 2)
+    se = math.sqrt(sigma2 * np.linalg.inv(X.T @ X)[1, 1])
+    assert math.isclose(r.beta, coef[1], rel_tol=1e-9) and math.isclose(r.df_stat, coef[1] / se, rel_tol=1e-9)
+
+
+def test_decompose_matches_numpy(spark):
+    rng = np.random.default_rng(2)
+    period, n = 12, 60
+    y = 10 + np.sin(2 * np.pi * np.arange(n) / period) * 3 + rng.normal(0, 0.5, n) + np.arange(n) * 0.1
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "date int, nb_seismes double")
+    from tremor.operators.series import decompose
+    got = {r.date: r for r in decompose(df, period=period).collect()}
+    w = np.r_[0.5, np.ones(period - 1), 0.5] / period
+    trend = np.full(n, np.nan)
+    half = period // 2
+    for t in range(half, n - half):
+        trend[t] = np.dot(w, y[t - half:t + half + 1])
+    detr = y - trend
+    phase_means = np.array([np.nanmean(detr[p::period]) for p in range(period)])
+    seasonal = (phase_means - phase_means.mean())[np.arange(n) % period]
+    for t in range(n):
+        if np.isnan(trend[t]):
+            assert got[t].trend is None
+        else:
+            assert math.isclose(got[t].trend, trend[t], rel_tol=1e-9)
+            assert math.isclose(got[t].resid, y[t] - trend[t] - seasonal[t], rel_tol=1e-7, abs_tol=1e-9)
+        assert math.isclose(got[t].seasonal, seasonal[t], rel_tol=1e-9, abs_tol=1e-12)
