@@ -85,6 +85,8 @@ def test_pacf_and_holt_winters_per_series(spark):
     assert len(p) == 12 and all(r.pacf == 1.0 for r in p if r.lag == 0)
     hw = holt_winters(df, period=52, by=["zone"], horizon=4).collect()
     assert len(hw) == 2 and all(len(r.forecast) == 4 and r.sse > 0 for r in hw)
+    tuned = {r.zone: r.sse for r in holt_winters(df, period=52, by=["zone"], optimize=True).collect()}
+    assert all(tuned[r.zone] <= r.sse + 1e-9 for r in hw)
     _ = F
 
 

@@ -146,38 +146,56 @@ def pacf(df: DataFrame, y: str = "nb_seismes", max_lag: int = 60, order: str = "
     return out.drop("__one") if not by else out
 
 
+def _hw_pass(x: np.ndarray, period: int, alpha: float, beta: float, gamma: float, horizon: int):
+    """One additive Holt-Winters pass: (sse of one-step fits, forecasts)."""
+    n = len(x)
+    level = x[:period].mean()
+    trend = (x[period:2 * period].mean() - x[:period].mean()) / period
+    season = list(x[:period] - level)
+    sse = 0.0
+    for t in range(n):
+        s = season[t % period]
+        sse += (x[t] - (level + trend + s)) ** 2
+        new_level = alpha * (x[t] - s) + (1 - alpha) * (level + trend)
+        trend = beta * (new_level - level) + (1 - beta) * trend
+        season[t % period] = gamma * (x[t] - new_level) + (1 - gamma) * s
+        level = new_level
+    return sse, [level + (h + 1) * trend + season[(n + h) % period] for h in range(horizon)]
+
+
+# The smoothing grid searched when ``optimize=True``.
+HW_GRID = {"alpha": [0.1, 0.2, 0.3, 0.5, 0.7], "beta": [0.01, 0.05, 0.1], "gamma": [0.05, 0.1, 0.2, 0.4]}
+
+
 def holt_winters(df: DataFrame, y: str = "nb_seismes", period: int = 52, order: str = "date", by=None,
-                 alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2, horizon: int = 4) -> DataFrame:
-    """Additive Holt-Winters with fixed smoothing parameters per series
-    (one ``applyInPandas`` call per series; input = that series' weeks)."""
+                 alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2, horizon: int = 4,
+                 optimize: bool = False) -> DataFrame:
+    """Additive Holt-Winters per series (one ``applyInPandas`` call per
+    series; input = that series' weeks).  Fixed smoothing parameters, or with
+    ``optimize=True`` the grid point with the smallest in-sample one-step SSE
+    (a coarse stand-in for the reference's optimiser)."""
     by = list(by or [])
     key = by or ["__one"]
     src = df.select(*by, order, F.col(y).cast("double").alias("__y"))
     if not by:
         src = src.withColumn("__one", F.lit(0))
-    schema = ", ".join([f"{k} {t}" for k, t in src.dtypes if k in key] + ["n int", "sse double", "forecast array<double>"])
+    schema = ", ".join([f"{k} {t}" for k, t in src.dtypes if k in key]
+                       + ["n int", "alpha double", "beta double", "gamma double", "sse double",
+                          "forecast array<double>"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = pdf["__y"].to_numpy(dtype=float)
-        n = len(x)
         row = {k: pdf[k].iloc[0] for k in key}
-        if n < 2 * period:
-            return pd.DataFrame([{**row, "n": n, "sse": np.nan, "forecast": []}])
-        level = x[:period].mean()
-        trend = (x[period:2 * period].mean() - x[:period].mean()) / period
-        season = list(x[:period] - level)
-        sse = 0.0
-        for t in range(n):
-            s = season[t % period]
-            fit = level + trend + s
-            sse += (x[t] - fit) ** 2
-            new_level = alpha * (x[t] - s) + (1 - alpha) * (level + trend)
-            trend = beta * (new_level - level) + (1 - beta) * trend
-            season[t % period] = gamma * (x[t] - new_level) + (1 - gamma) * s
-            level = new_level
-        fc = [level + (h + 1) * trend + season[(n + h) % period] for h in range(horizon)]
-        return pd.DataFrame([{**row, "n": n, "sse": sse, "forecast": fc}])
+        if len(x) < 2 * period:
+            return pd.DataFrame([{**row, "n": len(x), "alpha": alpha, "beta": beta, "gamma": gamma,
+                                  "sse": np.nan, "forecast": []}])
+        grid = ([(a, b, g) for a in HW_GRID["alpha"] for b in HW_GRID["beta"] for g in HW_GRID["gamma"]]
+                if optimize else [(alpha, beta, gamma)])
+        best = min(((*_hw_pass(x, period, a, b, g, horizon), (a, b, g)) for a, b, g in grid),
+                   key=lambda r: r[0])
+        sse, fc, (a, b, g) = best
+        return pd.DataFrame([{**row, "n": len(x), "alpha": a, "beta": b, "gamma": g, "sse": sse, "forecast": fc}])
 
     out = src.groupBy(*key).applyInPandas(run, schema)
     return out.drop("__one") if not by else out

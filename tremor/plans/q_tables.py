@@ -71,3 +71,12 @@ def q_metric_history(spark, sf_dir):
     p = baseline_predictions(spark, sf_dir)
     hist = ST.regression_metrics(p, "y", "yhat", by=[F.make_date(F.year("date"), F.lit(12), F.lit(31)).alias("date"), "model"])
     return finalize(latest_metrics(hist.select("date", "model", "mae", "rmse", "r2")))
+
+
+@register("S12_output_freshness")
+def q_freshness(spark, sf_dir):
+    """Freshness of every input table file (exists, updated_at, size) from the
+    folder listing; rows-only check (the SQL side has no file listing)."""
+    from tremor.sources.history import output_freshness
+    from tremor.sources.tables import TABLES
+    return finalize(output_freshness(spark, sf_dir, list(TABLES)))

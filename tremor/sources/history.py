@@ -54,3 +54,18 @@ def latest_metrics(hist: DataFrame, date: str = "date", model: str = "model") ->
         F.min("mae").alias("best_mae"),
         F.min_by(date, F.struct("mae", date)).alias("best_date"),
         F.count(F.lit(1)).alias("runs"))
+
+
+def output_freshness(spark: SparkSession, folder: str, outputs: list[str], suffix: str = ".parquet") -> DataFrame:
+    """Freshness per expected output — exists, last modification, size.
+
+    The folder listing comes from the ``binaryFile`` source with only path,
+    time and length selected, so file contents are never read.
+    """
+    listing = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+               .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+                       F.col("modificationTime").alias("updated_at"), F.col("length").alias("size_bytes")))
+    expected = spark.createDataFrame([(o, f"{o}{suffix}") for o in outputs], "output string, file string")
+    return (expected.join(listing, "file", "left")
+            .select("output", F.col("updated_at").isNotNull().alias("exists"), "updated_at",
+                    F.round(F.col("size_bytes") / 1024.0, 1).alias("size_kb")))
