@@ -213,8 +213,9 @@ def q_top(spark, sf_dir):
 
 @register("O4_sample_n")
 def q_sample(spark, sf_dir):
-    """Seeded sample of exactly 2,000 rows without replacement (rows check only)."""
-    return finalize(C.sample_n(quake(spark, sf_dir).select("id", "latitude", "longitude"), 2000, seed=42))
+    """Seeded sample of exactly 20,000 rows (or all rows when fewer) without
+    replacement, seed 42 — the clustering sample; rows check only."""
+    return finalize(C.sample_n(quake(spark, sf_dir).select("id", "latitude", "longitude"), 20000, seed=42))
 
 
 @register("O5_union", f"""{WITH_QUAKE} SELECT id, type FROM quake""")
