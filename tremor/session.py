@@ -42,7 +42,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting, else a local scratch dir."""
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
+
+    A scratch folder is created only for local masters (tests, single-node
+    runs); on a cluster an unset folder is an error, never a machine-local
+    path that other executors could not read.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -51,7 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    # Only reached when the session names no shared folder (local runs, tests).
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for this job")
     local = tempfile.mkdtemp(prefix="tremor-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
