@@ -144,3 +144,15 @@ def test_decompose_matches_numpy(spark):
             assert math.isclose(got[t].trend, trend[t], rel_tol=1e-9)
             assert math.isclose(got[t].resid, y[t] - trend[t] - seasonal[t], rel_tol=1e-7, abs_tol=1e-9)
         assert math.isclose(got[t].seasonal, seasonal[t], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_pacf_matches_yule_walker(spark):
+    y = np.array(_ar2_series(300, seed=9))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "date int, nb_seismes double")
+    got = {r.lag: r.pacf for r in pacf(df, max_lag=6).collect()}
+    d = y - y.mean()
+    r = np.array([np.sum(d[k:] * d[:len(d) - k]) / np.sum(d * d) for k in range(7)])
+    for k in range(1, 7):
+        toeplitz = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
+        phi = np.linalg.solve(toeplitz, r[1:k + 1])
+        assert math.isclose(got[k], phi[-1], rel_tol=1e-7, abs_tol=1e-10)

@@ -72,8 +72,8 @@ def q_ar2(spark, sf_dir):
 
 @register("A21_pacf_zone")
 def q_pacf(spark, sf_dir):
-    """Partial autocorrelation (lags 0..20) of every zone's weekly series."""
-    return finalize(SR.pacf(_zone_grid(spark, sf_dir), "nb_seismes", 20, by=["zone"]))
+    """Partial autocorrelation (lags 0..60) of every zone's weekly series."""
+    return finalize(SR.pacf(_zone_grid(spark, sf_dir), "nb_seismes", 60, by=["zone"]))
 
 
 @register("M17_holt_winters_zone")
