@@ -133,3 +133,16 @@ def test_write_periods_rewrites_only_touched_partitions(spark, tmpdir_path):
     write_periods(spark.createDataFrame([("2024-01-08", 5), ("2024-01-15", 7)], "date string, n int"), path)
     got = sorted((str(r.date), r.n) for r in spark.read.parquet(path).collect())
     assert got == [("2024-01-01", 1), ("2024-01-08", 5), ("2024-01-15", 7)]
+
+
+def test_forecast_job_and_runner(spark, tmpdir_path):
+    from tremor.plans.jobs import run_all
+    from tremor.sources.views import quake_long
+    events = quake_long(spark, SF_SMALL)
+    fr = {r.step: r for r in run_all(spark, events, "2001-08-01 12:00:00", tmpdir_path).collect()}
+    assert fr["forecast"].status == "ok" and fr["zones"].status == "ok"
+    doc = spark.read.json(f"{tmpdir_path}/forecast").first()
+    assert doc.prediction.low <= doc.prediction.central <= doc.prediction.high
+    assert doc.current_week.start == "2001-08-05"  # Sunday label of the as_of week (serving convention)
+    hist = spark.read.parquet(f"{tmpdir_path}/weekly_history")
+    assert hist.where("date = '2001-08-05'").count() == 1

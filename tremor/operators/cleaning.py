@@ -42,7 +42,12 @@ def rename(df: DataFrame, mapping: dict[str, str], drop=()) -> DataFrame:
 
 
 def only_kind(df: DataFrame, kind: str = "earthquake", col: str = "type") -> DataFrame:
-    """Equality filter on the event kind (pushed to the scan)."""
+    """Equality filter on the event kind (pushed to the scan).
+
+    A catalogue without a kind column holds a single kind and passes as is.
+    """
+    if col not in df.columns:
+        return df
     return df.where(F.col(col) == F.lit(kind))
 
 

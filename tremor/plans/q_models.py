@@ -137,3 +137,14 @@ def q_zone_forecast(spark, sf_dir):
     pred = ml.predict(gbt, nxt, ZONE_FEATURES).select("zone", F.date_add("date", 7).alias("next_week"),
                                                       nonneg_int("yhat").alias("pred_seismes"))
     return finalize(attach_row(pred, mae).orderBy(F.desc("pred_seismes"), "zone"))
+
+
+@register("L1_forecast_job")
+def q_forecast_job(spark, sf_dir):
+    """The forecast job end to end on the long catalogue, as of its last
+    week: snapshot, history upsert, features, next-week row, 4-week-mean
+    prediction with the fixed interval, document (JSON text)."""
+    from tremor.plans.jobs import forecast_job
+    doc = forecast_job(quake_long(spark, sf_dir), "2001-08-01 12:00:00")
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("document"), "prediction.central",
+                      "prediction.low", "prediction.high")
