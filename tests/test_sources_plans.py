@@ -146,3 +146,20 @@ def test_forecast_job_and_runner(spark, tmpdir_path):
     assert doc.current_week.start == "2001-08-05"  # Sunday label of the as_of week (serving convention)
     hist = spark.read.parquet(f"{tmpdir_path}/weekly_history")
     assert hist.where("date = '2001-08-05'").count() == 1
+
+
+def test_classification_and_monitoring_jobs(spark, tmpdir_path):
+    from tremor.plans.jobs import classification_job, forecast_job, monitoring_job
+    from tremor.plans.weekly import weekly_series
+    from tremor.sources.views import quake, quake_long
+    header, records = classification_job(quake(spark, SF_SMALL), "2024-01-29 12:00:00", tmpdir_path,
+                                         model_path=f"{tmpdir_path}/rf")
+    h = header.first()
+    assert h.total == h.count_faible + h.count_modere + h.count_strong == records.count()
+    again, _ = classification_job(quake(spark, SF_SMALL), "2024-01-29 12:00:00", None, model_path=f"{tmpdir_path}/rf")
+    assert again.first().total == h.total  # second run loads the saved model
+    weekly = weekly_series(quake_long(spark, SF_SMALL))
+    fc = forecast_job(quake_long(spark, SF_SMALL), "2001-08-01 12:00:00").select(
+        "next_week_start", "prediction.central", "prediction.low", "prediction.high")
+    doc = monitoring_job(weekly, fc, tmpdir_path).first()
+    assert len(doc.last_8_weeks) == 8 and doc.anomaly in {"anomalie", "inhabituel", "normal"}

@@ -1,6 +1,7 @@
-"""End-to-end jobs: the forecast job (L1) and a sequential runner that logs
-each job's status (S12) — the batch counterpart of the reference's periodic
-refresh, without its HTTP server or scheduler.
+"""End-to-end jobs: forecast (L1), classification (L2), weekly monitoring
+(L4) — the risk-zone job (L3) lives in ``plans/zones.py`` — and a
+sequential runner that logs each job's status (S12): the batch counterpart
+of the reference's periodic refresh, without its HTTP server or scheduler.
 
 Each job is a composition of the library's operators; outputs go to Parquet
 / JSON under ``out_dir`` (a shared folder on a cluster).
@@ -72,6 +73,57 @@ def forecast_job(events: DataFrame, as_of: str, out_dir: str | None = None,
     return doc
 
 
+def classification_job(events: DataFrame, as_of: str, out_dir: str | None = None, model_path: str | None = None,
+                       net_vocab: list[str] | None = None, lookback: str = "24 HOURS",
+                       ts: str = "time_utc") -> tuple[DataFrame, DataFrame]:
+    """L2: events of the look-back window -> prepared features -> classifier
+    (loaded from ``model_path`` when it exists, else trained on the whole
+    catalogue and saved there) -> scored records + one-row header (A8).
+
+    Records are written as JSON lines sorted by time (distributed), the
+    header as one JSON row — never one row holding every record.
+    """
+    import os
+
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    from tremor.operators.cleaning import lookback as look_back
+    from tremor.operators.rollup import class_summary
+    from tremor.plans.classification import prepare, score, train_classifier
+    from tremor.sources.documents import write_records
+
+    vocab = net_vocab or ["click", "error", "purchase", "search", "view"]
+    rows, names = prepare(events, vocab)
+    model = None
+    if model_path and os.path.exists(model_path):
+        model = RandomForestClassificationModel.load(model_path)
+    if model is None:
+        model = train_classifier(rows, names, num_trees=20, max_depth=6)
+        if model_path:
+            model.write().overwrite().save(model_path)
+    recent = look_back(rows, as_of, lookback, ts)
+    records = score(model, recent, names)
+    header = class_summary(records).select(F.lit(as_of).alias("period_end"), "*")
+    if out_dir:
+        write_records(header, records, f"{out_dir}/classification", [F.desc(ts), F.asc("id")])
+    return header, records
+
+
+def monitoring_job(weekly: DataFrame, forecast_row: DataFrame, out_dir: str | None = None) -> DataFrame:
+    """L4: week-on-week table (W13), anomaly (A19/P23) and forecast comparison
+    (J9) as one document; every part is bounded (8 weeks, one row each)."""
+    from tremor.operators.joins import compare_forecast
+    from tremor.plans.monitoring import anomaly, week_on_week
+
+    wow = week_on_week(weekly, 8).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "nb_seismes", "diff",
+                                         "pct", "trend", "is_current")
+    table = wow.agg(ordered_records(wow, wow.columns, [("date", False)]).alias("last_8_weeks"))
+    doc = attach_row(attach_row(anomaly(weekly, 8), compare_forecast(weekly, forecast_row)), table)
+    if out_dir:
+        write_document(doc, f"{out_dir}/weekly_report")
+    return doc
+
+
 def run_all(spark: SparkSession, events: DataFrame, as_of: str, out_dir: str, jobs: dict | None = None) -> DataFrame:
     """Run the jobs in sequence, logging ok/failed per step to
     ``out_dir/run_log`` (S12); returns the freshness table.  A failing job
