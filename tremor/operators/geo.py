@@ -1,9 +1,9 @@
 """Geographic zones: scaler (M1), k-means (M2), nearest-centre assignment.
 
-Assignment never joins events with centres: the k centres travel as one
-array literal inside the expression and every event picks its nearest
-centre with ``aggregate`` over that array — k distance evaluations per row,
-exactly what ``KMeansModel.predict`` does, with no pair rows emitted.
+Assignment never joins events with centres: the k centres are literals
+inside one per-row expression (k distances, ``least``, a ``CASE`` chain) —
+k distance evaluations per row, exactly what ``KMeansModel.predict`` does,
+with no pair rows emitted.
 """
 
 from __future__ import annotations
@@ -40,21 +40,25 @@ def nearest_centre(x: Column, y: Column, centres: list[tuple[int, float, float]]
     ``centres`` is a small fixed list (k entries, the model parameters).
     With per-axis scales ``sx``/``sy`` the distance is measured on
     standardised coordinates: ((x-cx)/sx)^2 + ((y-cy)/sy)^2 — the means cancel.
+    The k distances are unrolled into plain arithmetic, ``least`` and a
+    ``CASE`` chain, so the whole assignment compiles into the scan's
+    whole-stage-codegen function (no per-row lambda).
     """
-    arr = F.array(*[F.struct(F.lit(int(z)).alias("zone"), F.lit(float(a)).alias("cx"),
-                             F.lit(float(b)).alias("cy")) for z, a, b in centres])
-    init = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("zone"))
     sx = sx if sx is not None else F.lit(1.0)
     sy = sy if sy is not None else F.lit(1.0)
-
-    def step(acc, c):
-        dx = (x - c["cx"]) / sx
-        dy = (y - c["cy"]) / sy
-        d = dx * dx + dy * dy
-        better = (d < acc["d"]) | ((d == acc["d"]) & (c["zone"] < acc["zone"]))
-        return F.when(better, F.struct(d.alias("d"), c["zone"].alias("zone"))).otherwise(acc)
-
-    return F.aggregate(arr, init, step)["zone"]
+    ordered = sorted(centres, key=lambda c: c[0])
+    dists = []
+    for _, cx, cy in ordered:
+        dx = (x - F.lit(float(cx))) / sx
+        dy = (y - F.lit(float(cy))) / sy
+        dists.append(dx * dx + dy * dy)
+    if len(dists) == 1:
+        return F.lit(int(ordered[0][0]))
+    best = F.least(*dists)
+    expr = None
+    for (zone, _, _), d in zip(ordered, dists):  # first match = smallest id among ties
+        expr = F.when(d == best, F.lit(int(zone))) if expr is None else expr.when(d == best, F.lit(int(zone)))
+    return expr
 
 
 def assign_zone_scaled(df: DataFrame, centres: list[tuple[int, float, float]],
