@@ -12,8 +12,8 @@ from tremor.plans.catalog import register
 from tremor.plans.q_weekly import _feature_sql
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, WITH_QUAKE, filled_weekly_sql, wk
-from tremor.plans.weekly import (COUNT_LAGS, ENERGY_LAGS, ENERGY_ROLL, ROLL_MAX, ROLL_MEAN,
-                                 ROLL_STD, ZONE_LAGS, weekly_features, weekly_series)
+from tremor.plans.weekly import (COUNT_LAGS, ENERGY_LAGS, ENERGY_ROLL, ROLL_MAX, ROLL_MEAN, ZONE_LAGS,
+                                 weekly_features, weekly_series)
 from tremor.session import materialize
 from tremor.sources.views import quake, quake_long
 
@@ -28,7 +28,6 @@ CANDIDATE_FEATURES = (
     + [f"energy_rolling_{n}" for n in ENERGY_ROLL]
     + ["mag_max", "mag_spread", "depth_mean", "energy_per_seisme", "log_energy", "nb_zones",
        "week_sin", "week_cos", "month_sin", "month_cos", "quarter"])
-_ = (ROLL_STD,)
 
 FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
 

@@ -7,14 +7,14 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.sql import functions as F
 
-from tremor.functions.scalars import log1p0, time_parts
+from tremor.functions.scalars import time_parts
 from tremor.operators.cleaning import only_kind, range_filter
 from tremor.operators.encode import align, assemble, one_hot
 from tremor.operators.impute import impute_knn_many, impute_median
 from tremor.operators.rollup import class_summary
 from tremor.operators.stats import class_metrics
 from tremor.plans.catalog import register
-from tremor.plans.classification import FEATURES_NUM, mag_class, prepare, score, train_classifier
+from tremor.plans.classification import mag_class, prepare, score, train_classifier
 from tremor.plans.report import finalize, r6
 from tremor.plans.sqlparts import WITH_QUAKE
 from tremor.sources.views import quake
@@ -123,8 +123,6 @@ def q_compare_classifiers(spark, sf_dir):
     return finalize(out.orderBy(F.desc("f1_macro"), "model"))
 
 
-_ = (FEATURES_NUM, log1p0)
-
 
 _CLASS_SQL = "CASE WHEN mag < 4.0 THEN 0 WHEN mag < 6.0 THEN 1 ELSE 2 END"
 

@@ -13,7 +13,7 @@ from tremor.plans.catalog import register
 from tremor.plans.q_weekly import _feature_sql
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql, roll_sql, wk
-from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
+from tremor.plans.weekly import next_features, weekly_features, weekly_series
 from tremor.session import materialize
 from tremor.sources.views import quake_long
 
@@ -93,8 +93,6 @@ def q_next(spark, sf_dir):
     return finalize(nf)
 
 
-_ = MODEL_FEATURES
-
 
 @register("W15_holdout_last52", f"""{FILLED}
     SELECT {dstr('date')} AS date, nb_seismes,
