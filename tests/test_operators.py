@@ -133,3 +133,12 @@ def test_histogram_max_in_last_bin(spark):
 def test_zscore_zero_sd(spark):
     df = spark.createDataFrame([(i, 5) for i in range(10)], "date int, nb_seismes int")
     assert ST.zscore_last(df, 8).first().z_score == 0.0
+
+
+def test_sample_n_equals_global_hash_order(spark):
+    from tremor.operators.cleaning import sample_n
+    df = spark.range(0, 5000).withColumnRenamed("id", "id")
+    got = sorted(r.id for r in sample_n(df, 300, seed=7).collect())
+    want = sorted(r.id for r in df.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(300).collect())
+    assert got == want and len(got) == 300
+    assert sample_n(df, 9000).count() == 5000

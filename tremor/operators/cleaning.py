@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremor.session import materialize
+
 # The 27-column event schema and its order (FIXTURES.md §1.2).
 EVENT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("time_utc", T.TimestampType()),
@@ -167,10 +169,26 @@ def with_empty_default(df: DataFrame, aggs: dict[str, Column], defaults: dict[st
                        for n in aggs])
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """Deterministic sample of exactly ``min(n, rows)`` rows without replacement.
+def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id", slack: float = 0.05) -> DataFrame:
+    """Deterministic sample of exactly ``min(n, rows)`` rows without
+    replacement: the ``n`` rows with the smallest seeded hash of the key.
 
-    Rows are ranked by a seeded hash of the key; ``orderBy().limit()`` plans
-    TakeOrderedAndProject, so each task keeps only its best ``n``.
+    A plain ``orderBy().limit(n)`` would gather ``n`` rows from every input
+    partition into one task.  Instead the hash (uniform over the 64-bit
+    range) is first cut at the quantile n/rows plus a margin — a filter,
+    computed in every task — and only the ~n candidates are sorted.  The
+    result is exact: every row outside the cut hashes above every
+    candidate; if the cut ever keeps fewer than n rows, it is widened.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    total = df.count()
+    if total <= n:
+        return df
+    # position of the hash in [0, 1): (h + 2^63) / 2^64
+    pos = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    frac = min(1.0, n / total * (1 + slack) + 10.0 / total)
+    while True:
+        cand = materialize(df.where(pos < F.lit(frac)))
+        if frac >= 1.0 or cand.count() >= n:
+            return cand.orderBy(h, F.col(key)).limit(n)
+        frac = min(1.0, frac * 1.5)
