@@ -156,3 +156,20 @@ def test_pacf_matches_yule_walker(spark):
         toeplitz = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
         phi = np.linalg.solve(toeplitz, r[1:k + 1])
         assert math.isclose(got[k], phi[-1], rel_tol=1e-7, abs_tol=1e-10)
+
+
+def test_refined_exact_quantile_matches_percentile(spark):
+    from tremor.operators.quantiles import exact_quantile
+    rng = np.random.default_rng(1)
+    rows = []
+    for g, n in enumerate([1, 2, 999, 4000]):
+        rows += [(g, float(v)) for v in rng.normal(0, 1, n)]
+    rows += [(7, float(v)) for v in np.round(rng.normal(0, 1, 3000), 1)]  # many ties
+    rows += [(9, None), (9, 3.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for p in (0.5, 0.33, 0.9):
+        got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], buckets=8, small=20, out="q").collect()}
+        want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12), (p, k)

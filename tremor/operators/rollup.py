@@ -14,10 +14,11 @@ from tremor.functions.scalars import energy
 from tremor.functions.weeks import week_label
 
 
-def _median(col: str, exact: bool):
+def _median(col: str, exact):
     # Exact median buffers the distinct values of a group; the sketch keeps
-    # memory bounded for very large groups.
-    return F.median(col) if exact else F.percentile_approx(col, 0.5, 10000)
+    # memory bounded for very large groups; "refined" is exact
+    # with bounded memory and is computed outside this aggregate.
+    return F.median(col) if exact is True or exact == "exact" else F.percentile_approx(col, 0.5, 10000)
 
 
 def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
@@ -26,22 +27,36 @@ def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
     """A1 + A3: one row per week (and ``by`` keys) with count, magnitude stats,
     mean depth, tsunami sum, distinct places and (optionally) energy sum.
 
+    ``exact_median``: True/"exact" (Spark's exact percentile: memory grows
+    with a week's distinct magnitudes), False/"approx" (bounded sketch), or
+    "refined" (exact with bounded memory, :mod:`tremor.operators.quantiles`,
+    a few extra passes).
+
     Energy is fused into the same aggregate instead of a second pass + join
     (the notebook's J1); NULL magnitudes are skipped (SURVEY D7).
     """
     keys = [week_label(ts, mode).alias("date")] + [F.col(k) for k in (by or [])]
+    refined = exact_median == "refined"
     aggs = [
         F.count("id").alias("nb_seismes"),
         F.max("mag").alias("mag_max"),
         F.avg("mag").alias("mag_mean"),
-        _median("mag", exact_median).alias("mag_median"),
+        *([] if refined else [_median("mag", exact_median).alias("mag_median")]),
         F.avg("depth_km").alias("depth_mean"),
         F.sum(F.col("tsunami").cast("bigint")).alias("tsunami_sum"),
         F.countDistinct("place").alias("nb_zones"),
     ]
     if with_energy:
         aggs.append(F.sum(energy("mag")).alias("energy_sum"))
-    return df.where(F.col(ts).isNotNull()).groupBy(*keys).agg(*aggs)
+    src = df.where(F.col(ts).isNotNull())
+    out = src.groupBy(*keys).agg(*aggs)
+    if not refined:
+        return out
+    from tremor.operators.quantiles import exact_quantile
+    group = ["date"] + list(by or [])
+    med = exact_quantile(src.withColumn("date", week_label(ts, mode)), "mag", 0.5, group, out="mag_median")
+    cols = out.columns
+    return out.join(med, group, "left").select(*cols[:3 + len(by or [])], "mag_median", *cols[3 + len(by or []):])
 
 
 def weekly_energy(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close") -> DataFrame:

@@ -126,3 +126,12 @@ def q_next_consistent(spark, sf_dir):
     lags and rolling windows include the newest week (SURVEY D8)."""
     from tremor.plans.weekly import next_features_consistent
     return finalize(log_energy_report(next_features_consistent(weekly_series(quake_long(spark, sf_dir)))))
+
+
+@register("A1_weekly_rollup_refined_median", f"""{WITH_LONG}, w AS ({weekly_rollup_sql()})
+    SELECT {dstr('date')} AS date, nb_seismes, {r6('mag_max')} AS mag_max, {r6('mag_mean')} AS mag_mean,
+           {r6('mag_median')} AS mag_median, {r6('depth_mean')} AS depth_mean, tsunami_sum, nb_zones,
+           {r6('ln(1 + energy_sum)')} AS log1p_energy_sum FROM w""")
+def q_weekly_rollup_refined(spark, sf_dir):
+    """A1 with the bounded-memory exact median (histogram refinement)."""
+    return finalize(log_energy_report(weekly_rollup(quake_long(spark, sf_dir), exact_median="refined")))
