@@ -173,3 +173,13 @@ def test_refined_exact_quantile_matches_percentile(spark):
         assert got.keys() == want.keys()
         for k in want:
             assert math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12), (p, k)
+
+
+def test_impute_median_refined_equals_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(v) if rng.random() > 0.2 else None, float(w) if rng.random() > 0.3 else None)
+            for v, w in zip(rng.normal(0, 1, 2000), rng.normal(5, 2, 2000))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    x = sorted(tuple(r) for r in impute_median(df, ["a", "b"]).collect())
+    y = sorted(tuple(r) for r in impute_median(df, ["a", "b"], exact="refined").collect())
+    assert x == y

@@ -32,12 +32,29 @@ from tremor.operators.common import attach_row
 from tremor.session import cut_lineage
 
 
-def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
+def impute_median(df: DataFrame, cols, exact=True) -> DataFrame:
     """NULL -> the column's median over the batch (one global aggregate,
-    attached to every row as a scalar subquery)."""
+    attached to every row as a scalar subquery).
+
+    ``exact``: True (Spark's exact percentile: memory grows with the
+    column's distinct values), False (sketch) or "refined" (exact with
+    bounded memory, :func:`tremor.operators.quantiles.exact_quantile`).
+    """
     cols = list(cols)
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    stats = df.agg(*[med(c).alias(f"__med_{c}") for c in cols])
+    if exact == "refined":
+        from tremor.operators.quantiles import exact_quantile
+        # one aggregate (one row) tells which columns have anything to fill
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+        cols = [c for c in cols if nulls[c]]
+        if not cols:
+            return df
+        stats = None
+        for c in cols:
+            q = exact_quantile(df, c, 0.5, [], out=f"__med_{c}")
+            stats = q if stats is None else attach_row(stats, q)
+    else:
+        med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
+        stats = df.agg(*[med(c).alias(f"__med_{c}") for c in cols])
     out = attach_row(df, stats)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
         *[f"__med_{c}" for c in cols])

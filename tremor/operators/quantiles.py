@@ -29,9 +29,16 @@ from tremor.session import materialize
 
 def exact_quantile(df: DataFrame, col: str, p: float, by, buckets: int = 1024, small: int = 50000,
                    max_rounds: int = 12, out: str | None = None) -> DataFrame:
-    """One row per group: the exact ``p`` quantile of ``col`` (NULLs ignored)."""
+    """One row per group: the exact ``p`` quantile of ``col`` (NULLs ignored).
+
+    ``by=[]`` gives one global row (a constant key keeps every join an
+    equi-join).
+    """
     by = list(by)
     out = out or f"q_{col}"
+    if not by:
+        res = exact_quantile(df.withColumn("__all", F.lit(0)), col, p, ["__all"], buckets, small, max_rounds, out)
+        return res.drop("__all")
     vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
     stats = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
                                   F.max("__v").alias("__hi"))

@@ -41,7 +41,7 @@ def prepare(events: DataFrame, net_vocab: list[str], k: int = 5) -> DataFrame:
     df = impute_knn_many(df, ["gap", "rms"], ("latitude", "longitude", "hour"), k=k)
     df = one_hot(df, "net", net_vocab)
     names = FEATURES_NUM + [f"net_{v}" for v in net_vocab]
-    df = impute_median(df, FEATURES_NUM)
+    df = impute_median(df, FEATURES_NUM, exact="refined")  # bounded memory, exact
     return align(df, names, keep=["id", "time_utc", "place", "mag", "depth_km"]), names
 
 
