@@ -163,3 +163,17 @@ def test_classification_and_monitoring_jobs(spark, tmpdir_path):
         "next_week_start", "prediction.central", "prediction.low", "prediction.high")
     doc = monitoring_job(weekly, fc, tmpdir_path).first()
     assert len(doc.last_8_weeks) == 8 and doc.anomaly in {"anomalie", "inhabituel", "normal"}
+
+
+def test_consistent_rows_shift_newest_week_into_prediction_row(spark):
+    from pyspark.sql import functions as F
+    from tremor.plans.weekly import consistent_training_rows, weekly_series
+    from tremor.sources.views import quake_long
+    weekly = weekly_series(quake_long(spark, SF_SMALL))
+    rows = consistent_training_rows(weekly).orderBy(F.desc("date")).limit(2).collect()
+    future, newest = rows[0], rows[1]
+    assert future.nb_seismes is None and future.lag_1 == newest.nb_seismes
+    assert future.prev_nb_zones == newest.nb_zones and future.prev_mag_max == newest.mag_max
+    import __spark_entry__ as entry
+    r = entry.queries()["M13_forecast_next_consistent"](spark, SF_SMALL).first()
+    assert 0 <= r.low <= r.central <= r.high

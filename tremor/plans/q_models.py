@@ -148,3 +148,22 @@ def q_forecast_job(spark, sf_dir):
     doc = forecast_job(quake_long(spark, sf_dir), "2001-08-01 12:00:00")
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("document"), "prediction.central",
                       "prediction.low", "prediction.high")
+
+
+@register("M13_forecast_next_consistent")
+def q_forecast_consistent(spark, sf_dir):
+    """Next-week forecast without train/serve skew: same-week
+    measures enter as last week's values, and the prediction row is the
+    appended future week run through the same feature code; boosted trees
+    with early stopping on a validation slice, conformal 10-90 % band."""
+    from tremor.plans.weekly import CONSISTENT_FEATURES, consistent_training_rows
+    rows = materialize(consistent_training_rows(weekly_series(quake_long(spark, sf_dir))))
+    future = rows.orderBy(F.desc("date")).limit(1)
+    train = W.holdout_last(rows.where(F.col("nb_seismes").isNotNull()).dropna(subset=CONSISTENT_FEATURES), 40)
+    train = train.withColumnRenamed("is_test", "is_val")
+    gbt = ml.train_gbt(train, CONSISTENT_FEATURES, max_iter=100, validation_col="is_val")
+    val = ml.predict(gbt, train.where("is_val"), CONSISTENT_FEATURES).select(
+        F.col("nb_seismes").cast("double").alias("y"), "yhat")
+    band = ml.apply_interval(ml.predict(gbt, future, CONSISTENT_FEATURES), ml.conformal_bounds(val))
+    return finalize(band.select(F.col("date").alias("next_week_start"), nonneg_int("yhat").alias("central"),
+                                nonneg_int("lo").alias("low"), nonneg_int("hi").alias("high")))

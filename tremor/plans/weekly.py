@@ -115,3 +115,24 @@ def next_features_consistent(weekly: DataFrame, date: str = "date") -> DataFrame
     future = last.select(date, *[F.lit(None).cast(t).alias(c) for c, t in weekly.dtypes if c != date])
     feats = add_weekly_features(weekly.unionByName(future))
     return feats.orderBy(F.desc(date)).limit(1)
+
+
+# Same-week measures the reference feeds to its model; in a consistent
+# setup each is replaced by last week's value.
+SAME_WEEK = ["nb_zones", "energy_per_seisme", "log_energy", "mag_max", "mag_spread", "depth_mean"]
+CONSISTENT_FEATURES = [f"prev_{c}" if c in SAME_WEEK else c for c in MODEL_FEATURES]
+
+
+def add_prev_measures(feats: DataFrame, date: str = "date", by=None) -> DataFrame:
+    """``prev_<m>`` = last week's value of each same-week measure (W1 form)."""
+    w = _w(by, date)
+    return feats.withColumns({f"prev_{c}": F.lag(F.col(c).cast("double"), 1).over(w) for c in SAME_WEEK})
+
+
+def consistent_training_rows(weekly: DataFrame, date: str = "date") -> DataFrame:
+    """Training table and next-week row from the SAME code: the future label
+    is appended with unknown measures before features are computed, so the
+    last row is exactly what the model sees at prediction time."""
+    last = weekly.agg(F.max(date).alias(date)).select(F.date_add(F.col(date), 7).alias(date))
+    future = last.select(date, *[F.lit(None).cast(t).alias(c) for c, t in weekly.dtypes if c != date])
+    return add_prev_measures(add_weekly_features(weekly.unionByName(future)), date)
