@@ -177,3 +177,21 @@ def test_consistent_rows_shift_newest_week_into_prediction_row(spark):
     import __spark_entry__ as entry
     r = entry.queries()["M13_forecast_next_consistent"](spark, SF_SMALL).first()
     assert 0 <= r.low <= r.central <= r.high
+
+
+def test_geojson_documents_are_bounded_and_round_trip(spark, tmpdir_path):
+    from tremor.sources.views import quake
+    ev = quake(spark, SF_SMALL)
+    docs = FS.to_geojson_lines(ev, batch=100)
+    sizes = [len(json.loads(r.value)["features"]) for r in docs.collect()]
+    assert max(sizes) <= 100 and sum(sizes) == ev.count()
+    docs.write.mode("overwrite").text(f"{tmpdir_path}/gj")
+    back = FS.read_geojson(spark, f"{tmpdir_path}/gj", multiline=False)
+    assert back.count() == ev.count() and back.select("id").distinct().count() == ev.count()
+
+
+def test_recommended_conf():
+    from tremor.session import recommended_conf
+    c = recommended_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (128 << 20)
+    assert int(recommended_conf(1 << 20, 16)["spark.sql.shuffle.partitions"]) == 32
