@@ -195,3 +195,13 @@ def test_recommended_conf():
     c = recommended_conf(100 * (1 << 40), 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (128 << 20)
     assert int(recommended_conf(1 << 20, 16)["spark.sql.shuffle.partitions"]) == 32
+
+
+def test_risk_zones_stale_as_zero(spark):
+    from tremor.plans.zones import risk_zones
+    from tremor.sources.views import quake
+    ev = quake(spark, SF_SMALL)
+    # an as_of after the data: no zone has events in the current week
+    ref = {r.zone: r.pred_seismes for r in risk_zones(ev, "2024-02-20 12:00:00").collect()}
+    zero = {r.zone: r.pred_seismes for r in risk_zones(ev, "2024-02-20 12:00:00", stale_as_zero=True).collect()}
+    assert ref.keys() == zero.keys() and all(v > 0 for v in ref.values()) and set(zero.values()) == {0}

@@ -34,14 +34,16 @@ def zone_counts(zoned: DataFrame, ts: str = "time_utc", mode: str = "iso_start")
 
 
 def risk_zones(events: DataFrame, as_of: str, centres=DEFAULT_CENTRES, history: DataFrame | None = None,
-               ts: str = "time_utc", stats: DataFrame | None = None) -> DataFrame:
+               ts: str = "time_utc", stats: DataFrame | None = None, stale_as_zero: bool = False) -> DataFrame:
     """Zones job: returns (zone, pred_seismes, risk_level, lat, lon).
 
     ``stats`` are the scaler parameters (fitted offline; computed from the
     events when absent).  ``history`` is the stored zone history (date,
     zone, nb_seismes, latitude, longitude).  The current week is the 7-day
     look-back ending at ``as_of``, labelled by the Monday of ``as_of``'s
-    week, and replaces any stored row for that week (S10).
+    week, and replaces any stored row for that week (S10).  A zone with no
+    event this week keeps its older row as the prediction (reference
+    behaviour); ``stale_as_zero=True`` predicts 0 for it instead (SURVEY D14).
 
     Without a stored history, history weeks and the current look-back come
     from ONE aggregate: each event carries the keys it counts under (its own
@@ -70,7 +72,10 @@ def risk_zones(events: DataFrame, as_of: str, centres=DEFAULT_CENTRES, history:
                .withColumn("date", week_start))
         hist = upsert_period(history, new, "date")
     latest = latest_per(hist.select("zone", "date", "nb_seismes", "latitude", "longitude"), "zone", "date")
-    pred = materialize(latest.withColumn("pred_seismes", F.col("nb_seismes").cast("int")))  # one row per zone
+    count = F.col("nb_seismes")
+    if stale_as_zero:
+        count = F.when(F.col("date") == week_start, count).otherwise(F.lit(0))
+    pred = materialize(latest.withColumn("pred_seismes", count.cast("int")))  # one row per zone
     out = attach_row(pred, tier_bounds(pred, "pred_seismes"))
     return out.select("zone", "pred_seismes", risk_tier("pred_seismes", F.col("p33"), F.col("p66")).alias("risk_level"),
                       F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
