@@ -142,3 +142,27 @@ def test_sample_n_equals_global_hash_order(spark):
     want = sorted(r.id for r in df.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(300).collect())
     assert got == want and len(got) == 300
     assert sample_n(df, 9000).count() == 5000
+
+
+def test_weekly_series_closed_weeks_only(spark):
+    from tremor.plans.weekly import weekly_series
+    base = dt.datetime(2024, 1, 1)  # a Monday
+    rows = [(i, base + dt.timedelta(days=i), 3.0, 10.0, 0, "p") for i in range(20)]  # Jan 1 .. Jan 20
+    ev = spark.createDataFrame(rows, "id long, time_utc timestamp_ntz, mag double, depth_km double, tsunami int, place string")
+    # W-MON bins end on Mondays: Jan 1, Jan 8, Jan 15 are closed on Wed Jan 17; the Jan 22 bin is open
+    labels = [r.date for r in weekly_series(ev, closed_as_of="2024-01-17 12:00:00").orderBy("date").collect()]
+    assert labels == [dt.date(2024, 1, 1), dt.date(2024, 1, 8), dt.date(2024, 1, 15)]
+    iso = [r.date for r in weekly_series(ev, mode="iso_start", closed_as_of="2024-01-17 12:00:00").orderBy("date").collect()]
+    assert iso == [dt.date(2024, 1, 1), dt.date(2024, 1, 8)]
+
+
+def test_closed_weeks_cutoff_on_a_bin_end_day(spark):
+    from tremor.plans.weekly import weekly_series
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(days=i), 3.0, 10.0, 0, "p") for i in range(20)]
+    ev = spark.createDataFrame(rows, "id long, time_utc timestamp_ntz, mag double, depth_km double, tsunami int, place string")
+    # Monday Jan 15 noon: the bin ending that Monday is still open
+    labels = [r.date for r in weekly_series(ev, closed_as_of="2024-01-15 12:00:00").orderBy("date").collect()]
+    assert labels[-1] == dt.date(2024, 1, 8)
+    labels = [r.date for r in weekly_series(ev, closed_as_of="2024-01-16 00:00:00").orderBy("date").collect()]
+    assert labels[-1] == dt.date(2024, 1, 15)

@@ -72,8 +72,19 @@ def add_weekly_features(weekly: DataFrame, date: str = "date", by=None) -> DataF
 
 
 def weekly_series(events: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
-                  exact_median: bool = True, fill: bool = True) -> DataFrame:
-    """A1+A3 (+J4): the weekly rollup, gap-filled."""
+                  exact_median=True, fill: bool = True, closed_as_of: str | None = None) -> DataFrame:
+    """A1+A3 (+J4): the weekly rollup, gap-filled.
+
+    ``closed_as_of`` keeps only weeks that had ended by that time (SURVEY
+    D3: the running week is partial and would be learned as if complete);
+    the filter is applied to the events, so it reaches the scan.
+    """
+    if closed_as_of is not None:
+        # last bin-end day strictly before the cutoff's day: a Monday for
+        # (Tue..Mon] bins, a Sunday for Monday..Sunday bins
+        day = F.to_date(F.lit(closed_as_of).cast("timestamp_ntz"))
+        last_end = F.next_day(F.date_sub(day, 8), "Mon" if mode == "w_mon_close" else "Sun")
+        events = events.where(F.col(ts) < F.date_add(last_end, 1).cast("timestamp_ntz"))
     weekly = weekly_rollup(events, ts=ts, mode=mode, exact_median=exact_median)
     return fill_weeks(weekly) if fill else weekly
 
