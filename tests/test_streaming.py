@@ -52,3 +52,16 @@ def test_stream_upsert_idempotent(spark, tmpdir_path):
     want = {r.w: r["count"] for r in every.groupBy(
         F.date_format(F.date_trunc("week", "time_utc"), "yyyy-MM-dd").alias("w")).count().collect()}
     assert out == want
+
+
+def test_stream_sliding_windows_equal_batch_when_closed(spark, tmpdir_path):
+    from tremor.streaming.events import sliding_counts
+    land = f"{tmpdir_path}/landing3"
+    rows = _rows(0, 60, 0)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{land}/batch=1")
+    s = stream_events(spark, land, SCHEMA, pattern="batch=*").withWatermark("time_utc", "1 hour")
+    got = {(r.window_start, r.n) for r in run_available(sliding_counts(s), "t_slide").collect()}
+    batch = sliding_counts(spark.createDataFrame(rows, SCHEMA)).collect()
+    maxts = max(r[1] for r in rows)
+    closed = {(r.window_start, r.n) for r in batch if r.window_end <= maxts - dt.timedelta(hours=1)}
+    assert got == closed and len(closed) > 10
