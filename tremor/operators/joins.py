@@ -40,18 +40,20 @@ def _fill_forward(df: DataFrame, date: str, upto, keep_cols, step_days: int = 7,
 
 def fill_weeks(weekly: DataFrame, date: str = "date", zero_cols=("nb_seismes", "tsunami_sum",
                "nb_zones", "energy_sum"), interp_cols=("mag_max", "mag_mean", "mag_median",
-               "depth_mean"), step_days: int = 7) -> DataFrame:
-    """Gap-free weekly series from the first to the last label.
+               "depth_mean"), step_days: int = 7, by=None) -> DataFrame:
+    """Gap-free weekly series from the first to the last label (of each
+    series when ``by`` names the series keys).
 
     Missing weeks get 0 for counts/sums and linear interpolation for the
     continuous columns (notebook gap fill, then W14).
     """
-    nxt = F.lead(date).over(Window.orderBy(date))
-    upto = F.coalesce(F.date_sub(nxt, step_days), F.col(date))
-    full = _fill_forward(weekly, date, upto, keep_cols=(), step_days=step_days)
+    by = list(by or [])
+    w = (Window.partitionBy(*by) if by else Window).orderBy(date)
+    upto = F.coalesce(F.date_sub(F.lead(date).over(w), step_days), F.col(date))
+    full = _fill_forward(weekly, date, upto, keep_cols=tuple(by), step_days=step_days)
     full = full.fillna(0, subset=[c for c in zero_cols if c in weekly.columns])
     present = [c for c in interp_cols if c in weekly.columns]
-    return interpolate(full, present, order=date) if present else full
+    return interpolate(full, present, order=date, by=by or None) if present else full
 
 
 def dense_grid(df: DataFrame, date: str = "date", zone: str = "zone",

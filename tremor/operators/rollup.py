@@ -56,7 +56,8 @@ def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
     group = ["date"] + list(by or [])
     med = exact_quantile(src.withColumn("date", week_label(ts, mode)), "mag", 0.5, group, out="mag_median")
     cols = out.columns
-    return out.join(med, group, "left").select(*cols[:3 + len(by or [])], "mag_median", *cols[3 + len(by or []):])
+    cut = 4 + len(by or [])  # keys, nb_seismes, mag_max, mag_mean | mag_median | the rest
+    return out.join(med, group, "left").select(*cols[:cut], "mag_median", *cols[cut:])
 
 
 def weekly_energy(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close") -> DataFrame:

@@ -30,20 +30,21 @@ def weekly_feature_table(spark, sf_dir) -> DataFrame:
     return finalize(log_energy_report(weekly_features(quake_long(spark, sf_dir))))
 
 
-def _feature_sql(log_energy: bool = True, name: str = "feat", future_row: bool = False) -> str:
+def _feature_sql(log_energy: bool = True, name: str = "feat", future_row: bool = False, part: str = "") -> str:
     """DuckDB twin of the feature table; energy columns log1p-scaled or raw.
-    ``future_row`` appends next week's label with unknown measures first."""
-    w = "OVER (ORDER BY date)"
+    ``future_row`` appends next week's label with unknown measures first;
+    ``part`` makes one series per key."""
+    w = f"OVER (PARTITION BY {part} ORDER BY date)" if part else "OVER (ORDER BY date)"
     L, P = (("ln(1 + ", ")"), "log1p_") if log_energy else (("(", ")"), "")
-    cols = ["date", "nb_seismes", "tsunami_sum", "nb_zones", "mag_max", "mag_mean", "mag_median",
-            "depth_mean", f"{L[0]}energy_sum{L[1]} AS {P}energy_sum"]
+    cols = ([part] if part else []) + ["date", "nb_seismes", "tsunami_sum", "nb_zones", "mag_max", "mag_mean",
+                                       "mag_median", "depth_mean", f"{L[0]}energy_sum{L[1]} AS {P}energy_sum"]
     cols += [f"CAST(lag(nb_seismes, {k}) {w} AS DOUBLE) AS lag_{k}" for k in COUNT_LAGS]
     cols += [f"{L[0]}lag(energy_sum, {k}) {w}{L[1]} AS {P}energy_lag_{k}" for k in ENERGY_LAGS]
     cols += [f"CAST(lag(nb_zones, {k}) {w} AS DOUBLE) AS zones_lag_{k}" for k in ZONE_LAGS]
-    cols += [f"{roll_sql('nb_seismes', n, 'avg')} AS rolling_mean_{n}" for n in ROLL_MEAN]
-    cols += [f"{roll_sql('nb_seismes', n, 'stddev_samp')} AS rolling_std_{n}" for n in ROLL_STD]
-    cols += [f"CAST({roll_sql('nb_seismes', n, 'max')} AS DOUBLE) AS rolling_max_{n}" for n in ROLL_MAX]
-    cols += [f"{L[0]}{roll_sql('energy_sum', n, 'avg')}{L[1]} AS {P}energy_rolling_{n}" for n in ENERGY_ROLL]
+    cols += [f"{roll_sql('nb_seismes', n, 'avg', part=part)} AS rolling_mean_{n}" for n in ROLL_MEAN]
+    cols += [f"{roll_sql('nb_seismes', n, 'stddev_samp', part=part)} AS rolling_std_{n}" for n in ROLL_STD]
+    cols += [f"CAST({roll_sql('nb_seismes', n, 'max', part=part)} AS DOUBLE) AS rolling_max_{n}" for n in ROLL_MAX]
+    cols += [f"{L[0]}{roll_sql('energy_sum', n, 'avg', part=part)}{L[1]} AS {P}energy_rolling_{n}" for n in ENERGY_ROLL]
     cols += ["weekofyear(date) AS week_of_year", "month(date) AS month", "quarter(date) AS quarter",
              "year(date) AS year",
              "sin(2 * pi() * weekofyear(date) / 52.0) AS week_sin",
@@ -62,7 +63,7 @@ def _feature_sql(log_energy: bool = True, name: str = "feat", future_row: bool =
         extra = (", filled_next AS (SELECT date, nb_seismes, tsunami_sum, nb_zones, energy_sum, mag_max, mag_mean,"
                  " mag_median, depth_mean FROM filled UNION ALL SELECT max(date) + 7, NULL, NULL, NULL, NULL, NULL,"
                  " NULL, NULL, NULL FROM filled)")
-    return f"{WITH_LONG}, {filled_weekly_sql()}{extra}, {name} AS (SELECT {', '.join(cols)} FROM {src})"
+    return f"{WITH_LONG}, {filled_weekly_sql(part=part)}{extra}, {name} AS (SELECT {', '.join(cols)} FROM {src})"
 
 
 def _final_sql(cte_tail: str, types: dict[str, str]) -> str:
@@ -135,3 +136,13 @@ def q_next_consistent(spark, sf_dir):
 def q_weekly_rollup_refined(spark, sf_dir):
     """A1 with the bounded-memory exact median (histogram refinement)."""
     return finalize(log_energy_report(weekly_rollup(quake_long(spark, sf_dir), exact_median="refined")))
+
+
+_ZONE_TYPES = {"zone": "i", **_FEATURE_TYPES}
+
+
+@register("A1_J4_W1_zone_weekly_features", _final_sql(_feature_sql(part="zone"), _ZONE_TYPES))
+def q_zone_weekly_features(spark, sf_dir):
+    """The full weekly feature table for every zone at once: rollup by (week,
+    zone), each zone's own gap-free span, every window partitioned by zone."""
+    return finalize(log_energy_report(weekly_features(quake_long(spark, sf_dir), by=["zone"])))

@@ -14,13 +14,14 @@ def wk(expr: str = "time_utc", mode: str = "w_mon_close") -> str:
     return week_label_sql(expr, mode)
 
 
-def weekly_rollup_sql(src: str = "quake_long", mode: str = "w_mon_close") -> str:
-    return f"""SELECT {wk('time_utc', mode)} AS date,
+def weekly_rollup_sql(src: str = "quake_long", mode: str = "w_mon_close", part: str = "") -> str:
+    key = f", {part}" if part else ""
+    return f"""SELECT {wk('time_utc', mode)} AS date{key},
         count(id) AS nb_seismes, max(mag) AS mag_max, avg(mag) AS mag_mean,
         median(mag) AS mag_median, avg(depth_km) AS depth_mean,
         CAST(sum(tsunami) AS BIGINT) AS tsunami_sum, count(DISTINCT place) AS nb_zones,
         sum(pow(10.0, 1.5 * mag)) AS energy_sum
-      FROM {src} WHERE time_utc IS NOT NULL GROUP BY 1"""
+      FROM {src} WHERE time_utc IS NOT NULL GROUP BY 1{key}"""
 
 
 def spine_sql(src: str, date: str = "date") -> str:
@@ -38,20 +39,30 @@ def interp_sql(c: str, rn: str = "rn") -> str:
             f"ELSE {pv} + ({nv} - {pv}) * ({rn} - {pi}) / ({ni} - {pi}) END)")
 
 
-def filled_weekly_sql(src: str = "quake_long") -> str:
-    """CTE body list: wk (rollup), sp (spine), f0 (joined), filled (interpolated)."""
+def filled_weekly_sql(src: str = "quake_long", part: str = "") -> str:
+    """CTE body list: wk (rollup), sp (spine), f0 (joined), filled (interpolated);
+    with ``part`` one series per key, each from its own first to last week."""
     ic = ["mag_max", "mag_mean", "mag_median", "depth_mean"]
-    return f"""wk AS ({weekly_rollup_sql(src)}),
-    sp AS ({spine_sql('wk')}),
-    f0 AS (SELECT sp.date, coalesce(nb_seismes, 0) AS nb_seismes, mag_max, mag_mean, mag_median,
+    pk = f"{part}, " if part else ""
+    pby = f"PARTITION BY {part} " if part else ""
+    if part:
+        spine = (f"SELECT {part}, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), "
+                 f"CAST(max(date) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS date FROM wk GROUP BY {part}")
+        on = f"sp.date = wk.date AND sp.{part} = wk.{part}"
+        spk = f"sp.{part}, "
+    else:
+        spine, on, spk = spine_sql('wk'), "sp.date = wk.date", ""
+    return f"""wk AS ({weekly_rollup_sql(src, part=part)}),
+    sp AS ({spine}),
+    f0 AS (SELECT {spk}sp.date, coalesce(nb_seismes, 0) AS nb_seismes, mag_max, mag_mean, mag_median,
                   depth_mean, coalesce(tsunami_sum, 0) AS tsunami_sum, coalesce(nb_zones, 0) AS nb_zones,
-                  coalesce(energy_sum, 0) AS energy_sum, row_number() OVER (ORDER BY sp.date) AS rn
-           FROM sp LEFT JOIN wk ON sp.date = wk.date),
-    filled AS (SELECT date, nb_seismes, tsunami_sum, nb_zones, energy_sum, rn,
+                  coalesce(energy_sum, 0) AS energy_sum, row_number() OVER ({pby.replace(part, 'sp.' + part) if part else ''}ORDER BY sp.date) AS rn
+           FROM sp LEFT JOIN wk ON {on}),
+    filled AS (SELECT {pk}date, nb_seismes, tsunami_sum, nb_zones, energy_sum, rn,
                   {', '.join(interp_sql(c) + ' AS ' + c for c in ic)}
            FROM f0
-           WINDOW bef AS (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-                  aft AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+           WINDOW bef AS ({pby}ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  aft AS ({pby}ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
 def roll_sql(c: str, n: int, fn: str, order: str = "date", part: str = "") -> str:

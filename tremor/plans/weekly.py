@@ -72,7 +72,8 @@ def add_weekly_features(weekly: DataFrame, date: str = "date", by=None) -> DataF
 
 
 def weekly_series(events: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
-                  exact_median=True, fill: bool = True, closed_as_of: str | None = None) -> DataFrame:
+                  exact_median=True, fill: bool = True, closed_as_of: str | None = None,
+                  by=None) -> DataFrame:
     """A1+A3 (+J4): the weekly rollup, gap-filled.
 
     ``closed_as_of`` keeps only weeks that had ended by that time (SURVEY
@@ -85,14 +86,16 @@ def weekly_series(events: DataFrame, ts: str = "time_utc", mode: str = "w_mon_cl
         day = F.to_date(F.lit(closed_as_of).cast("timestamp_ntz"))
         last_end = F.next_day(F.date_sub(day, 8), "Mon" if mode == "w_mon_close" else "Sun")
         events = events.where(F.col(ts) < F.date_add(last_end, 1).cast("timestamp_ntz"))
-    weekly = weekly_rollup(events, ts=ts, mode=mode, exact_median=exact_median)
-    return fill_weeks(weekly) if fill else weekly
+    weekly = weekly_rollup(events, ts=ts, mode=mode, by=by, exact_median=exact_median)
+    return fill_weeks(weekly, by=by) if fill else weekly
 
 
 def weekly_features(events: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
-                    exact_median: bool = True) -> DataFrame:
-    """The full weekly feature table (notebook §02 / forecast job features)."""
-    return add_weekly_features(weekly_series(events, ts, mode, exact_median))
+                    exact_median=True, by=None) -> DataFrame:
+    """The full weekly feature table (notebook §02 / forecast job features);
+    with ``by`` (e.g. ["zone"]) one independent series per key, every window
+    partitioned by it."""
+    return add_weekly_features(weekly_series(events, ts, mode, exact_median, by=by), by=by)
 
 
 def next_features(feat: DataFrame, date: str = "date") -> DataFrame:
