@@ -46,3 +46,15 @@ def test_no_cartesian_or_python(spark, name):
 def test_zone_assignment_is_a_projection(spark):
     text = _plan(_q("J7_assign_zone")(spark, SF_SMALL))
     assert "Join" not in re.sub(r"Subquery.*", "", text.split("===== Subqueries =====")[0])
+
+
+def test_partitioned_event_table_prunes_months(spark, tmpdir_path):
+    from tremor.sources import files as FS
+    from tremor.sources.views import quake_long
+    FS.write_event_table(quake_long(spark, SF_SMALL), f"{tmpdir_path}/ev")
+    df = FS.read_event_table(spark, f"{tmpdir_path}/ev", "1997-03-01", "1997-05-01")
+    text = _plan(df)
+    assert "PartitionFilters: [isnotnull(event_month" in text and "1997-03" in text
+    assert "GreaterThanOrEqual(time_utc" in text  # exact bound pushed as well
+    months = {r.m for r in df.selectExpr("date_format(time_utc, 'yyyy-MM') AS m").distinct().collect()}
+    assert months == {"1997-03", "1997-04"}

@@ -104,3 +104,15 @@ def q_forecast_doc(spark, sf_dir):
         F.size(h).cast("bigint").alias("n_history"), h[0]["date"].alias("first_history_date"),
         F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: acc + x["nb_seismes"]).alias("history_total")))
 
+
+
+@register("S6_S2_partitioned_event_table", f"""{WITH_LONG}
+    SELECT id, {tstr('time_utc')} AS time_utc, {r6('mag')} AS mag, CAST(zone AS BIGINT) AS zone
+    FROM quake_long WHERE time_utc >= TIMESTAMP '1997-03-01' AND time_utc < TIMESTAMP '1998-07-15'""")
+def q_partitioned(spark, sf_dir):
+    """The catalogue written as a month-partitioned table, then a time-range
+    scan that prunes partitions (month filter) and pushes the exact bound."""
+    path = _scratch(spark, "events-by-month")
+    FS.write_event_table(quake_long(spark, sf_dir), path)
+    ev = FS.read_event_table(spark, path, "1997-03-01", "1998-07-15")
+    return finalize(ev.select("id", "time_utc", "mag", "zone"))

@@ -109,3 +109,23 @@ def save_model(model, path: str) -> None:
 def load_model(cls, path: str):
     """Load an artefact written by :func:`save_model`."""
     return cls.load(path)
+
+
+def write_event_table(df: DataFrame, path: str, ts: str = "time_utc") -> None:
+    """Event table partitioned by month of the event time, so time-range
+    scans prune whole partitions before any file is opened."""
+    (df.withColumn("event_month", F.date_format(F.col(ts), "yyyy-MM"))
+     .repartition("event_month")
+     .write.mode("overwrite").partitionBy("event_month").parquet(path))
+
+
+def read_event_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+                     ts: str = "time_utc") -> DataFrame:
+    """Scan of a month-partitioned event table for [start, end): a partition
+    filter on the month (pruning) plus the exact pushed time predicate."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where((F.col("event_month") >= F.lit(start[:7])) & (F.col(ts) >= F.lit(start).cast("timestamp_ntz")))
+    if end is not None:
+        df = df.where((F.col("event_month") <= F.lit(end[:7])) & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
+    return df.drop("event_month")
