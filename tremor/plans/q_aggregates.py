@@ -222,3 +222,11 @@ def q_zone_map(spark, sf_dir):
     src = quake_long(spark, sf_dir)
     pred = W.persist_zone(R.zone_weekly(src)).select("zone", F.col("pred_seismes").cast("bigint").alias("pred_seismes"))
     return finalize(J.zone_map(pred, R.zone_centroids(src)))
+
+
+@register("A12_corr_target_top5", _corr_target_sql() + " ORDER BY corr DESC, feature LIMIT 5")
+def q_corr_target_top5(spark, sf_dir):
+    """The five features most correlated with the weekly count (the limit is
+    the report)."""
+    feats = weekly_features(quake_long(spark, sf_dir)).dropna()
+    return finalize(ST.corr_target(feats, CANDIDATE_FEATURES, "nb_seismes", top=5))
