@@ -183,3 +183,25 @@ def test_impute_median_refined_equals_exact(spark):
     x = sorted(tuple(r) for r in impute_median(df, ["a", "b"]).collect())
     y = sorted(tuple(r) for r in impute_median(df, ["a", "b"], exact="refined").collect())
     assert x == y
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_pt = st.tuples(st.integers(-6, 6), st.integers(-6, 6), st.integers(0, 5),
+                st.one_of(st.none(), st.floats(-50, 50, allow_nan=False)))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_pt, min_size=2, max_size=40), st.integers(1, 5))
+def test_knn_exact_property(spark, pts, k):
+    """Any small layout (duplicates, ties, all-null targets): grid KNN equals brute force."""
+    rows = [(i, float(x), float(y), float(z), v) for i, (x, y, z, v) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id int, latitude double, longitude double, hour double, gap double")
+    got = {r.id: r.gap for r in impute_knn(df, "gap", k=k).collect()}
+    want = _brute(rows, k=k)
+    for i, w in want.items():
+        if w is None:
+            assert got[i] is None
+        else:
+            assert got[i] is not None and math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (i, got[i], w)

@@ -106,15 +106,18 @@ def knn_means(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k
     donors = cut_lineage(donors)
     pending = cut_lineage(pending)
 
-    # Extent and donor-point count (one row) fix the cell sizes and levels.
-    ext = donors.agg(F.count(F.lit(1)).alias("__n"), *[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
+    # Extent of ALL points (receivers may lie outside the donors' box) and
+    # the donor-point count (one row) fix the cell sizes and levels.
+    n_donors = donors.count()
+    pts = donors.select(*feats).unionByName(pending.select(*feats))
+    ext = pts.agg(*[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
     spans = [float(ext[f] or 0.0) for f in feats]
     span = max(spans)
     if base is None:
         # cell side at which a cell holds about k donor points of one target
         live = [x for x in spans if x > 0]
         volume = math.prod(live) if live else 1.0
-        per_target = float(ext["__n"] or 1) / len(targets)
+        per_target = float(n_donors or 1) / len(targets)
         base = (volume / max(per_target / k, 1.0)) ** (1.0 / max(len(live), 1))
         # Clustered data: refine until the fullest cell holds at most
         # `max_cell` donor points, so no receiver meets an unbounded cell.
