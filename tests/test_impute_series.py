@@ -205,3 +205,21 @@ def test_knn_exact_property(spark, pts, k):
             assert got[i] is None
         else:
             assert got[i] is not None and math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9), (i, got[i], w)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False),
+                                                       st.sampled_from([0.0, 1.5, -2.25]))),
+                min_size=1, max_size=60),
+       st.sampled_from([0.0, 0.1, 0.33, 0.5, 0.66, 0.9, 1.0]), st.integers(2, 6), st.integers(1, 8))
+def test_refined_quantile_property(spark, rows, p, buckets, small):
+    """Refined exact quantiles equal Spark's exact percentile on any layout."""
+    from tremor.operators.quantiles import exact_quantile
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], buckets=buckets, small=small, out="q").collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+    for g, w in want.items():
+        if w is None:
+            assert got.get(g) is None
+        else:
+            assert math.isclose(got[g], w, rel_tol=1e-9, abs_tol=1e-9), (g, got.get(g), w)
