@@ -223,3 +223,20 @@ def test_refined_quantile_property(spark, rows, p, buckets, small):
             assert got.get(g) is None
         else:
             assert math.isclose(got[g], w, rel_tol=1e-9, abs_tol=1e-9), (g, got.get(g), w)
+
+
+def test_constant_series_give_nulls_not_failures(spark):
+    """A zone whose weekly count never changes must not fail the job."""
+    from tremor.operators.geo import assign_zone_scaled, scaler_stats
+    from tremor.operators.series import dickey_fuller
+    from tremor.operators.stats import acf, regression_metrics
+    df = spark.createDataFrame([(i, 4.0) for i in range(30)], "date int, nb_seismes double")
+    assert all(r.acf is None for r in acf(df, "nb_seismes", 3).collect())
+    d = dickey_fuller(df).first()
+    assert d.beta is None and d.df_stat is None
+    assert ar2(df).first().a1 is None
+    m = regression_metrics(df.selectExpr("nb_seismes AS y", "nb_seismes + 1 AS yhat")).first()
+    assert m.r2 is None and m.mae == 1.0
+    pts = spark.createDataFrame([(i, 10.0, float(i)) for i in range(5)], "id int, latitude double, longitude double")
+    zones = assign_zone_scaled(pts, [(0, 10.0, 0.0), (1, 10.0, 4.0)], scaler_stats(pts)).collect()
+    assert {r.id: r.zone for r in zones} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}

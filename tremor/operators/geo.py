@@ -22,7 +22,9 @@ def scaler_stats(df: DataFrame, cols=("latitude", "longitude"), population: bool
     sd = F.stddev_pop if population else F.stddev_samp
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), sd(c).alias(f"{c}_sd")]
+        # a zero-variance axis is scaled by 1, as scikit-learn's scaler does
+        aggs += [F.avg(c).alias(f"{c}_mean"),
+                 F.when(sd(c) > 0, sd(c)).otherwise(F.lit(1.0)).alias(f"{c}_sd")]
     return df.where(F.col(cols[0]).isNotNull() & F.col(cols[1]).isNotNull()).agg(*aggs)
 
 

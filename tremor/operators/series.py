@@ -63,10 +63,11 @@ def dickey_fuller(df: DataFrame, y: str = "nb_seismes", order: str = "date", by=
     g = d.groupBy(*by) if by else d.groupBy()
     agg = g.agg(F.regr_count("__dy", "__x").alias("n"), F.regr_sxx("__dy", "__x").alias("__sxx"),
                 F.regr_syy("__dy", "__x").alias("__syy"), F.regr_sxy("__dy", "__x").alias("__sxy"))
-    beta = F.col("__sxy") / F.col("__sxx")
-    sse = F.col("__syy") - F.col("__sxy") * F.col("__sxy") / F.col("__sxx")
-    se = F.sqrt(sse / (F.col("n") - 2) / F.col("__sxx"))
-    out = agg.withColumn("beta", beta).withColumn("df_stat", beta / se)
+    # constant or too-short series give NULL statistics instead of a failed job
+    beta = F.try_divide("__sxy", "__sxx")
+    sse = F.col("__syy") - F.try_divide(F.col("__sxy") * F.col("__sxy"), F.col("__sxx"))
+    se = F.sqrt(F.try_divide(F.try_divide(sse, F.col("n") - 2), F.col("__sxx")))
+    out = agg.withColumn("beta", beta).withColumn("df_stat", F.try_divide(beta, se))
     out = out.withColumn("stationary_5pct", F.col("df_stat") < F.lit(DF_CRITICAL["5%"]))
     return out.drop("__sxx", "__syy", "__sxy")
 
@@ -87,8 +88,9 @@ def ar2(df: DataFrame, y: str = "nb_seismes", order: str = "date", by=None, hori
               F.covar_pop("__x2", "__x2").alias("__s22"), F.covar_pop("__x1", "__x2").alias("__s12"),
               F.covar_pop("__x1", "__y").alias("__s1y"), F.covar_pop("__x2", "__y").alias("__s2y"))
     det = F.col("__s11") * F.col("__s22") - F.col("__s12") * F.col("__s12")
-    a1 = (F.col("__s1y") * F.col("__s22") - F.col("__s2y") * F.col("__s12")) / det
-    a2 = (F.col("__s2y") * F.col("__s11") - F.col("__s1y") * F.col("__s12")) / det
+    # a degenerate (e.g. constant) series has det = 0: NULL coefficients
+    a1 = F.try_divide(F.col("__s1y") * F.col("__s22") - F.col("__s2y") * F.col("__s12"), det)
+    a2 = F.try_divide(F.col("__s2y") * F.col("__s11") - F.col("__s1y") * F.col("__s12"), det)
     s = s.withColumn("a1", a1).withColumn("a2", a2)
     s = s.withColumn("c", F.col("__my") - F.col("a1") * F.col("__m1") - F.col("a2") * F.col("__m2"))
     out = s.join(last, by, "inner") if by else attach_row(s, last)

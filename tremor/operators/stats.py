@@ -99,7 +99,8 @@ def zscore_last(df: DataFrame, n: int = 8, value: str = "nb_seismes", date: str
 
 
 def acf(df: DataFrame, y: str, max_lag: int = 60, order: str = "date", by=None) -> DataFrame:
-    """Autocorrelation for lags 0..max_lag (statsmodels' non-adjusted form).
+    """Autocorrelation for lags 0..max_lag (statsmodels' non-adjusted form);
+    NULL for a constant series (zero variance) instead of a failed job.
 
     Lagged values come from window ``lag`` over the (small) series; the sums
     are one aggregate per series.
@@ -114,7 +115,7 @@ def acf(df: DataFrame, y: str, max_lag: int = 60, order: str = "date", by=None)
                                      for k in range(max_lag + 1)])
     pairs = ", ".join(f"{k}, `__n{k}`" for k in range(max_lag + 1))
     return sums.selectExpr(*by, "__den", f"stack({max_lag + 1}, {pairs}) AS (lag, __num)") \
-        .select(*by, F.col("lag").cast("int").alias("lag"), (F.col("__num") / F.col("__den")).alias("acf"))
+        .select(*by, F.col("lag").cast("int").alias("lag"), F.try_divide("__num", "__den").alias("acf"))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by=None) -> DataFrame:
@@ -127,7 +128,8 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by=None)
                 F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"),
                 (F.count(F.lit(1)) * F.var_pop(y)).alias("__sst"),
                 (F.avg(F.abs(e / (F.col(y) + 1))) * 100).alias("mape"))
-    return res.withColumn("r2", F.lit(1.0) - F.col("__sse") / F.col("__sst")).drop("__sse", "__sst")
+    # a constant target has no variance to explain: R² is NULL, not an error
+    return res.withColumn("r2", F.lit(1.0) - F.try_divide("__sse", "__sst")).drop("__sse", "__sst")
 
 
 def coverage(df: DataFrame, y: str = "y", lo: str = "lo", hi: str = "hi", by=None) -> DataFrame:
