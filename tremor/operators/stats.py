@@ -127,7 +127,7 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by=None)
     res = g.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"),
                 F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"),
                 (F.count(F.lit(1)) * F.var_pop(y)).alias("__sst"),
-                (F.avg(F.abs(e / (F.col(y) + 1))) * 100).alias("mape"))
+                (F.avg(F.abs(F.try_divide(e, F.col(y) + 1))) * 100).alias("mape"))
     # a constant target has no variance to explain: R² is NULL, not an error
     return res.withColumn("r2", F.lit(1.0) - F.try_divide("__sse", "__sst")).drop("__sse", "__sst")
 
