@@ -240,3 +240,20 @@ def test_constant_series_give_nulls_not_failures(spark):
     pts = spark.createDataFrame([(i, 10.0, float(i)) for i in range(5)], "id int, latitude double, longitude double")
     zones = assign_zone_scaled(pts, [(0, 10.0, 0.0), (1, 10.0, 4.0)], scaler_stats(pts)).collect()
     assert {r.id: r.zone for r in zones} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-4, 4), st.integers(-4, 4), st.integers(0, 3),
+                          st.one_of(st.none(), st.floats(-9, 9, allow_nan=False)),
+                          st.one_of(st.none(), st.floats(-9, 9, allow_nan=False))), min_size=2, max_size=30))
+def test_knn_two_columns_property(spark, pts):
+    """Several columns in one job equal each column imputed alone (brute force)."""
+    from tremor.operators.impute import impute_knn_many
+    rows = [(i, float(x), float(y), float(z), a, b) for i, (x, y, z, a, b) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id int, latitude double, longitude double, hour double, gap double, rms double")
+    got = {r.id: (r.gap, r.rms) for r in impute_knn_many(df, ["gap", "rms"], k=3).collect()}
+    want_gap = _brute([(i, x, y, z, a) for i, x, y, z, a, _ in rows], k=3)
+    want_rms = _brute([(i, x, y, z, b) for i, x, y, z, _, b in rows], k=3)
+    for i in want_gap:
+        for g, w in ((got[i][0], want_gap[i]), (got[i][1], want_rms[i])):
+            assert (g is None and w is None) or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-9), (i, g, w)
