@@ -108,9 +108,9 @@ def knn_means(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k
 
     # Extent of ALL points (receivers may lie outside the donors' box) and
     # the donor-point count (one row) fix the cell sizes and levels.
-    n_donors = donors.count()
-    pts = donors.select(*feats).unionByName(pending.select(*feats))
-    ext = pts.agg(*[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
+    pts = donors.select(*feats, F.lit(1).alias("__d")).unionByName(pending.select(*feats, F.lit(0).alias("__d")))
+    ext = pts.agg(F.sum("__d").alias("__n"), *[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
+    n_donors = ext["__n"]
     spans = [float(ext[f] or 0.0) for f in feats]
     span = max(spans)
     if base is None:
