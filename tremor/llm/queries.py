@@ -31,3 +31,9 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.packing import pack_documents
     return pack_documents(load_table(spark, sf_dir, "documents"))
+
+
+@_register("op4_jaccard_components")
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.jaccard_join import jaccard_components
+    return jaccard_components(load_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
