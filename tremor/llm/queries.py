@@ -37,3 +37,9 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.jaccard_join import jaccard_components
     return jaccard_components(load_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@_register("op10_secret_worklist")
+def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.secret_scan import scan_documents
+    return scan_documents(load_table(spark, sf_dir, "documents"))
