@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from tremor.session import cut_lineage
 
 HELD_OUT_REMAINDER = 2          # fixed by the task: crc32(doc_id as text) mod 4
 PIECE_BYTES = 1 << 20           # text handled at once inside a task
+BROADCAST_ROWS = 1_000_000      # rows of a few longs sent to all tasks at most
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = 0x9E3779B97F4A7C15 | 1     # odd, so it has an inverse modulo 2**64
@@ -41,6 +41,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted),
+    else as it is, for a shuffled join.  For narrow frames of ids only."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on uint64 (splitmix64)."""
     x = x.copy()
@@ -118,13 +124,3 @@ class WordStream:
     def words(self, k: int) -> tuple[int, int]:
         """First and one past the last word of text k."""
         return int(self.first[k]), int(self.first[k + 1])
-
-
-def sum_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values[bounds[k]:bounds[k+1]], empty runs giving zero."""
-    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def arrow_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

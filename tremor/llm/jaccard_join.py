@@ -41,11 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import WordStream, mix64, pieces, reliable
+from tremor.llm.common import WordStream, bounded_broadcast, mix64, pieces, reliable
 from tremor.llm.components import connected_components
 
 CHUNK_SETS = 768                # sets in a chunk of a large candidate group
-BROADCAST_ROWS = 1_000_000      # candidates (two longs each) sent to all tasks at most
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -361,8 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     chunks = F.ceil(F.col("g") / CHUNK_SETS)
     cand = reliable(reps.join(size, "component").select("component", "doc_id", chunks.alias("chunks"),
                                                         F.pmod(F.xxhash64("doc_id"), chunks).alias("chunk")))
-    few = cand.count() <= BROADCAST_ROWS
-    texts = _texts(docs).join(F.broadcast(cand) if few else cand, "doc_id")
+    texts = _texts(docs).join(bounded_broadcast(cand), "doc_id")
     with_sets = set_column(texts, n, ["component", "doc_id", "chunks", "chunk"])
     # chunk c meets itself and every other chunk once; in cell (i, j) the chunk i is side 0
     cells = with_sets.select("component", "doc_id", "chunk", "grams", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
@@ -380,5 +378,4 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     group; of rows repeating a doc_id all stay.  Rows without id or words stay."""
     found = jaccard_components(docs, n, num, den)
     gone = reliable(found.where("component_id < doc_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    return docs.join(bounded_broadcast(gone), "doc_id", "left_anti")

@@ -43,3 +43,10 @@ def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.secret_scan import scan_documents
     return scan_documents(load_table(spark, sf_dir, "documents"))
+
+
+@_register("op9_ngram_likelihood_ratio")
+def op9_ngram_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.quality import judge, quality_ratio
+    docs = load_table(spark, sf_dir, "documents")
+    return judge(docs, quality_ratio(docs, load_table(spark, sf_dir, "labels")))
