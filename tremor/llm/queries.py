@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tremor.llm.url_rules import TASK_RULES, TASK_SQL
 from tremor.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,17 @@ def op9_ngram_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.quality import judge, quality_ratio
     docs = load_table(spark, sf_dir, "documents")
     return judge(docs, quality_ratio(docs, load_table(spark, sf_dir, "labels")))
+
+
+@_register("op1_projection_tree_search")
+def op1_projection_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tremor.llm.ann import nearest
+    return nearest(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@_register("op7_url_rules", TASK_SQL)
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.url_rules import judge_urls, rules_table
+    return judge_urls(load_table(spark, sf_dir, "pages"), rules_table(spark, TASK_RULES))
