@@ -65,3 +65,10 @@ def op1_projection_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.url_rules import judge_urls, rules_table
     return judge_urls(load_table(spark, sf_dir, "pages"), rules_table(spark, TASK_RULES))
+
+
+@_register("op6_language_families")
+def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.language import fit, identify
+    docs = load_table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
