@@ -72,3 +72,9 @@ def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.language import fit, identify
     docs = load_table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
+
+
+@_register("op5_boosted_toxicity")
+def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.toxicity import score_documents
+    return score_documents(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
