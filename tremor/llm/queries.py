@@ -78,3 +78,9 @@ def op6_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.toxicity import score_documents
     return score_documents(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@_register("op8_license_windows")
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.licenses import scan_licenses
+    return scan_licenses(load_table(spark, sf_dir, "documents"))
