@@ -38,7 +38,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 LEXICON_WORDS = 50_000          # entries of the automaton
 WORDS_PER_TASK = 20_000         # most frequent words that a task reports
 COUNTER_LIMIT = 600_000         # entries of a task's counter before rare ones are dropped
-CACHE_LIMIT = 400_000           # chunks whose ids a worker remembers
+CACHE_LIMIT = 600_000           # chunks whose ids a worker remembers
 GROUP_CHARS = 2_000_000         # text encoded at once
 
 # Unicode White_Space, which the file's patterns call \s
@@ -47,7 +47,7 @@ _SPLIT_WHITE = re.compile(f"[{_WHITE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")         # white space for str.split only
 # printable ASCII and precomposed Latin letters: NFC leaves them alone and they lower-case one by one
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+")
-_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ž]+|[0-9]|[^a-z\xdf-\xf6\xf8-ž0-9]+")
+_PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ž]+|[0-9]|\n|[^a-z\xdf-\xf6\xf8-ž0-9\n]+")
 _MISSING = np.int64(1 << 40)
 
 
@@ -86,23 +86,34 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or _MISSING) of each pair of ids, and the id it makes."""
+        key = left << 20 | right
+        hit = np.searchsorted(self.key, key)
+        hit[hit == len(self.key)] = 0
+        ok = self.key[hit] == key
+        return np.where(ok, self.rank[hit], _MISSING), self.made[hit]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, number of ids of each word) of non-empty words."""
+        """(ids one after another, number of ids of each word) of non-empty words.
+
+        All words advance together: each round takes every word's pair of
+        least rank, everywhere it occurs.  Pairs are looked up when they arise.
+        """
         size = np.array([len(w) for w in words], np.int64)
         sym = self.inner[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(size)
         sym[ends - 1] = self.final[np.frombuffer(b"".join(w[-1:] for w in words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
-        done_word, done_sym, done_at = [], [], []
+        last = np.zeros(len(sym), bool)               # a word's last symbol has no pair
+        last[ends - 1] = True
+        rank, made = np.full(len(sym), _MISSING), np.zeros(len(sym), np.int64)
+        pairs = np.flatnonzero(~last)
+        rank[pairs], made[pairs] = self.ranks(sym[pairs], sym[pairs + 1])
         at = np.arange(len(sym))                      # original places keep the order
+        done_word, done_sym, done_at = [], [], []
         while len(sym):
-            key = sym[:-1] << 20 | sym[1:]
-            hit = np.searchsorted(self.key, key)
-            hit[hit == len(self.key)] = 0
-            ok = (self.key[hit] == key) & (word[1:] == word[:-1])
-            rank = np.full(len(sym), _MISSING)
-            rank[:-1][ok] = self.rank[hit[ok]]
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
             lengths = np.diff(np.concatenate([starts, [len(sym)]]))
             best = np.repeat(np.minimum.reduceat(rank, starts), lengths)
             over = best == _MISSING
@@ -110,16 +121,27 @@ class Merges:
                 done_word.append(word[over])
                 done_sym.append(sym[over])
                 done_at.append(at[over])
-            take = (rank == best) & ~over
+                live = ~over
+                sym, word, at, last, rank, made, best = (x[live] for x in (sym, word, at, last, rank, made, best))
             # of overlapping places (one symbol repeated) every second is merged, from the left
-            pos = np.flatnonzero(take)
-            run = np.concatenate([[True], np.diff(pos) > 1]) if len(pos) else np.zeros(0, bool)
+            pos = np.flatnonzero(rank == best)
+            if not len(pos):
+                break
+            run = np.concatenate([[True], np.diff(pos) > 1])
             nth = np.arange(len(pos)) - np.maximum.accumulate(np.where(run, np.arange(len(pos)), 0))
             pos = pos[nth % 2 == 0]
-            sym[pos] = self.made[hit[pos]]
-            keep = ~over
+            sym[pos], last[pos] = made[pos], last[pos + 1]
+            keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
-            sym, word, at = sym[keep], word[keep], at[keep]
+            moved = pos - np.arange(len(pos))         # places after the right halves are gone
+            sym, word, at, last, rank, made = (x[keep] for x in (sym, word, at, last, rank, made))
+            touched = np.zeros(len(sym), bool)
+            touched[moved] = True
+            touched[moved[moved > 0] - 1] = True
+            fresh = np.flatnonzero(touched)
+            rank[fresh] = _MISSING
+            fresh = fresh[~last[fresh]]
+            rank[fresh], made[fresh] = self.ranks(sym[fresh], sym[fresh + 1])
         at, ids, word = (np.concatenate(x) for x in (done_at, done_sym, done_word))
         order = np.argsort(at, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
@@ -285,17 +307,32 @@ class Encoder:
                 for p, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(chunk))]
 
     def _learn(self, chunks: list[str]) -> None:
-        word_slot: dict[bytes, int] = {}
+        easy, hard = [], []
+        for c in chunks:
+            (easy if (c.isascii() or _PLAIN.fullmatch(c)) and "<|" not in c else hard).append(c)
+        # one pass over all plain chunks, a line each
+        parts = _PLAIN_PIECES.findall("\n".join(easy).lower())
+        number = {p: n for n, p in enumerate(dict.fromkeys(parts))}
+        line = number.pop("\n", -1)
+        part = np.fromiter(map(number.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        ended = np.flatnonzero(part < 0)
+        counts = np.diff(np.concatenate([[-1], ended, [len(part)]])) - 1 if easy else np.zeros(0, np.int64)
+        part = part[part >= 0]
+        if line >= 0:
+            part -= part > line
+        word_slot = {p.encode(): n for n, p in enumerate(number)}
         flat: list[int] = []                  # word number, or -1 - id
-        counts = np.empty(len(chunks), np.int64)
-        for n, chunk in enumerate(chunks):
-            parts = self.pretokens(chunk)
-            counts[n] = len(parts)
-            for p in parts:
+        more = []
+        for chunk in hard:
+            found = self.pretokens(chunk)
+            more.append(len(found))
+            for p in found:
                 flat.append(-1 - p if isinstance(p, int) else word_slot.setdefault(p, len(word_slot)))
+        chunks = easy + hard
+        counts = np.concatenate([counts, np.array(more, np.int64)])
         ids, sizes = self._words(list(word_slot))
         begins = np.cumsum(sizes) - sizes
-        part = np.array(flat, np.int64)
+        part = np.concatenate([part, np.array(flat, np.int64)])
         plain = part >= 0
         extra = -1 - part[~plain]             # special ids follow the words' ids
         source = np.concatenate([ids, extra])
@@ -304,9 +341,7 @@ class Encoder:
         p_begin[~plain] = len(ids) + np.arange(len(extra))
         gathered = ragged(source, p_begin, p_size)
         bounds = np.concatenate([[0], np.cumsum(p_size)])[np.concatenate([[0], np.cumsum(counts)])]
-        base = len(self.slot)
-        for n, chunk in enumerate(chunks):
-            self.slot[chunk] = base + n
+        self.slot.update(zip(chunks, range(len(self.slot), len(self.slot) + len(chunks))))
         self.begin = np.concatenate([self.begin, len(self.buffer) + bounds[:-1]])
         self.size = np.concatenate([self.size, np.diff(bounds)])
         self.buffer = np.concatenate([self.buffer, gathered.astype(np.uint16)])
