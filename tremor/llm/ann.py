@@ -88,8 +88,9 @@ class ProjectedTree:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-                 norm2: float, matrix: np.ndarray, k: int, confidence: float):
-    """(query id, vec_id, score) of each query's best k of the block."""
+                 norm2: float, matrix: np.ndarray, k: int, confidence: float, verified: list[int] | None = None):
+    """(query id, vec_id, score) of each query's best k of the block; how many
+    vectors each query verified is added to ``verified``."""
     tree = ProjectedTree(vectors @ matrix[:-1] + lift[:, None] * matrix[-1])
     ids, vectors = ids[tree.order], vectors[tree.order]
     limit = chi_square_quantile(confidence, matrix.shape[1])
@@ -100,6 +101,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_i
         near = np.argsort(gap, kind="stable")
         best_id, best = np.zeros(0, np.int64), np.zeros(0)
         qq = float(q @ q)
+        seen = 0
         for at in range(0, len(near), LEAVES_AT_ONCE):
             if len(best) == k:
                 # squared distance of lifted vectors: |x|^2 + |q|^2 - 2 <x, q> with |x|^2 = norm2
@@ -108,6 +110,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_i
                     break
             leaves = near[at:at + LEAVES_AT_ONCE]
             rows = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in leaves])
+            seen += len(rows)
             score = vectors[rows] @ q
             found = ids[rows]
             other = found != query_ids[number]
@@ -117,6 +120,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_i
             if len(best) > k or at == 0:
                 order = np.lexsort((best_id, -best))[:k]
                 best_id, best = best_id[order], best[order]
+        if verified is not None:
+            verified.append(seen)
         order = np.lexsort((best_id, -best))[:k]
         for i in order:
             yield int(query_ids[number]), int(best_id[i]), float(best[i])

@@ -78,9 +78,16 @@ class Scheme:
         size, spare = self.smallest(low), 1
         while spare <= differ + 1:                    # until more empty blocks than that are rare
             m = differ + 1 + spare
-            p = (1 - 1 / m) ** size
-            tail = 1 - sum(math.comb(m, j) * p ** j * (1 - p) ** (m - j) for j in range(spare + 1))
-            if tail < 1e-6:
+            p = (1 - 1 / m) ** size                   # that a block is empty
+            if m * p > 30:
+                rare = spare >= m * p + 5 * math.sqrt(m * p) + 5
+            else:
+                term = total = (1 - p) ** m
+                for j in range(spare):
+                    term *= (m - j) / (j + 1) * p / (1 - p)
+                    total += term
+                rare = 1 - total < 1e-6
+            if rare:
                 break
             spare += 1
         return size, top, differ + 1 + spare, spare

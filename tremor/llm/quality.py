@@ -29,7 +29,7 @@ MIN_WORDS, REPEAT_WINDOW = 20, 8
 NGRAM = 3
 BUCKET_BITS = 16
 SMOOTHING = 1.0
-THRESHOLD = -0.15               # mean log ratio that a kept document reaches
+THRESHOLD = -0.3                # mean log ratio that a kept document reaches
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -90,12 +90,13 @@ def bucket_counts(docs: DataFrame, trusted: str | None = None) -> tuple[np.ndarr
 
 
 def log_ratio(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Log ratio of the smoothed trusted to the smoothed raw multinomial."""
+    """Log ratio of the trusted to the raw multinomial.  The raw counts are
+    scaled to the size of the trusted corpus and both get the same pseudo
+    count, so buckets too rare to be expected there, and a small trusted
+    corpus, say nothing."""
     if not good.sum():
         return np.zeros(len(raw))
-    size = len(raw)
-    return (np.log((good + SMOOTHING) / (good.sum() + SMOOTHING * size))
-            - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * size)))
+    return np.log(good + SMOOTHING) - np.log(raw * (good.sum() / raw.sum()) + SMOOTHING)
 
 
 def repeated_words(ids: np.ndarray, window: int = REPEAT_WINDOW) -> int:
