@@ -168,21 +168,49 @@ def test_refined_exact_quantile_matches_percentile(spark):
     rows += [(9, None), (9, 3.0)]
     df = spark.createDataFrame(rows, "g int, v double")
     for p in (0.5, 0.33, 0.9):
-        got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], buckets=8, small=20, out="q").collect()}
+        got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], small=20, out="q").collect()}
         want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
         assert got.keys() == want.keys()
         for k in want:
             assert math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12), (p, k)
 
 
-def test_impute_median_refined_equals_exact(spark):
+def test_impute_median_equals_percentile(spark):
     rng = np.random.default_rng(3)
-    rows = [(float(v) if rng.random() > 0.2 else None, float(w) if rng.random() > 0.3 else None)
-            for v, w in zip(rng.normal(0, 1, 2000), rng.normal(5, 2, 2000))]
-    df = spark.createDataFrame(rows, "a double, b double")
-    x = sorted(tuple(r) for r in impute_median(df, ["a", "b"]).collect())
-    y = sorted(tuple(r) for r in impute_median(df, ["a", "b"], exact="refined").collect())
-    assert x == y
+    rows = [(i, float(v) if rng.random() > 0.2 else None, float(w) if rng.random() > 0.3 else None, 1.0)
+            for i, (v, w) in enumerate(zip(rng.normal(0, 1, 2000), rng.normal(5, 2, 2000)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    m = df.agg(F.median("a").alias("a"), F.median("b").alias("b")).first()
+    got = {r.id: (r.a, r.b, r.c) for r in impute_median(df, ["a", "b", "c"]).collect()}
+    assert all(got[i] == (m.a if a is None else a, m.b if b is None else b, c) for i, a, b, c in rows)
+
+
+def test_quantile_of_heavy_tails_and_infinities(spark):
+    """Values that equal-width bins cannot separate; both sides of ``small``."""
+    from tremor.operators.quantiles import exact_quantile
+    tail = spark.range(20000).select(F.pow(F.lit(10.0), F.col("id") * 0.025 - 300).alias("x"))
+    for p in (0.25, 0.5, 0.999):
+        want = tail.agg(F.percentile("x", p)).first()[0]
+        for small in (50, 100_000):
+            assert math.isclose(exact_quantile(tail, "x", p, [], small=small).first()[0], want, rel_tol=1e-12)
+    odd = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (math.inf,), (-math.inf,), (None,), (math.nan,)], "x double")
+    for small in (1, 2, 50):
+        assert [exact_quantile(odd, "x", p, [], small=small).first()[0] for p in (0.0, 0.4, 0.6, 1.0)] == [-math.inf, 2.0, 3.0, math.inf]
+    assert exact_quantile(odd.where("x is null"), "x", 0.5, []).first()[0] is None
+    groups = spark.createDataFrame([(None, 1.0), (None, 3.0), (7, None)], "g int, x double")
+    assert {r.g: r.q_x for r in exact_quantile(groups, "x", 0.5, ["g"], small=1).collect()} == {None: 2.0, 7: None}
+
+
+def test_quantile_plan_has_no_pair_join(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from tremor.operators.quantiles import exact_quantile
+    for by in ([], ["g"]):
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            exact_quantile(spark.range(500).selectExpr("id % 3 AS g", "id * 1.5D AS x"), "x", 0.5, by, small=10).explain("formatted")
+        assert "NestedLoop" not in buf.getvalue() and "Cartesian" not in buf.getvalue()
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
@@ -211,12 +239,12 @@ def test_knn_exact_property(spark, pts, k):
 @given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False),
                                                        st.sampled_from([0.0, 1.5, -2.25]))),
                 min_size=1, max_size=60),
-       st.sampled_from([0.0, 0.1, 0.33, 0.5, 0.66, 0.9, 1.0]), st.integers(2, 6), st.integers(1, 8))
-def test_refined_quantile_property(spark, rows, p, buckets, small):
+       st.sampled_from([0.0, 0.1, 0.33, 0.5, 0.66, 0.9, 1.0]), st.integers(1, 8))
+def test_refined_quantile_property(spark, rows, p, small):
     """Refined exact quantiles equal Spark's exact percentile on any layout."""
     from tremor.operators.quantiles import exact_quantile
     df = spark.createDataFrame(rows, "g int, v double")
-    got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], buckets=buckets, small=small, out="q").collect()}
+    got = {r.g: r.q for r in exact_quantile(df, "v", p, ["g"], small=small, out="q").collect()}
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
     for g, w in want.items():
         if w is None:

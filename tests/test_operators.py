@@ -136,10 +136,10 @@ def test_zscore_zero_sd(spark):
 
 
 def test_sample_n_equals_global_hash_order(spark):
-    from tremor.operators.cleaning import sample_n
+    from tremor.operators.cleaning import sample_n, seeded_hash
     df = spark.range(0, 5000).withColumnRenamed("id", "id")
     got = sorted(r.id for r in sample_n(df, 300, seed=7).collect())
-    want = sorted(r.id for r in df.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(300).collect())
+    want = sorted(r.id for r in df.orderBy(seeded_hash("id", 7), "id").limit(300).collect())
     assert got == want and len(got) == 300
     assert sample_n(df, 9000).count() == 5000
 
@@ -166,3 +166,66 @@ def test_closed_weeks_cutoff_on_a_bin_end_day(spark):
     assert labels[-1] == dt.date(2024, 1, 8)
     labels = [r.date for r in weekly_series(ev, closed_as_of="2024-01-16 00:00:00").orderBy("date").collect()]
     assert labels[-1] == dt.date(2024, 1, 15)
+
+
+def test_latest_metrics_with_runs_that_have_none(spark):
+    from tremor.sources.history import latest_metrics
+    h = spark.createDataFrame([("2024-01-01", "m", 17.0, 1.0, 0.1), ("2024-01-08", "m", 4.5, 2.0, 0.2), ("2024-01-15", "m", None, None, None),
+                               ("2024-01-01", "zone", None, None, None)], "date string, model string, mae double, rmse double, r2 double")
+    got = {r.model: r for r in latest_metrics(h).collect()}
+    m, z = got["m"], got["zone"]
+    assert (m.latest_date, m.latest_mae, m.latest_rmse, m.best_mae, m.best_date, m.runs) == ("2024-01-15", 4.5, 2.0, 4.5, "2024-01-08", 3)
+    assert (z.latest_date, z.latest_mae, z.best_mae, z.best_date, z.runs) == ("2024-01-01", None, None, None, 1)
+
+
+def test_freshness_of_runs_at_one_time(spark, tmpdir_path):
+    from tremor.sources.history import freshness, log_run
+    for status in ("failed", "ok"):
+        log_run(spark, f"{tmpdir_path}/log", "zones", status, at="2024-01-01 00:00:00")
+    row = freshness(spark.read.parquet(f"{tmpdir_path}/log")).first()
+    assert (row.status, row.runs) == ("ok", 2)
+
+
+def test_dedup_keeps_ids_without_a_time(spark):
+    from tremor.operators.cleaning import dedup_first
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (2, t, "b"), (3, t, "b"), (3, t, "a"), (4, None, "b"), (4, None, "a")],
+                               "id int, time_utc timestamp_ntz, v string")
+    assert sorted((r.id, r.time_utc, r.v) for r in dedup_first(df, "id").collect()) == [(1, None, "a"), (2, t, "b"), (3, t, "a"), (4, None, "a")]
+
+
+def test_class_of_a_missing_magnitude_is_missing(spark):
+    from tremor.plans.classification import mag_class
+    df = spark.createDataFrame([(None,), (3.9,), (4.0,), (6.0,)], "mag double")
+    assert [r[0] for r in df.select(mag_class()).collect()] == [None, 0, 1, 2]
+
+
+def test_boosting_keeps_the_rounds_that_help(spark):
+    import numpy as np
+
+    from tremor.operators import ml
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-2, 2, (260, 3))
+    y = 40 + 9 * x[:, 0] - 6 * x[:, 1] ** 2 + rng.normal(0, 1, 260)
+    df = spark.createDataFrame([(*map(float, a), float(b), i % 5 == 0) for i, (a, b) in enumerate(zip(x, y))],
+                               "a double, b double, c double, nb_seismes double, is_val boolean").coalesce(1)
+
+    def mae(model):
+        return ml.predict(model, df.where("is_val"), ["a", "b", "c"]).agg(F.avg(F.abs(F.col("nb_seismes") - F.col("yhat")))).first()[0]
+
+    full = ml.train_gbt(df, ["a", "b", "c"], max_iter=60, step=0.1, max_depth=3, validation_col="is_val", patience=30)
+    one = ml.truncate(full, 1)
+    assert full.getNumTrees > 20 and one.getNumTrees == 1
+    assert mae(full) < 0.6 * mae(one)
+
+
+def test_write_event_table_splits_a_month(spark, tmpdir_path):
+    from tremor.sources.files import write_event_table
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, t + dt.timedelta(minutes=i)) for i in range(20_000)], "id int, time_utc timestamp_ntz")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # else so few rows make one task
+    try:
+        write_event_table(df, f"{tmpdir_path}/events")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.parquet(f"{tmpdir_path}/events").inputFiles()) > 1

@@ -25,10 +25,10 @@ def test_stream_dedup_and_weekly(spark, tmpdir_path):
     spark.createDataFrame(a, SCHEMA).coalesce(1).write.parquet(f"{land}/batch=1")
     spark.createDataFrame(b, SCHEMA).coalesce(1).write.parquet(f"{land}/batch=2")
     s = stream_events(spark, land, SCHEMA, pattern="batch=*", max_files=1)
-    dedup = run_available(stream_dedup(s.drop("batch") if "batch" in s.columns else s, delay="30 days"), "t_dedup")
+    dedup = run_available(stream_dedup(s.drop("batch") if "batch" in s.columns else s, delay="30 days"), f"{tmpdir_path}/t_dedup")
     assert dedup.count() == 60 and dedup.select("id").distinct().count() == 60
 
-    weekly = run_available(stream_weekly(stream_dedup(s, delay="1 day"), delay=None), "t_weekly")
+    weekly = run_available(stream_weekly(stream_dedup(s, delay="1 day"), delay=None), f"{tmpdir_path}/t_weekly")
     got = {r.week_start: r.nb_seismes for r in weekly.collect()}
     allrows = spark.createDataFrame(a + _rows(40, 20, 20), SCHEMA)
     maxts = max(r[1] for r in a + _rows(40, 20, 20))
@@ -60,8 +60,27 @@ def test_stream_sliding_windows_equal_batch_when_closed(spark, tmpdir_path):
     rows = _rows(0, 60, 0)
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{land}/batch=1")
     s = stream_events(spark, land, SCHEMA, pattern="batch=*").withWatermark("time_utc", "1 hour")
-    got = {(r.window_start, r.n) for r in run_available(sliding_counts(s), "t_slide").collect()}
+    got = {(r.window_start, r.n) for r in run_available(sliding_counts(s), f"{tmpdir_path}/t_slide").collect()}
     batch = sliding_counts(spark.createDataFrame(rows, SCHEMA)).collect()
     maxts = max(r[1] for r in rows)
     closed = {(r.window_start, r.n) for r in batch if r.window_end <= maxts - dt.timedelta(hours=1)}
     assert got == closed and len(closed) > 10
+
+
+def test_second_run_reads_only_new_files(spark, tmpdir_path):
+    land, place = f"{tmpdir_path}/landing4", f"{tmpdir_path}/place"
+    a = _rows(0, 20, 0)
+    spark.createDataFrame(a, SCHEMA).coalesce(1).write.parquet(f"{land}/batch=1")
+
+    def run():
+        s = stream_events(spark, land, SCHEMA, pattern="batch=*").withColumn("file", F.input_file_name())
+        return run_available(stream_dedup(s, delay="30 days").select("id", "file"), place)
+
+    assert run().count() == 20
+    files = spark.read.parquet(f"{place}/table").inputFiles()
+    assert run().count() == 20                                   # nothing new: nothing read, nothing written
+    assert sorted(spark.read.parquet(f"{place}/table").inputFiles()) == sorted(files)
+    spark.createDataFrame(a[10:] + _rows(20, 10, 10), SCHEMA).coalesce(1).write.parquet(f"{land}/batch=2")
+    out = run()                                                  # ids 10..19 are known from the kept state
+    assert out.count() == 30 and out.select("id").distinct().count() == 30
+    assert {r.id for r in out.where(F.col("file").rlike("batch(=|%3D)2")).collect()} == set(range(20, 30))

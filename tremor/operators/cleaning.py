@@ -134,6 +134,17 @@ def date_chunks(df: DataFrame, years: int = 1, ts: str = "time_utc") -> DataFram
             .select("chunk_start", "chunk_end"))
 
 
+def with_chunk(df: DataFrame, years: int = 1, ts: str = "time_utc") -> DataFrame:
+    """S3 + S4 in one scan: each row with the start of its n-year chunk of the
+    data's own range (:func:`date_chunks`), instead of one scan per chunk and
+    a union.  Rows without a time are in no chunk."""
+    from tremor.operators.common import attach_row
+    out = attach_row(df.where(F.col(ts).isNotNull()), df.agg(F.to_date(F.min(ts)).alias("__lo")))
+    months = F.months_between(F.to_date(ts), F.col("__lo"))
+    back = F.add_months("__lo", (F.floor(months / (12 * years)) * (12 * years)).cast("int"))
+    return out.withColumn("chunk_start", back).drop("__lo")
+
+
 def union_chunks(dfs) -> DataFrame:
     """Union of chunk scans by column name (missing columns become NULL)."""
     dfs = list(dfs)
@@ -145,15 +156,17 @@ def union_chunks(dfs) -> DataFrame:
 
 def dedup_first(df: DataFrame, key: str, ts: str = "time_utc") -> DataFrame:
     """Keep the earliest row per key; ties broken by the other columns.
+    Rows without a time come after all others of their key, so a key whose
+    rows have none keeps one of them.
 
     ``min_by`` over a struct is an ordinary aggregate with a map-side
     partial step, so a key holding a third of all rows is pre-reduced in
     every task instead of being sorted in one.
     """
     others = [c for c in df.columns if c not in (key, ts)]
-    order_key = F.struct(F.col(ts), *[F.col(c) for c in others])
+    order_key = F.struct(F.col(ts).isNull().alias("__late"), F.col(ts), *[F.col(c) for c in others])
     packed = F.min_by(F.struct(*[F.col(c) for c in df.columns if c != key]), order_key)
-    return df.where(F.col(ts).isNotNull()).groupBy(key).agg(packed.alias("__r")).select(key, "__r.*")
+    return df.groupBy(key).agg(packed.alias("__r")).select(key, "__r.*")
 
 
 def dup_count(df: DataFrame) -> DataFrame:
@@ -169,23 +182,28 @@ def with_empty_default(df: DataFrame, aggs: dict[str, Column], defaults: dict[st
                        for n in aggs])
 
 
+def seeded_hash(key: str, seed: int) -> Column:
+    """md5 of ``key:seed``: a hash that any SQL engine computes alike."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "id", slack: float = 0.05) -> DataFrame:
     """Deterministic sample of exactly ``min(n, rows)`` rows without
     replacement: the ``n`` rows with the smallest seeded hash of the key.
 
     A plain ``orderBy().limit(n)`` would gather ``n`` rows from every input
-    partition into one task.  Instead the hash (uniform over the 64-bit
+    partition into one task.  Instead the hash (md5 text, uniform over its
     range) is first cut at the quantile n/rows plus a margin — a filter,
     computed in every task — and only the ~n candidates are sorted.  The
     result is exact: every row outside the cut hashes above every
     candidate; if the cut ever keeps fewer than n rows, it is widened.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = seeded_hash(key, seed)
     total = df.count()
     if total <= n:
         return df
-    # position of the hash in [0, 1): (h + 2^63) / 2^64
-    pos = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    # position of the hash in [0, 1), from its first 48 bits
+    pos = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(2.0 ** 48)
     frac = min(1.0, n / total * (1 + slack) + 10.0 / total)
     while True:
         cand = materialize(df.where(pos < F.lit(frac)))

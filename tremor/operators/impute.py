@@ -29,20 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
+from tremor.operators.quantiles import exact_quantile
 from tremor.session import cut_lineage
 
 
-def impute_median(df: DataFrame, cols, exact=True) -> DataFrame:
-    """NULL -> the column's median over the batch (one global aggregate,
-    attached to every row as a scalar subquery).
+def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
+    """NULL -> the column's median over the batch, attached to every row
+    as a scalar subquery.
 
-    ``exact``: True (Spark's exact percentile: memory grows with the
-    column's distinct values), False (sketch) or "refined" (exact with
-    bounded memory, :func:`tremor.operators.quantiles.exact_quantile`).
+    ``exact``: True (exact with bounded memory,
+    :func:`tremor.operators.quantiles.exact_quantile`, only for columns that
+    have something to fill) or False (a quantile sketch).
     """
     cols = list(cols)
-    if exact == "refined":
-        from tremor.operators.quantiles import exact_quantile
+    if exact:
         # one aggregate (one row) tells which columns have anything to fill
         nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
         cols = [c for c in cols if nulls[c]]
@@ -53,8 +53,7 @@ def impute_median(df: DataFrame, cols, exact=True) -> DataFrame:
             q = exact_quantile(df, c, 0.5, [], out=f"__med_{c}")
             stats = q if stats is None else attach_row(stats, q)
     else:
-        med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-        stats = df.agg(*[med(c).alias(f"__med_{c}") for c in cols])
+        stats = df.agg(*[F.percentile_approx(c, 0.5, 10000).alias(f"__med_{c}") for c in cols])
     out = attach_row(df, stats)
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols}).drop(
         *[f"__med_{c}" for c in cols])
@@ -176,9 +175,14 @@ def impute_knn_many(df: DataFrame, targets, feats=("latitude", "longitude", "hou
     means = knn_means(df, targets, feats, k, id_col, base)
     wide = means.groupBy(*feats).pivot("__t", list(range(len(targets)))).agg(F.first("__knn"))
     wide = wide.select(*feats, *[F.col(f"`{i}`").alias(f"__knn_{i}") for i in range(len(targets))])
-    out = df.join(wide, feats, "left")
-    return out.withColumns({t: F.coalesce(F.col(t), F.col(f"__knn_{i}")) for i, t in enumerate(targets)}).drop(
-        *[f"__knn_{i}" for i in range(len(targets))])
+    # only rows with something to fill meet the means; the rest pass by, so a
+    # hot location's complete rows are not shuffled onto one key
+    lacking = F.col(targets[0]).isNull()
+    for t in targets[1:]:
+        lacking = lacking | F.col(t).isNull()
+    out = df.where(lacking).join(wide, feats, "left")
+    out = out.withColumns({t: F.coalesce(F.col(t), F.col(f"__knn_{i}")) for i, t in enumerate(targets)}).select(*df.columns)
+    return out.unionByName(df.where(~lacking))
 
 
 def impute_knn(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,

@@ -15,13 +15,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
 from tremor.operators.windows import interpolate
-
-
-def week_spine(df: DataFrame, date: str = "date", step_days: int = 7) -> DataFrame:
-    """All labels from min(date) to max(date) every ``step_days`` days (A26 bounds)."""
-    bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    return bounds.select(F.explode(
-        F.sequence("lo", "hi", F.expr(f"INTERVAL {step_days} DAYS"))).alias(date))
+from tremor.session import materialize
 
 
 def _fill_forward(df: DataFrame, date: str, upto, keep_cols, step_days: int = 7,
@@ -61,15 +55,14 @@ def dense_grid(df: DataFrame, date: str = "date", zone: str = "zone",
     """Every (week, zone) cell between the global first and last week;
     absent cells count 0.
 
-    The global bounds are window aggregates over the rollup rows; each zone
-    row emits the missing weeks up to its zone's next row (the last row up
+    The global bounds are one aggregate over the rollup, attached as a scalar
+    subquery (the rollup is written once); each zone row emits the missing weeks up to its zone's next row (the last row up
     to the global end, the first row also back to the global start).  No
     cartesian product and no second pass over the events.
     """
-    allw = Window.partitionBy()
     zw = Window.partitionBy(zone).orderBy(date)
-    base = (df.select(date, zone, value)
-            .withColumn("__lo", F.min(date).over(allw)).withColumn("__hi", F.max(date).over(allw))
+    df = materialize(df.select(date, zone, value))
+    base = (attach_row(df, df.agg(F.min(date).alias("__lo"), F.max(date).alias("__hi")))
             .withColumn("__next", F.lead(date).over(zw))
             .withColumn("__first", F.row_number().over(zw) == 1))
     upto = F.coalesce(F.date_sub("__next", step_days), F.col("__hi"))

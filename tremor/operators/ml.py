@@ -8,8 +8,9 @@ so calibration residual quantiles are added to the central prediction.
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkContext
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
@@ -38,16 +39,61 @@ def train_rf(train: DataFrame, feats, label: str = "nb_seismes", num_trees: int
     return rf.fit(assemble(train, list(feats)))
 
 
+def truncate(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The boosted model's first ``rounds`` trees as a model of their own."""
+    if rounds >= model.getNumTrees:
+        return model
+    sc = SparkContext._active_spark_context
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    some = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    share = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        some[i], share[i] = trees[i], float(weights[i])
+    cut = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{model.uid}_{rounds}", some, share)
+    return GBTRegressionModel(cut).setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def train_gbt(train: DataFrame, feats, label: str = "nb_seismes", max_iter: int = 1000,
               step: float = 0.03, max_depth: int = 5, subsample: float = 0.8,
-              validation_col: str | None = None, seed: int = 42):
-    """M7: boosted trees; early stopping watches ``validation_col`` rows (a
-    validation slice, never the test set — SURVEY D9)."""
-    kw = dict(maxIter=max_iter, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample,
-              featureSubsetStrategy="0.8", seed=seed, labelCol=label, featuresCol="features")
-    if validation_col:
-        kw.update(validationIndicatorCol=validation_col, validationTol=0.01)
-    return GBTRegressor(**kw).fit(assemble(train, list(feats)))
+              validation_col: str | None = None, patience: int = 50, seed: int = 42, partitions: int | None = 1):
+    """M7: boosted trees.
+
+    With ``validation_col`` (a validation slice, never the test set — SURVEY
+    D9) the number of rounds is the one with the least validation error,
+    taken once ``patience`` further rounds brought nothing better; the model
+    keeps exactly these trees.  Rounds are fitted in growing batches, since
+    a fit with more rounds begins with the same trees.  Without it all
+    ``max_iter`` rounds are kept.  MLlib's own early stop ends at the first
+    small gain, which with small steps is the first round, so it is not used.
+
+    Training rows are rollup rows (a row per week or zone-week); ``partitions``
+    keeps them together, as a round is a handful of tiny jobs.  None leaves
+    them as they come, for tables of many zones.
+    """
+    rows = assemble(train, list(feats))
+    if partitions:
+        rows = rows.coalesce(partitions)
+    rows = materialize(rows.select("features", F.col(label).cast("double").alias(label), *([validation_col] if validation_col else [])))
+
+    def fit(part, rounds):
+        return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy="0.8",
+                            seed=seed, labelCol=label, featuresCol="features").fit(part)
+
+    if not validation_col:
+        return fit(rows, max_iter)
+    part, check = rows.where(~F.col(validation_col)), rows.where(F.col(validation_col))
+    rounds = min(max_iter, 2 * patience)
+    while True:
+        model = fit(part, rounds)
+        errors = model.evaluateEachIteration(check, "squared")
+        best = min(range(len(errors)), key=errors.__getitem__)
+        if rounds >= max_iter or best + patience < rounds:
+            return truncate(model, best + 1)
+        rounds = min(max_iter, 2 * rounds)
+
+
+# The three boosted configurations (rounds, step, depth).
+GBT_CONFIGS = {"gbt": (1000, 0.03, 5), "gbt_walk_forward": (500, 0.05, 5), "gbt_zone": (200, 0.05, 6)}
 
 
 def predict(model, df: DataFrame, feats, out: str = "yhat") -> DataFrame:
@@ -91,8 +137,3 @@ def walk_forward(df: DataFrame, feats, fit, n_splits: int = 5, order: str = "dat
         mae = scored.agg(F.avg(F.abs(F.col(label) - F.col("yhat"))).alias("mae")).withColumn("fold", F.lit(f))
         out = mae if out is None else out.unionByName(mae)
     return out
-
-
-def rank_order(df: DataFrame, order: str = "date") -> DataFrame:
-    """Row number along ``order`` (small, post-rollup tables only)."""
-    return df.withColumn("__rn", F.row_number().over(Window.orderBy(order)))

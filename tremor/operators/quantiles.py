@@ -1,83 +1,126 @@
-"""Exact grouped quantiles with bounded memory (histogram refinement).
+"""Exact grouped quantiles with bounded memory, for any distribution.
 
 Spark's exact ``percentile`` keeps, per group, a map of distinct value ->
 count; for continuous values in a huge group (a week holding a third of
-all events) that map is the group itself.  This operator is exact too but
-never holds more than ``small`` values of one group in one place:
-
-1. one aggregate gives per group n, min, max; the target ranks are
-   floor((n-1)p) and ceil((n-1)p) (linear interpolation, as pandas, NumPy
-   and Spark's ``percentile``);
-2. each round buckets the values still inside every target's [lo, hi]
-   into ``buckets`` equal-width bins (an aggregate of bin counts with
-   their min/max), picks the bin holding the rank and narrows [lo, hi] to
-   that bin's own min/max;
-3. a target is resolved when its bin holds one distinct value or at most
-   ``small`` values — those are collected (bounded) and indexed.
-
-Every round is one pass over the values joined with the small target
-table (one row per group and rank); the shuffle carries bin counts only.
+all events) that map is the group itself.  Here no task ever holds more than
+``small`` values of a group:
+
+* a group whose open interval of candidates holds at most ``small`` values
+  collects and sorts them (one aggregate, bounded) and reads the two ranks
+  floor((n-1)p) and ceil((n-1)p) (linear interpolation, as pandas, NumPy and
+  Spark's ``percentile``);
+* a larger one is narrowed first: a quantile sketch of the candidates gives
+  two of their own values that bracket the rank, one aggregate counts the
+  candidates below, at, between and above them, and the interval becomes
+  the part that holds the rank, or the rank is one of the two values.
+
+The bracket is cut by rank, not by value, so skewed values, infinities and
+repeated values cost no more rounds; every round keeps about 1/200 of the
+candidates and drops at least the two values themselves, so it ends.  The
+work is counted aggregates with map-side combining; the shuffle carries one
+row per task and group.  Both paths (below and above ``small``) give the same
+value, the exact quantile.
+
+NULL and NaN are missing.  A group without values has NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.operators.common import attach_row
 from tremor.session import materialize
 
+GRID = 512                      # sketch quantiles; a bracket spans two or three steps
+SMALL = 4096
+
+
+def _attach(vals: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """State columns on every row: by scalar subquery for the global group,
+    else by a null-safe equi-join (groups may have NULL keys)."""
+    if not by:
+        return attach_row(vals, state)
+    s = state.select(*[F.col(c).alias(f"__k_{c}") for c in by], *[c for c in state.columns if c not in by])
+    same = [vals[c].eqNullSafe(s[f"__k_{c}"]) for c in by]
+    return vals.join(s, same).drop(*[f"__k_{c}" for c in by])
 
-def exact_quantile(df: DataFrame, col: str, p: float, by, buckets: int = 1024, small: int = 50000,
-                   max_rounds: int = 12, out: str | None = None) -> DataFrame:
-    """One row per group: the exact ``p`` quantile of ``col`` (NULLs ignored).
 
-    ``by=[]`` gives one global row (a constant key keeps every join an
-    equi-join).
-    """
+def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, out: str | None = None) -> DataFrame:
+    """One row per group: the exact ``p`` quantile of ``col``; ``by=[]`` gives
+    one global row.  ``df`` is evaluated once."""
     by = list(by)
     out = out or f"q_{col}"
-    if not by:
-        res = exact_quantile(df.withColumn("__all", F.lit(0)), col, p, ["__all"], buckets, small, max_rounds, out)
-        return res.drop("__all")
-    vals = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
-    stats = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
-                                  F.max("__v").alias("__hi"))
+    value = F.col(col).cast("double")
+    vals = materialize(df.select(*by, F.when(~F.isnan(value), value).alias("__v")))
     h = (F.col("__n") - 1) * F.lit(float(p))
-    targets = stats.select(*by, "__lo", "__hi", h.alias("__h"),
-                           F.explode(F.array(F.floor(h).cast("long"), F.ceil(h).cast("long"))).alias("__rank"))
-    state = materialize(targets.dropDuplicates(by + ["__rank"]).withColumn("__below", F.lit(0).cast("long"))
-                        .withColumn("__val", F.when(F.col("__lo") == F.col("__hi"), F.col("__lo"))))
-    keys = by + ["__rank"]
-    for _ in range(max_rounds):
-        active = state.where(F.col("__val").isNull())
-        if active.isEmpty():
-            break
-        cand = vals.join(active.select(*keys, "__lo", "__hi", "__below"), by).where(
-            F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        width = F.col("__hi") - F.col("__lo")
-        b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(buckets)), F.lit(buckets - 1))
-        bins = cand.groupBy(*keys, "__below", b.cast("long").alias("__b")).agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"))
-        w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-        cum = F.sum("__c").over(w)
-        picked = (bins.withColumn("__cum", cum)
-                  .where((F.col("__below") + F.col("__cum") - F.col("__c") <= F.col("__rank"))
-                         & (F.col("__rank") < F.col("__below") + F.col("__cum")))
-                  .select(*keys, F.col("__bmin").alias("__lo"), F.col("__bmax").alias("__hi"),
-                          (F.col("__below") + F.col("__cum") - F.col("__c")).alias("__below"), "__c"))
-        # small bins: collect their values (bounded by `small`) and index the rank
-        few = picked.where((F.col("__c") <= small) & (F.col("__lo") < F.col("__hi")))
-        got = (vals.join(few.select(*keys, "__lo", "__hi", "__below"), by)
-               .where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-               .groupBy(*keys, "__below").agg(F.sort_array(F.collect_list("__v")).alias("__xs"))
-               .select(*keys, F.element_at("__xs", (F.col("__rank") - F.col("__below") + 1).cast("int")).alias("__got")))
-        nxt = (picked.join(got, keys, "left")
-               .withColumn("__val", F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(F.col("__got")))
-               .select(*keys, "__lo", "__hi", "__below", "__val"))
-        done = state.where(F.col("__val").isNotNull()).select(*keys, "__lo", "__hi", "__below", "__val")
-        h_tab = state.select(*keys, "__h")
-        state = materialize(done.unionByName(nxt).join(h_tab, keys))
-    lo_v = F.min_by("__val", "__rank")
-    hi_v = F.max_by("__val", "__rank")
-    frac = F.first("__h") - F.floor(F.first("__h"))
-    return state.groupBy(*by).agg((lo_v + frac * (hi_v - lo_v)).alias(out))
+    # interval (lo, hi) open and unbounded at first; below: values at or under lo
+    state = materialize(vals.groupBy(*by).agg(F.count("__v").alias("__n")).select(
+        *by, F.col("__n"), F.greatest(F.floor(h), F.lit(0)).cast("long").alias("__k"), F.col("__n").alias("__c"),
+        F.lit(0).cast("long").alias("__below"), F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
+        F.lit(None).cast("double").alias("__at"), F.lit(None).cast("double").alias("__next")))
+    inside = ((F.col("__lo").isNull() | (F.col("__v") > F.col("__lo"))) & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi"))))
+    present = vals.where(F.col("__v").isNotNull())
+    open_state = ["__k", "__c", "__below", "__lo", "__hi"]
+
+    rounds = 0
+    while not (wide := state.where((F.col("__c") > small) & F.col("__at").isNull())).isEmpty():
+        rounds += 1
+        if rounds > 64:
+            raise RuntimeError(f"quantile of {col} did not narrow")
+        cand = _attach(present, wide.select(*by, *open_state), by).where(inside)
+        grid = [i / GRID for i in range(GRID + 1)]
+        sketch = cand.groupBy(*by, *open_state).agg(F.percentile_approx("__v", grid, 10 * GRID).alias("__g"))
+        place = (F.col("__k") - F.col("__below") + F.lit(0.5)) / F.col("__c") * GRID
+        cut = sketch.select(*by, *open_state,
+                            F.element_at("__g", F.greatest(F.floor(place), F.lit(1)).cast("int")).alias("__a"),
+                            F.element_at("__g", F.least(F.ceil(place) + 2, F.lit(GRID + 1)).cast("int")).alias("__b"))
+        cut = materialize(cut)
+        v, a, b = F.col("__v"), F.col("__a"), F.col("__b")
+        counted = (_attach(present, cut, by).where(inside).groupBy(*by, *open_state, "__a", "__b").agg(
+            F.count_if(v < a).alias("__lt"), F.count_if(v == a).alias("__ea"), F.count_if((v > a) & (v < b)).alias("__mid"),
+            F.count_if((v == b) & (b > a)).alias("__eb"), F.count_if(v > b).alias("__gt"),
+            F.min(F.when(v > a, v)).alias("__na"), F.min(F.when(v > b, v)).alias("__nb")))
+        r = F.col("__k") - F.col("__below")
+        e1 = F.col("__lt")
+        e2 = e1 + F.col("__ea")
+        e3 = e2 + F.col("__mid")
+        e4 = e3 + F.col("__eb")
+        part = F.when(r < e1, 0).when(r < e2, 1).when(r < e3, 2).when(r < e4, 3).otherwise(4)
+
+        def pick(*choices):
+            w = F.when(F.col("__p") == 0, choices[0])
+            for i, c in enumerate(choices[1:], 1):
+                w = w.when(F.col("__p") == i, c)
+            return w
+
+        none = F.lit(None).cast("double")
+        after_a = F.when(r + 1 < e2, a).otherwise(F.coalesce("__na", "__hi"))
+        after_b = F.when(r + 1 < e4, b).otherwise(F.coalesce("__nb", "__hi"))
+        zero = F.lit(0).cast("long")
+        below = F.col("__below")
+        moved = counted.withColumn("__p", part).select(
+            *by, "__k", pick(F.col("__lt"), zero, F.col("__mid"), zero, F.col("__gt")).alias("__c"),
+            pick(below, below, below + e2, below, below + e4).alias("__below"),
+            pick(F.col("__lo"), none, a, none, b).alias("__lo"), pick(a, none, b, none, F.col("__hi")).alias("__hi"),
+            pick(none, a, none, b, none).alias("__at"), pick(none, after_a, none, after_b, none).alias("__next"))
+        total = _attach(moved, state.select(*by, "__n"), by).select(*state.columns)
+        rest = state.where(~((F.col("__c") > small) & F.col("__at").isNull()))
+        state = materialize(rest.unionByName(total))
+
+    left = state.where(F.col("__at").isNull() & (F.col("__c") > 0))
+    lists = (_attach(present, left.select(*by, *open_state), by).where(inside).groupBy(*by, *open_state)
+             .agg(F.sort_array(F.collect_list("__v")).alias("__x")))
+    r = (F.col("__k") - F.col("__below")).cast("int")
+    found = lists.select(*by, F.get("__x", r).alias("__a0"), F.coalesce(F.get("__x", r + 1), F.col("__hi")).alias("__a1"))
+    done = state.where(F.col("__at").isNotNull()).select(*by, F.col("__at").alias("__a0"), F.col("__next").alias("__a1"))
+    both = found.unionByName(done)
+    if by:
+        s = state.select(*by, "__n", "__k")
+        b2 = both.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__a0", "__a1")
+        res = s.join(b2, [s[c].eqNullSafe(b2[f"__k_{c}"]) for c in by], "left")
+    else:
+        res = attach_row(state.select("__n", "__k"), both.agg(F.max("__a0").alias("__a0"), F.max("__a1").alias("__a1")))
+    frac = h - F.col("__k")
+    a0, a1 = F.col("__a0"), F.col("__a1")
+    return res.select(*by, F.when((frac <= 0) | a1.isNull() | (a0 == a1), a0).otherwise(a0 + frac * (a1 - a0)).alias(out))

@@ -12,13 +12,8 @@ from pyspark.sql import functions as F
 
 from tremor.functions.scalars import energy
 from tremor.functions.weeks import week_label
-
-
-def _median(col: str, exact):
-    # Exact median buffers the distinct values of a group; the sketch keeps
-    # memory bounded for very large groups; "refined" is exact
-    # with bounded memory and is computed outside this aggregate.
-    return F.median(col) if exact is True or exact == "exact" else F.percentile_approx(col, 0.5, 10000)
+from tremor.operators.common import attach_row
+from tremor.operators.quantiles import exact_quantile
 
 
 def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
@@ -27,21 +22,19 @@ def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
     """A1 + A3: one row per week (and ``by`` keys) with count, magnitude stats,
     mean depth, tsunami sum, distinct places and (optionally) energy sum.
 
-    ``exact_median``: True/"exact" (Spark's exact percentile: memory grows
-    with a week's distinct magnitudes), False/"approx" (bounded sketch), or
-    "refined" (exact with bounded memory, :mod:`tremor.operators.quantiles`,
-    a few extra passes).
+    ``exact_median``: True (exact with bounded memory,
+    :mod:`tremor.operators.quantiles`, over one projection of the events) or
+    False (a quantile sketch inside the same aggregate).
 
     Energy is fused into the same aggregate instead of a second pass + join
     (the notebook's J1); NULL magnitudes are skipped (SURVEY D7).
     """
     keys = [week_label(ts, mode).alias("date")] + [F.col(k) for k in (by or [])]
-    refined = exact_median == "refined"
     aggs = [
         F.count("id").alias("nb_seismes"),
         F.max("mag").alias("mag_max"),
         F.avg("mag").alias("mag_mean"),
-        *([] if refined else [_median("mag", exact_median).alias("mag_median")]),
+        *([] if exact_median else [F.percentile_approx("mag", 0.5, 10000).alias("mag_median")]),
         F.avg("depth_km").alias("depth_mean"),
         F.sum(F.col("tsunami").cast("bigint")).alias("tsunami_sum"),
         F.countDistinct("place").alias("nb_zones"),
@@ -50,14 +43,15 @@ def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
         aggs.append(F.sum(energy("mag")).alias("energy_sum"))
     src = df.where(F.col(ts).isNotNull())
     out = src.groupBy(*keys).agg(*aggs)
-    if not refined:
+    if not exact_median:
         return out
-    from tremor.operators.quantiles import exact_quantile
     group = ["date"] + list(by or [])
     med = exact_quantile(src.withColumn("date", week_label(ts, mode)), "mag", 0.5, group, out="mag_median")
     cols = out.columns
     cut = 4 + len(by or [])  # keys, nb_seismes, mag_max, mag_mean | mag_median | the rest
-    return out.join(med, group, "left").select(*cols[:cut], "mag_median", *cols[cut:])
+    right = med.select(*[F.col(c).alias(f"__m_{c}") for c in group], "mag_median")
+    same = [out[c].eqNullSafe(right[f"__m_{c}"]) for c in group]
+    return out.join(right, same, "left").select(*cols[:cut], "mag_median", *cols[cut:])
 
 
 def weekly_energy(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close") -> DataFrame:
@@ -68,9 +62,12 @@ def weekly_energy(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
 
 
 def week_snapshot(df: DataFrame, as_of: str, ts: str = "time_utc",
-                  null_mag_as_zero: bool = True) -> DataFrame:
+                  null_mag_as_zero: bool = False) -> DataFrame:
     """A2: single-row rollup of the Monday..Sunday week containing ``as_of``.
 
+    Energy skips NULL magnitudes as the history rows do (SURVEY D7);
+    ``null_mag_as_zero`` counts them as magnitude 0 (the serving variant).
+
     A global aggregate always yields exactly one row; ``coalesce`` gives the
     zero defaults of an empty week (S9).  The label is the week's Sunday.
     """
@@ -82,12 +79,14 @@ def week_snapshot(df: DataFrame, as_of: str, ts: str = "time_utc",
         F.count(F.lit(1)).alias("nb_seismes"),
         F.coalesce(F.max("mag"), F.lit(0.0)).alias("mag_max"),
         F.coalesce(F.avg("mag"), F.lit(0.0)).alias("mag_mean"),
-        F.coalesce(F.median("mag"), F.lit(0.0)).alias("mag_median"),
         F.coalesce(F.avg("depth_km"), F.lit(0.0)).alias("depth_mean"),
         F.coalesce(F.sum(F.coalesce(F.col("tsunami"), F.lit(0)).cast("bigint")), F.lit(0).cast("bigint")).alias("tsunami_sum"),
         F.countDistinct("place").alias("nb_zones"),
         F.coalesce(F.sum(energy("mag", null_as_zero=null_mag_as_zero)), F.lit(0.0)).alias("energy_sum"),
     )
+    agg = attach_row(agg, exact_quantile(wk, "mag", 0.5, [], out="mag_median")).select(
+        "nb_seismes", "mag_max", "mag_mean", F.coalesce("mag_median", F.lit(0.0)).alias("mag_median"),
+        "depth_mean", "tsunami_sum", "nb_zones", "energy_sum")
     return agg.select(F.date_add(F.to_date(start), 6).alias("date"), "*")
 
 

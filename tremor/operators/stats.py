@@ -73,8 +73,8 @@ def missing_report(df: DataFrame) -> DataFrame:
     cols = df.columns
     row = df.agg(F.count(F.lit(1)).alias("__rows"),
                  *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols])
-    long = _stack(row, cols + ["__rows"], "column_name", "missing_count")
-    long = _attach(long.where(F.col("column_name") != "__rows"), row.select("__rows"))
+    pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
+    long = row.selectExpr("__rows", f"stack({len(cols)}, {pairs}) AS (column_name, missing_count)")
     return (long.where(F.col("missing_count") > 0)
             .select("column_name", "missing_count",
                     F.round(F.col("missing_count") * 100.0 / F.col("__rows"), 2).alias("missing_pct"))

@@ -55,13 +55,16 @@ def interpolate(df: DataFrame, cols, order: str = "date", by=None) -> DataFrame:
     """
     w = _w(by, order)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    # the next value is the last one seen in descending order: a running frame
+    # (linear), where one that reaches forward from each row is quadratic
+    down = (Window.partitionBy(*([by] if isinstance(by, str) else by)) if by else Window).orderBy(F.desc("__rn"))
+    after = down.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("__rn", F.row_number().over(w))
     for c in cols:
         prev_v = F.last(c, ignorenulls=True).over(before)
         prev_i = F.last(F.when(F.col(c).isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
-        next_v = F.first(c, ignorenulls=True).over(after)
-        next_i = F.first(F.when(F.col(c).isNotNull(), F.col("__rn")), ignorenulls=True).over(after)
+        next_v = F.last(c, ignorenulls=True).over(after)
+        next_i = F.last(F.when(F.col(c).isNotNull(), F.col("__rn")), ignorenulls=True).over(after)
         filled = F.when(next_v.isNull(), prev_v).otherwise(
             prev_v + (next_v - prev_v) * (F.col("__rn") - prev_i) / (next_i - prev_i))
         out = out.withColumn(c, F.coalesce(F.col(c), filled))

@@ -24,6 +24,8 @@ from tremor.session import materialize
 from tremor.sources.documents import ordered_records, write_document
 from tremor.sources.history import freshness, log_run, upsert_period
 
+MAX_NETWORKS = 500              # categories that are encoded as columns
+
 
 def forecast_job(events: DataFrame, as_of: str, out_dir: str | None = None,
                  history: DataFrame | None = None, model=None, calibration: DataFrame | None = None,
@@ -74,36 +76,46 @@ def forecast_job(events: DataFrame, as_of: str, out_dir: str | None = None,
 
 
 def classification_job(events: DataFrame, as_of: str, out_dir: str | None = None, model_path: str | None = None,
-                       net_vocab: list[str] | None = None, lookback: str = "24 HOURS",
-                       ts: str = "time_utc") -> tuple[DataFrame, DataFrame]:
-    """L2: events of the look-back window -> prepared features -> classifier
-    (loaded from ``model_path`` when it exists, else trained on the whole
-    catalogue and saved there) -> scored records + one-row header (A8).
+                       lookback: str = "24 HOURS", ts: str = "time_utc", train: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """L2: events of the look-back window -> features imputed within that batch
+    -> classifier -> scored records + one-row header (A8).
 
+    The model and the network vocabulary it was fitted with live under
+    ``model_path`` (any file system Spark reads).  When nothing is there, both
+    are made from ``train`` (default: all events) and, with a path, saved.
     Records are written as JSON lines sorted by time (distributed), the
     header as one JSON row — never one row holding every record.
     """
-    import os
-
     from pyspark.ml.classification import RandomForestClassificationModel
 
     from tremor.operators.cleaning import lookback as look_back
     from tremor.operators.rollup import class_summary
     from tremor.plans.classification import prepare, score, train_classifier
     from tremor.sources.documents import write_records
+    from tremor.sources.files import load_model, path_exists, save_model
 
-    vocab = net_vocab or ["click", "error", "purchase", "search", "view"]
-    rows, names = prepare(events, vocab)
-    model = None
-    if model_path and os.path.exists(model_path):
-        model = RandomForestClassificationModel.load(model_path)
-    if model is None:
-        model = train_classifier(rows, names, num_trees=20, max_depth=6)
+    spark = events.sparkSession
+    if model_path and path_exists(spark, f"{model_path}/model"):
+        model = load_model(RandomForestClassificationModel, f"{model_path}/model")
+        vocab = [r.net for r in spark.read.parquet(f"{model_path}/vocabulary").orderBy("net").collect()]
+    else:
+        source = train if train is not None else events
+        nets = materialize(source.where(F.col("net").isNotNull()).select("net").distinct())
+        vocab = [r.net for r in nets.orderBy("net").limit(MAX_NETWORKS + 1).collect()]
+        if len(vocab) > MAX_NETWORKS:
+            raise ValueError(f"more than {MAX_NETWORKS} networks: give each its group before encoding")
+        rows, names = prepare(source, vocab)
+        model = train_classifier(rows, names)
         if model_path:
-            model.write().overwrite().save(model_path)
-    recent = look_back(rows, as_of, lookback, ts)
-    records = score(model, recent, names)
-    header = class_summary(records).select(F.lit(as_of).alias("period_end"), "*")
+            save_model(model, f"{model_path}/model")
+            nets.coalesce(1).write.mode("overwrite").parquet(f"{model_path}/vocabulary")
+    rows, names = prepare(look_back(events, as_of, lookback, ts), vocab)
+    records = materialize(score(model, rows, names))
+    end = F.lit(as_of).cast("timestamp_ntz")
+    header = class_summary(records).select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
+        F.date_format(end - F.expr(f"INTERVAL {lookback}"), "yyyy-MM-dd HH:mm:ss").alias("period_start"),
+        F.lit(as_of).alias("period_end"), F.lit("random_forest").alias("model_used"), "*")
     if out_dir:
         write_records(header, records, f"{out_dir}/classification", [F.desc(ts), F.asc("id")])
     return header, records
@@ -126,10 +138,11 @@ def monitoring_job(weekly: DataFrame, forecast_row: DataFrame, out_dir: str | No
 
 def run_all(spark: SparkSession, events: DataFrame, as_of: str, out_dir: str, jobs: dict | None = None) -> DataFrame:
     """Run the jobs in sequence, logging ok/failed per step to
-    ``out_dir/run_log`` (S12); returns the freshness table.  A failing job
+    ``out_dir/run_log`` with its real time (S12); returns the freshness table.  A failing job
     is logged and the next one still runs."""
     from tremor.plans.zones import risk_zones, zones_document
     jobs = jobs or {
+        "classification": lambda: classification_job(events, as_of, out_dir, model_path=f"{out_dir}/classifier"),
         "forecast": lambda: forecast_job(events, as_of, out_dir).count(),
         "zones": lambda: write_document(zones_document(risk_zones(events, as_of), as_of), f"{out_dir}/zones"),
     }
@@ -137,7 +150,7 @@ def run_all(spark: SparkSession, events: DataFrame, as_of: str, out_dir: str, jo
     for step, fn in jobs.items():
         try:
             fn()
-            log_run(spark, log, step, "ok", at=as_of)
+            log_run(spark, log, step, "ok")
         except Exception as e:  # noqa: BLE001 — the failure is recorded, not hidden
-            log_run(spark, log, step, "failed", str(e)[:500], at=as_of)
+            log_run(spark, log, step, "failed", str(e)[:500])
     return freshness(spark.read.parquet(log))

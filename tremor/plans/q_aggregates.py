@@ -210,6 +210,18 @@ def q_join_energy(spark, sf_dir):
     return finalize(joined.select("date", "nb_seismes", F.log1p("energy_sum").alias("log1p_energy_sum")))
 
 
+@register("J2_zone_counts_centres", f"""{WITH_LONG},
+    z AS (SELECT {wk()} AS date, zone, count(*) AS nb_seismes FROM quake_long GROUP BY 1, 2),
+    c AS (SELECT zone, avg(latitude) AS latitude, avg(longitude) AS longitude FROM quake_long GROUP BY zone)
+    SELECT {dstr('z.date')} AS date, CAST(z.zone AS BIGINT) AS zone, z.nb_seismes, {r6('c.latitude')} AS latitude,
+           {r6('c.longitude')} AS longitude
+    FROM z JOIN c ON z.zone = c.zone""")
+def q_zone_counts_centres(spark, sf_dir):
+    """Weekly counts per zone inner-joined with the zone centres."""
+    src = materialize(quake_long(spark, sf_dir).select("time_utc", "zone", "latitude", "longitude"))      # both sides read it
+    return finalize(J.join_inner(R.zone_weekly(src), R.zone_centroids(src), "zone"))
+
+
 @register("J2_J3_zone_map", f"""{WITH_LONG},
     z AS (SELECT {wk()} AS date, zone, count(*) AS nb_seismes FROM quake_long GROUP BY 1, 2),
     p AS (SELECT zone, nb_seismes FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY date DESC) AS rn FROM z) WHERE rn = 1),
@@ -219,7 +231,7 @@ def q_join_energy(spark, sf_dir):
     FROM p LEFT JOIN c ON p.zone = c.zone""")
 def q_zone_map(spark, sf_dir):
     """Persistence prediction per zone joined with the zone centres (map table)."""
-    src = quake_long(spark, sf_dir)
+    src = materialize(quake_long(spark, sf_dir).select("time_utc", "zone", "latitude", "longitude"))
     pred = W.persist_zone(R.zone_weekly(src)).select("zone", F.col("pred_seismes").cast("bigint").alias("pred_seismes"))
     return finalize(J.zone_map(pred, R.zone_centroids(src)))
 

@@ -3,12 +3,13 @@ classification plan (M4, M5, M18, A8, A27)."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.sql import functions as F
 
 from tremor.functions.scalars import time_parts
 from tremor.operators.cleaning import only_kind, range_filter
+from tremor.operators.common import attach_row
 from tremor.operators.encode import align, assemble, one_hot
 from tremor.operators.impute import impute_knn_many, impute_median
 from tremor.operators.rollup import class_summary
@@ -17,7 +18,10 @@ from tremor.plans.catalog import register
 from tremor.plans.classification import mag_class, prepare, score, train_classifier
 from tremor.plans.report import finalize, r6
 from tremor.plans.sqlparts import WITH_QUAKE
+from tremor.session import materialize
+from tremor.sources.files import load_model, save_model
 from tremor.sources.views import quake
+from tremor.streaming.events import stream_place
 
 # The network vocabulary of the one-hot encoding (the event
 # kinds present in the catalogue feed).
@@ -82,38 +86,81 @@ def _prepared(spark, sf_dir):
     return prepare(quake(spark, sf_dir), NET_VOCAB)
 
 
+def _held_out():
+    """A fifth of the events by id hash, never fitted on."""
+    return F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0
+
+
+def _fitted(spark, sf_dir):
+    rows, names = _prepared(spark, sf_dir)
+    rows = materialize(rows)
+    return rows, names, train_classifier(rows.where(~_held_out()), names)
+
+
 @register("L2_M4_M5_classification")
 def q_classify(spark, sf_dir):
-    """Serving classification: train on the prepared catalogue (label = class
-    cut of the magnitude), score every event; rows-only check."""
-    rows, names = _prepared(spark, sf_dir)
-    model = train_classifier(rows, names, num_trees=20, max_depth=6)
-    return finalize(score(model, rows, names).orderBy(F.desc("time_utc"), "id"))
+    """Serving classification: fitted on four fifths of the prepared catalogue
+    (label = class cut of the magnitude), saved, loaded again, every event
+    scored; ``held_out`` marks the events that were not fitted on."""
+    rows, names, model = _fitted(spark, sf_dir)
+    loaded = load_model(RandomForestClassificationModel, save_model(model, stream_place(spark, "l2-model")))
+    return finalize(score(loaded, rows, names).withColumn("held_out", _held_out().cast("bigint")).orderBy(F.desc("time_utc"), "id"))
+
+
+@register("S11_model_round_trip")
+def q_model_round_trip(spark, sf_dir):
+    """Scores of a fitted model and of the same model saved and loaded, per
+    class: both counts, equal rows, and accuracy and macro-F1 on the held-out
+    events."""
+    rows, names, model = _fitted(spark, sf_dir)
+    loaded = load_model(RandomForestClassificationModel, save_model(model, stream_place(spark, "s11-model")))
+    a = score(model, rows, names).select("id", "mag", F.col("mag_class_id").alias("before"))
+    b = score(loaded, rows, names).select("id", F.col("mag_class_id").alias("after"))
+    both = materialize(a.join(b, "id").withColumn("label", mag_class()))
+    held = class_metrics(both.where(_held_out() & F.col("label").isNotNull()), "label", "after").drop("n")
+    per = both.groupBy(F.col("before").alias("mag_class_id")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("before") == F.col("after")).alias("equal"))
+    return finalize(attach_row(per, held))
 
 
 @register("A8_class_summary")
 def q_class_summary(spark, sf_dir):
     """Header counts of the classification document."""
-    rows, names = _prepared(spark, sf_dir)
-    model = train_classifier(rows, names, num_trees=20, max_depth=6)
+    rows, names, model = _fitted(spark, sf_dir)
     return finalize(class_summary(score(model, rows, names)))
 
 
+@register("A27_class_metrics", f"""{WITH_QUAKE},
+    d AS (SELECT CASE WHEN mag < 4.0 THEN 0 WHEN mag < 6.0 THEN 1 ELSE 2 END AS y,
+                 CASE WHEN depth_km < 250 THEN 0 WHEN depth_km < 600 THEN 1 ELSE 2 END AS yhat
+          FROM quake WHERE mag IS NOT NULL AND depth_km IS NOT NULL),
+    c AS (SELECT y AS k FROM d UNION SELECT yhat FROM d),
+    p AS (SELECT k, (SELECT count(*) FROM d WHERE y = k AND yhat = k) AS tp, (SELECT count(*) FROM d WHERE y = k) AS nt,
+                 (SELECT count(*) FROM d WHERE yhat = k) AS np FROM c)
+    SELECT {r6('sum(tp) / sum(nt)')} AS accuracy, {r6('avg(CASE WHEN nt + np = 0 THEN 0.0 ELSE 2.0 * tp / (nt + np) END)')} AS f1_macro,
+           CAST(sum(nt) AS BIGINT) AS n FROM p""")
+def q_class_metrics(spark, sf_dir):
+    """Accuracy and macro-F1 of a depth rule against the magnitude class."""
+    df = quake(spark, sf_dir).where("mag is not null and depth_km is not null")
+    rule = F.when(F.col("depth_km") < 250, 0).when(F.col("depth_km") < 600, 1).otherwise(2)
+    return finalize(class_metrics(df.select(mag_class().alias("y"), rule.alias("yhat"))))
+
+
 @register("M18_A27_compare_classifiers")
 def q_compare_classifiers(spark, sf_dir):
     """Forest, boosted trees (one-vs-rest), decision tree, logistic regression
     and linear SVM (one-vs-rest) on an 80/20 split by id hash; accuracy and
     macro-F1 per model, best first."""
     rows, names = _prepared(spark, sf_dir)
-    data = assemble(rows.withColumn("label", mag_class().cast("double")), names).select("id", "features", "label")
-    data = data.withColumn("__test", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0).cache()
+    data = assemble(rows.withColumn("label", mag_class().cast("double")).where("label is not null"), names).select("id", "features", "label")
+    data = materialize(data.withColumn("__test", _held_out()))
     train, test = data.where(~F.col("__test")), data.where(F.col("__test"))
     models = {
-        "random_forest": RandomForestClassifier(numTrees=20, maxDepth=6, seed=42),
-        "gbt_ovr": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=4, seed=42)),
-        "decision_tree": DecisionTreeClassifier(maxDepth=6, seed=42),
-        "logistic": LogisticRegression(maxIter=50),
-        "linear_svc_ovr": OneVsRest(classifier=LinearSVC(maxIter=30)),
+        "random_forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=42),
+        "gbt_ovr": OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=5, seed=42)),
+        "decision_tree": DecisionTreeClassifier(maxDepth=8, seed=42),
+        "logistic": LogisticRegression(maxIter=100),
+        "linear_svc_ovr": OneVsRest(classifier=LinearSVC(maxIter=100)),
     }
     out = None
     for name, est in models.items():
@@ -123,7 +170,6 @@ def q_compare_classifiers(spark, sf_dir):
     return finalize(out.orderBy(F.desc("f1_macro"), "model"))
 
 
-
 _CLASS_SQL = "CASE WHEN mag < 4.0 THEN 0 WHEN mag < 6.0 THEN 1 ELSE 2 END"
 
 

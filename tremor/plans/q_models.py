@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremor.functions.scalars import nonneg_int
+from tremor.operators import joins as J
 from tremor.operators import ml
+from tremor.operators import rollup as R
 from tremor.operators.common import attach_row
 from tremor.operators import stats as ST
 from tremor.operators import windows as W
 from tremor.plans.catalog import register
-from tremor.plans.q_windows import _feature_sql, baseline_predictions, zone_features
+from tremor.plans.q_windows import _feature_sql, baseline_predictions
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql
 from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
@@ -66,7 +68,8 @@ def q_models(spark, sf_dir):
     train, test = _train_test(spark, sf_dir)
     fit_rows = train.where(~F.col("is_val"))
     rf = ml.train_rf(fit_rows, MODEL_FEATURES, num_trees=500, max_depth=10, min_leaf=5)
-    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=100, validation_col="is_val")
+    rounds, step, depth = ml.GBT_CONFIGS["gbt"]
+    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
     rows = []
     for name, model in (("random_forest", rf), ("gbt", gbt)):
         val = ml.predict(model, train.where("is_val"), MODEL_FEATURES).select(
@@ -85,10 +88,16 @@ def q_models(spark, sf_dir):
 @register("M11_walk_forward_gbt")
 def q_walk_forward(spark, sf_dir):
     """Walk-forward validation (5 expanding folds) of boosted trees: MAE per
-    fold summarised as mean ± population sd."""
+    fold summarised as mean ± population sd.  Up to 500 rounds a fold; the
+    last tenth of a fold's training weeks chooses their number."""
     feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
-    per_fold = ml.walk_forward(feats, MODEL_FEATURES,
-                               lambda tr: ml.train_gbt(tr, MODEL_FEATURES, max_iter=30, step=0.05))
+    rounds, step, depth = ml.GBT_CONFIGS["gbt_walk_forward"]
+
+    def fit(train):
+        part = W.holdout_frac(train.drop("is_test"), 0.9).withColumnRenamed("is_test", "is_val")
+        return ml.train_gbt(part, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
+
+    per_fold = ml.walk_forward(feats, MODEL_FEATURES, fit)
     return finalize(ST.cv_summary(per_fold, "mae"))
 
 
@@ -99,7 +108,7 @@ def q_forecast(spark, sf_dir):
     12 weeks of history (bounded array)."""
     feats = materialize(weekly_features(quake_long(spark, sf_dir)))
     train = W.holdout_last(feats.dropna(subset=MODEL_FEATURES + ["nb_seismes"]), 40).withColumnRenamed("is_test", "is_val")
-    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=100, validation_col="is_val")
+    gbt = ml.train_gbt(train, MODEL_FEATURES, validation_col="is_val")
     val = ml.predict(gbt, train.where("is_val"), MODEL_FEATURES).select(
         F.col("nb_seismes").cast("double").alias("y"), "yhat")
     nxt = ml.predict(gbt, next_features(feats).fillna(0.0), MODEL_FEATURES)
@@ -122,20 +131,23 @@ def q_forecast(spark, sf_dir):
 @register("M8_zone_forecast")
 def q_zone_forecast(spark, sf_dir):
     """Per-zone boosted trees with the zone as a feature on the dense zone
-    grid; split by week (last 20 % of weeks test); next-week prediction per
-    zone from its newest row."""
-    grid = materialize(zone_features(spark, sf_dir).dropna())
-    split = W.holdout_frac(grid.select("date").distinct(), 0.8)
-    data = grid.join(split, "date")
-    gbt = ml.train_gbt(data.where(~F.col("is_test")), ZONE_FEATURES, max_iter=30, step=0.1)
+    grid; split by week (last 20 % of weeks test).  The prediction row of each
+    zone is the appended next week, run through the same feature code."""
+    from tremor.plans.q_windows import zone_feature_columns
+    grid = materialize(J.dense_grid(R.zone_weekly(quake_long(spark, sf_dir))))
+    after = grid.agg(F.date_add(F.max("date"), 7).alias("date"))
+    future = attach_row(grid.select("zone").distinct(), after).select("date", "zone", F.lit(None).cast("bigint").alias("nb_seismes"))
+    rows = materialize(zone_feature_columns(grid.unionByName(future)))
+    known = rows.dropna()
+    data = known.join(W.holdout_frac(known.select("date").distinct(), 0.8), "date")
+    rounds, step, depth = ml.GBT_CONFIGS["gbt_zone"]
+    train = data.where(~F.col("is_test")).drop("is_test")
+    train = train.join(W.holdout_frac(train.select("date").distinct(), 0.9).withColumnRenamed("is_test", "is_val"), "date")
+    gbt = ml.train_gbt(train, ZONE_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
     test = ml.predict(gbt, data.where("is_test"), ZONE_FEATURES)
     mae = test.agg(F.avg(F.abs(F.col("nb_seismes") - F.col("yhat"))).alias("test_mae"))
-    latest = W.latest_per(grid, "zone", "date")
-    nxt = latest.select("zone", "date", F.col("nb_seismes").cast("double").alias("lag_1"),
-                        F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"), F.col("lag_3").alias("lag_4"),
-                        "rolling_mean_4", "rolling_mean_8", "rolling_std_4", "rolling_std_8")
-    pred = ml.predict(gbt, nxt, ZONE_FEATURES).select("zone", F.date_add("date", 7).alias("next_week"),
-                                                      nonneg_int("yhat").alias("pred_seismes"))
+    nxt = attach_row(rows, after.withColumnRenamed("date", "next_week")).where("date = next_week")
+    pred = ml.predict(gbt, nxt, ZONE_FEATURES).select("zone", "next_week", nonneg_int("yhat").alias("pred_seismes"))
     return finalize(attach_row(pred, mae).orderBy(F.desc("pred_seismes"), "zone"))
 
 
@@ -161,7 +173,7 @@ def q_forecast_consistent(spark, sf_dir):
     future = rows.orderBy(F.desc("date")).limit(1)
     train = W.holdout_last(rows.where(F.col("nb_seismes").isNotNull()).dropna(subset=CONSISTENT_FEATURES), 40)
     train = train.withColumnRenamed("is_test", "is_val")
-    gbt = ml.train_gbt(train, CONSISTENT_FEATURES, max_iter=100, validation_col="is_val")
+    gbt = ml.train_gbt(train, CONSISTENT_FEATURES, validation_col="is_val")
     val = ml.predict(gbt, train.where("is_val"), CONSISTENT_FEATURES).select(
         F.col("nb_seismes").cast("double").alias("y"), "yhat")
     band = ml.apply_interval(ml.predict(gbt, future, CONSISTENT_FEATURES), ml.conformal_bounds(val))

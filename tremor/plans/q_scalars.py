@@ -170,15 +170,15 @@ def q_date_chunks(spark, sf_dir):
     return finalize(C.date_chunks(quake_long(spark, sf_dir), years=1))
 
 
-@register("S4_union_chunks", f"""{WITH_LONG}
-    SELECT id, strftime(CAST(date_trunc('year', time_utc) AS DATE), '%Y-%m-%d') AS chunk_start
-    FROM quake_long WHERE time_utc >= TIMESTAMP '1995-01-01' AND time_utc < TIMESTAMP '2002-01-01'""")
+@register("S4_union_chunks", f"""{WITH_LONG},
+    b AS (SELECT CAST(min(time_utc) AS DATE) AS lo, CAST(max(time_utc) AS DATE) + 1 AS hi FROM quake_long),
+    s AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 YEAR)) AS DATE) AS chunk_start FROM b)
+    SELECT id, strftime((SELECT max(chunk_start) FROM s WHERE chunk_start <= time_utc), '%Y-%m-%d') AS chunk_start
+    FROM quake_long WHERE time_utc IS NOT NULL""")
 def q_union_chunks(spark, sf_dir):
-    """Chunked scans (one per year, S3 parameters) unioned by name."""
-    src = quake_long(spark, sf_dir)
-    parts = [C.scan_events(src, a, b, order=None).select("id", F.lit(a).alias("chunk_start"))
-             for a, b in C.date_chunks_list("1995-01-01", "2002-01-01", 1)]
-    return finalize(C.union_chunks(parts))
+    """All yearly chunks of the data's own range (S3) in one scan, the chunk
+    as a column."""
+    return finalize(C.with_chunk(quake_long(spark, sf_dir).select("id", "time_utc")).select("id", "chunk_start"))
 
 
 @register("S9_empty_default", f"""{WITH_QUAKE}
@@ -211,11 +211,13 @@ def q_top(spark, sf_dir):
                     .orderBy(F.desc_nulls_last("mag"), F.asc("id")).limit(20))
 
 
-@register("O4_sample_n")
+@register("O4_sample_n", f"""{WITH_QUAKE}
+    SELECT id, {r6('latitude')} AS latitude, {r6('longitude')} AS longitude FROM quake
+    ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 1000""")
 def q_sample(spark, sf_dir):
-    """Seeded sample of exactly 20,000 rows (or all rows when fewer) without
-    replacement, seed 42 — the clustering sample; rows check only."""
-    return finalize(C.sample_n(quake(spark, sf_dir).select("id", "latitude", "longitude"), 20000, seed=42))
+    """Seeded sample of exactly 1,000 rows without replacement, seed 42 (the
+    sample size is the feature)."""
+    return finalize(C.sample_n(quake(spark, sf_dir).select("id", "latitude", "longitude"), 1000, seed=42))
 
 
 @register("O5_union", f"""{WITH_QUAKE} SELECT id, type FROM quake""")
@@ -228,14 +230,27 @@ def q_union(spark, sf_dir):
 @register("A15_dedup_first", f"""{WITH_QUAKE}
     SELECT place, {tstr('time_utc')} AS time_utc, id, {r6('mag')} AS mag FROM (
       SELECT place, time_utc, id, mag,
-             row_number() OVER (PARTITION BY place ORDER BY time_utc, id, mag) AS rn FROM quake
-      WHERE time_utc IS NOT NULL) WHERE rn = 1""")
+             row_number() OVER (PARTITION BY place ORDER BY time_utc NULLS LAST, id, mag NULLS FIRST) AS rn FROM quake) WHERE rn = 1""")
 def q_dedup(spark, sf_dir):
     """Earliest event per place (keep-first dedup on a key)."""
     df = quake(spark, sf_dir).select("place", "time_utc", "id", "mag")
     return finalize(C.dedup_first(df, "place", "time_utc"))
 
 
+@register("A15_dedup_by_id", f"""{WITH_QUAKE},
+    d AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE time_utc END AS time_utc, mag FROM quake
+          UNION ALL SELECT id, CASE WHEN id % 10 = 0 THEN NULL ELSE time_utc - INTERVAL 1 HOUR END, mag FROM quake WHERE id % 3 = 0)
+    SELECT id, {tstr('time_utc')} AS time_utc, {r6('mag')} AS mag FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY time_utc NULLS LAST, mag NULLS FIRST) AS rn FROM d) WHERE rn = 1""")
+def q_dedup_id(spark, sf_dir):
+    """Keep-first dedup by id over re-delivered events, some without a time;
+    an id without any time is kept."""
+    df = quake(spark, sf_dir).select("id", "time_utc", "mag")
+    first = df.withColumn("time_utc", F.when(F.col("id") % 5 != 0, F.col("time_utc")))
+    again = df.where("id % 3 = 0").withColumn("time_utc", F.when(F.col("id") % 10 != 0, F.col("time_utc") - F.expr("INTERVAL 1 HOUR")))
+    return finalize(C.dedup_first(first.unionByName(again), "id", "time_utc"))
+
+
 @register("A16_dup_count", f"""{WITH_QUAKE}
     SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates
     FROM (SELECT count(*) AS n FROM quake GROUP BY net, place, tsunami)""")

@@ -3,21 +3,19 @@ table as a landing folder with ``trigger(availableNow=True)``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tremor.operators.cleaning import only_kind
 from tremor.operators.geo import nearest_centre, scaler_stats
 from tremor.plans.catalog import register
+from tremor.plans.q_zones import ZONED_SQL
 from tremor.plans.report import finalize, r6, tstr
 from tremor.plans.sqlparts import WITH_QUAKE
 from tremor.plans.zones import DEFAULT_CENTRES
-from tremor.session import checkpoint_dir
 from tremor.sources.tables import load_table
 from tremor.sources.views import quake, quake_rows
 from tremor.streaming.events import (run_available, sliding_counts, stream_dedup, stream_events,
-                                     stream_upsert, stream_weekly, with_event_time)
+                                     stream_place, stream_upsert, stream_weekly, with_event_time)
 
 
 def _stream_quakes(spark, sf_dir):
@@ -26,10 +24,10 @@ def _stream_quakes(spark, sf_dir):
     return with_event_time(quake_rows(ev))
 
 
-@register("T1_T2_stream_dedup")
+@register("T1_T2_stream_dedup", f"""{WITH_QUAKE} SELECT id, any_value(type) AS type FROM quake GROUP BY id""")
 def q_stream_dedup(spark, sf_dir):
     """File-stream ingest of the events folder, watermarked dedup by id."""
-    out = run_available(stream_dedup(_stream_quakes(spark, sf_dir)).select("id", "type"), "t2_dedup")
+    out = run_available(stream_dedup(_stream_quakes(spark, sf_dir)).select("id", "type"), stream_place(spark, "t2"))
     return finalize(out)
 
 
@@ -43,7 +41,7 @@ def q_stream_weekly(spark, sf_dir):
     """Monday weeks counted by a watermarked stream (append mode): only closed
     weeks are emitted, and they equal the batch rollup."""
     s = only_kind(_stream_quakes(spark, sf_dir))
-    return finalize(run_available(stream_weekly(s, delay="1 day"), "t3_weekly"))
+    return finalize(run_available(stream_weekly(s, delay="1 day"), stream_place(spark, "t3")))
 
 
 @register("T4_sliding_24h", f"""{WITH_QUAKE},
@@ -56,6 +54,16 @@ def q_sliding(spark, sf_dir):
     return finalize(sliding_counts(quake(spark, sf_dir).where(F.col("time_utc").isNotNull())))
 
 
+@register("T4_sliding_7d", f"""{WITH_QUAKE},
+    b AS (SELECT time_bucket(INTERVAL 1 DAY, time_utc) AS b0 FROM quake WHERE time_utc IS NOT NULL),
+    w AS (SELECT b0 - k * INTERVAL 1 DAY AS ws FROM b, (SELECT unnest(range(0, 7)) AS k) ks)
+    SELECT {tstr('ws')} AS window_start, {tstr("ws + INTERVAL 7 DAY")} AS window_end, count(*) AS n
+    FROM w GROUP BY ws""")
+def q_sliding_week(spark, sf_dir):
+    """7-day look-back windows sliding daily."""
+    return finalize(sliding_counts(quake(spark, sf_dir).where(F.col("time_utc").isNotNull()), length="7 days", slide="1 day"))
+
+
 @register("T5_stream_upsert", f"""{WITH_QUAKE}
     SELECT strftime(CAST(date_trunc('week', time_utc) AS DATE), '%Y-%m-%d') AS week_start, count(*) AS nb_seismes,
            {r6('max(mag)')} AS mag_max
@@ -67,11 +75,10 @@ def q_stream_upsert(spark, sf_dir):
     agg = (s.groupBy(F.window("time_utc", "7 days", startTime="4 days").alias("w"))
            .agg(F.count(F.lit(1)).alias("nb_seismes"), F.max("mag").alias("mag_max"))
            .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("week_start"), "nb_seismes", "mag_max"))
-    table = f"{checkpoint_dir(spark).rstrip('/')}/weekly-upsert-{uuid.uuid4().hex}"
-    return finalize(stream_upsert(agg, table, "week_start").select("week_start", "nb_seismes", "mag_max"))
+    return finalize(stream_upsert(agg, stream_place(spark, "t5"), "week_start").select("week_start", "nb_seismes", "mag_max"))
 
 
-@register("T6_stream_zones")
+@register("T6_stream_zones", f"""{ZONED_SQL} SELECT id, CAST(zone AS BIGINT) AS zone FROM zoned""")
 def q_stream_zones(spark, sf_dir):
     """Stream-static zone assignment: scales from the batch table (one row,
     broadcast), nearest of the ten centres per streamed event."""
@@ -79,4 +86,4 @@ def q_stream_zones(spark, sf_dir):
     s = only_kind(_stream_quakes(spark, sf_dir)).join(F.broadcast(stats), on=F.lit(True), how="inner")
     zoned = s.select("id", nearest_centre(F.col("latitude"), F.col("longitude"), DEFAULT_CENTRES,
                                           F.col("latitude_sd"), F.col("longitude_sd")).alias("zone"))
-    return finalize(run_available(zoned, "t6_zones"))
+    return finalize(run_available(zoned, stream_place(spark, "t6")))

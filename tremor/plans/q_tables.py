@@ -13,7 +13,9 @@ from tremor.plans.q_weekly import log_energy_report
 from tremor.plans.q_windows import _BASE_SQL, baseline_predictions
 from tremor.plans.report import dstr, finalize, r6
 from tremor.plans.sqlparts import WITH_QUAKE, wk
-from tremor.sources.history import latest_metrics, upsert_period
+from tremor.session import materialize
+from tremor.sources.history import freshness, latest_metrics, upsert_period
+from tremor.sources.tables import load_table
 from tremor.sources.views import quake
 
 AS_OF = "2024-01-29 12:00:00"
@@ -35,7 +37,7 @@ _COLS = (f"{dstr('date')} AS date, nb_seismes, {r6('mag_max')} AS mag_max, {r6('
 def q_snapshot(spark, sf_dir):
     """Single-row rollup of the Monday..Sunday week containing as_of (serving
     semantics: NULL magnitude counts as energy 1); zeros if empty."""
-    return finalize(log_energy_report(week_snapshot(quake(spark, sf_dir), AS_OF)))
+    return finalize(log_energy_report(week_snapshot(quake(spark, sf_dir), AS_OF, null_mag_as_zero=True)))
 
 
 @register("S10_J6_upsert_week", f"""{WITH_QUAKE}, {SNAPSHOT_SQL},
@@ -51,32 +53,44 @@ def q_upsert(spark, sf_dir):
     the fresh snapshot — anti join on the period + union."""
     events = quake(spark, sf_dir)
     history = weekly_rollup(only_kind(events), mode="iso_end")
-    new = week_snapshot(events, AS_OF)
+    new = materialize(week_snapshot(events, AS_OF, null_mag_as_zero=True))      # read for its key and for the union
     return finalize(log_energy_report(upsert_period(history, new, "date")))
 
 
 @register("S13_metric_history", f"""{_BASE_SQL},
     e AS (SELECT * FROM p WHERE y IS NOT NULL AND yhat IS NOT NULL),
-    h AS (SELECT make_date(year(date), 12, 31) AS date, model, avg(abs(y - yhat)) AS mae,
+    m AS (SELECT make_date(year(date), 12, 31) AS date, model, avg(abs(y - yhat)) AS mae,
                  sqrt(avg((y - yhat) * (y - yhat))) AS rmse,
                  1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y)) AS r2
-          FROM e GROUP BY 1, 2)
-    SELECT model, {dstr('max(date)')} AS latest_date, {r6('arg_max(mae, date)')} AS latest_mae,
-           {r6('arg_max(rmse, date)')} AS latest_rmse, {r6('arg_max(r2, date)')} AS latest_r2,
-           {r6('min(mae)')} AS best_mae, {dstr('arg_min(date, (mae, date))')} AS best_date, count(*) AS runs
+          FROM e GROUP BY 1, 2),
+    h AS (SELECT * FROM m UNION ALL
+          SELECT max(date) + 7, model, NULL, NULL, NULL FROM m GROUP BY model)
+    SELECT model, {dstr('max(date)')} AS latest_date, {r6('arg_max(mae, date) FILTER (mae IS NOT NULL)')} AS latest_mae,
+           {r6('arg_max(rmse, date) FILTER (mae IS NOT NULL)')} AS latest_rmse, {r6('arg_max(r2, date) FILTER (mae IS NOT NULL)')} AS latest_r2,
+           {r6('min(mae)')} AS best_mae, {dstr('arg_min(date, (mae, date)) FILTER (mae IS NOT NULL)')} AS best_date, count(*) AS runs
     FROM h GROUP BY model""")
 def q_metric_history(spark, sf_dir):
-    """Metric history (one evaluation per model and year of the hold-out) and
-    its latest / best row per model."""
+    """Metric history (one evaluation per model and year of the hold-out, then
+    a run of each model that recorded no metrics) and its latest / best run."""
     p = baseline_predictions(spark, sf_dir)
     hist = ST.regression_metrics(p, "y", "yhat", by=[F.make_date(F.year("date"), F.lit(12), F.lit(31)).alias("date"), "model"])
-    return finalize(latest_metrics(hist.select("date", "model", "mae", "rmse", "r2")))
+    hist = materialize(hist.select("date", "model", "mae", "rmse", "r2"))
+    none = F.lit(None).cast("double")
+    bare = hist.groupBy("model").agg(F.date_add(F.max("date"), 7).alias("date")).select(
+        "date", "model", none.alias("mae"), none.alias("rmse"), none.alias("r2"))
+    return finalize(latest_metrics(hist.unionByName(bare)))
 
 
-@register("S12_output_freshness")
-def q_freshness(spark, sf_dir):
-    """Freshness of every input table file (exists, updated_at, size) from the
-    folder listing; rows-only check (the SQL side has no file listing)."""
-    from tremor.sources.history import output_freshness
-    from tremor.sources.tables import TABLES
-    return finalize(output_freshness(spark, sf_dir, list(TABLES)))
+@register("S12_run_freshness", """WITH log AS (
+      SELECT event_type AS step, date_trunc('hour', ts) AS last_run, event_id AS seq,
+             CASE WHEN value > 100 THEN 'failed' ELSE 'ok' END AS status, 'value ' || CAST(user_id AS VARCHAR) AS message FROM events)
+    SELECT step, strftime(max(last_run), '%Y-%m-%d %H:%M:%S.%f') AS last_run, arg_max(status, (last_run, seq)) AS status,
+           arg_max(message, (last_run, seq)) AS message, count(*) AS runs FROM log GROUP BY step""")
+def q_run_freshness(spark, sf_dir):
+    """Latest run per step of a log derived from the events (a run per event,
+    many at the same hour: the run sequence decides)."""
+    log = load_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("step"), F.date_trunc("hour", "ts").alias("last_run"), F.col("event_id").alias("seq"),
+        F.when(F.col("value") > 100, "failed").otherwise("ok").alias("status"),
+        F.concat(F.lit("value "), F.col("user_id").cast("string")).alias("message"))
+    return finalize(freshness(log))

@@ -135,7 +135,7 @@ def q_next_consistent(spark, sf_dir):
            {r6('ln(1 + energy_sum)')} AS log1p_energy_sum FROM w""")
 def q_weekly_rollup_refined(spark, sf_dir):
     """A1 with the bounded-memory exact median (histogram refinement)."""
-    return finalize(log_energy_report(weekly_rollup(quake_long(spark, sf_dir), exact_median="refined")))
+    return finalize(log_energy_report(weekly_rollup(quake_long(spark, sf_dir), exact_median=True)))
 
 
 _ZONE_TYPES = {"zone": "i", **_FEATURE_TYPES}

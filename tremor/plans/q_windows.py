@@ -31,7 +31,11 @@ ZONE_GRID_SQL = f"""{WITH_LONG},
 
 def zone_features(spark, sf_dir):
     """J5 + W8 + W9: dense zone x week grid with per-zone lags and rolling stats."""
-    grid = J.dense_grid(R.zone_weekly(quake_long(spark, sf_dir)))
+    return zone_feature_columns(J.dense_grid(R.zone_weekly(quake_long(spark, sf_dir))))
+
+
+def zone_feature_columns(grid):
+    """Lags and rolling statistics of a dense grid (date, zone, nb_seismes)."""
     out = W.add_lags(grid, "nb_seismes", [1, 2, 3, 4], by=["zone"], prefix="lag_")
     out = out.withColumns({f"lag_{k}": F.col(f"lag_{k}").cast("double") for k in [1, 2, 3, 4]})
     out = W.add_rolling(out, "nb_seismes", [4, 8], "mean", by=["zone"], prefix="rolling_mean_")

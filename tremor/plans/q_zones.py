@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremor.operators.cleaning import only_kind
-from tremor.operators.geo import assign_zone_scaled, fit_zones, scaler_stats
+from tremor.operators.geo import assign_zone_scaled, fit_zones, scaler_stats, standardise
 from tremor.operators.rollup import value_counts
 from tremor.plans.catalog import register
 from tremor.plans.report import finalize, r6
@@ -38,6 +38,16 @@ def q_scaler(spark, sf_dir):
     return finalize(scaler_stats(only_kind(quake(spark, sf_dir))))
 
 
+@register("M1_standardise", f"""{WITH_QUAKE},
+    eq AS (SELECT * FROM quake WHERE type = 'earthquake' AND latitude IS NOT NULL AND longitude IS NOT NULL),
+    st AS (SELECT avg(latitude) AS mx, stddev_pop(latitude) AS sx, avg(longitude) AS my, stddev_pop(longitude) AS sy FROM eq)
+    SELECT id, {r6('(latitude - mx) / sx')} AS latitude_z, {r6('(longitude - my) / sy')} AS longitude_z FROM eq, st""")
+def q_standardise(spark, sf_dir):
+    """Standardised coordinates of every event (population sd)."""
+    eq = only_kind(quake(spark, sf_dir)).where("latitude is not null and longitude is not null")
+    return finalize(standardise(eq.select("id", "latitude", "longitude"), scaler_stats(eq)).select("id", "latitude_z", "longitude_z"))
+
+
 @register("J7_assign_zone", f"""{ZONED_SQL} SELECT id, CAST(zone AS BIGINT) AS zone FROM zoned""")
 def q_assign(spark, sf_dir):
     """Nearest of ten centres on standardised coordinates, per event."""

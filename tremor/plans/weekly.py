@@ -19,6 +19,7 @@ from tremor.functions.weeks import iso_week
 from tremor.operators.joins import fill_weeks
 from tremor.operators.rollup import weekly_rollup
 from tremor.operators.windows import _w, rolling
+from tremor.session import materialize
 
 # Lag and window sizes of the weekly feature table.
 COUNT_LAGS = [1, 2, 3, 4, 8, 12, 52]
@@ -125,6 +126,7 @@ def next_features_consistent(weekly: DataFrame, date: str = "date") -> DataFrame
     """W12 (consistent): append next week's spine row with unknown measures
     and run the *same* feature code, so lags and rolling windows include the
     newest week exactly as they do in training rows."""
+    weekly = materialize(weekly)          # read for its last label and for the features
     last = weekly.agg(F.max(date).alias(date)).select(F.date_add(F.col(date), 7).alias(date))
     future = last.select(date, *[F.lit(None).cast(t).alias(c) for c, t in weekly.dtypes if c != date])
     feats = add_weekly_features(weekly.unionByName(future))
@@ -147,6 +149,7 @@ def consistent_training_rows(weekly: DataFrame, date: str = "date") -> DataFrame
     """Training table and next-week row from the SAME code: the future label
     is appended with unknown measures before features are computed, so the
     last row is exactly what the model sees at prediction time."""
+    weekly = materialize(weekly)          # read for its last label and for the features
     last = weekly.agg(F.max(date).alias(date)).select(F.date_add(F.col(date), 7).alias(date))
     future = last.select(date, *[F.lit(None).cast(t).alias(c) for c, t in weekly.dtypes if c != date])
     return add_prev_measures(add_weekly_features(weekly.unionByName(future)), date)

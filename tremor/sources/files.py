@@ -101,9 +101,16 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def save_model(model, path: str) -> None:
-    """MLlib model/pipeline artefact (overwrite)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system (HDFS, object store, local)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_model(model, path: str) -> str:
+    """MLlib model/pipeline artefact (overwrite); returns its path."""
     model.write().overwrite().save(path)
+    return path
 
 
 def load_model(cls, path: str):
@@ -113,9 +120,11 @@ def load_model(cls, path: str):
 
 def write_event_table(df: DataFrame, path: str, ts: str = "time_utc") -> None:
     """Event table partitioned by month of the event time, so time-range
-    scans prune whole partitions before any file is opened."""
+    scans prune whole partitions before any file is opened.  Rows are dealt by
+    ranges of (month, time), so a large month is written by many tasks and its
+    files hold disjoint times."""
     (df.withColumn("event_month", F.date_format(F.col(ts), "yyyy-MM"))
-     .repartition("event_month")
+     .repartitionByRange("event_month", ts)
      .write.mode("overwrite").partitionBy("event_month").parquet(path))
 
 

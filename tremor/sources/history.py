@@ -27,32 +27,41 @@ def write_periods(df: DataFrame, path: str, key: str = "date") -> None:
 
 def log_run(spark: SparkSession, path: str, step: str, status: str, message: str = "",
             at: str | None = None) -> None:
-    """Append one status row for a pipeline step."""
+    """Append one status row for a pipeline step.  ``last_run`` is the
+    real time unless ``at`` is given; ``seq`` (microseconds of the append)
+    orders runs logged for the same time."""
     ts = F.lit(at).cast("timestamp") if at else F.current_timestamp()
-    row = spark.range(1).select(ts.alias("last_run"), F.lit(step).alias("step"),
+    row = spark.range(1).select(ts.alias("last_run"), F.unix_micros(F.current_timestamp()).alias("seq"), F.lit(step).alias("step"),
                                 F.lit(status).alias("status"), F.lit(message).alias("message"))
     row.write.mode("append").parquet(path)
 
 
 def freshness(log: DataFrame) -> DataFrame:
-    """Latest status and time per step (one aggregate)."""
+    """Latest status and time per step (one aggregate).  Runs of one time
+    are ordered by ``seq``; rows without a time never win over others."""
+    latest = F.struct("last_run", "seq", "status", "message")
     return log.groupBy("step").agg(
         F.max("last_run").alias("last_run"),
-        F.max_by("status", "last_run").alias("status"),
-        F.max_by("message", "last_run").alias("message"),
+        F.max_by("status", latest).alias("status"),
+        F.max_by("message", latest).alias("message"),
         F.count(F.lit(1)).alias("runs"))
 
 
 def latest_metrics(hist: DataFrame, date: str = "date", model: str = "model") -> DataFrame:
-    """Latest and best (lowest MAE) row per model; NULL metrics are ignored
-    by the aggregates (zone rows carry none)."""
+    """Latest and best (lowest MAE, then earliest) run per model.
+
+    Runs without an MAE (zone rows carry none) count in ``runs`` and
+    ``latest_date``, the date of the last run; the latest and best metrics
+    come from runs that have one."""
+    measured = F.col("mae").isNotNull()
+    last = F.when(measured, F.struct(date, "mae", "rmse", "r2"))
     return hist.groupBy(model).agg(
         F.max(date).alias("latest_date"),
-        F.max_by("mae", date).alias("latest_mae"),
-        F.max_by("rmse", date).alias("latest_rmse"),
-        F.max_by("r2", date).alias("latest_r2"),
+        F.max_by("mae", last).alias("latest_mae"),
+        F.max_by("rmse", last).alias("latest_rmse"),
+        F.max_by("r2", last).alias("latest_r2"),
         F.min("mae").alias("best_mae"),
-        F.min_by(date, F.struct("mae", date)).alias("best_date"),
+        F.min_by(date, F.when(measured, F.struct("mae", date))).alias("best_date"),
         F.count(F.lit(1)).alias("runs"))
 
 

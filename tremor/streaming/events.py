@@ -58,25 +58,36 @@ def sliding_counts(df: DataFrame, ts: str = "time_utc", length: str = "24 hours"
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over everything available now into a memory
-    table and return that table (for jobs and tests)."""
+def stream_place(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder, for a stream that is
+    run once (jobs that resume pass their own)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+
+def run_available(df: DataFrame, place: str, mode: str = "append") -> DataFrame:
+    """Run a streaming frame over everything available now into the Parquet
+    table ``place``/table and return a scan of it.
+
+    ``place``/checkpoint holds file offsets, state and the sink's log: a
+    later run with the same ``place`` reads only new files, continues the
+    state and adds to the table, and a replayed batch is written once.
+    Nothing passes through the driver.
+    """
     spark = df.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/checkpoint")
+         .trigger(availableNow=True).start(f"{place}/table"))
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{place}/table")
 
 
-def stream_upsert(agg: DataFrame, table: str, key: str = "week_start", name: str | None = None) -> DataFrame:
+def stream_upsert(agg: DataFrame, place: str, key: str = "week_start") -> DataFrame:
     """T5: update-mode aggregate; each micro-batch's changed periods replace
-    their rows in a Parquet table partitioned by the period (dynamic
-    partition overwrite, so a replayed batch rewrites the same partitions —
-    idempotent).  Returns the table after all available data."""
+    their rows in the Parquet table ``place``/table partitioned by the period
+    (dynamic partition overwrite, so a replayed batch rewrites the same
+    partitions — idempotent).  ``place``/checkpoint resumes as in
+    :func:`run_available`.  Returns the table after all available data."""
     spark = agg.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-upsert-{uuid.uuid4().hex}"
+    table = f"{place}/table"
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         # the writer option (not a session conf): foreachBatch runs on a
@@ -85,6 +96,6 @@ def stream_upsert(agg: DataFrame, table: str, key: str = "week_start", name: str
          .partitionBy(key).parquet(table))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table)
+    return spark.read.schema(agg.schema).parquet(table)
