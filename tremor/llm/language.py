@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import bounded_broadcast, held_out, reliable
+from tremor.llm.common import bounded_broadcast, held_out, reliable, slices
 
-TRAIN_ROWS = 3200               # texts learned from, in all
+TRAIN_ROWS = 2000               # texts learned from, in all
 FEATURE_BITS = 12
 RIDGE = 1e-2
 UNDETERMINED = "und"
@@ -99,8 +99,8 @@ def _features(texts: list[str | None], out: np.ndarray, has: np.ndarray) -> None
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps in the dual
     space of the sample; the last weight is the bias.  y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    kernel = x @ x.T
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    kernel = (x @ x.T).astype(np.float64)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     active, alpha = np.ones(len(y), bool), np.zeros(len(y))
     for _ in range(30):
@@ -160,7 +160,7 @@ def _fit_step(names: list[str], rows: dict[str, np.ndarray]) -> tuple[list[str],
     pairs = list(itertools.combinations(range(len(names)), 2))
     weights = [fit_svm(np.vstack([rows[names[i]], rows[names[j]]]),
                        np.concatenate([np.ones(len(rows[names[i]])), -np.ones(len(rows[names[j]]))])) for i, j in pairs]
-    return names, pairs, np.array(weights, np.float32).reshape(len(pairs), -1)
+    return names, pairs, np.array(weights, np.float32)
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -188,13 +188,13 @@ def fit(docs: DataFrame, families: dict[str, str] = FAMILIES, rows: int = TRAIN_
     sample = training_sample(docs, rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x, has = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() if ok else None for r, ok in zip(x, has)], pa.binary())],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype(np.float16).tobytes() if ok else None for r, ok in zip(x, has)], pa.binary())],
                                              names=["lang", "row"])
 
     found = sorted((r.lang, bytes(r.row)) for r in sample.mapInArrow(run, "lang string, row binary").where("row is not null").collect())
-    by_lang = {lang: np.array([np.frombuffer(r, np.float32) for _, r in g])
+    by_lang = {lang: np.array([np.frombuffer(r, np.float16) for _, r in g]).astype(np.float32)
                for lang, g in itertools.groupby(found, key=lambda r: r[0])}
     if not by_lang:
         return None
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     predict = _predictor(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, score = predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
@@ -245,7 +245,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) ->
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, score = predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, score)], pa.bool_()))
 
