@@ -63,16 +63,44 @@ def test_linked_sets_share_a_key(num, den):
         inter = len(np.intersect1d(a, b))
         if len(a) and den * inter >= num * (len(a) + len(b) - inter):
             tried += 1
-            assert len(np.intersect1d(J.set_keys(a, plan), J.set_keys(b, plan)))
+            (ka, ca), (kb, cb) = J.set_keys(a, plan), J.set_keys(b, plan)
+            _, i, j = np.intersect1d(ka, kb, return_indices=True)
+            home = (ca[i] | cb[j]) & 1 > 0
+            assert home.sum() >= (np.maximum(ca[i], cb[j])[home] >> 1).max(initial=1)
     assert tried > 300
 
 
 def test_empty_blocks_are_keys_of_sparse_sets():
     # all differences in filled blocks: agreement on empty ones alone must be found
     low = np.array([5, 9], np.uint64)
-    keys = J.block_keys(low, 0, 8, 1)
-    assert len(keys) == 8 and len(set(keys.tolist())) == 8
-    assert len(J.block_keys(low, 0, 2, 1)) == 1
+    keys, need = J.block_keys(low, 0, 8, 1)
+    assert len(keys) == 8 and len(set(keys.tolist())) == 8 and need == 1
+    keys, need = J.block_keys(low, 0, 2, 1)
+    assert len(keys) == 1 and need == 1
+
+
+@pytest.mark.parametrize("batch_rows", [1, 7, 10_000])
+def test_streamed_lists_equal_plain_ones(spark, batch_rows):
+    rnd = np.random.default_rng(batch_rows)
+    rows = [(int(k), int(d), int(c)) for k, d, c in zip(rnd.integers(0, 60, 900) ** 2 // 60, rnd.integers(0, 300, 900), rnd.integers(2, 8, 900))]
+    lists = collections.defaultdict(list)
+    for k, d, c in sorted(rows):
+        lists[k].append((d, c))
+    shared, need, star = collections.Counter(), collections.Counter(), set()
+    for members in lists.values():
+        if len(members) > J.SHORT_LIST:
+            star |= {(members[0][0], d) for d, _ in members if d != members[0][0]}
+        else:
+            for (a, c), (b, e) in itertools.combinations(members, 2):
+                if a != b and (c | e) & 1:
+                    shared[a, b] += 1
+                    need[a, b] = max(need[a, b], c >> 1, e >> 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        got = J.candidate_pairs(spark.createDataFrame(rows, "key bigint, doc_id bigint, code int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(star) > 50 and {(r.a, r.b) for r in got} == star | {p for p in shared if shared[p] >= need[p]}
 
 
 @pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])

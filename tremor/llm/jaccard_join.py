@@ -11,19 +11,24 @@ Candidates share a key:
   pair must have in common is a key (exactly the linked pairs share one);
 * heavy sets: single n-grams make poor list heads, since passages that many
   documents share would put all of these into one list.  The n-gram space is
-  cut into blocks instead, more than a linked pair of that size band can
-  differ in, so a linked pair agrees on a whole block, and the lists are
-  kept by block content.  Bands overlap, so that all sizes that may link
-  meet in one.  A set with so many empty blocks that the agreement might
-  consist of these alone lists them too;
+  cut into blocks instead, and the lists are kept by block content.  There are
+  more blocks than a linked pair of that size band can differ in, by a margin,
+  so a linked pair agrees on more than ``spare`` whole blocks; a pair that
+  shares fewer lists (empty blocks aside) is no candidate.  A set with more
+  empty blocks than that lists them too.  A band's lists hold its own sets
+  and the smaller ones that may link with them; two of the latter meet in
+  their own band;
 * the boundary is the least size whose subsets cost more rows than its lists
   (a list row counts twice: it may be shared without a link).
 
-Lists are read in sorted order as streams; each contributes a star, not its
-pairs.  The sets of a candidate group are compared exactly, once, in cells of
-bounded size (a large group in cells of two of its chunks), by sparse
-products over the n-grams that occur twice.  Only a spanning forest of the
-links leaves a cell.  Copies of one set are one member with that.
+Lists are read in sorted order as streams.  Short ones (SHORT_LIST) give their
+pairs, which are counted and held against the margin; longer ones, where
+pairs would grow with the square, give a star, whose pairs are all compared
+later.  Candidates are joined into groups, and the sets of a group are
+compared exactly, once, in cells of bounded size (a large group in cells of
+two of its chunks), by sparse products over the n-grams that occur twice.
+Only a spanning forest of the links leaves a cell.  Copies of one set are one
+member with that.
 
 Nothing is capped or sampled.  A very large group of texts that resemble but
 do not link costs comparisons with the square of its distinct texts.
@@ -41,10 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import WordStream, bounded_broadcast, mix64, pieces, reliable
+from tremor.llm.common import bounded_broadcast, mix64, pieces, reliable, slices, WordStream
 from tremor.llm.components import connected_components
 
-CHUNK_SETS = 768                # sets in a chunk of a large candidate group
+CHUNK_SETS = 512                # sets in a chunk of a large candidate group
+SHORT_LIST = 128                # members of a list that gives all its pairs
+_STAR = 1 << 20                 # stands for enough shared lists
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -110,6 +117,10 @@ class Scheme:
             self._known[s] = [i for i, (low, top, _, _) in enumerate(self.levels) if low <= s <= top]
         return self._known[s]
 
+    def is_own(self, i: int, s: int) -> bool:
+        """Whether a set of size s belongs to level i's own band."""
+        return s >= (self.levels[i - 1][1] + 1 if i else self.boundary)
+
 
 @lru_cache(maxsize=4)
 def scheme(num: int, den: int) -> Scheme:
@@ -137,29 +148,38 @@ def subset_keys(h: np.ndarray, size: int) -> np.ndarray:
     return mix64(sums + _salt(1, size))
 
 
-def block_keys(h: np.ndarray, level: int, blocks: int, spare: int) -> np.ndarray:
-    """Keys of the blocks of a sorted set at a level."""
+def block_keys(h: np.ndarray, level: int, blocks: int, spare: int) -> tuple[np.ndarray, int]:
+    """Keys of the blocks of a sorted set at a level, and how many lists a
+    linked pair with it shares at least, as far as this set tells."""
     block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     filled = block[start]
+    empty = blocks - len(filled)
     with np.errstate(over="ignore"):
         keys = mix64(np.add.reduceat(mix64(h), start) + (filled + np.uint64(1)) * _salt(2, level))
-        if blocks - len(filled) > spare:
+        if empty > spare:
             none = np.setdiff1d(np.arange(blocks, dtype=np.uint64), filled)
             keys = np.concatenate([keys, mix64((none + np.uint64(1)) * _salt(2, level) + _EMPTY)])
-    return keys
+    return keys, max(1, spare + 1 - empty)
 
 
-def set_keys(h: np.ndarray, plan: Scheme) -> np.ndarray:
-    """All keys of a sorted set of hashes."""
+def set_keys(h: np.ndarray, plan: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a sorted set of hashes, and per key 2 * (lists that a linked
+    pair shares at least) + (whether the set is at home in that list).  Pairs
+    of which neither is at home meet elsewhere."""
     s = len(h)
-    found = []
+    keys, codes = [], []
     if s < plan.boundary:
-        found += [subset_keys(h, c) for c in plan.subset_sizes(s, plan.boundary)]
+        keys += [subset_keys(h, c) for c in plan.subset_sizes(s, plan.boundary)]
+        codes += [np.full(len(k), 2 * 1 + 1, np.int32) for k in keys]
     for i in plan.levels_of(s):
         _, _, blocks, spare = plan.levels[i]
-        found.append(block_keys(h, i, blocks, spare))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        found, need = block_keys(h, i, blocks, spare)
+        keys.append(found)
+        codes.append(np.full(len(found), 2 * need + plan.is_own(i, s), np.int32))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(keys), np.concatenate(codes)
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -190,7 +210,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and a 128-bit hash of each document's set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             size, one, two = [], [], []
             for h in shingle_sets(batch.column(1).to_pylist(), n):
                 a, b = _set_hash(h)
@@ -209,51 +229,94 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id) of all documents with an id; a task lists one of equal sets."""
+    """(key, doc_id, code) of all documents with an id (codes as in
+    ``set_keys``); a task lists one of equal sets."""
 
     def run(batches):
         plan = scheme(num, den)
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            keys, sizes, ids = [], [], []
+        for batch in slices(batches):
+            keys, codes, sizes, ids = [], [], [], []
             for doc_id, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n)):
                 if not len(h) or (mark := _set_hash(h)) in seen:
                     continue
                 seen.add(mark)
-                keys.append(set_keys(h, plan))
-                sizes.append(len(keys[-1]))
+                found, code = set_keys(h, plan)
+                keys.append(found)
+                codes.append(code)
+                sizes.append(len(found))
                 ids.append(doc_id)
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes))],
-                    names=["key", "doc_id"])
-
-    return _texts(docs).where("doc_id is not null").mapInArrow(run, "key bigint, doc_id bigint")
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)),
+                     pa.array(np.concatenate(codes))], names=["key", "doc_id", "code"])
+
+    return _texts(docs).where("doc_id is not null").mapInArrow(run, "key bigint, doc_id bigint, code int")
+
+
+def _short_pairs(doc: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(a, b, shared lists, needed) of the pairs inside short lists."""
+    out = [np.zeros((0, 4), np.int64)]
+    for s in range(2, SHORT_LIST + 1):
+        at = start[size == s]
+        if not len(at):
+            continue
+        i, j = np.triu_indices(s, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        ok = ((code[a] | code[b]) & 1 > 0) & (doc[a] != doc[b])
+        a, b = a[ok], b[ok]
+        out.append(np.stack([doc[a], doc[b], np.ones(len(a), np.int64), np.maximum(code[a], code[b]) >> 1], 1))
+    pairs = np.concatenate(out)
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+    return np.stack([pairs[new, 0], pairs[new, 1], np.add.reduceat(pairs[:, 2], new), np.maximum.reduceat(pairs[:, 3], new)], 1)
+
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): pairs that share enough lists, and stars of long lists.  Lists
+    are streamed; at most SHORT_LIST members of one are held."""
 
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]     # a list that may go on
+        long_key, first = None, None                                                      # a long list that may go on
 
-def list_stars(keys: DataFrame) -> DataFrame:
-    """(a, b): each list's first document with each other; lists are streamed."""
+        def work(key, doc, code, last):
+            nonlocal held, long_key, first
+            out = []
+            if long_key is not None and len(key):
+                same = int(np.searchsorted(key != long_key, True)) if (key != long_key).any() else len(key)
+                more = np.unique(doc[:same])
+                more = more[more != first]
+                out.append(np.stack([np.full(len(more), first), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1))
+                key, doc, code = key[same:], doc[same:], code[same:]
+                if len(key):
+                    long_key = None
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(key)))
+            if len(start) and not last and size[-1] <= SHORT_LIST:
+                held = [x[start[-1]:] for x in (key, doc, code)]
+                start, size = start[:-1], size[:-1]
+            else:
+                held = [x[:0] for x in (key, doc, code)]
+                if len(start) and not last:
+                    long_key, first = key[start[-1]], doc[start[-1]]
+            out.append(_short_pairs(doc, code, start, size))
+            for a, n in zip(start[size > SHORT_LIST], size[size > SHORT_LIST]):
+                more = np.unique(doc[a:a + n])[1:]
+                out.append(np.stack([np.full(len(more), doc[a]), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1))
+            rows = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)], names=["a", "b", "n", "need"])
 
-    def run(batches):
-        last_key, last_doc = None, None
         for batch in batches:
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            first = np.where(new, doc, 0)
-            if not new[0]:
-                first[0] = last_doc
-            at = np.maximum.accumulate(np.where(new | (np.arange(len(key)) == 0), np.arange(len(key)), 0))
-            first = first[at]
-            last_key, last_doc = key[-1], first[-1]
-            other = first != doc
-            if other.any():
-                pairs = np.unique(np.stack([first[other], doc[other]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            columns = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for c, h in enumerate(held)]
+            yield work(*columns, False)
+        yield work(*held, True)
 
     return (keys.repartition("key").sortWithinPartitions("key", "doc_id")
-            .mapInArrow(run, "a bigint, b bigint").distinct())
+            .mapInArrow(run, "a bigint, b bigint, n bigint, need bigint")
+            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
 
 
 def link_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
@@ -309,7 +372,7 @@ def cell_links(cells: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         cell, ids, sides, sets = None, [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
             side, doc = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             raw = [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
@@ -335,7 +398,7 @@ def set_column(docs: DataFrame, n: int, carried: list[str]) -> DataFrame:
     """The carried long columns and each row's set as binary (uint64, sorted)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [h.tobytes() for h in shingle_sets(batch.column(len(carried)).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(carried))] + [pa.array(sets, pa.binary())],
                                              names=[*carried, "grams"])
@@ -359,8 +422,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                       .select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    stars = list_stars(key_rows(docs, n, num, den))
-    groups = connected_components(stars.union(copies), "a", "b")
+    near = candidate_pairs(key_rows(docs, n, num, den))
+    groups = connected_components(near.union(copies), "a", "b")
     reps = (groups.join(member.where("doc_id = rep").select(F.col("doc_id").alias("id")).distinct(), "id")
             .select(F.col("id").alias("doc_id"), "component"))
     size = reps.groupBy("component").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
