@@ -55,14 +55,15 @@ def truncate(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
 
 def train_gbt(train: DataFrame, feats, label: str = "nb_seismes", max_iter: int = 1000,
               step: float = 0.03, max_depth: int = 5, subsample: float = 0.8,
-              validation_col: str | None = None, patience: int = 50, seed: int = 42, partitions: int | None = 1):
+              validation_col: str | None = None, patience: int = 50, min_gain: float = 1e-3, seed: int = 42,
+              partitions: int | None = 1):
     """M7: boosted trees.
 
     With ``validation_col`` (a validation slice, never the test set — SURVEY
     D9) the number of rounds is the one with the least validation error,
-    taken once ``patience`` further rounds brought nothing better; the model
-    keeps exactly these trees.  Rounds are fitted in growing batches, since
-    a fit with more rounds begins with the same trees.  Without it all
+    taken once the last ``patience`` rounds lowered it by less than the share
+    ``min_gain``; the model keeps exactly these trees.  Rounds are fitted in
+    growing batches, since a fit with more rounds begins with the same trees.  Without it all
     ``max_iter`` rounds are kept.  MLlib's own early stop ends at the first
     small gain, which with small steps is the first round, so it is not used.
 
@@ -87,7 +88,7 @@ def train_gbt(train: DataFrame, feats, label: str = "nb_seismes", max_iter: int
         model = fit(part, rounds)
         errors = model.evaluateEachIteration(check, "squared")
         best = min(range(len(errors)), key=errors.__getitem__)
-        if rounds >= max_iter or best + patience < rounds:
+        if rounds >= max_iter or errors[best] >= min(errors[:rounds - patience]) * (1 - min_gain):
             return truncate(model, best + 1)
         rounds = min(max_iter, 2 * rounds)
 
