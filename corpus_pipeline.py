@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tremor.llm import jaccard_join, language, packing, quality, secret_scan
+from tremor.llm.common import narrow_batches
 from tremor.session import checkpoint_dir
 from tremor.sources.tables import load_table
 
@@ -32,6 +33,7 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    narrow_batches(spark)           # holds for the later stages too
     return language.keep_identified(docs, language.fit(docs), LEAST_LANGUAGE_SCORE)
 
 

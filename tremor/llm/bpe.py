@@ -34,12 +34,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import slices
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 LEXICON_WORDS = 50_000          # entries of the automaton
 WORDS_PER_TASK = 20_000         # most frequent words that a task reports
 COUNTER_LIMIT = 600_000         # entries of a task's counter before rare ones are dropped
-CACHE_LIMIT = 600_000           # chunks whose ids a worker remembers
-GROUP_CHARS = 2_000_000         # text encoded at once
+CACHE_LIMIT = 300_000           # chunks whose ids an encoder remembers
+GROUP_CHARS = 1_000_000         # text encoded at once
 
 # Unicode White_Space, which the file's patterns call \s
 _WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -361,6 +363,11 @@ class Encoder:
         size[lost] = more_size
         return ragged(np.concatenate([self.lexicon.ids, more]), begin, size), size
 
+    def forget(self) -> None:
+        """Give the remembered chunks up; a task does so at its end, since
+        worker processes outlive it."""
+        self._forget()
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint16 ids of each text, in order."""
         group: list[str] = []
@@ -423,7 +430,7 @@ def count_pretokens(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> Data
         enc = worker_encoder(tokenizer)
         seen: Counter = Counter()
         floor = 1
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 if t:
                     seen.update(enc.chunks(t))
@@ -463,10 +470,11 @@ def encode_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, lexico
 
     def run(batches):
         enc = worker_encoder(tokenizer, lexicon_file)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x.astype(np.int32) for x in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                                              names=["doc_id", "ids"])
+        enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -488,7 +496,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) ->
 
     def run(batches):
         join = _joiner(worker_encoder(tokenizer))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [join(x or []).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -502,7 +510,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, lexi
     def run(batches):
         enc = worker_encoder(tokenizer, lexicon_file)
         join = _joiner(enc)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for ids in enc.encode(batch.column(1).to_pylist()):
                 n.append(len(ids))
@@ -511,6 +519,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, lexi
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

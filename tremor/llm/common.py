@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.session import cut_lineage
 
 HELD_OUT_REMAINDER = 2          # fixed by the task: crc32(doc_id as text) mod 4
 PIECE_BYTES = 1 << 20           # text handled at once inside a task
+SLICE_ROWS = 1024               # rows held as Python objects at once
 BROADCAST_ROWS = 1_000_000      # rows of a few longs sent to all tasks at most
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,6 +73,24 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def narrow_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> None:
+    """Arrow batches of at most that many rows from here on in the session,
+    unless it asks for fewer: whole texts make Spark's default of 10,000 rows
+    tens of megabytes a task, in the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows (views), so that a task holds few texts as
+    Python objects and hands its results on in small batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(texts: list[str | None], limit: int = PIECE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, encoded texts) in runs of about ``limit`` bytes;
     a text longer than that is a run of its own.  Lone surrogates cannot come

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import mix64
+from tremor.llm.common import mix64, slices
 
 CONTAINMENT = 0.8
 RETRIEVAL_SIMILARITY, MIN_PROBABILITY, ROWS = 0.4, 0.9999, 1
@@ -172,7 +172,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             _scanners.clear()
             _scanners[key] = Templates(dict(key))
         scanner = _scanners[key]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm import bpe
+from tremor.llm.common import slices
 
 WINDOW = 4096
 END_ID = 2                      # fixed by the task
@@ -50,7 +51,7 @@ def tokenise(docs: DataFrame, tokenizer: str, window: int, shards: int) -> DataF
 
     def run(batches):
         enc = bpe.worker_encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             full, tail, size = [], [], []
             for ids in enc.encode(batch.column(3).to_pylist()):
                 ids = np.append(ids, np.uint16(END_ID))
@@ -62,6 +63,7 @@ def tokenise(docs: DataFrame, tokenizer: str, window: int, shards: int) -> DataF
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()),
                  pa.array(full, pa.binary()), pa.array(tail, pa.binary())],
                 names=["doc_id", "shard", "mark", "doc_tokens", "full", "tail"])
+        enc.forget()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.xxhash64(text)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import SPACE, bounded_broadcast, pieces
+from tremor.llm.common import bounded_broadcast, pieces, slices, SPACE
 
 SYMBOLS = b"#*$%&|<>"           # fixed by the task
 MIN_WORDS, REPEAT_WINDOW = 20, 8
@@ -71,7 +71,7 @@ def bucket_counts(docs: DataFrame, trusted: str | None = None) -> tuple[np.ndarr
 
     def run(batches):
         total = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts, good = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
             for chosen, row in ((good, 1), (~good, 0)):
                 for _, group in pieces([texts[i] for i in np.flatnonzero(chosen)]):
@@ -148,7 +148,7 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, keep
     at = source.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, scores = [], []
             for _, group in pieces(batch.column(at).to_pylist()):
                 bucket, first, last = _ngram_buckets(group)

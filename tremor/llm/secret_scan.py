@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremor.llm.common import slices
+
 KINDS = ("assign", "access", "hex")     # fixed by the task, in this order
 MAX_EXPANDED = 64 << 20
 
@@ -256,7 +258,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     The counts are of base findings."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = np.zeros((batch.num_rows, 3), np.int64)
             digest, spans = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -293,7 +295,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)],
                                              names=batch.schema.names)

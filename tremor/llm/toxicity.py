@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import held_out, reliable
+from tremor.llm.common import held_out, reliable, slices
 
 CLASS_ROWS = 3000               # labelled texts of each class that are learned from
 LEXICON_TERMS = 2000
@@ -144,7 +144,7 @@ def feature_rows(docs: DataFrame, lexicon: frozenset[str], carried: list[str]) -
 
     def run(batches):
         marker = _marker(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([marker.features(t) for t in batch.column(len(carried)).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), *(pa.array(c.copy()) for c in rows.T)],
                                              names=[*carried, *FEATURES])
@@ -159,7 +159,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
 
     def run(batches):
         seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in slices(batches):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
                 seen[toxic].update(words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n})
