@@ -143,3 +143,42 @@ def test_bm25_scores_equal_the_formula():
                 idf = np.log1p((n - df + 0.5) / (df + 0.5))
                 want += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / 2.5))
         assert got[d] == pytest.approx(want)
+
+
+def test_neighbours_meet_beyond_one_shard(spark):
+    # 24 topics of 10 texts, ids dealt in turn: shards follow the topics, and few windows mix them
+    rows = [(i, words(i, 40, 12).replace("w", f"topic{'abcdefghijklmnopqrstuvwx'[i % 24] * 3}")) for i in range(240)]
+    found = packing.pack_documents(documents(spark, rows), window=256, shard_docs=20).collect()
+    _check_packing(rows, found, 256)
+    windows = defaultdict(set)
+    for p in found:
+        windows[p.sequence_id].add(p.doc_id % 24)
+    assert len({p.sequence_id >> 32 for p in found}) > 6
+    assert sum(len(topics) - 1 for topics in windows.values()) < len(windows) / 2
+
+
+def test_statistics_cover_all_documents(spark):
+    rows = [(i, words(i, 5 + i % 9, 30)) for i in range(100)] + [(100, None)]
+    corpus = packing.corpus_counts(packing.tokenise(documents(spark, rows).repartition(7), PATH, 4096))
+    ids = [_ids(t) + [packing.END_ID] for _, t in rows]
+    assert corpus.n == 101 and corpus.mean == pytest.approx(sum(map(len, ids)) / 101)
+    for term in {x for t in ids for x in t}:
+        assert corpus.df[term] == sum(term in t for t in ids)
+    tails = [np.array(t, np.uint16) for t in ids[:10]]
+    got = packing.ShardIndex(tails, corpus).scores(0)
+    for d, t in enumerate(tails):
+        want = sum(np.log1p((101 - corpus.df[x] + 0.5) / (corpus.df[x] + 0.5)) * (t == x).sum() * 2.2
+                   / ((t == x).sum() + 1.2 * (0.25 + 0.75 * len(t) / corpus.mean))
+                   for x in set(ids[0]) if sum(x in y for y in ids[:10]) > 1)
+        assert got[d] == pytest.approx(want)
+
+
+def test_copies_and_repeated_rows_are_dealt_to_many_parts(spark):
+    rows = [(i, "one text that very many rows share") for i in range(300)] + [(1000, words(5, 30))] * 200 + [(i, words(i, 30)) for i in range(400, 500)]
+    docs = documents(spark, rows)
+    tokens = packing.tokenise(docs, PATH, 64)
+    sizes = [r["count"] for r in packing.deal(tokens, packing.corpus_counts(tokens), 20).groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and sorted(sizes)[-2] <= 60          # the repeated row, alike in all, stays together
+    _check_packing(rows, packing.pack_documents(docs, window=64, shard_docs=20).collect(), 64)
+    same = documents(spark, [(1, "same")] * 150)
+    _check_packing([(1, "same")] * 150, packing.pack_documents(same, window=64, shard_docs=1).collect(), 64)

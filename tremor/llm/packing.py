@@ -2,13 +2,23 @@
 
 Documents are tokenised where they lie (ids, then the end id).  Windows that
 a document fills alone become sequences at once; its remainder goes to a
-shard, chosen by a hash of the id and of bounded expected size, where a BM25
-inverted index over token ids returns, for each seed, the unused neighbours
-in order of score.  They fill the seed's window greedily; the one that does
-not fit is cut, and its rest seeds the next window.  Without neighbours that
-share a term, the next unused document follows.  What is left at a shard's
-end is cut into sequences whose lengths are powers of two, so no sequence
-needs padding.
+shard, where a BM25 inverted index over token ids returns, for each seed, the
+unused neighbours in order of score.  They fill the seed's window greedily;
+the one that does not fit is cut, and its rest seeds the next window.  Without
+neighbours that share a term, the next unused document follows.  What is left
+at a shard's end is cut into sequences whose lengths are powers of two, so no
+sequence needs padding.
+
+N, document frequencies and the mean length are counted over all remainders.
+Shards are chosen by content: each remainder's vector of BM25 weights is
+projected to COORDINATES directions (the main ones of a sample), and a tree
+that halves the coordinates along their direction of largest spread deals
+them to shards of about SHARD_DOCS.  Its upper levels are laid by a sample, at
+most ROUTES leaves; a task splits its leaf further by the rows themselves.  A
+leaf that gets more than twice its share (many copies) is dealt to several
+tasks by a hash.  A seed searches its own shard alone: neighbours whose
+contents differ in the main directions can still be parted (README has the
+measured share).
 
 Results carry pieces, not ids: each id of each row lies in exactly one
 piece.  Null and empty texts have the end id alone; repeated rows are packed
@@ -22,6 +32,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,53 +40,240 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.llm import bpe
-from tremor.llm.common import slices
+from tremor.llm.common import mix64, reliable, slices
 
 WINDOW = 4096
 END_ID = 2                      # fixed by the task
 SHARD_DOCS = 512                # expected remainders in a shard
+COORDINATES = 16                # directions by which shards are told apart
+BASIS_DOCS = 2048               # sampled remainders that give the directions
+ROUTES, ROUTE_DOCS = 4096, 64   # leaves laid by a sample at most, sampled rows of each
 K1, B = 1.2, 0.75               # BM25
 
 PIECE_SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                 "sequence_id bigint, offset bigint")
 _NAMES = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
-_TAIL_SCHEMA = "doc_id bigint, shard bigint, mark bigint, doc_tokens bigint, full binary, tail binary"
+_TAIL_SCHEMA = "doc_id bigint, mark bigint, doc_tokens bigint, full binary, tail binary"
+_TERMS = 1 << 16                # token ids are 16 bits wide
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenise(docs: DataFrame, tokenizer: str, window: int, shards: int) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
     """One row per document: checksums of its full windows and its remainder."""
 
     def run(batches):
         enc = bpe.worker_encoder(tokenizer)
         for batch in slices(batches):
             full, tail, size = [], [], []
-            for ids in enc.encode(batch.column(3).to_pylist()):
+            for ids in enc.encode(batch.column(2).to_pylist()):
                 ids = np.append(ids, np.uint16(END_ID))
                 n = len(ids) // window
                 full.append(np.array([_crc(ids[k * window:(k + 1) * window]) for k in range(n)], "<u4").tobytes())
                 tail.append(ids[n * window:].astype("<u2").tobytes())
                 size.append(len(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()),
                  pa.array(full, pa.binary()), pa.array(tail, pa.binary())],
-                names=["doc_id", "shard", "mark", "doc_tokens", "full", "tail"])
+                names=["doc_id", "mark", "doc_tokens", "full", "tail"])
         enc.forget()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    mark = F.xxhash64(text)
-    shard = F.pmod(F.coalesce(F.xxhash64("doc_id"), mark), F.lit(shards))
-    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shard.alias("shard"), mark.alias("mark"), text.alias("text"))
+    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
             .mapInArrow(run, _TAIL_SCHEMA))
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs to know of all remainders: how many there are, their
+    mean length, and in how many each term occurs."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def term_counts(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, occurrences) of the distinct terms by document and
+    term, and the documents' lengths."""
+    size = np.array([len(t) for t in tails], np.int64)
+    key = np.repeat(np.arange(len(tails)), size) * _TERMS + np.concatenate([*tails, np.zeros(0, np.uint16)]).astype(np.int64)
+    key.sort()
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
+    doc, term = np.divmod(key[edge], _TERMS)
+    return doc, term, np.diff(np.append(edge, len(key))).astype(np.float64), size
+
+
+def _tails(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u2") for t in column.to_pylist()]
+
+
+def corpus_counts(tokens: DataFrame) -> Corpus:
+    """Counted over all rows of ``tokenise``; one row a term reaches the driver."""
+
+    def run(batches):
+        count = np.zeros(_TERMS + 2, np.int64)              # after the terms: documents, ids
+        for batch in slices(batches):
+            _, term, _, size = term_counts(_tails(batch.column(0)))
+            count[:_TERMS] += np.bincount(term, minlength=_TERMS)
+            count[_TERMS:] += np.count_nonzero(size), size.sum()
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["term", "df"])
+
+    count = np.zeros(_TERMS + 2, np.int64)
+    for r in tokens.select("tail").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        count[r.term] = r.df
+    n, ids = count[_TERMS:].tolist()
+    return Corpus(n, ids / max(1, n), count[:_TERMS])
+
+
+def weights(tails: list[np.ndarray], corpus: Corpus, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, BM25 weight over the document's Euclidean length)."""
+    doc, term, tf, size = term_counts(tails)
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(1.0, corpus.mean)))
+    return doc, term, weight / np.sqrt(np.bincount(doc, weight * weight, minlength=len(tails)))[doc]
+
+
+def directions(tails: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Main directions of the sampled remainders, a row per term."""
+    doc, term, weight = weights(tails, corpus, corpus.idf())
+    known, column, found = np.unique(term, return_inverse=True, return_counts=True)
+    if (found > 1).any():                                   # what one document alone has tells nothing of others
+        kept = np.flatnonzero((found > 1)[column])
+        doc, term, weight = doc[kept], term[kept], weight[kept]
+        known, column = np.unique(term, return_inverse=True)
+    x = np.zeros((len(tails), len(known)), np.float32)
+    x[doc, column] = weight
+    _, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+    main = x.T @ vectors[:, -COORDINATES:]
+    main /= np.maximum(1e-9, np.linalg.norm(main, axis=0))
+    out = np.zeros((_TERMS, main.shape[1]), np.float32)
+    out[known] = main
+    return out
+
+
+def coordinates(tails: list[np.ndarray], corpus: Corpus, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    doc, term, weight = weights(tails, corpus, idf)
+    out = np.zeros((len(tails), basis.shape[1]), np.float32)
+    if len(doc):
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        out[doc[first]] = np.add.reduceat(basis[term] * weight[:, None], first, axis=0)
+    return out
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Direction of largest spread and the rows in order along it."""
+    c = x - x.mean(axis=0)
+    way = np.linalg.eigh(c.T.astype(np.float64) @ c)[1][:, -1].astype(np.float32)
+    return way, np.argsort((x * way).sum(axis=1), kind="stable")
+
+
+def split_rows(x: np.ndarray, most: float) -> list[np.ndarray]:
+    """Runs of at most ``most`` rows (places in ascending order) that lie together."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(np.sort(rows))
+            continue
+        order = rows[halves(x[rows])[1]]
+        todo += [order[len(rows) // 2:], order[:len(rows) // 2]]
+    return out
+
+
+class Router:
+    """Tree over coordinates, laid by a sample; leaves are numbered from 0."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.way, self.cut, self.child, self.leaves = [], [], [], 0
+        self._lay(sample, leaves)
+        self.way = np.array(self.way, np.float32).reshape(len(self.cut), sample.shape[1])
+        self.cut, self.child = np.array(self.cut, np.float32), np.array(self.child, np.int64).reshape(-1, 2)
+
+    def _lay(self, x: np.ndarray, leaves: int) -> int:
+        """The node's number; a leaf's is -1 - leaf."""
+        if leaves > 1 and len(x) > 1:
+            way, order = halves(x)
+            at = (x[order] * way).sum(axis=1)
+            middle = len(x) * (leaves // 2) // leaves
+            if at[0] < at[-1]:
+                cut = at[middle] if at[middle] > at[0] else at[np.argmax(at > at[0])]
+                node = len(self.cut)
+                self.way.append(way)
+                self.cut.append(cut)
+                self.child.append(None)
+                below = at < cut
+                self.child[node] = (self._lay(x[order[below]], leaves // 2), self._lay(x[order[~below]], leaves - leaves // 2))
+                return node
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), 0 if len(self.cut) else -1, np.int64)
+        while (live := np.flatnonzero(node >= 0)).size:
+            at = node[live]
+            node[live] = self.child[at, ((x[live] * self.way[at]).sum(axis=1) >= self.cut[at]).astype(int)]
+        return -1 - node
+
+
+def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
+    """Rows of ``tokenise`` with their coordinates (``at``) and the task that
+    splits and packs them (``part``)."""
+    rows = tokens.count()
+    leaves = min(ROUTES, math.ceil(rows / shard_docs))
+    if leaves < 2:
+        return tokens.withColumn("at", F.lit(b"")).withColumn("part", F.lit(0).cast("bigint"))
+    spread = F.xxhash64("doc_id", "mark")
+    sampled = tokens.where(F.length("tail") > 0).select(spread.alias("spread"), "tail").orderBy("spread", "tail").limit(BASIS_DOCS)
+    basis = directions([np.frombuffer(r.tail, "<u2") for r in sampled.collect()], corpus)
+    idf = corpus.idf()
+
+    def locate(batches):
+        for batch in slices(batches):
+            x = coordinates(_tails(batch.column("tail")), corpus, idf, basis)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=[*batch.schema.names, "at"])
+
+    def points(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, basis.shape[1])
+
+    located = reliable(tokens.withColumn("spread", spread).mapInArrow(locate, f"{_TAIL_SCHEMA}, spread bigint, at binary"))
+    one_in = max(1, rows // (leaves * ROUTE_DOCS))
+    chosen = located.where(F.pmod(F.xxhash64("spread"), F.lit(one_in)) == 0).select("spread", "at").collect()
+    router = Router(points(pa.array([p for _, p in sorted((r.spread, bytes(r.at)) for r in chosen)], pa.binary())), leaves)
+
+    def count(batches):
+        found = np.zeros(router.leaves, np.int64)
+        for batch in slices(batches):
+            found += np.bincount(router.leaf(points(batch.column(0))), minlength=router.leaves)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(router.leaves)), pa.array(found)], names=["leaf", "rows"])
+
+    # a leaf has as many parts as it has shares, if it has more than two
+    counts = np.zeros(router.leaves, np.int64)
+    for r in located.select("at").mapInArrow(count, "leaf bigint, rows bigint").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
+        counts[r.leaf] = r.rows
+    share = max(shard_docs, rows / leaves)
+    parts = np.where(counts > 2 * share, np.ceil(counts / share), 1).astype(np.int64)
+    first = np.cumsum(parts) - parts
+
+    def route(batches):
+        for batch in slices(batches):
+            leaf = router.leaf(points(batch.column("at")))
+            part = first[leaf].astype(np.uint64) + mix64(batch.column("spread").to_numpy().view(np.uint64)) % parts[leaf].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int64))], names=[*batch.schema.names, "part"])
+
+    return located.mapInArrow(route, f"{_TAIL_SCHEMA}, spread bigint, at binary, part bigint").drop("spread")
+
+
 class ShardIndex:
-    """BM25 over the remainders of one shard; terms are token ids."""
+    """BM25 over the remainders of one shard; terms are token ids.  Without
+    ``corpus`` the shard's own remainders are all there are."""
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], corpus: Corpus | None = None):
         n = len(tails)
         size = np.array([len(t) for t in tails], np.int64)
         key = np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), size)
@@ -86,8 +284,11 @@ class ShardIndex:
         starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
         self.begin = starts
         self.df = np.diff(np.append(starts, len(term)))
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
+        if corpus is None:
+            idf, mean = Corpus(n, size.mean(), self.df).idf(), size.mean()
+        else:
+            idf, mean = Corpus(corpus.n, corpus.mean, corpus.df[term[starts]]).idf(), corpus.mean
+        norm = K1 * (1 - B + B * size / max(1.0, mean))
         self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm[self.doc])
         # each document's terms, as places in the inverted index
         slot = np.repeat(np.arange(len(starts)), self.df)
@@ -104,9 +305,10 @@ class ShardIndex:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def pack_shard(shard: int, rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Pieces of one shard's documents.  rows: (doc_id, doc_tokens, full, tail)."""
-    number = shard << 32
+def pack_shard(shard: int, rows: list[tuple], window: int, corpus: Corpus | None = None, number: int = 0) -> Iterator[tuple]:
+    """Pieces of one shard's documents, sequences from ``number`` on.  rows:
+    (doc_id, doc_tokens, full, tail)."""
+    number += shard << 32
 
     for doc_id, size, full, _ in rows:
         for k, crc in enumerate(np.frombuffer(full, "<u4").tolist()):
@@ -116,7 +318,7 @@ def pack_shard(shard: int, rows: list[tuple], window: int) -> Iterator[tuple]:
     live = [(d, s, np.frombuffer(t, "<u2")) for d, s, _, t in rows if t]
     if not live:
         return
-    index = ShardIndex([t for _, _, t in live])
+    index = ShardIndex([t for _, _, t in live], corpus)
     unused = np.ones(len(live), bool)
     following = 0
 
@@ -189,14 +391,20 @@ def split_by_powers(parts: list[tuple[int, int, int]], used: int) -> Iterator[tu
 def pack_documents(docs: DataFrame, tokenizer: str = bpe.DEFAULT_TOKENIZER, window: int = WINDOW,
                    shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces of all documents, by sequence.  The number of shards grows with
-    the number of documents; a task holds one shard's remainders (less than
-    ``window`` ids each) at a time."""
-    shards = max(1, math.ceil(docs.select("doc_id").count() / shard_docs))
+    the number of documents; a task holds one leaf's remainders (less than
+    ``window`` ids each) at a time and packs them a shard after another."""
+    tokens = reliable(tokenise(docs, tokenizer, window))
+    corpus = corpus_counts(tokens)
 
     def run(key, table):
-        rows = table.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-        found = pack_shard(key[0].as_py(), list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full", "tail")))), window)
+        table = table.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full", "tail"))))
+        part, found = key[0].as_py(), []
+        # a leaf up to half as large again is one shard
+        for places in split_rows(np.frombuffer(b"".join(table.column("at").to_pylist()), "<f4").reshape(len(rows), -1), 1.5 * shard_docs):
+            number = found[-1][5] + 1 - (part << 32) if found else 0
+            found += pack_shard(part, [rows[i] for i in places], window, corpus, number)
         columns = list(zip(*found)) or [()] * len(_NAMES)
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
-    return tokenise(docs, tokenizer, window, shards).groupBy("shard").applyInArrow(run, PIECE_SCHEMA)
+    return deal(tokens, corpus, shard_docs).groupBy("part").applyInArrow(run, PIECE_SCHEMA)
