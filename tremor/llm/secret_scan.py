@@ -8,9 +8,12 @@ are dropped after matching.
 
 The text is the first layer.  Each layer is unwrapped: percent escapes and
 \\u, \\U, \\x escapes of the whole layer, and each base64 run (standard or
-URL alphabet, also wrapped at 64 or 76) whose bytes are text or, by their
-signature, compressed text (gzip, zlib, bzip2, xz, zstandard).  New layers
-join the worklist until none is left; a layer that was already seen over the
+URL alphabet, also wrapped in lines of one width) whose bytes are text or, by
+their signature, compressed text (gzip, zlib, bzip2, xz, zstandard, of one or
+more members).  A run may hold more than the payload, as a path or a name
+does: if it is not text as a whole, its parts of 16 characters or more that
+are, at each of the four alignments, and compressed parts wherever a signature
+stands are layers.  New layers join the worklist until none is left; a layer that was already seen over the
 same place is not taken again, so cycles end.  Every layer's characters keep
 the source range they come from (code points, end exclusive), which maps
 their findings back; what comes out of a compressed run maps to the run.
@@ -50,6 +53,15 @@ _MIN_RUN = 22                           # unpadded base64 of 16 bytes, the short
 _BASE64 = re.compile(r"(?:(?:[A-Za-z0-9+/]{76}\r?\n)+|(?:[A-Za-z0-9+/]{64}\r?\n)+)[A-Za-z0-9+/]*={0,2}"
                      r"|[A-Za-z0-9+/_-]{%d,}={0,2}" % _MIN_RUN)
 
+# runs on lines that follow each other
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+# what _is_text takes, at least as long as the shortest finding
+_TEXT_PART = re.compile(rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+                        rb"|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}"
+                        rb"|\xf4[\x80-\x8f][\x80-\xbf]{2}){16,}+")
+_SIGNATURE = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda\x20\x3f\x7d\xbb\xf9]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.S)
+
 # byte classes for quick rejection: a run of n class bytes exists iff b"x" * n is in the translation
 _HEX_CLASS = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _B64_CLASS = bytes(120 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 32 for c in range(256))
@@ -152,27 +164,51 @@ def _unescape_unicode(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _expand(data: bytes) -> bytes | None:
-    """Contents of a compressed byte string, None if it is none (or too large)."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_EXPANDED + 1)[:MAX_EXPANDED + 1]
-        else:
+def _expand(data: bytes) -> tuple[bytes, int] | None:
+    """Contents of a compressed byte string, all its members, and how many
+    bytes they take; None if it is none (or too large)."""
+    out, rest = [], data
+    size = 0
+    while True:
+        try:
+            if rest[:2] == b"\x1f\x8b":
+                d = zlib.decompressobj(31)
+            elif rest[:1] == b"\x78" and len(rest) > 1 and (rest[0] << 8 | rest[1]) % 31 == 0:
+                d = zlib.decompressobj()
+            elif rest[:3] == b"BZh":
+                d = bz2.BZ2Decompressor()
+            elif rest[:6] == b"\xfd7zXZ\x00":
+                d = lzma.LZMADecompressor()
+            elif rest[:4] == b"\x28\xb5\x2f\xfd":
+                d = _Zstandard()
+            else:
+                break
+            part = d.decompress(rest, MAX_EXPANDED + 1 - size)
+        except Exception as e:      # damaged data of any of the libraries: not a layer
+            if isinstance(e, MemoryError):
+                raise
+            break
+        out.append(part)
+        size += len(part)
+        if size > MAX_EXPANDED:
             return None
-        return d.decompress(data, MAX_EXPANDED + 1)
-    except Exception as e:      # damaged data of any of the libraries: not a layer
-        if isinstance(e, MemoryError):
-            raise
-        return None
+        rest = d.unused_data if d.eof else b""
+        rest = rest.lstrip(b"\0")                            # padding between members
+    return (b"".join(out), len(data) - len(rest)) if out else None
+
+
+class _Zstandard:
+    """One zstandard frame, with the interface of the other decompressors."""
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        import zstandard
+        found = zstandard.ZstdDecompressor().stream_reader(data).read(most)
+        self.eof, self.unused_data = False, b""
+        if len(found) < most:                                # bounded now, so the end of the frame can be sought
+            d = zstandard.ZstdDecompressor().decompressobj()
+            d.decompress(data)
+            self.eof, self.unused_data = d.eof, d.unused_data
+        return found
 
 
 def _is_text(data: bytes) -> str | None:
@@ -183,12 +219,48 @@ def _is_text(data: bytes) -> str | None:
     return text if text and not re.search("[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _unpack_base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Runs of the alphabet without line ends and padding, the places of their
+    characters and one past the run's last."""
+    for m in _BASE64.finditer(text):
         run = m[0]
         place = np.flatnonzero([c not in "\r\n" for c in run]) if "\n" in run else np.arange(len(run))
         body = "".join(run.split()) if "\n" in run else run
-        body = body.rstrip("=").replace("-", "+").replace("_", "/")
+        yield body.rstrip("="), np.append(place[:len(body)], len(run)) + m.start()
+    if "\n" not in text:
+        return
+    for block in _LINES.finditer(text):
+        lines = [(m.start(), m.end()) for m in _LINE.finditer(text, *block.span())]
+        width = [len(text[a:b].rstrip("=")) for a, b in lines]
+        i = 0
+        while i < len(lines) - 1:
+            # lines of one width and a shorter one; other characters may stand before the first
+            j, w = i + 1, width[i + 1]
+            if width[i] < w:
+                i = j
+                continue
+            while j < len(lines) and width[j] == w:
+                j += 1
+            last = j < len(lines) and width[j] < w
+            end = j + last
+            if sum(width[i:end]) >= _MIN_RUN:
+                place = np.concatenate([np.arange(a, a + w) for (a, _), w in zip(lines[i:end], width[i:end])])
+                yield "".join(text[a:a + w] for (a, _), w in zip(lines[i:end], width[i:end])), np.append(place, lines[end - 1][1])
+            i = j
+
+
+def _unpack_base64(layer: Layer) -> Iterator[Layer]:
+    for body, place in _runs(layer.text):
+        body = body.replace("-", "+").replace("_", "/")
+
+        def decoded(text: str, skip: int, at: int) -> Layer:
+            _, widths = _utf8(text.encode())
+            ends = at + np.cumsum(widths)
+            begins = ends - widths
+            # bytes b..e-1 come from the characters b*8//6 .. (e*8-1)//6
+            return Layer(text, *layer.ranges(place[skip + begins * 8 // 6], place[skip + (ends * 8 - 1) // 6] + 1))
+
+        tried, whole = [], False
         for skip in range(4):            # what stands before may belong to the alphabet
             part = body[skip:]
             part = part[:len(part) - (len(part) % 4 == 1)]
@@ -200,23 +272,41 @@ def _unpack_base64(layer: Layer) -> Iterator[Layer]:
                 continue
             text = _is_text(data)
             if text is not None:
-                _, widths = _utf8(data)
-                ends = np.cumsum(widths)
-                begins = ends - widths
-                # bytes b..e-1 come from the characters b*8//6 .. (e*8-1)//6
-                a = place[skip + begins * 8 // 6] + m.start()
-                b = place[skip + (ends * 8 - 1) // 6] + 1 + m.start()
-                yield Layer(text, *layer.ranges(a, b))
+                yield decoded(text, skip, 0)
+                whole = True
                 break
-            for _ in range(16):          # compressed bytes inside compressed bytes
-                data = _expand(data)
-                if data is None or len(data) > MAX_EXPANDED:
-                    break
-                text = _is_text(data)
+            tried.append((skip, data))
+        for skip, data in tried if not whole else []:
+            for m in _TEXT_PART.finditer(data):
+                yield decoded(m[0].decode(), skip, m.start())
+            past = 0
+            for m in _SIGNATURE.finditer(data):
+                if m.start() < past:
+                    continue
+                text, used = _opened(data[m.start():])
                 if text is not None:
-                    a, b = layer.source(m.start() + int(place[skip]), m.end())
+                    past = m.start() + used
+                    a = int(place[skip + m.start() * 8 // 6])
+                    b = int(place[skip + (past * 8 - 1) // 6]) + 1 if m.start() and past < len(data) else int(place[-1])
+                    a, b = layer.source(a, b)
                     yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-                    break
+
+
+def _opened(data: bytes) -> tuple[str | None, int]:
+    """Text inside compressed bytes (which may be inside others), and how many
+    bytes it takes; contents that come again end the search."""
+    first, seen = 0, set()
+    while (found := _expand(data)) is not None:
+        data, used = found
+        first = first or used
+        text = _is_text(data)
+        if text is not None:
+            return text, first
+        mark = hashlib.sha256(data).digest()
+        if mark in seen:
+            break
+        seen.add(mark)
+    return None, 0
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -225,7 +315,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     text = text or ""
     raw = text.encode("utf-8", "replace")
     base = sorted(scan_layer(text, raw), key=lambda s: (s[1], s[0], s[2]))
-    if not (b"%" in raw or b"\\" in raw or _X22 in raw.translate(_B64_CLASS)):
+    if not (b"%" in raw or b"\\" in raw or _X22 in raw.translate(_B64_CLASS, b"\r\n")):
         return base, base
     found = set(base)
     todo = [Layer(text)]
