@@ -339,6 +339,27 @@ def test_license_places_and_edges(spark):
     assert licenses.scan_licenses(documents(spark, ODD_ROWS, True)).count() == 0
 
 
+def test_whole_licences_and_their_relatives(spark):
+    from tremor.llm import license_bodies as bodies
+    scanner = licenses.Templates(bodies.LICENSES, bodies.REQUIRED)
+
+    def names(text):
+        return {n.split("#")[0] for n, *_ in scanner.scan(text)}
+
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "cc0-1.0"):
+        assert name in names("before it. " + bodies.LICENSES[name] + " after it"), name
+    assert names(bodies.LICENSES["bsd-2-clause"]) == {"bsd-2-clause"} and names(bodies.LICENSES["bsd-3-clause"]) == {"bsd-3-clause"}
+    for key in bodies.REQUIRED:
+        assert names("x " + bodies.LICENSES[key] + " y") == {key.split("#")[0]}, key
+    # the rest of a licence without its opening sentence
+    for name in ("mit", "bsd-3-clause"):
+        rest = bodies.LICENSES[name].split("\n\n", 1)[1]
+        assert any(name in n.split("|") for n in names(rest)), name
+    assert names("licensed under the GNU General Public License, version 1") == set()
+    found = licenses.best_licenses(documents(spark, [(1, bodies.LICENSES["bsd-3-clause"]), (2, "Released under the MIT License."), (3, None)])).collect()
+    assert [(r.doc_id, r.license) for r in found] == [(1, "bsd-3-clause"), (2, "mit-notice")]
+
+
 def test_band_count_guarantees_retrieval():
     n = licenses.bands_needed()
     assert 1 - (1 - licenses.RETRIEVAL_SIMILARITY ** licenses.ROWS) ** n >= licenses.MIN_PROBABILITY

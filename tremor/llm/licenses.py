@@ -13,7 +13,10 @@ they could not be verified.
 A retrieved template is verified exactly: among runs of the text up to its
 own length it must have at least CONTAINMENT of its distinct bigrams in one,
 found by sliding over the whole neighbourhood of the window.  Overlapping
-findings of one template are one; the best run is reported.
+findings of one template are one; the best run is reported.  ``best_licenses``
+takes whole licences (license_bodies), asks for the phrases that tell them
+apart and, where findings of several templates overlap by half of the shorter
+one, keeps the one with most matched bigrams, then the better contained.
 
 Null and empty texts have no findings.  Templates of fewer than two words are
 ignored.  Repeated rows are scanned each.
@@ -59,6 +62,10 @@ TEMPLATES = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
 def bands_needed(similarity: float = RETRIEVAL_SIMILARITY, rows: int = ROWS, probability: float = MIN_PROBABILITY) -> int:
     return math.ceil(math.log(1 - probability) / math.log(1 - similarity ** rows))
 
@@ -66,7 +73,7 @@ def bands_needed(similarity: float = RETRIEVAL_SIMILARITY, rows: int = ROWS, pro
 class Templates:
     """Signed templates; equal bigrams have equal numbers everywhere."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], required: dict[str, tuple[str, ...]] | None = None):
         self.number: dict[str, int] = {}                    # word -> number from 1, 0: in no template
         self.names, self.grams, self.size = [], [], []
         for name in sorted(texts):
@@ -78,6 +85,13 @@ class Templates:
             self.grams.append(np.unique(self.bigrams(ids)))
             self.size.append(len(words))
         self.every = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
+        # per template, bigrams that a finding must hold; None: any finding counts, overlapping ones too
+        self.required = None if required is None else [
+            np.unique(np.concatenate([np.zeros(0, np.int64), *(self.bigrams(np.array([self.number.get(w, 0) for w in words_of(x)], np.int64))
+                                                               for x in required.get(n, ()))])) for n in self.names]
+        # per length, which of all bigrams its templates have
+        self.member = {size: np.isin(self.every, np.concatenate([g for g, n in zip(self.grams, self.size) if n == size]))
+                       for size in set(self.size)}
         rng = np.random.default_rng(5)
         self.bands = bands_needed()
         self.salts = rng.integers(1, 1 << 62, self.bands * ROWS).astype(np.uint64)
@@ -110,11 +124,18 @@ class Templates:
             return []
         grams = self.bigrams(ids)
         known = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        hits = known[np.isin(grams[known], self.every)]
-        if len(hits) < min(self.least.values()):
+        spot = np.minimum(np.searchsorted(self.every, grams[known]), len(self.every) - 1)
+        real = self.every[spot] == grams[known]
+        every, spot = known[real], spot[real]
+        if len(every) < min(self.least.values()):
             return []
         retrieved: dict[int, set[tuple[int, int]]] = {}
         for size, tables in self.classes.items():
+            if len(every) < self.least[size]:
+                continue
+            hits = every[self.member[size][spot]]
+            if len(hits) < self.least[size]:
+                continue
             length, step = size + (size + 1) // 2, max(1, size // 2)
             last = hits // step
             starts = np.unique(np.concatenate([np.maximum(0, last - k) for k in range(-(-length // step))])) * step
@@ -135,8 +156,18 @@ class Templates:
         out = []
         for t, windows in retrieved.items():
             places = np.unique(np.concatenate([np.arange(max(0, a - n), min(len(grams), a + 2 * n)) for a, n in windows]))
-            out += [(self.names[t], found[a].start(), found[b - 1].end(), c) for a, b, c in self.verify(t, grams, places)]
-        return sorted(out, key=lambda r: (r[1], r[0]))
+            out += [(t, found[a].start(), found[b - 1].end(), c) for a, b, c in self.verify(t, grams, places)
+                    if self.required is None or np.isin(self.required[t], grams[a:b - 1]).all()]
+        if self.required is not None:
+            out = self.best(out)
+        return sorted(((self.names[t], *r) for t, *r in out), key=lambda r: (r[1], r[0]))
+
+    def best(self, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        kept: list[tuple[int, int, int, float]] = []
+        for r in sorted(found, key=lambda r: (-round(r[3] * len(self.grams[r[0]])), -r[3], r[1], self.names[r[0]])):
+            if all(2 * (min(r[2], b) - max(r[1], a)) <= min(r[2] - r[1], b - a) for _, a, b, _ in kept):
+                kept.append(r)
+        return kept
 
     def verify(self, t: int, grams: np.ndarray, places: np.ndarray) -> list[tuple[int, int, float]]:
         """Best runs of words, as long as the template, at these places:
@@ -147,9 +178,16 @@ class Templates:
         spot, places = spot[match], places[match]
         width = size - 1
         runs = []
+        ends, spots = np.searchsorted(places, places + width).tolist(), spot.tolist()
+        times, distinct, j = [0] * len(own), 0, 0            # of the run's bigrams
         for i, a in enumerate(places):                       # a best run begins with a bigram of the template
-            j = np.searchsorted(places, a + width)
-            share = len(np.unique(spot[i:j])) / len(own)
+            while j < ends[i]:
+                times[spots[j]] += 1
+                distinct += times[spots[j]] == 1
+                j += 1
+            share = distinct / len(own)
+            times[spots[i]] -= 1
+            distinct -= times[spots[i]] == 0
             if share >= CONTAINMENT:
                 runs.append((share, int(a), int(places[j - 1]) + 2))
         best: list[tuple[int, int, float]] = []
@@ -162,15 +200,23 @@ class Templates:
 _scanners: dict[tuple, Templates] = {}
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def best_licenses(docs: DataFrame) -> DataFrame:
+    """As ``scan_licenses``, for whole licences and their parts; ``license`` is
+    the licence, or those that share the part, joined by ``|``."""
+    from tremor.llm.license_bodies import LICENSES, REQUIRED
+    return scan_licenses(docs, LICENSES, REQUIRED).withColumn("license", F.substring_index("license", "#", 1))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, required: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """doc_id, license, start, end, containment: a row per finding, code
-    points, end exclusive.  A null doc_id is kept."""
-    key = tuple(sorted(templates.items()))
+    points, end exclusive.  A null doc_id is kept.  With ``required`` (phrases
+    by template) only the best of overlapping findings are reported."""
+    key = tuple(sorted(templates.items())), None if required is None else tuple(sorted(required.items()))
 
     def run(batches):
         if key not in _scanners:
             _scanners.clear()
-            _scanners[key] = Templates(dict(key))
+            _scanners[key] = Templates(dict(key[0]), None if key[1] is None else dict(key[1]))
         scanner = _scanners[key]
         for batch in slices(batches):
             rows = []

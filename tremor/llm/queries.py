@@ -82,5 +82,5 @@ def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op8_license_windows")
 def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tremor.llm.licenses import scan_licenses
-    return scan_licenses(load_table(spark, sf_dir, "documents"))
+    from tremor.llm.licenses import best_licenses
+    return best_licenses(load_table(spark, sf_dir, "documents"))
