@@ -74,6 +74,27 @@ def test_odd_vectors_ties_and_few_candidates(spark):
     assert ann.nearest(df.where("vec_id in (20, 40)"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_repeated_queries_and_the_commonest_length(spark):
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((300, 8)).astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    want = _want(np.arange(300), x, 20, lambda i: i % 20 == 0)
+    is_query = F.col("vec_id") % 20 == 0
+    # every query row three times, and a row of odd length before all others
+    more = [r for r in rows if r[0] % 20 == 0] * 2 + [(-1, [1.0, 2.0], 0)]
+    got = {}
+    for r in ann.nearest(_vectors(spark, rows + more), is_query, 60, block_rows=100, confidence=0.999999).collect():
+        assert r.query_row == 0
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        assert sorted(r for r, _ in found) == list(range(1, 61))
+        assert {i for i, _ in want[q]} <= {i for _, i in found}
+    # two vectors of one id are two queries
+    two = ann.nearest(_vectors(spark, [(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (1, [3.0, 1.0], 0), (2, [1.0, 3.0], 0)]), is_query, 1).collect()
+    assert sorted((r.query_id, r.query_row, r.rank, r.vec_id) for r in two) == [(0, 0, 1, 2), (0, 1, 1, 1)]
+
+
 def _fit(host, rule):
     return rule == "" or host == rule or host.endswith("." + rule)
 

@@ -17,10 +17,13 @@ by then have been met with this probability.  Block results are merged by a
 ranked window per query.
 
 Every row is indexed; queries are a stated set, sent to all blocks.  Vectors
-that are null, zero, of another length than the first or with null or
-non-finite components take no part, nor do rows without vec_id.  A query with
-fewer candidates than k gets all.  Ties go to the smaller vec_id; repeated
-rows are candidates of their own.
+that are null, zero, of another length than the commonest (of equally common
+ones the smallest) or with null or non-finite components take no part, nor do
+rows without vec_id.  A query with fewer candidates than k gets all.  Ties go
+to the smaller vec_id; repeated rows are candidates of their own, but one
+query.  Different vectors of one id are a query each, told apart by
+``query_row``, which counts them from 0 in order of the vectors; candidates
+of a query's own id are left out.
 """
 
 from __future__ import annotations
@@ -91,6 +94,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_i
                  norm2: float, matrix: np.ndarray, k: int, confidence: float, verified: list[int] | None = None):
     """(query id, vec_id, score) of each query's best k of the block; how many
     vectors each query verified is added to ``verified``."""
+    for number, found, score in search_places(ids, vectors, lift, query_ids, queries, norm2, matrix, k, confidence, verified):
+        yield int(query_ids[number]), found, score
+
+
+def search_places(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
+                  norm2: float, matrix: np.ndarray, k: int, confidence: float, verified: list[int] | None = None):
+    """As ``search_block``, with the query's place instead of its id."""
     tree = ProjectedTree(vectors @ matrix[:-1] + lift[:, None] * matrix[-1])
     ids, vectors = ids[tree.order], vectors[tree.order]
     limit = chi_square_quantile(confidence, matrix.shape[1])
@@ -124,7 +134,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, lift: np.ndarray, query_i
             verified.append(seen)
         order = np.lexsort((best_id, -best))[:k]
         for i in order:
-            yield int(query_ids[number]), int(best_id[i]), float(best[i])
+            yield number, int(best_id[i]), float(best[i])
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
@@ -141,11 +151,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, projected: int = PROJECTED,
             confidence: float = CONFIDENCE, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score.  ``is_query`` is a condition on vec_id."""
+    """query_id, rank, vec_id, score, query_row.  ``is_query`` is a condition on vec_id."""
     rows = reliable(_valid(embeddings))
-    first = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.size("v"), "vec_id").alias("width")).first()
-    if not first.n:
-        return embeddings.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    first = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    if first is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, query_row int")
     width = first.width
     rows = rows.where(F.size("v") == width)
     norm2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
@@ -153,23 +163,25 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, projected: int
     matrix = np.random.default_rng(seed).standard_normal((width + 1, projected))
     top = float(norm2)
 
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"),
-                                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    queries = queries.withColumn("query_row", F.row_number().over(Window.partitionBy("query_id").orderBy("q")) - 1)
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     indexed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
 
     def solve(key, left, right):
-        found = ()
+        columns = [()] * 4
         if left.num_rows and right.num_rows:
             x = _matrix(left.column("v"), width)
             lift = np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
-            found = list(search_block(left.column("vec_id").to_numpy(), x, lift, right.column("query_id").to_numpy(),
-                                      _matrix(right.column("q"), width), top, matrix, k, confidence))
-        columns = list(zip(*found)) or [()] * 3
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                        names=["query_id", "vec_id", "score"])
+            found = search_places(left.column("vec_id").to_numpy(), x, lift, right.column("query_id").to_numpy(),
+                                  _matrix(right.column("q"), width), top, matrix, k, confidence)
+            query_id, query_row = right.column("query_id").to_pylist(), right.column("query_row").to_pylist()
+            columns = list(zip(*((query_id[i], query_row[i], c, s) for i, c, s in found))) or columns
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))],
+                        names=["query_id", "query_row", "vec_id", "score"])
 
     near = (indexed.groupBy("block").cogroup(queries.groupBy("block"))
-            .applyInArrow(solve, "query_id bigint, vec_id bigint, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            .applyInArrow(solve, "query_id bigint, query_row int, vec_id bigint, score double"))
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", "score", "query_row"))
