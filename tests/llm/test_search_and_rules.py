@@ -95,6 +95,23 @@ def test_repeated_queries_and_the_commonest_length(spark):
     assert sorted((r.query_id, r.query_row, r.rank, r.vec_id) for r in two) == [(0, 0, 1, 2), (0, 1, 1, 1)]
 
 
+def test_queries_are_cut_into_parts_too(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((400, 8)).astype(np.float32).astype(float)
+    df = _vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    rows = df.select("vec_id", F.col("embedding").alias("v"))
+    sides = ann.deal(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 4, 4)
+    for side in sides:
+        sizes = [r["count"] for r in side.groupBy("block", "part").count().collect()]
+        assert len(sizes) == 16 and sum(sizes) == 1600 and max(sizes) < 160
+    # every vector is a query: more queries than a block holds
+    got = {}
+    for r in ann.nearest(df, F.lit(True), 5, block_rows=100, confidence=0.999999).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = _want(np.arange(400), x, 5, lambda i: True)
+    assert {q: [i for _, i in sorted(f)] for q, f in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def _fit(host, rule):
     return rule == "" or host == rule or host.endswith("." + rule)
 

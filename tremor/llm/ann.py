@@ -13,8 +13,9 @@ distance r satisfies
     P(chi2_m <= r^2 / d_k^2) >= confidence,
 
 d_k being the distance of its k-th best so far: a vector as near as that would
-by then have been met with this probability.  Block results are merged by a
-ranked window per query.
+by then have been met with this probability.  Queries are dealt into parts of
+bounded size too; a task searches one block for one part.  Block results are
+merged by a ranked window per query.
 
 Every row is indexed; queries are a stated set, sent to all blocks.  Vectors
 that are null, zero, of another length than the commonest (of equally common
@@ -149,6 +150,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
         else column.flatten().to_numpy().reshape(-1, width)
 
 
+def deal(indexed: DataFrame, queries: DataFrame, blocks: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``block`` and ``part``: each row of a side meets every
+    row of the other once."""
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    return (indexed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("part", each(parts)),
+            queries.withColumn("part", F.pmod(F.xxhash64("query_id", "q"), F.lit(parts)).cast("int")).withColumn("block", each(blocks)))
+
+
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, projected: int = PROJECTED,
             confidence: float = CONFIDENCE, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score, query_row.  ``is_query`` is a condition on vec_id."""
@@ -164,9 +175,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, projected: int
     top = float(norm2)
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    queries = queries.withColumn("query_row", F.row_number().over(Window.partitionBy("query_id").orderBy("q")) - 1)
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    indexed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    queries = reliable(queries.withColumn("query_row", F.row_number().over(Window.partitionBy("query_id").orderBy("q")) - 1))
+    indexed, queries = deal(rows, queries, blocks, max(1, -(-queries.count() // block_rows)))
 
     def solve(key, left, right):
         columns = [()] * 4
@@ -180,7 +190,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, projected: int
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))],
                         names=["query_id", "query_row", "vec_id", "score"])
 
-    near = (indexed.groupBy("block").cogroup(queries.groupBy("block"))
+    near = (indexed.groupBy("block", "part").cogroup(queries.groupBy("block", "part"))
             .applyInArrow(solve, "query_id bigint, query_row int, vec_id bigint, score double"))
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
