@@ -131,6 +131,17 @@ def test_odd_rows_and_empty_table(spark):
     assert kept == {None, 1, 2, 3, 4, 6, 8, 10, 11}
 
 
+def test_one_of_repeated_and_idless_copies_stays(spark):
+    rows = [(None, words(1, 30))] * 3 + [(5, words(2, 30))] * 3 + [(6, words(2, 30)), (7, words(3, 30)), (7, words(4, 30)), (7, words(3, 30)),
+            (None, words(4, 30)), (None, words(5, 30)), (None, None), (None, None), (8, ""), (8, "")]
+    for order in (rows, rows[::-1]):
+        kept = J.drop_near_duplicates(documents(spark, order, True).repartition(3), 3, 90, 100)
+        assert kept.columns == documents(spark, rows, True).columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+            [(None, words(1, 30)), (5, words(2, 30)), (7, words(3, 30)), (7, words(4, 30)), (None, words(5, 30)),
+             (None, None), (None, None), (8, ""), (8, "")], key=str)
+
+
 def test_odd_texts_do_not_fail(spark):
     assert J.jaccard_components(documents(spark, ODD_ROWS, True), 5, 80, 100).count() == len(ODD_ROWS)
 

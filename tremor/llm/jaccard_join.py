@@ -43,7 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.llm.common import bounded_broadcast, mix64, pieces, reliable, slices, WordStream
@@ -444,8 +444,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the first (smallest doc_id) of their
-    group; of rows repeating a doc_id all stay.  Rows without id or words stay."""
-    found = jaccard_components(docs, n, num, den)
-    gone = reliable(found.where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(bounded_broadcast(gone), "doc_id", "left_anti")
+    """The rows of ``docs`` that are the first of their group: the smallest
+    doc_id (none comes last), then the smallest row key.  A row's key is a
+    64-bit hash of doc_id and text, so rows without id and rows that share one
+    take part each, and of rows alike in both one stays.  Rows without words
+    all stay."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    rows = docs.select(key.alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text"))
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), n, num, den).where("n_shingles > 0")
+    counted = reliable(found.groupBy(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).agg(F.count(F.lit(1)).alias("times")))
+    # groups of more than one row; only these need the ids again
+    grouped = reliable(counted.join(counted.groupBy("component").agg(F.count(F.lit(1)).alias("g")).where("g > 1").drop("g"), "component"))
+    place = F.struct(F.col("id").isNull().alias("without"), "id", "row")
+    placed = grouped.join(rows.select("row", "id").distinct(), "row").select("row", "component", place.alias("place"))
+    first = placed.groupBy("component").agg(F.min("place").alias("first"))
+    gone = reliable(placed.join(first, "component").where("place <> first").select(F.col("row").alias("__row")))
+    again = reliable(counted.where("times > 1").select(F.col("row").alias("__row")))
+    kept = docs.withColumn("__row", key).join(bounded_broadcast(gone), "__row", "left_anti")
+    again = bounded_broadcast(again)
+    once = Window.partitionBy("__row").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["__row"])
+    repeated = kept.join(again, "__row", "left_semi").withColumn("__number", F.row_number().over(once)).where("__number = 1").drop("__number")
+    return kept.join(again, "__row", "left_anti").unionByName(repeated).select(*docs.columns)
