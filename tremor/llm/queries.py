@@ -84,3 +84,9 @@ def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremor.llm.licenses import best_licenses
     return best_licenses(load_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_simhash_components")
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremor.llm.simhash import simhash_components
+    return simhash_components(load_table(spark, sf_dir, "documents"), n=3, radius=2)
