@@ -11,10 +11,10 @@ from tests.llm.test_jaccard import brute
 REPO = Path(__file__).resolve().parents[2]
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_thirteen_queries_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and "op7_url_rules" in entry.oracle_sql()
 
 
