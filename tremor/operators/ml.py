@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
 from tremor.operators.encode import assemble
+from tremor.operators.together import side_by_side
 from tremor.session import materialize
 
 
@@ -55,42 +56,44 @@ def truncate(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
 
 def train_gbt(train: DataFrame, feats, label: str = "nb_seismes", max_iter: int = 1000,
               step: float = 0.03, max_depth: int = 5, subsample: float = 0.8,
-              validation_col: str | None = None, patience: int = 50, min_gain: float = 1e-3, seed: int = 42,
-              partitions: int | None = 1):
+              validation_col: str | None = None, patience: int = 50, seed: int = 42,
+              partitions: int | None = 1, column_share: str = "0.8"):
     """M7: boosted trees.
 
     With ``validation_col`` (a validation slice, never the test set — SURVEY
-    D9) the number of rounds is the one with the least validation error,
-    taken once the last ``patience`` rounds lowered it by less than the share
-    ``min_gain``; the model keeps exactly these trees.  Rounds are fitted in
-    growing batches, since a fit with more rounds begins with the same trees.  Without it all
-    ``max_iter`` rounds are kept.  MLlib's own early stop ends at the first
-    small gain, which with small steps is the first round, so it is not used.
+    D9) the model keeps the rounds up to the least validation error before the
+    first ``patience`` rounds in a row without any gain.  All rounds are fitted once and the error of
+    every prefix is read from that one model.  Without it all ``max_iter``
+    rounds are kept.  MLlib's own early stop ends at the first small gain,
+    which with small steps is the first round, so it is not used.
 
     Training rows are rollup rows (a row per week or zone-week); ``partitions``
     keeps them together, as a round is a handful of tiny jobs.  None leaves
-    them as they come, for tables of many zones.
+    them as they come, for tables of many zones.  The features are computed
+    by all tasks before that.
     """
-    rows = assemble(train, list(feats))
+    rows = materialize(assemble(train, list(feats)).select("features", F.col(label).cast("double").alias(label),
+                                                           *([validation_col] if validation_col else [])))
     if partitions:
         rows = rows.coalesce(partitions)
-    rows = materialize(rows.select("features", F.col(label).cast("double").alias(label), *([validation_col] if validation_col else [])))
+    fitted = rows.where(~F.col(validation_col)) if validation_col else rows
+    model = GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=column_share,
+                         seed=seed, labelCol=label, featuresCol="features").fit(fitted)
+    if not validation_col:
+        return model
+    return truncate(model, stop_round(model.evaluateEachIteration(rows.where(F.col(validation_col)), "squared"), patience))
 
-    def fit(part, rounds):
-        return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy="0.8",
-                            seed=seed, labelCol=label, featuresCol="features").fit(part)
 
-    if not validation_col:
-        return fit(rows, max_iter)
-    part, check = rows.where(~F.col(validation_col)), rows.where(F.col(validation_col))
-    rounds = min(max_iter, 2 * patience)
-    while True:
-        model = fit(part, rounds)
-        errors = model.evaluateEachIteration(check, "squared")
-        best = min(range(len(errors)), key=errors.__getitem__)
-        if rounds >= max_iter or errors[best] >= min(errors[:rounds - patience]) * (1 - min_gain):
-            return truncate(model, best + 1)
-        rounds = min(max_iter, 2 * rounds)
+def stop_round(errors: list[float], patience: int) -> int:
+    """Rounds to keep: those up to the least error, looking no further than
+    the first ``patience`` rounds without a lower one."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
 
 
 # The three boosted configurations (rounds, step, depth).
@@ -127,14 +130,18 @@ def interval_fallback(pred: DataFrame, yhat: str = "central", width: int = 50) -
 
 def walk_forward(df: DataFrame, feats, fit, n_splits: int = 5, order: str = "date",
                  label: str = "nb_seismes") -> DataFrame:
-    """Expanding folds (W16), one fit per fold; rows (fold, mae)."""
+    """Expanding folds (W16), one fit per fold, side by side; rows (fold, mae)."""
     from tremor.operators.windows import ts_folds
     folds = materialize(ts_folds(df, n_splits, order))
-    out = None
-    for f in range(1, n_splits + 1):
+
+    def score(f: int) -> DataFrame:
         part = folds.where(F.col("fold") == f)
         model = fit(part.where(F.col("role") == "train"))
         scored = predict(model, part.where(F.col("role") == "val"), feats)
-        mae = scored.agg(F.avg(F.abs(F.col(label) - F.col("yhat"))).alias("mae")).withColumn("fold", F.lit(f))
-        out = mae if out is None else out.unionByName(mae)
+        return scored.agg(F.avg(F.abs(F.col(label) - F.col("yhat"))).alias("mae")).withColumn("fold", F.lit(f))
+
+    parts = side_by_side(df.sparkSession, [lambda f=f: score(f) for f in range(1, n_splits + 1)])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -11,6 +11,8 @@ from tremor.operators import rollup as R
 from tremor.operators.common import attach_row
 from tremor.operators import stats as ST
 from tremor.operators import windows as W
+from tremor.operators.boosting import apply_quantile_interval, pinball_loss, train_interval
+from tremor.operators.together import side_by_side
 from tremor.plans.catalog import register
 from tremor.plans.q_windows import _feature_sql, baseline_predictions
 from tremor.plans.report import dstr, finalize, r6
@@ -21,8 +23,8 @@ from tremor.session import materialize
 from tremor.sources.views import quake_long
 
 FILLED = f"{WITH_LONG}, {filled_weekly_sql()}"
-ZONE_FEATURES = ["zone", "lag_1", "lag_2", "lag_3", "lag_4", "rolling_mean_4", "rolling_mean_8",
-                 "rolling_std_4", "rolling_std_8"]
+# The features of the zone model.
+ZONE_FEATURES = ["zone", "lag_1", "lag_2", "lag_3", "lag_4", "rolling_mean_4", "rolling_mean_8"]
 
 
 @register("M3_minmax", f"""{FILLED}
@@ -67,9 +69,10 @@ def q_models(spark, sf_dir):
     hold-out (leaderboard by MAE); interval coverage of the conformal band."""
     train, test = _train_test(spark, sf_dir)
     fit_rows = train.where(~F.col("is_val"))
-    rf = ml.train_rf(fit_rows, MODEL_FEATURES, num_trees=500, max_depth=10, min_leaf=5)
     rounds, step, depth = ml.GBT_CONFIGS["gbt"]
-    gbt = ml.train_gbt(train, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
+    rf, gbt = side_by_side(spark, [
+        lambda: ml.train_rf(fit_rows, MODEL_FEATURES, num_trees=500, max_depth=10, min_leaf=5),
+        lambda: ml.train_gbt(train, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")])
     rows = []
     for name, model in (("random_forest", rf), ("gbt", gbt)):
         val = ml.predict(model, train.where("is_val"), MODEL_FEATURES).select(
@@ -85,17 +88,40 @@ def q_models(spark, sf_dir):
     return finalize(out.orderBy("mae", "model"))
 
 
+@register("M9_quantile_interval")
+def q_quantile_interval(spark, sf_dir):
+    """10-90 % interval of boosted quantile models on the 52-week hold-out,
+    beside the conformal band, around one central model; both coverages and
+    the mean pinball loss of both ends, with the loss of constant quantiles."""
+    train, test = _train_test(spark, sf_dir)
+    rounds, step, depth = ml.GBT_CONFIGS["gbt"]
+    both = train.drop("is_val")
+    gbt, (low, high) = side_by_side(spark, [
+        lambda: ml.train_gbt(train, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val"),
+        lambda: train_interval(both, MODEL_FEATURES)])
+    val = ml.predict(gbt, train.where("is_val"), MODEL_FEATURES).select(F.col("nb_seismes").cast("double").alias("y"), "yhat")
+    central = ml.predict(gbt, test, MODEL_FEATURES).withColumn("y", F.col("nb_seismes").cast("double"))
+    scored = ml.apply_interval(apply_quantile_interval(central, low, high), ml.conformal_bounds(val)).select("date", "y", "yhat", "q_lo", "q_hi", "lo", "hi")
+    scored = materialize(scored)
+    y = F.col("y")
+    told = scored.agg((F.avg(y.between(F.col("q_lo"), F.col("q_hi")).cast("int")) * 100).alias("quantile_coverage_pct"),
+                      (F.avg(y.between(F.col("lo"), F.col("hi")).cast("int")) * 100).alias("conformal_coverage_pct"),
+                      F.avg(pinball_loss(y, F.col("q_lo"), 0.1)).alias("low_loss"), F.avg(pinball_loss(y, F.col("q_hi"), 0.9)).alias("high_loss"),
+                      F.avg(pinball_loss(y, F.lit(low.start), 0.1)).alias("constant_low_loss"),
+                      F.avg(pinball_loss(y, F.lit(high.start), 0.9)).alias("constant_high_loss"))
+    return finalize(attach_row(scored, told).orderBy("date"))
+
+
 @register("M11_walk_forward_gbt")
 def q_walk_forward(spark, sf_dir):
-    """Walk-forward validation (5 expanding folds) of boosted trees: MAE per
-    fold summarised as mean ± population sd.  Up to 500 rounds a fold; the
-    last tenth of a fold's training weeks chooses their number."""
+    """Walk-forward validation (5 expanding folds, side by side) of boosted
+    trees, 500 rounds on all training weeks of a fold: MAE per fold summarised
+    as mean ± population sd."""
     feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
     rounds, step, depth = ml.GBT_CONFIGS["gbt_walk_forward"]
 
     def fit(train):
-        part = W.holdout_frac(train.drop("is_test"), 0.9).withColumnRenamed("is_test", "is_val")
-        return ml.train_gbt(part, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
+        return ml.train_gbt(train, MODEL_FEATURES, max_iter=rounds, step=step, max_depth=depth, column_share="all")
 
     per_fold = ml.walk_forward(feats, MODEL_FEATURES, fit)
     return finalize(ST.cv_summary(per_fold, "mae"))
@@ -131,7 +157,7 @@ def q_forecast(spark, sf_dir):
 @register("M8_zone_forecast")
 def q_zone_forecast(spark, sf_dir):
     """Per-zone boosted trees with the zone as a feature on the dense zone
-    grid; split by week (last 20 % of weeks test).  The prediction row of each
+    grid, 200 rounds on all training weeks; split by week (last 20 % of weeks test).  The prediction row of each
     zone is the appended next week, run through the same feature code."""
     from tremor.plans.q_windows import zone_feature_columns
     grid = materialize(J.dense_grid(R.zone_weekly(quake_long(spark, sf_dir))))
@@ -142,8 +168,7 @@ def q_zone_forecast(spark, sf_dir):
     data = known.join(W.holdout_frac(known.select("date").distinct(), 0.8), "date")
     rounds, step, depth = ml.GBT_CONFIGS["gbt_zone"]
     train = data.where(~F.col("is_test")).drop("is_test")
-    train = train.join(W.holdout_frac(train.select("date").distinct(), 0.9).withColumnRenamed("is_test", "is_val"), "date")
-    gbt = ml.train_gbt(train, ZONE_FEATURES, max_iter=rounds, step=step, max_depth=depth, validation_col="is_val")
+    gbt = ml.train_gbt(train, ZONE_FEATURES, max_iter=rounds, step=step, max_depth=depth, partitions=None, column_share="all")
     test = ml.predict(gbt, data.where("is_test"), ZONE_FEATURES)
     mae = test.agg(F.avg(F.abs(F.col("nb_seismes") - F.col("yhat"))).alias("test_mae"))
     nxt = attach_row(rows, after.withColumnRenamed("date", "next_week")).where("date = next_week")
