@@ -1,38 +1,27 @@
 """Imputation: batch median (P35) and exact k-nearest-neighbour mean.
 
-KNN without all-pairs
----------------------
 A NULL target gets the mean target of its ``k`` nearest rows (Euclidean on
-raw feature values, ties by donor id) among rows that have a value.  The
-search is exact and never forms the receivers x donors product:
-
-1. Donors sharing the exact same feature point are interchangeable except
-   for the id tie-break, so only the ``k`` smallest ids per point can ever
-   be chosen; they are kept with a salted two-stage ``row_number`` (a hot
-   point is split across tasks before its final top-k).
-2. Receivers sharing a point have the same answer: they are reduced to
-   distinct points.
-3. Grid levels with cell side ``s`` (fine to coarse, x4 each time): every
-   pending receiver point is equi-joined with the donors of its 3^d
-   neighbour cells.  Any donor within distance ``s`` lies in those cells,
-   so a receiver whose k-th candidate is within ``s`` is exact and leaves;
-   the others move to the next level.  The last level's cell covers the
-   data's full extent, so it resolves everything left.
+raw feature values, ties by donor id) among rows that have a value.  Donors
+that share a point are reduced to their ``k`` smallest ids, receivers to
+distinct points; the search between them is ``operators/neighbours.py``.
+Rows lacking a feature (NULL, NaN, or so large that its square is infinite)
+neither give nor get a value.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
+from tremor.operators.neighbours import CELL_ROWS, neighbour_pairs, topk_per_point
 from tremor.operators.quantiles import exact_quantile
 from tremor.session import cut_lineage
 
 
+LARGEST = 1e150
+
+
 def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """NULL -> the column's median over the batch, attached to every row
     as a scalar subquery.
@@ -59,120 +48,43 @@ def impute_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
         *[f"__med_{c}" for c in cols])
 
 
-def _topk_per_point(donors: DataFrame, keys: list[str], k: int, id_col: str, salts: int = 256) -> DataFrame:
-    salted = donors.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "__salt").orderBy(id_col)
-    stage1 = salted.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= k)
-    w2 = Window.partitionBy(*keys).orderBy(id_col)
-    return (stage1.withColumn("__rn", F.row_number().over(w2)).where(F.col("__rn") <= k)
-            .drop("__rn", "__salt"))
-
-
-def _cells(feats: list[str], s: float, prefix: str):
-    return [F.floor(F.col(f) / F.lit(s)).cast("long").alias(f"{prefix}{i}") for i, f in enumerate(feats)]
-
-
-def knn_means(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k: int = 5,
-              id_col: str = "id", base: float | None = None, factor: float = 4.0,
-              max_cell: int = 256) -> DataFrame:
+def knn_means(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k: int = 5, id_col: str = "id",
+              cell_rows: int = CELL_ROWS) -> DataFrame:
     """For every target column (index ``__t``) and every distinct receiver
     point, the mean target of its k nearest donors (``__knn``); receivers
     with no donor at all get no row (their value stays NULL).
 
     All targets run together: rows are exploded into (target, value) pairs
     once, and every join, window and aggregate is keyed by the target, so
-    each grid level is one job for all targets.
-
-    ``base`` (finest cell side) defaults to the side at which a cell holds
-    about k donor points on average ((volume / (points/k))^(1/d)), so the
-    first level resolves most receivers; sparse ones climb the levels.  If
-    the fullest cell then holds more than ``max_cell`` distinct donor points
-    (clustered data), the side is divided by ``factor`` until it does not.
+    a level of the tree is one job for all targets.
     """
     targets = [targets] if isinstance(targets, str) else list(targets)
     feats = list(feats)
     ok = F.lit(True)
     for f in feats:
-        ok = ok & F.col(f).isNotNull()
+        ok = ok & F.coalesce(F.abs(F.col(f).cast("double")) < LARGEST, F.lit(False))
     pairs_tv = F.explode(F.array(*[F.struct(F.lit(i).alias("__t"), F.col(t).cast("double").alias("__v"))
                                    for i, t in enumerate(targets)])).alias("__e")
-    src = df.where(ok).select(id_col, *feats, pairs_tv).select(id_col, *feats, "__e.__t", "__e.__v")
-    pkey = ["__t"] + feats
-    donors = _topk_per_point(src.where(F.col("__v").isNotNull()), pkey, k, id_col)
-    pending = src.where(F.col("__v").isNull()).select(*pkey).distinct()
-    # Each level reads the previous level's output twice; reliable checkpoints
-    # (shared checkpoint folder) keep the plan linear and survive executor loss.
-    donors = cut_lineage(donors)
-    pending = cut_lineage(pending)
-
-    # Extent of ALL points (receivers may lie outside the donors' box) and
-    # the donor-point count (one row) fix the cell sizes and levels.
-    pts = donors.select(*feats, F.lit(1).alias("__d")).unionByName(pending.select(*feats, F.lit(0).alias("__d")))
-    ext = pts.agg(F.sum("__d").alias("__n"), *[(F.max(f) - F.min(f)).alias(f) for f in feats]).first()
-    n_donors = ext["__n"]
-    spans = [float(ext[f] or 0.0) for f in feats]
-    span = max(spans)
-    if base is None:
-        # cell side at which a cell holds about k donor points of one target
-        live = [x for x in spans if x > 0]
-        volume = math.prod(live) if live else 1.0
-        per_target = float(n_donors or 1) / len(targets)
-        base = (volume / max(per_target / k, 1.0)) ** (1.0 / max(len(live), 1))
-        # Clustered data: refine until the fullest cell holds at most
-        # `max_cell` donor points, so no receiver meets an unbounded cell.
-        while base > span * 1e-9:
-            occ = (donors.groupBy("__t", *_cells(feats, base, "__o")).count()
-                   .agg(F.max("count")).first()[0] or 0)
-            if occ <= max_cell:
-                break
-            base /= factor
-    extent = max(span, base)
-    levels = max(1, int(math.ceil(math.log(extent / base, factor))) + 1)
-
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=len(feats))]
-    ncell = [f"__n{i}" for i in range(len(feats))]
-    results = []
-    s = base
-    for level in range(levels):
-        last = level == levels - 1 or s >= extent
-        # receivers: one row per neighbour cell; donors: one row each, keyed by cell
-        rc = pending.select(*pkey, *_cells(feats, s, "__c"))
-        off = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("__o")
-        rc = rc.select(*pkey, *[F.col(f"__c{i}") for i in range(len(feats))], off)
-        rc = rc.select(*pkey, *[(F.col(f"__c{i}") + F.col("__o")[i]).alias(f"__n{i}") for i in range(len(feats))])
-        dc = donors.select("__t", F.col(id_col).alias("__did"), "__v",
-                           *[F.col(f).alias(f"__d_{f}") for f in feats], *_cells(feats, s, "__n"))
-        pairs = rc.join(dc, ["__t"] + ncell, "inner")
-        d2 = sum(((F.col(f) - F.col(f"__d_{f}")) * (F.col(f) - F.col(f"__d_{f}")) for f in feats), F.lit(0.0))
-        w = Window.partitionBy(*pkey).orderBy("__d2", "__did")
-        ranked = (pairs.select(*pkey, "__did", "__v", d2.alias("__d2"))
-                  .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k))
-        agg = cut_lineage(ranked.groupBy(*pkey).agg(F.avg("__v").alias("__knn"), F.count(F.lit(1)).alias("__cnt"),
-                                                    F.max("__d2").alias("__dk")))
-        if last:
-            results.append(agg.select(*pkey, "__knn"))
-            break
-        done = agg.where((F.col("__cnt") == k) & (F.col("__dk") <= F.lit(s * s)))
-        results.append(done.select(*pkey, "__knn"))
-        pending = cut_lineage(pending.join(done.select(*pkey), pkey, "left_anti"))
-        if pending.isEmpty():  # checkpointed: a cheap look at saved files
-            break
-        s *= factor
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    src = df.where(ok).select(F.col(id_col).alias("__did"), *[F.col(f).cast("double").alias(f) for f in feats], pairs_tv)
+    src = src.select("__did", *feats, "__e.__t", "__e.__v")
+    pkey = ["__t", *feats]
+    # both are read by every level of the tree
+    donors = cut_lineage(topk_per_point(src.where(F.col("__v").isNotNull()), pkey, k, "__did").select(*pkey, "__did", "__v"))
+    receivers = cut_lineage(src.where(F.col("__v").isNull()).select(*pkey).distinct())
+    w = Window.partitionBy(*pkey).orderBy("__d2", "__did")
+    return (neighbour_pairs(receivers, donors, feats, k, cell_rows)
+            .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).groupBy(*pkey).agg(F.avg("__v").alias("__knn")))
 
 
 def impute_knn_many(df: DataFrame, targets, feats=("latitude", "longitude", "hour"), k: int = 5,
-                    id_col: str = "id", base: float | None = None) -> DataFrame:
+                    id_col: str = "id") -> DataFrame:
     """P36 for several target columns at once: each NULL gets the mean of its
     k nearest donors for that column.  The per-target means are pivoted to
     one row per point (explicit pivot values, no extra job) and joined back
     once."""
     targets = list(targets)
     feats = list(feats)
-    means = knn_means(df, targets, feats, k, id_col, base)
+    means = knn_means(df, targets, feats, k, id_col)
     wide = means.groupBy(*feats).pivot("__t", list(range(len(targets)))).agg(F.first("__knn"))
     wide = wide.select(*feats, *[F.col(f"`{i}`").alias(f"__knn_{i}") for i in range(len(targets))])
     # only rows with something to fill meet the means; the rest pass by, so a
@@ -186,6 +98,6 @@ def impute_knn_many(df: DataFrame, targets, feats=("latitude", "longitude", "hou
 
 
 def impute_knn(df: DataFrame, target: str, feats=("latitude", "longitude", "hour"), k: int = 5,
-               id_col: str = "id", base: float | None = None) -> DataFrame:
+               id_col: str = "id") -> DataFrame:
     """Fill NULL ``target`` with the mean of its k nearest donors."""
-    return impute_knn_many(df, [target], feats, k, id_col, base)
+    return impute_knn_many(df, [target], feats, k, id_col)
