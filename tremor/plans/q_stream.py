@@ -10,10 +10,12 @@ from tremor.operators.geo import nearest_centre, scaler_stats
 from tremor.plans.catalog import register
 from tremor.plans.q_zones import ZONED_SQL
 from tremor.plans.report import finalize, r6, tstr
-from tremor.plans.sqlparts import WITH_QUAKE
+from tremor.plans.sqlparts import WITH_QUAKE, weekly_rollup_sql
 from tremor.plans.zones import DEFAULT_CENTRES
+from tremor.session import materialize
 from tremor.sources.tables import load_table
 from tremor.sources.views import quake, quake_rows
+from tremor.streaming.state import MEDIAN_RANK_ERROR, ZONES_ERROR, exact_weeks, sketch_check, stream_scaled, stream_weeks
 from tremor.streaming.events import (run_available, sliding_counts, stream_dedup, stream_events,
                                      stream_place, stream_upsert, stream_weekly, with_event_time)
 
@@ -87,3 +89,33 @@ def q_stream_zones(spark, sf_dir):
     zoned = s.select("id", nearest_centre(F.col("latitude"), F.col("longitude"), DEFAULT_CENTRES,
                                           F.col("latitude_sd"), F.col("longitude_sd")).alias("zone"))
     return finalize(run_available(zoned, stream_place(spark, "t6")))
+
+
+@register("T3_T5_A1_week_state", f"""{WITH_QUAKE}, e AS (SELECT * FROM quake WHERE type = 'earthquake'), r AS ({weekly_rollup_sql('e')})
+    SELECT strftime(date, '%Y-%m-%d') AS date, nb_seismes, {r6('mag_max')} AS mag_max, {r6('mag_mean')} AS mag_mean, {r6('depth_mean')} AS depth_mean,
+           tsunami_sum, {r6('ln(1 + energy_sum)')} AS log1p_energy, nb_zones AS exact_zones, {r6('mag_median')} AS exact_median,
+           1 AS zones_within_error, 1 AS median_within_error FROM r""")
+def q_week_state(spark, sf_dir):
+    """Weeks merged from the stream's mergeable parts, beside the exact mode:
+    exact columns equal the batch rollup, and both sketches keep their stated
+    error."""
+    events = only_kind(_stream_quakes(spark, sf_dir))
+    rows = materialize(stream_weeks(events, stream_place(spark, "week-state")))
+    batch = only_kind(quake(spark, sf_dir))
+    exact = materialize(exact_weeks(batch, rows))
+    told = sketch_check(rows, exact, batch).drop("mag_median", "nb_zones").join(
+        exact.select("date", F.col("nb_zones").alias("exact_zones"), F.col("mag_median").alias("exact_median")), "date")
+    within = (F.col("rank_below") <= 0.5 + MEDIAN_RANK_ERROR) & (F.col("rank_within") >= 0.5 - MEDIAN_RANK_ERROR)
+    return finalize(told.select(
+        "date", "nb_seismes", "mag_max", "mag_mean", "depth_mean", "tsunami_sum", F.log1p("energy_sum").alias("log1p_energy"), "exact_zones",
+        "exact_median", (F.col("zones_error") <= ZONES_ERROR).alias("zones_within_error"), F.coalesce(within, F.lit(True)).alias("median_within_error")))
+
+
+@register("T6_stream_following_scales", f"""{ZONED_SQL} SELECT id, CAST(zone AS BIGINT) AS zone FROM zoned""")
+def q_stream_following_scales(spark, sf_dir):
+    """Zone assignment with scales that follow the stream: moments kept as
+    versioned state; with all events in one batch they equal the batch scales."""
+    def assign(rows):
+        return rows.select("id", nearest_centre(F.col("latitude"), F.col("longitude"), DEFAULT_CENTRES,
+                                                F.col("latitude_sd"), F.col("longitude_sd")).alias("zone"))
+    return finalize(stream_scaled(only_kind(_stream_quakes(spark, sf_dir)), stream_place(spark, "t6-state"), assign).drop("batch"))
