@@ -2,16 +2,14 @@
 
 Series are small after the weekly rollup; ``by`` partitions the work so
 thousands of series run in parallel.  SQL aggregates and window functions
-carry the decomposition, the Dickey-Fuller statistic and AR(2); only the
-two recursions (Durbin-Levinson PACF, Holt-Winters) run in Python, one
-``applyInPandas`` call per series with bounded input (max_lag+1 ACF rows,
-one row per week).
+carry the decomposition, the Dickey-Fuller statistic and AR(2); the two
+recursions (Durbin-Levinson PACF, Holt-Winters) are folds over sorted arrays
+inside the JVM (max_lag + 1 autocorrelations, a value per week).  Augmented
+tests and ARMA fits are in ``operators/lagfit.py``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,64 +103,30 @@ def ar2(df: DataFrame, y: str = "nb_seismes", order: str = "date", by=None, hori
     return out.select(*by, "n", "c", "a1", "a2", fc.alias("forecast"))
 
 
-def _durbin_levinson(r: np.ndarray) -> np.ndarray:
-    """PACF from autocorrelations r[0..p] (r[0] = 1)."""
-    p = len(r) - 1
-    out = np.zeros(p + 1)
-    out[0] = 1.0
-    if p == 0:
-        return out
-    phi = np.zeros(p + 1)
-    prev = np.zeros(p + 1)
-    v = 1.0
-    for k in range(1, p + 1):
-        num = r[k] - np.dot(prev[1:k], r[1:k][::-1])
-        phi_kk = num / v if v != 0 else np.nan
-        phi[1:k] = prev[1:k] - phi_kk * prev[1:k][::-1]
-        phi[k] = phi_kk
-        v = v * (1 - phi_kk * phi_kk)
-        out[k] = phi_kk
-        prev = phi.copy()
-    return out
+def durbin_levinson(r: str, max_lag: int):
+    """Partial autocorrelations 0..max_lag of the autocorrelations in the array
+    column ``r``: a fold over the lags whose state is (phi, v, values)."""
+
+    def step(now, k):
+        terms = F.transform(now["phi"], lambda x, j: x * F.element_at(r, k - j))            # phi_j r_{k-j}, j from 1
+        partial = F.try_divide(F.element_at(r, k + 1) - F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), now["v"])
+        turned = F.transform(now["phi"], lambda x, j: x - partial * F.element_at(now["phi"], k - 1 - j))
+        return F.struct(F.concat(turned, F.array(partial)).alias("phi"), (now["v"] * (1 - partial * partial)).alias("v"),
+                        F.concat(now["values"], F.array(partial)).alias("values"))
+
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("v"), F.array(F.lit(1.0)).alias("values"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max_lag)), start, step)["values"]
 
 
 def pacf(df: DataFrame, y: str = "nb_seismes", max_lag: int = 60, order: str = "date", by=None) -> DataFrame:
-    """Partial autocorrelation per series — ACF in Spark (A20), then the
-    Durbin-Levinson recursion per series in ``applyInPandas``."""
+    """Partial autocorrelation per series: the autocorrelations (A20) as
+    a sorted array, then the Durbin-Levinson fold.  NULL from a lag on where
+    the remaining variance is 0."""
     by = list(by or [])
-    a = acf(df, y, max_lag, order, by)
-    key = by or ["__one"]
-    if not by:
-        a = a.withColumn("__one", F.lit(0))
-    schema = ", ".join([f"{k} {t}" for k, t in a.dtypes if k in key] + ["lag int", "pacf double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        vals = _durbin_levinson(pdf["acf"].to_numpy(dtype=float))
-        res = pd.DataFrame({"lag": pdf["lag"].astype("int32").to_numpy(), "pacf": vals})
-        for k in key:
-            res[k] = pdf[k].iloc[0]
-        return res[key + ["lag", "pacf"]]
-
-    out = a.groupBy(*key).applyInPandas(run, schema)
-    return out.drop("__one") if not by else out
-
-
-def _hw_pass(x: np.ndarray, period: int, alpha: float, beta: float, gamma: float, horizon: int):
-    """One additive Holt-Winters pass: (sse of one-step fits, forecasts)."""
-    n = len(x)
-    level = x[:period].mean()
-    trend = (x[period:2 * period].mean() - x[:period].mean()) / period
-    season = list(x[:period] - level)
-    sse = 0.0
-    for t in range(n):
-        s = season[t % period]
-        sse += (x[t] - (level + trend + s)) ** 2
-        new_level = alpha * (x[t] - s) + (1 - alpha) * (level + trend)
-        trend = beta * (new_level - level) + (1 - beta) * trend
-        season[t % period] = gamma * (x[t] - new_level) + (1 - gamma) * s
-        level = new_level
-    return sse, [level + (h + 1) * trend + season[(n + h) % period] for h in range(horizon)]
+    rows = acf(df, y, max_lag, order, by)
+    pairs = F.sort_array(F.collect_list(F.struct("lag", F.struct("acf").alias("v"))))
+    series = rows.groupBy(*by).agg(F.transform(pairs, lambda s: s["v"]["acf"]).alias("__r"))
+    return series.select(*by, F.posexplode(durbin_levinson("__r", max_lag)).alias("lag", "pacf"))
 
 
 # The smoothing grid searched when ``optimize=True``.
@@ -172,32 +136,42 @@ HW_GRID = {"alpha": [0.1, 0.2, 0.3, 0.5, 0.7], "beta": [0.01, 0.05, 0.1], "gamma
 def holt_winters(df: DataFrame, y: str = "nb_seismes", period: int = 52, order: str = "date", by=None,
                  alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2, horizon: int = 4,
                  optimize: bool = False) -> DataFrame:
-    """Additive Holt-Winters per series (one ``applyInPandas`` call per
-    series; input = that series' weeks).  Fixed smoothing parameters, or with
-    ``optimize=True`` the grid point with the smallest in-sample one-step SSE
-    (a coarse stand-in for the reference's optimiser)."""
+    """Additive Holt-Winters per series, a fold over the series as a
+    sorted array; the state is (level, trend, season, error so far), the
+    season turning by one place a step.
+
+    Fixed smoothing parameters, or with ``optimize=True`` the grid point with
+    the least in-sample one-step squared error (a coarse stand-in for the
+    reference's optimiser): each series is folded once per grid point, side by
+    side.  Series shorter than two periods have NULL sse and an empty
+    forecast; a NULL value counts as 0."""
     by = list(by or [])
-    key = by or ["__one"]
-    src = df.select(*by, order, F.col(y).cast("double").alias("__y"))
-    if not by:
-        src = src.withColumn("__one", F.lit(0))
-    schema = ", ".join([f"{k} {t}" for k, t in src.dtypes if k in key]
-                       + ["n int", "alpha double", "beta double", "gamma double", "sse double",
-                          "forecast array<double>"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf["__y"].to_numpy(dtype=float)
-        row = {k: pdf[k].iloc[0] for k in key}
-        if len(x) < 2 * period:
-            return pd.DataFrame([{**row, "n": len(x), "alpha": alpha, "beta": beta, "gamma": gamma,
-                                  "sse": np.nan, "forecast": []}])
-        grid = ([(a, b, g) for a in HW_GRID["alpha"] for b in HW_GRID["beta"] for g in HW_GRID["gamma"]]
-                if optimize else [(alpha, beta, gamma)])
-        best = min(((*_hw_pass(x, period, a, b, g, horizon), (a, b, g)) for a, b, g in grid),
-                   key=lambda r: r[0])
-        sse, fc, (a, b, g) = best
-        return pd.DataFrame([{**row, "n": len(x), "alpha": a, "beta": b, "gamma": g, "sse": sse, "forecast": fc}])
-
-    out = src.groupBy(*key).applyInPandas(run, schema)
-    return out.drop("__one") if not by else out
+    points = ([(a, b, g) for a in HW_GRID["alpha"] for b in HW_GRID["beta"] for g in HW_GRID["gamma"]] if optimize else [(alpha, beta, gamma)])
+    grid = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("alpha", "beta", "gamma"), p)]) for p in points]))
+    value = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
+    series = (df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"]).alias("__x"))
+              .select(*by, "__x", F.size("__x").alias("n"), grid.alias("__p")).select(*by, "__x", "n", "__p.*"))
+
+    def mean(x):
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / period
+
+    x, a, b, g = F.col("__x"), F.col("alpha"), F.col("beta"), F.col("gamma")
+    first = mean(F.slice(x, 1, period))
+    start = F.struct(first.alias("level"), ((mean(F.slice(x, period + 1, period)) - first) / period).alias("trend"),
+                     F.transform(F.slice(x, 1, period), lambda v: v - F.col("__first")).alias("season"), F.lit(0.0).alias("sse"))
+
+    def step(now, v):
+        s = F.element_at(now["season"], 1)
+        error = v - (now["level"] + now["trend"] + s)
+        level = a * (v - s) + (1 - a) * (now["level"] + now["trend"])
+        return F.struct(level.alias("level"), (b * (level - now["level"]) + (1 - b) * now["trend"]).alias("trend"),
+                        F.concat(F.slice(now["season"], 2, period), F.array(g * (v - level) + (1 - g) * s)).alias("season"),
+                        (now["sse"] + error * error).alias("sse"))
+
+    folded = series.withColumn("__first", first).withColumn("__end", F.when(F.col("n") >= 2 * period, F.aggregate(x, start, step)))
+    end = F.col("__end")
+    forecast = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: end["level"] + h * end["trend"] + F.element_at(end["season"], (h - 1) % period + 1))
+    scored = folded.select(*by, "n", "alpha", "beta", "gamma", end["sse"].alias("sse"),
+                           F.when(end.isNull(), F.array().cast("array<double>")).otherwise(forecast).alias("forecast"))
+    best = F.min_by(F.struct("n", "alpha", "beta", "gamma", "sse", "forecast"), F.struct("sse", "alpha", "beta", "gamma"))
+    return scored.groupBy(*by).agg(best.alias("__b")).select(*by, "__b.*")
