@@ -82,7 +82,7 @@ def test_empty_blocks_are_keys_of_sparse_sets():
 @pytest.mark.parametrize("batch_rows", [1, 7, 10_000])
 def test_streamed_lists_equal_plain_ones(spark, batch_rows):
     rnd = np.random.default_rng(batch_rows)
-    rows = [(int(k), int(d), int(c)) for k, d, c in zip(rnd.integers(0, 60, 900) ** 2 // 60, rnd.integers(0, 300, 900), rnd.integers(2, 8, 900))]
+    rows = [(int(k), int(d), int(c)) for k, d, c in zip(rnd.integers(0, 60, 2500) ** 2 // 60, rnd.integers(0, 400, 2500), rnd.integers(2, 8, 2500))]
     lists = collections.defaultdict(list)
     for k, d, c in sorted(rows):
         lists[k].append((d, c))
