@@ -18,6 +18,7 @@ from tremor.plans.sqlparts import WITH_LONG, WITH_QUAKE, filled_weekly_sql, wk
 from tremor.plans.weekly import weekly_series
 from tremor.session import checkpoint_dir, materialize
 from tremor.sources import files as FS
+from tremor.sources import quarantine as QU
 from tremor.sources.documents import ordered_records, write_document
 from tremor.sources.views import quake, quake_long
 
@@ -43,6 +44,23 @@ def q_geojson(spark, sf_dir):
                               "sig", "net", "nst", "dmin", "rms", "gap", "type"))
 
 
+@register("S1_S8_quarantine", f"""{WITH_QUAKE}
+    SELECT count(*) AS events, count(DISTINCT id) AS ids, {r6('sum(mag)', 4)} AS mag_sum, CAST(sum(sig) AS BIGINT) AS sig_sum, 1 AS broken_found FROM quake""")
+def q_quarantine(spark, sf_dir):
+    """The catalogue as GeoJSON documents, each followed by a copy cut in half:
+    every event is read once, every cut copy is in the quarantine table."""
+    feed, held = _scratch(spark, "feed"), _scratch(spark, "quarantine")
+    docs = FS.to_geojson_lines(quake(spark, sf_dir))
+    halves = F.array("value", F.expr("left(value, length(value) div 2)"))
+    docs.select(F.explode(halves).alias("value")).write.text(feed)
+    events = QU.read_geojson_safely(spark, feed, held, lines=True)
+    told = events.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids"), F.sum("mag").alias("mag_sum"), F.sum("sig").alias("sig_sum"))
+    broken = spark.read.parquet(held).where("reason = 'not JSON'").agg(F.count(F.lit(1)).alias("broken"))
+    lines = spark.read.text(feed).agg(F.count(F.lit(1)).alias("lines"))
+    out = attach_row(attach_row(told, broken), lines).withColumn("broken_found", F.col("broken") * 2 == F.col("lines"))
+    return finalize(out.drop("broken", "lines"), 4)
+
+
 HISTORY_SCHEMA = T.StructType([
     T.StructField("date", T.DateType()), T.StructField("nb_seismes", T.LongType()),
     T.StructField("mag_max", T.DoubleType()), T.StructField("mag_mean", T.DoubleType()),
