@@ -48,17 +48,26 @@ def _attach(vals: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
 
 def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, out: str | None = None) -> DataFrame:
     """One row per group: the exact ``p`` quantile of ``col``; ``by=[]`` gives
-    one global row.  ``df`` is evaluated once."""
+    one global row.  A first aggregate counts the groups' values; where all
+    have at most ``small`` a second one collects and sorts them, and nothing
+    is written but the counts.  Else ``df`` is written once and narrowed."""
     by = list(by)
     out = out or f"q_{col}"
     value = F.col(col).cast("double")
-    vals = materialize(df.select(*by, F.when(~F.isnan(value), value).alias("__v")))
+    src = df.select(*by, F.when(~F.isnan(value), value).alias("__v"))
     h = (F.col("__n") - 1) * F.lit(float(p))
+    counts = materialize(src.groupBy(*by).agg(F.count("__v").alias("__n")))
+    if (counts.agg(F.max("__n")).first()[0] or 0) <= small:
+        lists = src.groupBy(*by).agg(F.sort_array(F.collect_list("__v")).alias("__x"), F.count("__v").alias("__n"))
+        k = F.greatest(F.floor(h), F.lit(0)).cast("int")
+        a0, a1, frac = F.get("__x", k), F.get("__x", k + 1), h - F.floor(h)
+        return lists.select(*by, F.when((frac <= 0) | a1.isNull() | (a0 == a1), a0).otherwise(a0 + frac * (a1 - a0)).alias(out))
+    vals = materialize(src)
     # interval (lo, hi) open and unbounded at first; below: values at or under lo
-    state = materialize(vals.groupBy(*by).agg(F.count("__v").alias("__n")).select(
+    state = counts.select(
         *by, F.col("__n"), F.greatest(F.floor(h), F.lit(0)).cast("long").alias("__k"), F.col("__n").alias("__c"),
         F.lit(0).cast("long").alias("__below"), F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
-        F.lit(None).cast("double").alias("__at"), F.lit(None).cast("double").alias("__next")))
+        F.lit(None).cast("double").alias("__at"), F.lit(None).cast("double").alias("__next"))
     inside = ((F.col("__lo").isNull() | (F.col("__v") > F.col("__lo"))) & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi"))))
     present = vals.where(F.col("__v").isNotNull())
     open_state = ["__k", "__c", "__below", "__lo", "__hi"]

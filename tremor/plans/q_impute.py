@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tremor.functions.scalars import time_parts
@@ -14,6 +15,7 @@ from tremor.operators.encode import align, assemble, one_hot
 from tremor.operators.impute import impute_knn_many, impute_median
 from tremor.operators.rollup import class_summary
 from tremor.operators.stats import class_metrics
+from tremor.operators.together import side_by_side
 from tremor.plans.catalog import register
 from tremor.plans.classification import mag_class, prepare, score, train_classifier
 from tremor.plans.report import finalize, r6
@@ -82,8 +84,26 @@ def q_one_hot(spark, sf_dir):
     return finalize(out.withColumns({n: F.col(n).cast("bigint") for n in names}))
 
 
+_KEPT: dict[tuple, tuple] = {}
+
+
+def _table_state(spark, sf_dir) -> tuple:
+    """What tells whether the events table is the one seen before: the session
+    and a checksum of its file listing (no file is opened)."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir.rstrip('/')}/events.parquet")
+    files = listing.select(F.xxhash64("path", F.unix_micros("modificationTime"), "length").alias("h"))
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h")).first()
+    return spark.sparkContext.applicationId, sf_dir, seen.n, seen.h
+
+
 def _prepared(spark, sf_dir):
-    return prepare(quake(spark, sf_dir), NET_VOCAB)
+    """The prepared catalogue and its feature names: computed once per session
+    and table into the shared checkpoint folder, then read by every query."""
+    key = ("rows", *_table_state(spark, sf_dir))
+    if key not in _KEPT:
+        rows, names = prepare(quake(spark, sf_dir), NET_VOCAB)
+        _KEPT[key] = materialize(rows), names
+    return _KEPT[key]
 
 
 def _held_out():
@@ -92,9 +112,19 @@ def _held_out():
 
 
 def _fitted(spark, sf_dir):
+    """The forest fitted on four fifths of the prepared catalogue, and where it
+    is saved: fitted once per session and table."""
     rows, names = _prepared(spark, sf_dir)
-    rows = materialize(rows)
-    return rows, names, train_classifier(rows.where(~_held_out()), names)
+    key = ("model", *_table_state(spark, sf_dir))
+    if key not in _KEPT:
+        model = train_classifier(rows.where(~_held_out()), names)
+        _KEPT[key] = model, save_model(model, stream_place(spark, "class-model"))
+    return rows, names, *_KEPT[key]
+
+
+def _loaded(spark, sf_dir):
+    rows, names, _, path = _fitted(spark, sf_dir)
+    return rows, names, load_model(RandomForestClassificationModel, path)
 
 
 @register("L2_M4_M5_classification")
@@ -102,9 +132,8 @@ def q_classify(spark, sf_dir):
     """Serving classification: fitted on four fifths of the prepared catalogue
     (label = class cut of the magnitude), saved, loaded again, every event
     scored; ``held_out`` marks the events that were not fitted on."""
-    rows, names, model = _fitted(spark, sf_dir)
-    loaded = load_model(RandomForestClassificationModel, save_model(model, stream_place(spark, "l2-model")))
-    return finalize(score(loaded, rows, names).withColumn("held_out", _held_out().cast("bigint")).orderBy(F.desc("time_utc"), "id"))
+    rows, names, model = _loaded(spark, sf_dir)
+    return finalize(score(model, rows, names).withColumn("held_out", _held_out().cast("bigint")).orderBy(F.desc("time_utc"), "id"))
 
 
 @register("S11_model_round_trip")
@@ -112,8 +141,8 @@ def q_model_round_trip(spark, sf_dir):
     """Scores of a fitted model and of the same model saved and loaded, per
     class: both counts, equal rows, and accuracy and macro-F1 on the held-out
     events."""
-    rows, names, model = _fitted(spark, sf_dir)
-    loaded = load_model(RandomForestClassificationModel, save_model(model, stream_place(spark, "s11-model")))
+    rows, names, model, path = _fitted(spark, sf_dir)
+    loaded = load_model(RandomForestClassificationModel, path)
     a = score(model, rows, names).select("id", "mag", F.col("mag_class_id").alias("before"))
     b = score(loaded, rows, names).select("id", F.col("mag_class_id").alias("after"))
     both = materialize(a.join(b, "id").withColumn("label", mag_class()))
@@ -123,13 +152,56 @@ def q_model_round_trip(spark, sf_dir):
     return finalize(attach_row(per, held))
 
 
+_SCORED_SQL = f"""{PREP_SQL}
+    SELECT count(*) AS events, count(DISTINCT id) AS ids, count(*) AS equal, count(*) AS classes_known, count(*) AS labels_fit,
+           count(*) AS probabilities_fit, 1 AS beats_majority FROM src"""
+
+
+@register("S11_M4_M5_scored_events", _SCORED_SQL)
+def q_scored_events(spark, sf_dir):
+    """What holds of every scored event, counted: the saved and loaded model
+    gives the fitted one's class, the class is known and has the label of its
+    class, the probabilities add up and the class is their greatest; and the
+    held-out accuracy is above that of the commonest class."""
+    from tremor.functions.bands import class_symbol, label_class
+    rows, names, model, path = _fitted(spark, sf_dir)
+    loaded = load_model(RandomForestClassificationModel, path)
+    before = score(model, rows, names).select("id", F.col("mag_class_id").alias("before"))
+    data = assemble(rows, names)
+    proba = vector_to_array(F.col("probability"))
+    raw = loaded.transform(data).select("id", proba.alias("p"), F.col("prediction").cast("int").alias("greatest"))
+    after = score(loaded, rows, names).select("id", "mag", "mag_class_id", "mag_class", "emoji")
+    cls = F.col("mag_class_id")
+    all_rows = materialize(after.join(before, "id").join(raw, "id").withColumn("label", mag_class()).withColumn("held", _held_out()))
+    told = all_rows.agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids"), F.count_if(cls == F.col("before")).alias("equal"),
+        F.count_if(cls.isin(0, 1, 2)).alias("classes_known"),
+        F.count_if((F.col("mag_class") == label_class(cls)) & (F.col("emoji") == class_symbol(cls))).alias("labels_fit"),
+        F.count_if((F.abs(F.aggregate("p", F.lit(0.0), lambda s, x: s + x) - 1) < 1e-9) & (F.element_at("p", cls.cast("int") + 1) == F.array_max("p"))
+                   & (F.col("greatest") == cls)).alias("probabilities_fit"),
+        F.avg(F.when(F.col("held") & F.col("label").isNotNull(), (cls == F.col("label")).cast("int"))).alias("hit"),
+        *[F.avg(F.when(F.col("held") & F.col("label").isNotNull(), (F.col("label") == c).cast("int"))).alias(f"share_{c}") for c in range(3)])
+    return finalize(told.withColumn("beats_majority", F.col("hit") >= F.greatest(*[f"share_{c}" for c in range(3)])).drop("hit", *[f"share_{c}" for c in range(3)]))
+
+
 @register("A8_class_summary")
 def q_class_summary(spark, sf_dir):
     """Header counts of the classification document."""
-    rows, names, model = _fitted(spark, sf_dir)
+    rows, names, model = _loaded(spark, sf_dir)
     return finalize(class_summary(score(model, rows, names)))
 
 
+@register("P29_feature_vectors", f"""{WITH_QUAKE}
+    SELECT id, {r6('latitude')} AS v0, {r6('longitude')} AS v1, {r6('depth_km')} AS v2, {r6('tsunami')} AS v3, 4 AS width FROM quake
+    WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND depth_km IS NOT NULL AND tsunami IS NOT NULL""")
+def q_feature_vectors(spark, sf_dir):
+    """Feature vectors on the row of their event: entries in the order of the names."""
+    names = ["latitude", "longitude", "depth_km", "tsunami"]
+    rows = quake(spark, sf_dir).dropna(subset=names)
+    v = vector_to_array(F.col("features"))
+    return finalize(assemble(rows, names).select("id", *[v[i].alias(f"v{i}") for i in range(4)], F.size(v).alias("width")))
+
+
 @register("A27_class_metrics", f"""{WITH_QUAKE},
     d AS (SELECT CASE WHEN mag < 4.0 THEN 0 WHEN mag < 6.0 THEN 1 ELSE 2 END AS y,
                  CASE WHEN depth_km < 250 THEN 0 WHEN depth_km < 600 THEN 1 ELSE 2 END AS yhat
@@ -162,10 +234,11 @@ def q_compare_classifiers(spark, sf_dir):
         "logistic": LogisticRegression(maxIter=100),
         "linear_svc_ovr": OneVsRest(classifier=LinearSVC(maxIter=100)),
     }
+    def measured(name, est):
+        return class_metrics(est.fit(train).transform(test), "label", "prediction").withColumn("model", F.lit(name))
+
     out = None
-    for name, est in models.items():
-        pred = est.fit(train).transform(test)
-        m = class_metrics(pred, "label", "prediction").withColumn("model", F.lit(name))
+    for m in side_by_side(spark, [lambda name=name, est=est: measured(name, est) for name, est in models.items()]):
         out = m if out is None else out.unionByName(m)
     return finalize(out.orderBy(F.desc("f1_macro"), "model"))
 
