@@ -26,14 +26,14 @@ NULL and NaN are missing.  A group without values has NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
 from tremor.session import materialize
 
 GRID = 512                      # sketch quantiles; a bracket spans two or three steps
-SMALL = 4096
+SMALL = 32_768                  # values of a group that one task may hold
 
 
 def _attach(vals: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
@@ -46,6 +46,27 @@ def _attach(vals: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     return vals.join(s, same).drop(*[f"__k_{c}" for c in by])
 
 
+def present(col: str) -> Column:
+    """The column as double, NULL where it is missing (NULL or NaN)."""
+    value = F.col(col).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def listed_quantile(col: str, p: float) -> Column:
+    """Aggregate: the exact ``p`` quantile of a group of bounded size, from its
+    sorted values."""
+    x = F.sort_array(F.collect_list(present(col)))
+    h = (F.size(x) - 1) * F.lit(float(p))
+    k = F.greatest(F.floor(h), F.lit(0)).cast("int")
+    a0, a1, frac = F.get(x, k), F.get(x, k + 1), h - F.floor(h)
+    return F.when((frac <= 0) | a1.isNull() | (a0 == a1), a0).otherwise(a0 + frac * (a1 - a0))
+
+
+def largest_group(df: DataFrame, col: str, by) -> int:
+    """Most present values that a group has: one counted aggregate."""
+    return df.groupBy(*by).agg(F.count(present(col)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
 def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, out: str | None = None) -> DataFrame:
     """One row per group: the exact ``p`` quantile of ``col``; ``by=[]`` gives
     one global row.  A first aggregate counts the groups' values; where all
@@ -53,15 +74,11 @@ def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, ou
     is written but the counts.  Else ``df`` is written once and narrowed."""
     by = list(by)
     out = out or f"q_{col}"
-    value = F.col(col).cast("double")
-    src = df.select(*by, F.when(~F.isnan(value), value).alias("__v"))
+    src = df.select(*by, present(col).alias("__v"))
     h = (F.col("__n") - 1) * F.lit(float(p))
     counts = materialize(src.groupBy(*by).agg(F.count("__v").alias("__n")))
     if (counts.agg(F.max("__n")).first()[0] or 0) <= small:
-        lists = src.groupBy(*by).agg(F.sort_array(F.collect_list("__v")).alias("__x"), F.count("__v").alias("__n"))
-        k = F.greatest(F.floor(h), F.lit(0)).cast("int")
-        a0, a1, frac = F.get("__x", k), F.get("__x", k + 1), h - F.floor(h)
-        return lists.select(*by, F.when((frac <= 0) | a1.isNull() | (a0 == a1), a0).otherwise(a0 + frac * (a1 - a0)).alias(out))
+        return src.groupBy(*by).agg(listed_quantile("__v", p).alias(out))
     vals = materialize(src)
     # interval (lo, hi) open and unbounded at first; below: values at or under lo
     state = counts.select(
@@ -69,7 +86,7 @@ def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, ou
         F.lit(0).cast("long").alias("__below"), F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
         F.lit(None).cast("double").alias("__at"), F.lit(None).cast("double").alias("__next"))
     inside = ((F.col("__lo").isNull() | (F.col("__v") > F.col("__lo"))) & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi"))))
-    present = vals.where(F.col("__v").isNotNull())
+    known = vals.where(F.col("__v").isNotNull())
     open_state = ["__k", "__c", "__below", "__lo", "__hi"]
 
     rounds = 0
@@ -77,7 +94,7 @@ def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, ou
         rounds += 1
         if rounds > 64:
             raise RuntimeError(f"quantile of {col} did not narrow")
-        cand = _attach(present, wide.select(*by, *open_state), by).where(inside)
+        cand = _attach(known, wide.select(*by, *open_state), by).where(inside)
         grid = [i / GRID for i in range(GRID + 1)]
         sketch = cand.groupBy(*by, *open_state).agg(F.percentile_approx("__v", grid, 10 * GRID).alias("__g"))
         place = (F.col("__k") - F.col("__below") + F.lit(0.5)) / F.col("__c") * GRID
@@ -86,7 +103,7 @@ def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, ou
                             F.element_at("__g", F.least(F.ceil(place) + 2, F.lit(GRID + 1)).cast("int")).alias("__b"))
         cut = materialize(cut)
         v, a, b = F.col("__v"), F.col("__a"), F.col("__b")
-        counted = (_attach(present, cut, by).where(inside).groupBy(*by, *open_state, "__a", "__b").agg(
+        counted = (_attach(known, cut, by).where(inside).groupBy(*by, *open_state, "__a", "__b").agg(
             F.count_if(v < a).alias("__lt"), F.count_if(v == a).alias("__ea"), F.count_if((v > a) & (v < b)).alias("__mid"),
             F.count_if((v == b) & (b > a)).alias("__eb"), F.count_if(v > b).alias("__gt"),
             F.min(F.when(v > a, v)).alias("__na"), F.min(F.when(v > b, v)).alias("__nb")))
@@ -118,7 +135,7 @@ def exact_quantile(df: DataFrame, col: str, p: float, by, small: int = SMALL, ou
         state = materialize(rest.unionByName(total))
 
     left = state.where(F.col("__at").isNull() & (F.col("__c") > 0))
-    lists = (_attach(present, left.select(*by, *open_state), by).where(inside).groupBy(*by, *open_state)
+    lists = (_attach(known, left.select(*by, *open_state), by).where(inside).groupBy(*by, *open_state)
              .agg(F.sort_array(F.collect_list("__v")).alias("__x")))
     r = (F.col("__k") - F.col("__below")).cast("int")
     found = lists.select(*by, F.get("__x", r).alias("__a0"), F.coalesce(F.get("__x", r + 1), F.col("__hi")).alias("__a1"))

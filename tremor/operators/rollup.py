@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tremor.functions.scalars import energy
 from tremor.functions.weeks import week_label
 from tremor.operators.common import attach_row
-from tremor.operators.quantiles import exact_quantile
+from tremor.operators.quantiles import SMALL, exact_quantile, largest_group, listed_quantile
 
 
 def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close",
@@ -23,29 +23,32 @@ def weekly_rollup(df: DataFrame, ts: str = "time_utc", mode: str = "w_mon_close"
     mean depth, tsunami sum, distinct places and (optionally) energy sum.
 
     ``exact_median``: True (exact with bounded memory,
-    :mod:`tremor.operators.quantiles`, over one projection of the events) or
-    False (a quantile sketch inside the same aggregate).
+    :mod:`tremor.operators.quantiles`: inside the same aggregate where every
+    group is small, else over one projection of the events) or False (a
+    quantile sketch inside the same aggregate).
 
     Energy is fused into the same aggregate instead of a second pass + join
     (the notebook's J1); NULL magnitudes are skipped (SURVEY D7).
     """
     keys = [week_label(ts, mode).alias("date")] + [F.col(k) for k in (by or [])]
+    src = df.where(F.col(ts).isNotNull())
+    group = ["date"] + list(by or [])
+    inside = not exact_median or largest_group(src.withColumn("date", week_label(ts, mode)), "mag", group) <= SMALL
+    median = listed_quantile("mag", 0.5) if exact_median else F.percentile_approx("mag", 0.5, 10000)
     aggs = [
         F.count("id").alias("nb_seismes"),
         F.max("mag").alias("mag_max"),
         F.avg("mag").alias("mag_mean"),
-        *([] if exact_median else [F.percentile_approx("mag", 0.5, 10000).alias("mag_median")]),
+        *([median.alias("mag_median")] if inside else []),
         F.avg("depth_km").alias("depth_mean"),
         F.sum(F.col("tsunami").cast("bigint")).alias("tsunami_sum"),
         F.countDistinct("place").alias("nb_zones"),
     ]
     if with_energy:
         aggs.append(F.sum(energy("mag")).alias("energy_sum"))
-    src = df.where(F.col(ts).isNotNull())
     out = src.groupBy(*keys).agg(*aggs)
-    if not exact_median:
+    if inside:
         return out
-    group = ["date"] + list(by or [])
     med = exact_quantile(src.withColumn("date", week_label(ts, mode)), "mag", 0.5, group, out="mag_median")
     cols = out.columns
     cut = 4 + len(by or [])  # keys, nb_seismes, mag_max, mag_mean | mag_median | the rest
@@ -75,6 +78,7 @@ def week_snapshot(df: DataFrame, as_of: str, ts: str = "time_utc",
     end = start + F.expr("INTERVAL 7 DAYS")
     wk = df.where((F.col(ts) >= start) & (F.col(ts) < end) & (F.col("type") == "earthquake")
                   if "type" in df.columns else (F.col(ts) >= start) & (F.col(ts) < end))
+    inside = largest_group(wk, "mag", []) <= SMALL
     agg = wk.agg(
         F.count(F.lit(1)).alias("nb_seismes"),
         F.coalesce(F.max("mag"), F.lit(0.0)).alias("mag_max"),
@@ -83,8 +87,11 @@ def week_snapshot(df: DataFrame, as_of: str, ts: str = "time_utc",
         F.coalesce(F.sum(F.coalesce(F.col("tsunami"), F.lit(0)).cast("bigint")), F.lit(0).cast("bigint")).alias("tsunami_sum"),
         F.countDistinct("place").alias("nb_zones"),
         F.coalesce(F.sum(energy("mag", null_as_zero=null_mag_as_zero)), F.lit(0.0)).alias("energy_sum"),
+        *([listed_quantile("mag", 0.5).alias("mag_median")] if inside else []),
     )
-    agg = attach_row(agg, exact_quantile(wk, "mag", 0.5, [], out="mag_median")).select(
+    if not inside:
+        agg = attach_row(agg, exact_quantile(wk, "mag", 0.5, [], out="mag_median"))
+    agg = agg.select(
         "nb_seismes", "mag_max", "mag_mean", F.coalesce("mag_median", F.lit(0.0)).alias("mag_median"),
         "depth_mean", "tsunami_sum", "nb_zones", "energy_sum")
     return agg.select(F.date_add(F.to_date(start), 6).alias("date"), "*")
