@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD_ROWS, documents, words
 from tremor.llm import jaccard_join as J
@@ -151,3 +152,14 @@ def test_connected_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 141)}}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+
+
+def test_columns_of_the_names_used_inside_keep_their_values(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other words stand here now")])
+    for name in ("row", "number", "Row_", "__row", "id", "component", "place", "times"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    out = J.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = sorted(out.collect())
+    assert [r.doc_id for r in got] == [1, 3] and all(r[n] == f"{n}{r.doc_id}" for r in got for n in ("row", "number", "Row_", "__row", "id", "component"))
+    assert J.free_names(["row", "ROW_"], "row", "row__") == ["row__", "row___"]

@@ -458,10 +458,22 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     place = F.struct(F.col("id").isNull().alias("without"), "id", "row")
     placed = grouped.join(rows.select("row", "id").distinct(), "row").select("row", "component", place.alias("place"))
     first = placed.groupBy("component").agg(F.min("place").alias("first"))
-    gone = reliable(placed.join(first, "component").where("place <> first").select(F.col("row").alias("__row")))
-    again = reliable(counted.where("times > 1").select(F.col("row").alias("__row")))
-    kept = docs.withColumn("__row", key).join(bounded_broadcast(gone), "__row", "left_anti")
+    row, number = free_names(docs.columns, "row", "number")
+    gone = reliable(placed.join(first, "component").where("place <> first").select(F.col("row").alias(row)))
+    again = reliable(counted.where("times > 1").select(F.col("row").alias(row)))
+    kept = docs.withColumn(row, key).join(bounded_broadcast(gone), row, "left_anti")
     again = bounded_broadcast(again)
-    once = Window.partitionBy("__row").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["__row"])
-    repeated = kept.join(again, "__row", "left_semi").withColumn("__number", F.row_number().over(once)).where("__number = 1").drop("__number")
-    return kept.join(again, "__row", "left_anti").unionByName(repeated).select(*docs.columns)
+    once = Window.partitionBy(row).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [row])
+    repeated = kept.join(again, row, "left_semi").withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(number)
+    return kept.join(again, row, "left_anti").unionByName(repeated).drop(row)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until no column has them in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
