@@ -16,7 +16,7 @@ from tremor.operators.together import side_by_side
 from tremor.plans.catalog import register
 from tremor.plans.q_windows import _feature_sql, baseline_predictions
 from tremor.plans.report import dstr, finalize, r6
-from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql
+from tremor.plans.sqlparts import WITH_LONG, filled_weekly_sql, spine_sql, wk
 from tremor.plans.weekly import MODEL_FEATURES, next_features, weekly_features, weekly_series
 from tremor.sources.documents import ordered_records
 from tremor.session import materialize
@@ -204,3 +204,34 @@ def q_forecast_consistent(spark, sf_dir):
     band = ml.apply_interval(ml.predict(gbt, future, CONSISTENT_FEATURES), ml.conformal_bounds(val))
     return finalize(band.select(F.col("date").alias("next_week_start"), nonneg_int("yhat").alias("central"),
                                 nonneg_int("lo").alias("low"), nonneg_int("hi").alias("high")))
+
+
+_L1_AS_OF = "2001-08-01 12:00:00"
+
+
+@register("L1_forecast_fields", f"""{WITH_LONG},
+    a AS (SELECT date_trunc('week', TIMESTAMP '{_L1_AS_OF}') AS ws),
+    eq AS (SELECT * FROM quake_long, a),
+    w AS (SELECT {wk('time_utc', 'iso_end')} AS date, count(id) AS nb, max(mag) AS mag_max, count(DISTINCT place) AS nz
+          FROM eq WHERE time_utc < ws GROUP BY 1),
+    s AS (SELECT CAST(any_value(a.ws) AS DATE) + 6 AS date, count(id) AS nb, coalesce(max(mag), 0.0) AS mag_max, count(DISTINCT place) AS nz
+          FROM a LEFT JOIN quake_long ON time_utc >= a.ws AND time_utc < a.ws + INTERVAL 7 DAY),
+    u AS (SELECT * FROM w UNION ALL SELECT * FROM s),
+    sp AS ({spine_sql('u')}),
+    f AS (SELECT sp.date, coalesce(nb, 0) AS nb, mag_max, coalesce(nz, 0) AS nz FROM sp LEFT JOIN u ON sp.date = u.date),
+    r AS (SELECT *, avg(nb) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS yhat, row_number() OVER (ORDER BY date DESC) AS back FROM f),
+    h AS (SELECT string_agg(strftime(date, '%Y-%m-%d') || ':' || nb, ',' ORDER BY date) AS history FROM r WHERE back <= 12)
+    SELECT strftime(date + 7, '%Y-%m-%d') AS next_week_start, 'rolling_mean_4' AS model_used, CAST(trunc(yhat) AS BIGINT) AS central,
+           CAST(greatest(trunc(yhat) - 50, 0) AS BIGINT) AS low, CAST(trunc(yhat) + 50 AS BIGINT) AS high, strftime(date, '%Y-%m-%d') AS current_start,
+           CAST(nb AS BIGINT) AS current_events, {r6('round(mag_max, 2)')} AS current_mag_max, CAST(nz AS BIGINT) AS current_zones, history
+    FROM r, h WHERE back = 1""")
+def q_forecast_fields(spark, sf_dir):
+    """The fields of the forecast job's document (L1): next week, prediction with
+    its fixed interval, current week and the last 12 weeks."""
+    from tremor.plans.jobs import forecast_job
+    doc = forecast_job(quake_long(spark, sf_dir), _L1_AS_OF)
+    weeks = F.transform("history_12w", lambda w: F.concat_ws(":", w["date"], w["nb_seismes"].cast("string")))
+    return finalize(doc.select(
+        "next_week_start", "model_used", "prediction.central", "prediction.low", "prediction.high", F.col("current_week.start").alias("current_start"),
+        F.col("current_week.nb_seismes").alias("current_events"), F.col("current_week.mag_max").alias("current_mag_max"),
+        F.col("current_week.nb_zones").alias("current_zones"), F.array_join(weeks, ",").alias("history")))

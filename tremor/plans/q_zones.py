@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tremor.operators.cleaning import only_kind
 from tremor.operators.geo import assign_zone_scaled, fit_zones, scaler_stats, standardise
+from tremor.operators.common import attach_row
 from tremor.operators.rollup import value_counts
 from tremor.plans.catalog import register
 from tremor.plans.report import finalize, r6
 from tremor.plans.sqlparts import WITH_QUAKE
 from tremor.plans.zones import DEFAULT_CENTRES, risk_zones, zones_document
+from tremor.session import materialize
 from tremor.sources.views import quake
 
 AS_OF = "2024-01-29 12:00:00"
@@ -88,3 +90,31 @@ def q_kmeans(spark, sf_dir):
     from tremor.operators.geo import assign_zone_model
     scaler, km = fit_zones(quakes, k=10, seed=42)
     return finalize(value_counts(assign_zone_model(quakes, scaler, km), "zone"))
+
+
+@register("M2_kmeans_invariants", f"""{WITH_QUAKE},
+    eq AS (SELECT * FROM quake WHERE type = 'earthquake' AND latitude IS NOT NULL AND longitude IS NOT NULL)
+    SELECT count(*) AS points, count(*) AS at_nearest_centre, 10 AS zones, 1 AS cost_fits, 1 AS centres_are_means, 1 AS below_one_centre FROM eq""")
+def q_kmeans_invariants(spark, sf_dir):
+    """What holds of any k-means fit, from the fitted centres: every point is in
+    the zone of its nearest centre, the reported cost is the sum of these
+    distances, centres are the means of their points (within the rounds'
+    tolerance), and the cost is below that of one centre."""
+    from tremor.operators.geo import assign_zone_model
+    quakes = only_kind(quake(spark, sf_dir)).select("id", "latitude", "longitude")
+    scaler, km = fit_zones(quakes, k=10, seed=42, max_iter=200)
+    mean, sd = [float(x) for x in scaler.mean], [float(x) for x in scaler.std]
+    rows = assign_zone_model(quakes, scaler, km).withColumns(
+        {"x": (F.col("latitude") - mean[0]) / sd[0], "y": (F.col("longitude") - mean[1]) / sd[1]})
+    gap = [(F.col("x") - float(a)) ** 2 + (F.col("y") - float(b)) ** 2 for a, b in km.clusterCenters()]
+    rows = materialize(rows.withColumn("gaps", F.array(*gap)).withColumn("own", F.element_at("gaps", F.col("zone") + 1)))
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in km.clusterCenters()])
+    centre = F.element_at(centres, F.col("zone") + 1)
+    means = rows.groupBy("zone").agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).agg(
+        F.max(F.greatest(F.abs(F.col("mx") - centre[0]), F.abs(F.col("my") - centre[1]))).alias("off"))
+    told = rows.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("own") <= F.array_min("gaps") + 1e-9).alias("at_nearest_centre"),
+                    F.countDistinct("zone").alias("zones"), F.sum("own").alias("cost"), F.sum(F.col("x") ** 2 + F.col("y") ** 2).alias("one"))
+    cost = float(km.summary.trainingCost)
+    out = attach_row(told, means).withColumns({"cost_fits": F.abs(F.col("cost") - cost) <= 1e-6 * F.lit(cost) + 1e-9,
+                                              "centres_are_means": F.col("off") < 0.01, "below_one_centre": F.col("cost") < F.col("one")})
+    return finalize(out.select("points", "at_nearest_centre", "zones", "cost_fits", "centres_are_means", "below_one_centre"))
