@@ -229,8 +229,10 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
     if leaves < 2:
         return tokens.withColumn("at", F.lit(b"")).withColumn("part", F.lit(0).cast("bigint"))
     spread = F.xxhash64("doc_id", "mark")
-    sampled = tokens.where(F.length("tail") > 0).select(spread.alias("spread"), "tail").orderBy("spread", "tail").limit(BASIS_DOCS)
-    basis = directions([np.frombuffer(r.tail, "<u2") for r in sampled.collect()], corpus)
+    # rows are drawn by their hash, so a task sends its share of the sample and no more; copies of a row once
+    few = F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(max(1, rows // (2 * BASIS_DOCS)))) == 0
+    sampled = sorted((r.spread, bytes(r.tail)) for r in tokens.where(F.length("tail") > 0).select(spread.alias("spread"), "tail").where(few).distinct().collect())
+    basis = directions([np.frombuffer(tail, "<u2") for _, tail in sampled[:BASIS_DOCS]], corpus)
     idf = corpus.idf()
 
     def locate(batches):
@@ -241,9 +243,12 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
     def points(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, basis.shape[1])
 
-    located = reliable(tokens.withColumn("spread", spread).mapInArrow(locate, f"{_TAIL_SCHEMA}, spread bigint, at binary"))
+    # coordinates are computed where they are needed: a second table of all tokens would cost more
+    def located(some: DataFrame) -> DataFrame:
+        return some.withColumn("spread", spread).mapInArrow(locate, f"{_TAIL_SCHEMA}, spread bigint, at binary")
+
     one_in = max(1, rows // (leaves * ROUTE_DOCS))
-    chosen = located.where(F.pmod(F.xxhash64("spread"), F.lit(one_in)) == 0).select("spread", "at").collect()
+    chosen = located(tokens.where(F.pmod(F.xxhash64(spread), F.lit(one_in)) == 0)).select("spread", "at").distinct().collect()
     router = Router(points(pa.array([p for _, p in sorted((r.spread, bytes(r.at)) for r in chosen)], pa.binary())), leaves)
 
     def count(batches):
@@ -254,7 +259,7 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
 
     # a leaf has as many parts as it has shares, if it has more than two
     counts = np.zeros(router.leaves, np.int64)
-    for r in located.select("at").mapInArrow(count, "leaf bigint, rows bigint").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
+    for r in located(tokens).select("at").mapInArrow(count, "leaf bigint, rows bigint").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
         counts[r.leaf] = r.rows
     share = max(shard_docs, rows / leaves)
     parts = np.where(counts > 2 * share, np.ceil(counts / share), 1).astype(np.int64)
@@ -266,7 +271,7 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
             part = first[leaf].astype(np.uint64) + mix64(batch.column("spread").to_numpy().view(np.uint64)) % parts[leaf].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int64))], names=[*batch.schema.names, "part"])
 
-    return located.mapInArrow(route, f"{_TAIL_SCHEMA}, spread bigint, at binary, part bigint").drop("spread")
+    return located(tokens).mapInArrow(route, f"{_TAIL_SCHEMA}, spread bigint, at binary, part bigint").drop("spread")
 
 
 class ShardIndex:
