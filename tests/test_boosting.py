@@ -64,8 +64,8 @@ def test_interval_orders_and_beats_constants(spark):
     low, high = B.train_interval(df, FEATS, rounds=25, step=0.15, max_depth=3)
     fresh, x2, y2 = noisy(spark, 400, 77)
     scored = B.apply_quantile_interval(fresh.withColumn("yhat", F.lit(60.0)), low, high)
-    rows = scored.select("nb_seismes", "yhat", "q_lo", "q_hi").collect()
-    assert all(r.q_lo <= r.yhat <= r.q_hi for r in rows)
+    rows = scored.select("nb_seismes", "yhat", "quantile_lo", "quantile_hi").collect()
+    assert all(r.quantile_lo <= r.yhat <= r.quantile_hi for r in rows)
     lo, hi = np.maximum(0, low.score(x2)), np.maximum(0, high.score(x2))
     assert loss(y2, lo, 0.1) < loss(y2, np.full(400, low.start), 0.1) and loss(y2, hi, 0.9) < loss(y2, np.full(400, high.start), 0.9)
     assert 0.68 <= np.mean((y2 >= lo) & (y2 <= hi)) <= 0.92

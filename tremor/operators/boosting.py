@@ -172,6 +172,6 @@ def train_interval(train: DataFrame, feats, alphas=(LOW_ALPHA, HIGH_ALPHA), **kw
 
 
 def apply_quantile_interval(pred: DataFrame, low: PinballModel, high: PinballModel, yhat: str = "yhat") -> DataFrame:
-    """M9: ``q_lo`` and ``q_hi`` around the central prediction, low <= central <= high."""
-    out = high.predict(low.predict(pred, "q_lo"), "q_hi")
-    return out.withColumn("q_lo", F.least("q_lo", yhat)).withColumn("q_hi", F.greatest("q_hi", yhat))
+    """M9: ``quantile_lo`` and ``quantile_hi`` around the central prediction, low <= central <= high."""
+    out = high.predict(low.predict(pred, "quantile_lo"), "quantile_hi")
+    return out.withColumn("quantile_lo", F.least("quantile_lo", yhat)).withColumn("quantile_hi", F.greatest("quantile_hi", yhat))

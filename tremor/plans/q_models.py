@@ -101,12 +101,12 @@ def q_quantile_interval(spark, sf_dir):
         lambda: train_interval(both, MODEL_FEATURES)])
     val = ml.predict(gbt, train.where("is_val"), MODEL_FEATURES).select(F.col("nb_seismes").cast("double").alias("y"), "yhat")
     central = ml.predict(gbt, test, MODEL_FEATURES).withColumn("y", F.col("nb_seismes").cast("double"))
-    scored = ml.apply_interval(apply_quantile_interval(central, low, high), ml.conformal_bounds(val)).select("date", "y", "yhat", "q_lo", "q_hi", "lo", "hi")
+    scored = ml.apply_interval(apply_quantile_interval(central, low, high), ml.conformal_bounds(val)).select("date", "y", "yhat", "quantile_lo", "quantile_hi", "lo", "hi")
     scored = materialize(scored)
     y = F.col("y")
-    told = scored.agg((F.avg(y.between(F.col("q_lo"), F.col("q_hi")).cast("int")) * 100).alias("quantile_coverage_pct"),
+    told = scored.agg((F.avg(y.between(F.col("quantile_lo"), F.col("quantile_hi")).cast("int")) * 100).alias("quantile_coverage_pct"),
                       (F.avg(y.between(F.col("lo"), F.col("hi")).cast("int")) * 100).alias("conformal_coverage_pct"),
-                      F.avg(pinball_loss(y, F.col("q_lo"), 0.1)).alias("low_loss"), F.avg(pinball_loss(y, F.col("q_hi"), 0.9)).alias("high_loss"),
+                      F.avg(pinball_loss(y, F.col("quantile_lo"), 0.1)).alias("low_loss"), F.avg(pinball_loss(y, F.col("quantile_hi"), 0.9)).alias("high_loss"),
                       F.avg(pinball_loss(y, F.lit(low.start), 0.1)).alias("constant_low_loss"),
                       F.avg(pinball_loss(y, F.lit(high.start), 0.9)).alias("constant_high_loss"))
     return finalize(attach_row(scored, told).orderBy("date"))
