@@ -104,6 +104,49 @@ def test_streamed_lists_equal_plain_ones(spark, batch_rows):
     assert len(star) > 50 and {(r.a, r.b) for r in got} == star | {p for p in shared if shared[p] >= need[p]}
 
 
+@pytest.mark.parametrize("batch_rows", [1, 10_000])
+def test_split_lists_lose_no_pair(spark, monkeypatch, batch_rows):
+    """Random lists, sets of one need each: every pair that shares enough is joined."""
+    monkeypatch.setattr(J, "SHORT_LIST", 8)
+    rnd = np.random.default_rng(batch_rows)
+    need = rnd.integers(1, 6, 120)
+    mass = 1 / np.arange(1, 61)
+    has = {d: set(rnd.choice(60, 8, False, mass / mass.sum()).tolist()) for d in range(120)}
+    rows = [(k, d, 2 * int(need[d]) + 1) for d, keys in has.items() for k in keys]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        got = J.split_candidates(spark.createDataFrame(rows, "key bigint, doc_id bigint, code int"))
+        group = {r.id: r.component for r in connected_components(got, "a", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    linked = [(a, b) for a, b in itertools.combinations(has, 2) if len(has[a] & has[b]) >= max(need[a], need[b])]
+    assert len(linked) > 100 and all(group[a] == group[b] for a, b in linked)
+
+
+def test_sets_that_only_share_passages_are_no_candidates(spark, monkeypatch):
+    """300 texts with the same passage, far longer lists than SHORT_LIST, and 20 near copies of one of them."""
+    monkeypatch.setattr(J, "SHORT_LIST", 16)
+    shared = words(1, 60)
+    rows = [(i, f"{words(1000 + i, 90)} {shared} {words(5000 + i, 90)}") for i in range(300)]
+    rows += [(300 + i, f"{words(1007, 90)} {shared} {words(5007, 90)} e{i}") for i in range(20)]
+    docs = documents(spark, rows)
+    keys = J.key_rows(docs, 5, 80, 100)
+    plain, split = ({d for r in f(keys).collect() for d in (r.a, r.b)} for f in (J.candidate_pairs, J.split_candidates))
+    copies = {7, *range(300, 320)}
+    assert copies < split and len(plain - copies) > 280 and len(split - copies) < 60       # sets with many empty blocks leave few lists
+    assert {c for _, _, c in result(J.jaccard_components(docs, 5, 80, 100))} == set(range(300))
+
+
+def test_open_cells_leave_joined_groups_out(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK_SETS", 4)
+    large = spark.createDataFrame([(0, i, 5) for i in range(20)] + [(100, i, 3) for i in range(100, 112)], "component bigint, doc_id bigint, chunks bigint")
+    links = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(100, i) for i in range(101, 107)], "a bigint, b bigint")
+    got = {r.doc_id: (r.chunk, r.meets) for r in J._open_cells(large, links).collect()}
+    assert set(got) == set(range(100, 112))                                  # 7 inside in 2 chunks, 5 outside in 2
+    assert all(2 <= got[d][0] < 4 and got[d][1] == 2 for d in range(100, 107))
+    assert all(got[d][0] < 2 and got[d][1] == 4 for d in range(107, 112))
+
+
 @pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
 def test_components_equal_brute_force(spark, n, num):
     rows = near_rows(num) + [(1000 + i, words(7, 60)) for i in range(25)]            # near copies and a group of copies

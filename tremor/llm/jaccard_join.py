@@ -22,16 +22,24 @@ Candidates share a key:
   (a list row counts twice: it may be shared without a link).
 
 Lists are read in sorted order as streams.  Short ones (SHORT_LIST) give their
-pairs, which are counted and held against the margin; longer ones, where
-pairs would grow with the square, give a star, whose pairs are all compared
-later.  Candidates are joined into groups, and the sets of a group are
-compared exactly, once, in cells of bounded size (a large group in cells of
-two of its chunks), by sparse products over the n-grams that occur twice.
-Only a spanning forest of the links leaves a cell.  Copies of one set are one
-member with that.
+pairs, which are counted and held against the margin.  Of its longer ones,
+where pairs would grow with the square, a set that must share m lists with a
+partner leaves its m - 1 longest: the least of the shared lists in an order
+common to all sets (by length) is left by neither.  So passages that many
+documents share, and little else, are left by all of them; a pair is excused
+as many lists as it may have left.  What then is short gives pairs, and the
+rest a star, whose pairs are all compared later.
+
+Candidates are joined into groups, whose sets are compared exactly, by sparse
+products over the n-grams that occur twice, in cells of bounded size.  A large
+group is dealt into chunks, each compared within itself and with the group's
+first set; then only the sets outside the largest class found meet all others,
+in cells of two chunks.  Only a spanning forest of the links leaves a cell.
+Copies of one set are one member with that.
 
 Nothing is capped or sampled.  A very large group of texts that resemble but
-do not link costs comparisons with the square of its distinct texts.
+do not link, in most of their blocks, costs comparisons with the square of its
+distinct texts.
 """
 
 from __future__ import annotations
@@ -274,9 +282,17 @@ def _short_pairs(doc: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.
     return np.stack([pairs[new, 0], pairs[new, 1], np.add.reduceat(pairs[:, 2], new), np.maximum.reduceat(pairs[:, 3], new)], 1)
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): pairs that share enough lists, and stars of long lists.  Lists
-    are streamed; at most SHORT_LIST members of one are held."""
+def _list_rows(keys: DataFrame, split: bool) -> DataFrame:
+    """(a, b, n, need): the pairs of short lists, and of long lists their
+    members as (doc_id, key, 0, -code) if ``split``, else stars.  Lists are
+    streamed; at most SHORT_LIST members of one are held."""
+
+    def long_rows(first, key, doc, code):
+        if split:
+            return np.stack([doc, key, np.zeros(len(doc), np.int64), -code], 1)
+        more = np.unique(doc)
+        more = more[more != first]
+        return np.stack([np.full(len(more), first), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1)
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]     # a list that may go on
@@ -287,9 +303,7 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
             out = []
             if long_key is not None and len(key):
                 same = int(np.searchsorted(key != long_key, True)) if (key != long_key).any() else len(key)
-                more = np.unique(doc[:same])
-                more = more[more != first]
-                out.append(np.stack([np.full(len(more), first), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1))
+                out.append(long_rows(first, key[:same], doc[:same], code[:same]))
                 key, doc, code = key[same:], doc[same:], code[same:]
                 if len(key):
                     long_key = None
@@ -304,8 +318,7 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
                     long_key, first = key[start[-1]], doc[start[-1]]
             out.append(_short_pairs(doc, code, start, size))
             for a, n in zip(start[size > SHORT_LIST], size[size > SHORT_LIST]):
-                more = np.unique(doc[a:a + n])[1:]
-                out.append(np.stack([np.full(len(more), doc[a]), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1))
+                out.append(long_rows(doc[a], key[a:a + n], doc[a:a + n], code[a:a + n]))
             rows = np.concatenate(out)
             return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)], names=["a", "b", "n", "need"])
 
@@ -315,8 +328,37 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
         yield work(*held, True)
 
     return (keys.repartition("key").sortWithinPartitions("key", "doc_id")
-            .mapInArrow(run, "a bigint, b bigint, n bigint, need bigint")
-            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
+            .mapInArrow(run, "a bigint, b bigint, n bigint, need bigint"))
+
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): pairs that share enough lists, and stars of long lists."""
+    return (_list_rows(keys, False).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+            .where("n >= need").select("a", "b"))
+
+
+def split_candidates(keys: DataFrame) -> DataFrame:
+    """(a, b): as ``candidate_pairs``, but a set leaves the longest of its long
+    lists, one less than a partner must share with it, before these give
+    stars.  Every pair that shares enough lists is joined, itself or by a star."""
+    found = reliable(_list_rows(keys, True))
+    pairs = found.where("need >= 0")
+    long = found.where("need < 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), (-F.col("need")).cast("int").alias("code"))
+    length = long.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    longest = Window.partitionBy("doc_id", "code").orderBy(F.col("length").desc(), "key")
+    ranked = reliable(long.join(bounded_broadcast(length), "key")
+                      .select("key", "doc_id", "code", (F.row_number().over(longest) < F.floor(F.col("code") / 2)).alias("leaves")))
+    kept = ranked.where(~F.col("leaves")).select("key", "doc_id", "code")
+    left = (ranked.groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("lists"), F.count_if("leaves").alias("gone"))
+            .groupBy("doc_id").agg(F.sum("lists").alias("lists"), F.max("gone").alias("gone")).where("gone > 0"))
+    left = bounded_broadcast(reliable(left))
+    of_a, of_b = (left.select(F.col("doc_id").alias(c), F.col("lists").alias(f"lists_{c}"), F.col("gone").alias(f"gone_{c}")) for c in "ab")
+    # lists are left from the long end, so a pair misses no more than the one that left more of them
+    excused = F.least(F.greatest("gone_a", "gone_b"), "lists_a", "lists_b")
+    return (pairs.union(_list_rows(kept, False)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+            .join(of_a, "a", "left").join(of_b, "b", "left")
+            .where(F.col("n") >= F.col("need") - F.when(F.col("lists_a").isNotNull() & F.col("lists_b").isNotNull(), excused).otherwise(0))
+            .select("a", "b"))
 
 
 def link_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
@@ -406,6 +448,40 @@ def set_column(docs: DataFrame, n: int, carried: list[str]) -> DataFrame:
     return docs.select(*carried, "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in carried) + ", grams binary")
 
 
+def _open_cells(large: DataFrame, links: DataFrame) -> DataFrame:
+    """component, doc_id, chunk, apart, meets of the large groups that the
+    links do not join yet.  The sets outside a group's largest class have the
+    first chunks and meet all chunks; those inside have the others and meet
+    only the first ones."""
+    label = connected_components(links, "a", "b").select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    labelled = reliable(large.select("component", "doc_id").join(label, "doc_id", "left").select(
+        "component", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    classes = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("g"))
+    group = (classes.groupBy("component").agg(F.max(F.struct("g", "label")).alias("most"), F.sum("g").alias("g"))
+             .where("g > most.g").select("component", F.col("most.label").alias("core"),
+                                         F.ceil((F.col("g") - F.col("most.g")) / CHUNK_SETS).alias("outer"),
+                                         F.ceil(F.col("most.g") / CHUNK_SETS).alias("inner")))
+    hashed, inside = F.xxhash64("doc_id"), F.col("label") == F.col("core")
+    return labelled.join(group, "component").select(
+        "component", "doc_id", F.when(inside, F.col("outer") + F.pmod(hashed, "inner")).otherwise(F.pmod(hashed, "outer")).alias("chunk"),
+        F.lit(1).cast("bigint").alias("apart"), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")).alias("meets"))
+
+
+def _compare(docs: DataFrame, dealt: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links inside the cells of ``dealt`` (component, doc_id, chunk, apart,
+    meets).  With apart = 1 a set meets the first ``meets`` chunks, in cells of
+    two chunks; with apart = 0 it is in its own chunk's cell, or in the first
+    ``meets`` ones if there are any."""
+    texts = _texts(docs).join(bounded_broadcast(dealt), "doc_id")
+    with_sets = set_column(texts, n, ["component", "doc_id", "chunk", "apart", "meets"])
+    others = F.when(F.col("meets") > 0, F.expr("sequence(0L, greatest(meets, 1L) - 1)")).otherwise(F.array("chunk"))
+    cells = with_sets.select("component", "doc_id", "chunk", "apart", "grams", F.explode(others).alias("other"))
+    first = F.when(F.col("apart") == 1, F.least("chunk", "other")).otherwise(F.col("other"))
+    second = F.when(F.col("apart") == 1, F.greatest("chunk", "other")).otherwise(F.col("other"))
+    side = F.when((F.col("apart") == 1) & (F.col("chunk") > F.col("other")), 1).otherwise(0).cast("bigint")
+    return cell_links(cells.select("component", first.alias("i"), second.alias("j"), side.alias("side"), "doc_id", "grams"), n, num, den)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
@@ -422,21 +498,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                       .select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    near = candidate_pairs(key_rows(docs, n, num, den))
+    near = split_candidates(key_rows(docs, n, num, den))
     groups = connected_components(near.union(copies), "a", "b")
     reps = (groups.join(member.where("doc_id = rep").select(F.col("doc_id").alias("id")).distinct(), "id")
             .select(F.col("id").alias("doc_id"), "component"))
     size = reps.groupBy("component").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    chunks = F.ceil(F.col("g") / CHUNK_SETS)
-    cand = reliable(reps.join(size, "component").select("component", "doc_id", chunks.alias("chunks"),
-                                                        F.pmod(F.xxhash64("doc_id"), chunks).alias("chunk")))
-    texts = _texts(docs).join(bounded_broadcast(cand), "doc_id")
-    with_sets = set_column(texts, n, ["component", "doc_id", "chunks", "chunk"])
-    # chunk c meets itself and every other chunk once; in cell (i, j) the chunk i is side 0
-    cells = with_sets.select("component", "doc_id", "chunk", "grams", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
-    cells = cells.select("component", F.least("chunk", "other").cast("bigint").alias("i"), F.greatest("chunk", "other").cast("bigint").alias("j"),
-                         F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).cast("bigint").alias("side"), "doc_id", "grams")
-    links = cell_links(cells, n, num, den)
+    cand = reliable(reps.join(size, "component").select("component", "doc_id", F.ceil(F.col("g") / CHUNK_SETS).alias("chunks")))
+    # each chunk within itself and with the group's first set
+    chunk = F.pmod(F.xxhash64("doc_id"), "chunks")
+    links = reliable(_compare(docs, cand.select(
+        "component", "doc_id", chunk.alias("chunk"), F.lit(0).cast("bigint").alias("apart"),
+        F.when(F.col("doc_id") == F.col("component"), F.col("chunks")).otherwise(0).alias("meets")), n, num, den))
+    large = cand.where("chunks > 1")
+    if not large.isEmpty():
+        links = links.union(_compare(docs, reliable(_open_cells(large, links)), n, num, den))
     label = connected_components(links.union(copies), "a", "b").select(F.col("id").alias("doc_id"), "component")
     return (sets.select("doc_id", "n_shingles").join(label, "doc_id", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id"))
