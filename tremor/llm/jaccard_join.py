@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,10 +57,12 @@ from pyspark.sql import functions as F
 
 from tremor.llm.common import bounded_broadcast, mix64, pieces, reliable, slices, WordStream
 from tremor.llm.components import connected_components
+from tremor.session import checkpoint_dir
 
 CHUNK_SETS = 512                # sets in a chunk of a large candidate group
 SHORT_LIST = 128                # members of a list that gives all its pairs
 _STAR = 1 << 20                 # stands for enough shared lists
+_PAIR_SCHEMA = "a bigint, b bigint, n bigint, need bigint"
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -328,7 +331,7 @@ def _list_rows(keys: DataFrame, split: bool) -> DataFrame:
         yield work(*held, True)
 
     return (keys.repartition("key").sortWithinPartitions("key", "doc_id")
-            .mapInArrow(run, "a bigint, b bigint, n bigint, need bigint"))
+            .mapInArrow(run, _PAIR_SCHEMA))
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -341,10 +344,12 @@ def split_candidates(keys: DataFrame) -> DataFrame:
     """(a, b): as ``candidate_pairs``, but a set leaves the longest of its long
     lists, one less than a partner must share with it, before these give
     stars.  Every pair that shares enough lists is joined, itself or by a star."""
-    found = reliable(_list_rows(keys, True))
+    spark, path = keys.sparkSession, f"{checkpoint_dir(keys.sparkSession)}/jaccard-lists-{uuid.uuid4().hex}"
+    _list_rows(keys, True).write.parquet(path)              # read three times, by columns
+    found = spark.read.schema(_PAIR_SCHEMA).parquet(path)
     pairs = found.where("need >= 0")
     long = found.where("need < 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), (-F.col("need")).cast("int").alias("code"))
-    length = long.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    length = reliable(long.groupBy("key").agg(F.count(F.lit(1)).alias("length")))
     longest = Window.partitionBy("doc_id", "code").orderBy(F.col("length").desc(), "key")
     ranked = reliable(long.join(bounded_broadcast(length), "key")
                       .select("key", "doc_id", "code", (F.row_number().over(longest) < F.floor(F.col("code") / 2)).alias("leaves")))
