@@ -7,7 +7,7 @@ attached as one scalar subquery (evaluated once, size enforced).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremor.operators.common import attach_row
@@ -48,22 +48,33 @@ def _stack(row: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
     return row.selectExpr(f"stack({len(names)}, {pairs}) AS ({key}, {value})")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson correlation over the rows that have both columns, from their
+    moments: NaN where either is constant (``F.corr`` divides by zero there and
+    fails the job), NULL without such rows."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.when(F.count_if(both) > 0, F.coalesce(F.try_divide(F.covar_pop(a, b), spread), F.lit(float("nan"))))
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair, long form (a, b, corr)."""
+    """Pearson correlation of every column pair, long form (a, b, corr);
+    NaN with a constant column."""
     names, aggs = [], []
     for a in cols:
         for b in cols:
             n = f"{a}__{b}"
             names.append(n)
-            aggs.append((F.lit(1.0) if a == b else F.corr(a, b)).alias(n))
+            aggs.append((F.lit(1.0) if a == b else pearson(a, b)).alias(n))
     long = _stack(df.agg(*aggs), names, "pair", "corr")
     parts = F.split("pair", "__")
     return long.select(parts[0].alias("feature_a"), parts[1].alias("feature_b"), "corr")
 
 
 def corr_target(df: DataFrame, feats: list[str], y: str, top: int | None = None) -> DataFrame:
-    """Correlation of each feature with the target, descending."""
-    long = _stack(df.agg(*[F.corr(f, y).alias(f) for f in feats]), feats, "feature", "corr")
+    """Correlation of each feature with the target, descending; a constant
+    column has NaN, which sorts first."""
+    long = _stack(df.agg(*[pearson(f, y).alias(f) for f in feats]), feats, "feature", "corr")
     out = long.orderBy(F.desc("corr"), F.asc("feature"))
     return out.limit(top) if top else out
 
