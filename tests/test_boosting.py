@@ -107,3 +107,19 @@ def test_side_by_side_keeps_order_pools_and_errors(spark):
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [lambda: 1, lambda: 1 // 0])
     assert side_by_side(spark, [lambda: 4]) == [4] and side_by_side(spark, []) == []
+
+
+def test_rounds_read_a_cached_state(spark, monkeypatch):
+    """Each of a round's jobs reads the state; it is computed once, and nothing stays cached."""
+    read, fit = [], B.DecisionTreeRegressor.fit
+
+    def seen(self, df, *args):
+        read.append("InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(B.DecisionTreeRegressor, "fit", seen)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    rows = spark.createDataFrame([(float(i % 17), float((i * 37) % 101)) for i in range(60)], "x double, nb_seismes double")
+    B.train_pinball(rows, ["x"], 0.5, rounds=5, max_depth=2, keep_rounds=3)
+    assert read == [False, True, True, False, True]             # the first and the one after a checkpoint read files
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before

@@ -6,8 +6,9 @@ gives each leaf the exact alpha quantile of its residuals (leaf ids from
 MLlib's ``leafCol``, one grouped aggregate a round) times the step.  The
 prediction starts at the label's alpha quantile.
 
-Training state is one table (features, label, prediction so far), cut every
-few rounds by a reliable checkpoint.  The driver holds the trees: at most
+Training state is one table (features, label, prediction so far), cached every
+round, as each of a round's jobs reads it, and cut every few rounds by a
+reliable checkpoint.  The driver holds the trees: at most
 2^depth leaves a round.  For scoring they become flat arrays that a pandas
 UDF walks, a batch of rows at a time, so 500 trees are not 500 plan nodes.
 """
@@ -148,7 +149,7 @@ def train_pinball(train: DataFrame, feats, alpha: float, label: str = "nb_seisme
     small = n <= small_table
     model.start = leaf_quantiles(rows.withColumn("leaf", F.lit(0)), "leaf", "y", alpha, small)[0]
     learner = DecisionTreeRegressor(maxDepth=max_depth, labelCol="slope", featuresCol="features", leafCol="leaf", predictionCol="mean")
-    state = rows.withColumn("f", F.lit(model.start))
+    state, kept = rows.withColumn("f", F.lit(model.start)), []        # kept: cached since the last checkpoint
     for number in range(rounds):
         sloped = state.withColumn("slope", F.when(F.col("y") > F.col("f"), F.lit(alpha)).otherwise(F.lit(alpha - 1)))
         tree = learner.fit(sloped)
@@ -162,6 +163,14 @@ def train_pinball(train: DataFrame, feats, alpha: float, label: str = "nb_seisme
         state = placed.select("features", "y", (F.col("f") + F.lit(step) * F.get(table, F.col("leaf").cast("int"))).alias("f"))
         if (number + 1) % keep_rounds == 0:
             state = materialize(state)
+            for old in kept:
+                old.unpersist()
+            kept = []
+        else:
+            state = state.persist()
+            kept.append(state)
+    for old in kept:
+        old.unpersist()
     return model
 
 

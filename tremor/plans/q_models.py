@@ -57,7 +57,8 @@ def q_conformal(spark, sf_dir):
 
 
 def _train_test(spark, sf_dir):
-    feats = weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"])
+    # a row a week, written once: both parts read it
+    feats = materialize(weekly_features(quake_long(spark, sf_dir)).dropna(subset=MODEL_FEATURES + ["nb_seismes"]))
     split = W.holdout_last(feats, 52)
     train = W.holdout_last(split.where(~F.col("is_test")).drop("is_test"), 40).withColumnRenamed("is_test", "is_val")
     return materialize(train), materialize(split.where("is_test"))
