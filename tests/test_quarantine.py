@@ -65,3 +65,24 @@ def test_lines_and_an_empty_folder_of_good_ones(spark, tmp_path):
     small = Q.with_features(Q.read_documents(spark, str(tmp_path / "lines"), lines=True, max_bytes=20))
     assert {r.reason: r.documents for r in Q.quarantine_counts(small).collect()} == {"too large": 2, "not JSON": 1, "empty": 1}
     assert Q.feature_rows(small).collect() == []
+
+
+def test_documents_are_parsed_once_for_events_and_quarantine(spark, folder, monkeypatch):
+    """The quarantine and the events read what one pass has parsed."""
+    parsed, written = [], []
+    monkeypatch.setattr(Q, "write_quarantine", lambda documents, place: written.append(documents))
+    rows = Q.read_geojson_safely(spark, str(folder / "feed"), str(folder / "quarantine"), max_bytes=5_000)
+    for df in (rows, Q.quarantined(written[0])):
+        parsed.append("parse_json" in df._jdf.queryExecution().optimizedPlan().toString())
+    assert parsed == [False, False]
+    assert {r.id for r in rows.collect()} == {"e1", "e2", "e3", "short", None}
+
+
+def test_what_is_an_object(spark, tmp_path):
+    (tmp_path / "kinds").mkdir()
+    texts = [' \t{"features": []}', "{}", "[{}]", '"{"', "7", "null", "true", '{"a": 1', "\u00a0{}"]
+    (tmp_path / "kinds" / "a.jsonl").write_text("\n".join(texts))
+    docs = Q.with_features(Q.read_documents(spark, str(tmp_path / "kinds"), lines=True))
+    got = {r.text: r.reason for r in docs.select("text", "reason").collect()}
+    assert [got[t] for t in texts] == [None, "no features", *["not an object"] * 5, "not JSON", "not JSON"]
+    assert "schema_of_variant" not in docs._jdf.queryExecution().optimizedPlan().toString()

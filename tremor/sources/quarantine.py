@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions.scalars import epoch_ms
+from tremor.session import cut_lineage
 from tremor.sources.files import GEOJSON_PROPERTIES
 
 MAX_BYTES = 256 << 20           # largest document that one task reads
@@ -43,10 +44,11 @@ def read_documents(spark: SparkSession, path: str, lines: bool = False, max_byte
         raw = small.unionByName(files.where(F.col("bytes") > max_bytes).drop("content").withColumn("content", F.lit(None).cast("binary")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     parsed = raw.withColumn("text", text).withColumn("document", F.try_parse_json("text"))
-    kind = F.schema_of_variant("document")
+    # of what is JSON, an object alone begins so; the schema of a whole document is not needed for that
+    an_object = F.startswith(F.ltrim("text", F.lit(" \t\r\n")), F.lit("{"))
     reason = (F.when(F.col("content").isNull(), REASONS[0]).when(F.trim(F.col("content").cast("string"), F.lit(" \t\r\n")) == "", REASONS[1])
               .when(F.col("text").isNull(), REASONS[2]).when(F.col("document").isNull(), REASONS[3])
-              .when(~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)), REASONS[4]))
+              .when(~an_object, REASONS[4]))
     return parsed.select("source", "bytes", "modified", "text", "document", reason.alias("reason"))
 
 
@@ -101,8 +103,11 @@ def unknown_properties(properties: str = "properties") -> Column:
 
 def read_geojson_safely(spark: SparkSession, path: str, quarantine: str | None = None, lines: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
     """S1 with a quarantine: the events of all readable documents of a folder;
-    the others are appended to the table ``quarantine``, if one is named."""
+    the others are appended to the table ``quarantine``, if one is named.  Then
+    the documents are parsed once for both, and of a text its head is kept."""
     documents = with_features(read_documents(spark, path, lines, max_bytes))
     if quarantine is not None:
+        head = F.when(F.col("reason").isNotNull(), F.left("text", F.lit(200)))
+        documents = cut_lineage(documents.select("source", "bytes", "modified", head.alias("text"), "features", "reason"))
         write_quarantine(documents, quarantine)
     return feature_rows(documents)
