@@ -19,7 +19,7 @@ from tremor.functions.scalars import inf_to_null, log1p0, pct, time_parts
 from tremor.operators.cleaning import only_kind, range_filter
 from tremor.operators.encode import align, assemble, one_hot
 from tremor.operators.impute import impute_knn_many, impute_median
-from tremor.session import materialize
+from tremor.session import deal_evenly, materialize
 
 # Numeric features of the classifier, in order.
 FEATURES_NUM = ["latitude", "longitude", "gap", "rms", "tsunami", "depth_km_log", "nst_log",
@@ -36,13 +36,16 @@ def mag_class(col: str = "mag"):
 
 def prepare(events: DataFrame, net_vocab: list[str], k: int = 5) -> DataFrame:
     """Feature rows for the classifier (serving preprocessing)."""
+    rows = events.count()
     df = range_filter(only_kind(events))
     df = df.withColumns({c: inf_to_null(c) for c in ("gap", "rms", "dmin")})
     parts = time_parts("time_utc")
     df = df.withColumns({"hour": parts["hour"], "dayofweek": parts["dayofweek"], "month": parts["month"]})
     df = df.withColumns({f"{c}_log": log1p0(c) for c in ("depth_km", "nst", "dmin", "sig")})
-    # written once: the medians, the fit and the scoring below all read it
-    df = materialize(impute_knn_many(materialize(df), ["gap", "rms"], ("latitude", "longitude", "hour"), k=k))
+    # written once: the medians, the fit and the scoring below all read it.  Dealt
+    # evenly before and after: the filled rows come from a join, the others do not
+    df = materialize(deal_evenly(df, rows))
+    df = materialize(deal_evenly(impute_knn_many(df, ["gap", "rms"], ("latitude", "longitude", "hour"), k=k), rows))
     df = one_hot(df, "net", net_vocab)
     names = FEATURES_NUM + [f"net_{v}" for v in net_vocab]
     df = impute_median(df, FEATURES_NUM, exact=True)
@@ -52,7 +55,8 @@ def prepare(events: DataFrame, net_vocab: list[str], k: int = 5) -> DataFrame:
 def train_classifier(train: DataFrame, names: list[str], num_trees: int = 50, max_depth: int = 8, seed: int = 42):
     """M5: random forest on the prepared features, label = magnitude class."""
     labelled = train.withColumn("label", mag_class().cast("double")).where(F.col("label").isNotNull())
-    vec = assemble(labelled, names)
+    # written once: bins, bins' samples and bags each read all of it
+    vec = materialize(assemble(labelled, names).select("features", "label"))
     rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 featuresCol="features", labelCol="label")
     return rf.fit(vec)

@@ -133,7 +133,9 @@ def q_classify(spark, sf_dir):
     (label = class cut of the magnitude), saved, loaded again, every event
     scored; ``held_out`` marks the events that were not fitted on."""
     rows, names, model = _loaded(spark, sf_dir)
-    return finalize(score(model, rows, names).withColumn("held_out", _held_out().cast("bigint")).orderBy(F.desc("time_utc"), "id"))
+    # sorted before they are scored: a sort reads its rows twice, once for its ranges
+    ordered = rows.orderBy(F.desc("time_utc"), "id")
+    return finalize(score(model, ordered, names).withColumn("held_out", _held_out().cast("bigint")))
 
 
 @register("S11_model_round_trip")

@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -77,6 +78,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+DEAL_ROWS = 250_000             # rows a task, of a table that is read many times
+
+
+def deal_evenly(df: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` rows in equal parts, so that each pass over it (a level of
+    a forest, a scoring) keeps every core busy: files and joins give parts of
+    very unequal size, or fewer than there are cores.  Rows are dealt by the hash of all
+    their columns, so a repeated or missing key goes to many tasks.  One of at
+    most ``DEAL_ROWS`` rows stays as it lies."""
+    if rows <= DEAL_ROWS:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # whole rounds of all cores, two at least: no round is left half empty
+    return df.repartition(cores * max(2, -(-rows // (DEAL_ROWS * cores))), F.xxhash64(*df.columns))
+
+
 def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Settings for a job reading ``input_bytes`` on ``total_cores`` cores.
 
