@@ -43,6 +43,39 @@ def test_encoder_equals_library_with_and_without_lexicon():
     assert [join(x).decode() for x in want] == [LIBRARY.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_pieces_told_by_bytes_equal_the_library():
+    rnd = random.Random(9)
+    pool = ["'", "'s", "'S", "'re", "'LL", "'d", "'v", "'r", "''", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\x00", "a", "B", "1", "23", "!", "-", "é", "É",
+            "ß", "ÿ", "Ÿ", "À", "Þ", "×", "÷", "’", "e\u0301", "<", "|", "|>", "<|", "<|endoftext|>", "abcdefgh", "ijklmnop", "é" * 8]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) for _ in range(5000)] + ["'", "'s", "s'", "a" * 16, "a" * 17, "\xa0"]
+    assert [x.tolist() for x in bpe.Encoder(PATH).encode(texts)] == [_ids(t) for t in texts]
+
+
+def test_a_piece_is_merged_once_whatever_surrounds_it(monkeypatch):
+    enc, merged = bpe.Encoder(PATH), []
+    merge = enc.merges.merge
+    monkeypatch.setattr(enc.merges, "merge", lambda words: merged.extend(words) or merge(words))
+    texts = ["Alpha, beta", "(beta) alpha. ALPHA!", "alphabetagammadelta", "«alpha» Alphabetagammadelta,"]
+    for t in texts:                                    # one group after another
+        assert next(enc.encode([t])).tolist() == _ids(t)
+    plain = [w for w in merged if w.isalpha() and w.isascii()]
+    assert sorted(plain) == [b"alpha", b"alpha", b"alphabetagammadelta", b"beta"]     # once more for the chunk in other quotes
+
+
+def test_word_table_grows_and_tells_words_apart():
+    table, rnd = bpe.WordTable(), np.random.default_rng(3)
+    first = rnd.integers(1, 1 << 62, (2, 5000), dtype=np.uint64)
+    more = np.concatenate([first[:, :20] + np.array([[0], [1]], np.uint64), np.zeros((2, 3), np.uint64),
+                           rnd.integers(1, 1 << 62, (2, 40000), dtype=np.uint64)], axis=1)
+    assert (table.find(first) == -1).all()
+    table.add(first)
+    assert (table.find(more) == -1).all()
+    table.add(more)
+    both = np.concatenate([first, more], axis=1)
+    want = np.arange(both.shape[1])
+    assert (table.find(both) == np.where(both[0] > 0, want, -1)).all()
+
+
 def test_transducer_is_minimal_and_maps_every_word():
     rnd = random.Random(1)
     entries = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 7))) for _ in range(600)})
@@ -182,3 +215,12 @@ def test_copies_and_repeated_rows_are_dealt_to_many_parts(spark):
     _check_packing(rows, packing.pack_documents(docs, window=64, shard_docs=20).collect(), 64)
     same = documents(spark, [(1, "same")] * 150)
     _check_packing([(1, "same")] * 150, packing.pack_documents(same, window=64, shard_docs=1).collect(), 64)
+
+
+def test_a_task_that_deals_rows_has_one_python_step(spark):
+    # each such step is a worker process of its own, which stays with the executor
+    tokens = packing.tokenise(documents(spark, [(i, words(i, 30)) for i in range(40)]), bpe.DEFAULT_TOKENIZER, 64).localCheckpoint()
+    dealt = packing.deal(tokens, packing.corpus_counts(tokens), 5)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert dealt.columns == ["doc_id", "mark", "doc_tokens", "full", "tail", "at", "part"]
+    assert len({r.part for r in dealt.collect()}) > 1

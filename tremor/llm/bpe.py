@@ -34,13 +34,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremor.llm.common import slices
+from tremor.llm.common import LOWER, SPACE, mix64, slices
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 LEXICON_WORDS = 50_000          # entries of the automaton
 WORDS_PER_TASK = 20_000         # most frequent words that a task reports
 COUNTER_LIMIT = 600_000         # entries of a task's counter before rare ones are dropped
-CACHE_LIMIT = 300_000           # chunks whose ids an encoder remembers
+CACHE_LIMIT = 300_000           # pieces whose ids an encoder remembers
+SHORT_BYTES = 16                # pieces of so many bytes are looked up without Python objects
 GROUP_CHARS = 1_000_000         # text encoded at once
 
 # Unicode White_Space, which the file's patterns call \s
@@ -51,6 +52,15 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")         # white space for str.split only
 _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+")
 _PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ž]+|[0-9]|\n|[^a-z\xdf-\xf6\xf8-ž0-9\n]+")
 _MISSING = np.int64(1 << 40)
+# kinds of bytes
+_LETTER, _DIGIT, _OTHER, _HARD = 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[0, *range(0x80, 0xC3), *range(0xC4, 0x100)]] = _HARD
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -266,8 +276,94 @@ class Lexicon:
         return result
 
 
+class WordTable:
+    """Slots of words of at most SHORT_BYTES bytes, none of them zero.  A word is
+    its own key, two 64-bit numbers, compared whole; many are looked up at once."""
+
+    def __init__(self):
+        self.key = np.zeros((2, 0), np.uint64)       # by slot; zero: no word of this table
+        self.place = np.full(1 << 14, -1, np.int32)
+
+    def _probe(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix64(key[0] + key[1] * _SPREAD) & np.uint64(len(self.place) - 1)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Slot of each word, or -1."""
+        at = self._probe(key)
+        found = self.place[at]
+        live = np.flatnonzero(found >= 0)
+        live = live[(self.key[:, found[live]] != key[:, live]).any(axis=0)]
+        while len(live):                              # another word's place: the next one
+            at[live] = (at[live] + 1) & (len(self.place) - 1)
+            found[live] = self.place[at[live]]
+            live = live[found[live] >= 0]
+            live = live[(self.key[:, found[live]] != key[:, live]).any(axis=0)]
+        return found
+
+    def add(self, key: np.ndarray) -> None:
+        """New slots, one after another: distinct words not yet here, or zeros."""
+        slot = np.arange(self.key.shape[1], self.key.shape[1] + key.shape[1])
+        self.key = np.concatenate([self.key, key], axis=1)
+        if 2 * self.key.shape[1] > len(self.place):
+            self.place = np.full(1 << (4 * self.key.shape[1]).bit_length(), -1, np.int32)
+            slot = np.arange(self.key.shape[1])
+        slot = slot[self.key[0, slot] > 0]
+        at = self._probe(self.key[:, slot])
+        while len(slot):
+            free = self.place[at] < 0
+            self.place[at[free]] = slot[free]
+            lost = self.place[at] != slot
+            slot, at = slot[lost], (at[lost] + 1) & (len(self.place) - 1)
+
+
+def word_keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes begin[i]:begin[i]+size[i] of ``data`` as two numbers each;
+    sizes of at most SHORT_BYTES, and as many bytes follow the last one."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    return np.stack([eight[begin] & _FIRST_BYTES[np.minimum(size, 8)], eight[begin + 8] & _FIRST_BYTES[np.maximum(size, 8) - 8]])
+
+
+def byte_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case, begin, end, hard) of the pre-tokens of UTF-8 text
+    that ends in white space.  ASCII and the letters of Latin-1 are told by
+    their bytes.  A white-space-free chunk with anything else, or with ``<|``,
+    is one hard piece, its bytes as they are."""
+    kind, low = _KIND[data], LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        after = data[lead + 1]
+        kind[lead + 1] = np.where((after == 0x97) | (after == 0xB7), _HARD, _LETTER)       # the signs of multiplication and division
+        low[lead + 1] = after + np.where((after <= 0x9E) & (after != 0x97), 0x20, 0).astype(np.uint8)
+    odd = np.concatenate([np.flatnonzero(kind == _HARD), np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))])
+    if len(odd):
+        space = np.flatnonzero(kind == 0)
+        next_space = np.unique(np.searchsorted(space, odd))
+        cover = np.zeros(len(data) + 1, np.int8)
+        cover[np.where(next_space > 0, space[next_space - 1] + 1, 0)] = 1
+        cover[space[next_space]] -= 1
+        inside = np.cumsum(cover[:-1], dtype=np.int8) > 0
+        kind[inside] = _HARD
+        low[inside] = data[inside]
+    edge = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == _DIGIT)
+    mark = np.flatnonzero((data == 39) & (kind == _OTHER))
+    mark = mark[(kind[mark - 1] != _OTHER) | (mark == 0)]
+    if len(mark):                                     # 's 't 'm 'd 're 've 'll
+        one, two = low[mark + 1], low[np.minimum(mark + 2, len(low) - 1)]
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        whole = long | (one == 115) | (one == 116) | (one == 109) | (one == 100)
+        edge[mark[whole] + 1] = False
+        edge[mark[whole] + 2 + long[whole]] = True
+    at = np.flatnonzero(edge)
+    end = np.append(at[1:], len(data))
+    word = kind[at] > 0
+    at, end = at[word], end[word]
+    return low, at, end, kind[at] == _HARD
+
+
 class Encoder:
-    """Texts to ids.  Works on white-space-free chunks and remembers theirs."""
+    """Texts to ids.  Works on pieces of bytes (``byte_pieces``) and remembers
+    their ids; chunks that bytes do not tell apart go by their characters."""
 
     def __init__(self, path: str, lexicon: np.ndarray | None = None):
         self.path = path
@@ -279,7 +375,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.short = WordTable()              # its slots are those of begin and size
+        self.long: dict[bytes, int] = {}      # slots of longer pieces and of hard chunks
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.buffer = np.zeros(0, np.uint16)
@@ -308,42 +405,34 @@ class Encoder:
         return [bytes(byte_of[c] for c in p)
                 for p, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(chunk))]
 
-    def _learn(self, chunks: list[str]) -> None:
-        easy, hard = [], []
-        for c in chunks:
-            (easy if (c.isascii() or _PLAIN.fullmatch(c)) and "<|" not in c else hard).append(c)
-        # one pass over all plain chunks, a line each
-        parts = _PLAIN_PIECES.findall("\n".join(easy).lower())
-        number = {p: n for n, p in enumerate(dict.fromkeys(parts))}
-        line = number.pop("\n", -1)
-        part = np.fromiter(map(number.get, parts, itertools.repeat(-1)), np.int64, len(parts))
-        ended = np.flatnonzero(part < 0)
-        counts = np.diff(np.concatenate([[-1], ended, [len(part)]])) - 1 if easy else np.zeros(0, np.int64)
-        part = part[part >= 0]
-        if line >= 0:
-            part -= part > line
-        word_slot = {p.encode(): n for n, p in enumerate(number)}
+    def _learn(self, plain: list[bytes], hard: list[bytes]) -> None:
+        """Slots for new pieces and, after them, for new hard chunks."""
+        word_slot = {w: n for n, w in enumerate(plain)}
         flat: list[int] = []                  # word number, or -1 - id
         more = []
         for chunk in hard:
-            found = self.pretokens(chunk)
+            found = [p for c in self.chunks(chunk.decode()) for p in self.pretokens(c)]
             more.append(len(found))
             for p in found:
                 flat.append(-1 - p if isinstance(p, int) else word_slot.setdefault(p, len(word_slot)))
-        chunks = easy + hard
-        counts = np.concatenate([counts, np.array(more, np.int64)])
+        counts = np.concatenate([np.ones(len(plain), np.int64), np.array(more, np.int64)])
         ids, sizes = self._words(list(word_slot))
         begins = np.cumsum(sizes) - sizes
-        part = np.concatenate([part, np.array(flat, np.int64)])
-        plain = part >= 0
-        extra = -1 - part[~plain]             # special ids follow the words' ids
+        part = np.concatenate([np.arange(len(plain)), np.array(flat, np.int64)])
+        word = part >= 0
+        extra = -1 - part[~word]              # special ids follow the words' ids
         source = np.concatenate([ids, extra])
         p_begin, p_size = np.empty(len(part), np.int64), np.ones(len(part), np.int64)
-        p_begin[plain], p_size[plain] = begins[part[plain]], sizes[part[plain]]
-        p_begin[~plain] = len(ids) + np.arange(len(extra))
+        p_begin[word], p_size[word] = begins[part[word]], sizes[part[word]]
+        p_begin[~word] = len(ids) + np.arange(len(extra))
         gathered = ragged(source, p_begin, p_size)
         bounds = np.concatenate([[0], np.cumsum(p_size)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.slot.update(zip(chunks, range(len(self.slot), len(self.slot) + len(chunks))))
+        size = np.array([len(w) for w in plain], np.int64)
+        few = size <= SHORT_BYTES
+        self.long.update((w, len(self.size) + n) for n, w in enumerate(plain + hard) if n >= len(plain) or not few[n])
+        key = np.zeros((2, len(plain) + len(hard)), np.uint64)
+        key[:, :len(plain)][:, few] = word_keys(np.frombuffer(b"".join(plain) + bytes(SHORT_BYTES), np.uint8), (np.cumsum(size) - size)[few], size[few])
+        self.short.add(key)
         self.begin = np.concatenate([self.begin, len(self.buffer) + bounds[:-1]])
         self.size = np.concatenate([self.size, np.diff(bounds)])
         self.buffer = np.concatenate([self.buffer, gathered.astype(np.uint16)])
@@ -381,21 +470,29 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.slot) > CACHE_LIMIT:
+        if len(self.size) > CACHE_LIMIT:
             self._forget()
-        chunks: list[str] = []
-        counts = [0]
-        for t in texts:
-            chunks += self.chunks(t)
-            counts.append(len(chunks))
-        slot = np.fromiter(map(self.slot.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            self._learn(list(dict.fromkeys(chunks[i] for i in new)))
-            slot[new] = [self.slot[chunks[i]] for i in new]
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"\n".join([*raw, bytes([10]) * SHORT_BYTES]), np.uint8)
+        low, begin, end, hard = byte_pieces(data)
+        size = end - begin
+        slot = np.full(len(begin), -1, np.int64)
+        few = np.flatnonzero((size <= SHORT_BYTES) & ~hard)
+        slot[few] = self.short.find(word_keys(low, begin[few], size[few]))
+        lost = np.flatnonzero(slot < 0)
+        joined = low.tobytes()
+        words = [joined[a:b] for a, b in zip(begin[lost].tolist(), end[lost].tolist())]
+        slot[lost] = np.fromiter(map(self.long.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = [(w, h) for w, s, h in zip(words, slot[lost].tolist(), hard[lost].tolist()) if s < 0]
+        if new:
+            plain, tough = (list(dict.fromkeys(w for w, h in new if h == kind)) for kind in (False, True))
+            number = {w: n for n, w in enumerate(plain + tough, len(self.size))}
+            self._learn(plain, tough)
+            slot[lost[slot[lost] < 0]] = [number[w] for w, _ in new]
         size = self.size[slot]
         ids = ragged(self.buffer, self.begin[slot], size)
-        bounds = np.concatenate([[0], np.cumsum(size)])[counts]
+        first = np.searchsorted(begin, np.cumsum([0] + [len(t) + 1 for t in raw]))
+        bounds = np.concatenate([[0], np.cumsum(size)])[first]
         for a, b in zip(bounds, bounds[1:]):
             yield ids[a:b]
 

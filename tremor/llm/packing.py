@@ -54,6 +54,7 @@ PIECE_SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, d
                 "sequence_id bigint, offset bigint")
 _NAMES = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
 _TAIL_SCHEMA = "doc_id bigint, mark bigint, doc_tokens bigint, full binary, tail binary"
+_TAIL_NAMES = [c.split()[0] for c in _TAIL_SCHEMA.split(", ")]
 _TERMS = 1 << 16                # token ids are 16 bits wide
 
 
@@ -235,31 +236,35 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
     basis = directions([np.frombuffer(tail, "<u2") for _, tail in sampled[:BASIS_DOCS]], corpus)
     idf = corpus.idf()
 
-    def locate(batches):
-        for batch in slices(batches):
-            x = coordinates(_tails(batch.column("tail")), corpus, idf, basis)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=[*batch.schema.names, "at"])
-
     def points(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, basis.shape[1])
 
-    # coordinates are computed where they are needed: a second table of all tokens would cost more
-    def located(some: DataFrame) -> DataFrame:
-        return some.withColumn("spread", spread).mapInArrow(locate, f"{_TAIL_SCHEMA}, spread bigint, at binary")
+    # coordinates are computed where they are needed: a second table of all tokens would cost
+    # more; and by the task's one worker, since each step of its own would be another process
+    def place(batch: pa.RecordBatch) -> np.ndarray:
+        return coordinates(_tails(batch.column("tail")), corpus, idf, basis)
+
+    def bytes_of(x: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in x], pa.binary())
+
+    def locate(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("spread"), bytes_of(place(batch))], names=["spread", "at"])
 
     one_in = max(1, rows // (leaves * ROUTE_DOCS))
-    chosen = located(tokens.where(F.pmod(F.xxhash64(spread), F.lit(one_in)) == 0)).select("spread", "at").distinct().collect()
+    chosen = (tokens.where(F.pmod(F.xxhash64(spread), F.lit(one_in)) == 0).select(spread.alias("spread"), "tail")
+              .mapInArrow(locate, "spread bigint, at binary").distinct().collect())
     router = Router(points(pa.array([p for _, p in sorted((r.spread, bytes(r.at)) for r in chosen)], pa.binary())), leaves)
 
     def count(batches):
         found = np.zeros(router.leaves, np.int64)
         for batch in slices(batches):
-            found += np.bincount(router.leaf(points(batch.column(0))), minlength=router.leaves)
+            found += np.bincount(router.leaf(place(batch)), minlength=router.leaves)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(router.leaves)), pa.array(found)], names=["leaf", "rows"])
 
     # a leaf has as many parts as it has shares, if it has more than two
     counts = np.zeros(router.leaves, np.int64)
-    for r in located(tokens).select("at").mapInArrow(count, "leaf bigint, rows bigint").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
+    for r in tokens.select("tail").mapInArrow(count, "leaf bigint, rows bigint").groupBy("leaf").agg(F.sum("rows").alias("rows")).collect():
         counts[r.leaf] = r.rows
     share = max(shard_docs, rows / leaves)
     parts = np.where(counts > 2 * share, np.ceil(counts / share), 1).astype(np.int64)
@@ -267,11 +272,12 @@ def deal(tokens: DataFrame, corpus: Corpus, shard_docs: int) -> DataFrame:
 
     def route(batches):
         for batch in slices(batches):
-            leaf = router.leaf(points(batch.column("at")))
+            x = place(batch)
+            leaf = router.leaf(x)
             part = first[leaf].astype(np.uint64) + mix64(batch.column("spread").to_numpy().view(np.uint64)) % parts[leaf].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int64))], names=[*batch.schema.names, "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], bytes_of(x), pa.array(part.astype(np.int64))], names=[*_TAIL_NAMES, "at", "part"])
 
-    return located(tokens).mapInArrow(route, f"{_TAIL_SCHEMA}, spread bigint, at binary, part bigint").drop("spread")
+    return tokens.withColumn("spread", spread).mapInArrow(route, f"{_TAIL_SCHEMA}, at binary, part bigint")
 
 
 class ShardIndex:
