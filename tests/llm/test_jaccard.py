@@ -1,6 +1,7 @@
 import collections
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -206,3 +207,21 @@ def test_columns_of_the_names_used_inside_keep_their_values(spark):
     got = sorted(out.collect())
     assert [r.doc_id for r in got] == [1, 3] and all(r[n] == f"{n}{r.doc_id}" for r in got for n in ("row", "number", "Row_", "__row", "id", "component"))
     assert J.free_names(["row", "ROW_"], "row", "row__") == ["row__", "row___"]
+
+
+def test_working_arrays_stay_small():
+    rnd = np.random.default_rng(8)
+    texts = [words(i, 300) for i in range(1000)]
+    next(J.shingle_sets(["a b c"], 5))      # the power tables
+    sets = [np.unique(rnd.integers(0, 1 << 40, 60, dtype=np.uint64)) for _ in range(1024)]
+    sets[1000] = sets[3]
+    tracemalloc.start()
+    try:
+        found = list(J.shingle_sets(texts, 5))
+        assert tracemalloc.get_traced_memory()[1] < 45 << 20
+        tracemalloc.reset_peak()
+        label = J.link_forest(sets, None, 80, 100)
+        assert tracemalloc.get_traced_memory()[1] < 45 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 1000 and label[1000] == 3 and len(set(label)) == 1023

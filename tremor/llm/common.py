@@ -61,7 +61,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     if size not in _powers:
         _powers.clear()
         with np.errstate(over="ignore"):

@@ -61,6 +61,8 @@ from tremor.session import checkpoint_dir
 
 CHUNK_SETS = 512                # sets in a chunk of a large candidate group
 SHORT_LIST = 128                # members of a list that gives all its pairs
+HASHED_BYTES = 1 << 18          # text whose n-grams are hashed at once: some 100 bytes of memory each
+FOREST_CELLS = 1 << 20          # entries of a cell's matrices held at once beside the intersections
 _STAR = 1 << 20                 # stands for enough shared lists
 _PAIR_SCHEMA = "a bigint, b bigint, n bigint, need bigint"
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -195,7 +197,7 @@ def set_keys(h: np.ndarray, plan: Scheme) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each whole text's word n-grams."""
-    for _, group in pieces(texts):
+    for _, group in pieces(texts, HASHED_BYTES):
         s = WordStream(group)
         words = len(s.start)
         if words >= n:
@@ -383,21 +385,24 @@ def link_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
     column, owner = column[order], owner[order]
     width = int(shared.sum())
     inter = np.zeros((g, g), np.float32)
-    step = max(64, min(4096, (1 << 22) // g))
+    step = max(64, min(4096, FOREST_CELLS // g))
     for c in range(0, width, step):
         a, b = np.searchsorted(column, [c, c + step])
         x = np.zeros((g, min(step, width - c)), np.float32)
         x[owner[a:b], column[a:b] - c] = 1
         inter += x @ x.T
-    inter = np.rint(inter).astype(np.int64)
-    link = den * inter >= num * (size[:, None] + size[None, :] - inter)
+    link = np.zeros((g, g), bool)
+    rows = max(1, FOREST_CELLS // g)
+    for r in range(0, g, rows):
+        shares = np.rint(inter[r:r + rows]).astype(np.int64)
+        link[r:r + rows] = den * shares >= num * (size[r:r + rows, None] + size[None, :] - shares)
     if right is not None:
         link[:len(left), :len(left)] = False
         link[len(left):, len(left):] = False
     np.fill_diagonal(link, True)
     label = np.arange(g)
     while True:
-        new = np.where(link, label[None, :], g).min(axis=1)
+        new = np.concatenate([np.where(link[r:r + rows], label[None, :], g).min(axis=1) for r in range(0, g, rows)])
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
