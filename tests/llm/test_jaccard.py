@@ -124,6 +124,27 @@ def test_split_lists_lose_no_pair(spark, monkeypatch, batch_rows):
     assert len(linked) > 100 and all(group[a] == group[b] for a, b in linked)
 
 
+def test_candidates_grow_with_the_members_of_a_group(spark):
+    """Groups of near copies whose lists are all short: fewer candidates than members, not all pairs."""
+    rows = [(100 * g + i, f"{words(g, 120, 10_000)} e{i}") for g in range(3) for i in range(100)]
+    keys = J.key_rows(documents(spark, rows), 5, 80, 100)
+    plain, split = ({(r.a, r.b) for r in f(keys).collect()} for f in (J.candidate_pairs, J.split_candidates))
+    assert len(plain) == 3 * 4950 and split < plain and len(split) < 10 * len(rows)
+    group = {r.id: r.component for r in connected_components(spark.createDataFrame(list(split), "a bigint, b bigint"), "a", "b").collect()}
+    assert group == {d: d // 100 * 100 for d, _ in rows}
+
+
+def test_forests_of_parts_join_what_the_pairs_join(spark):
+    rnd = np.random.default_rng(5)
+    pairs = [(int(min(a, b)), int(max(a, b)), int(p)) for a, b, p in zip(*rnd.integers(0, 90, (2, 12_000)), rnd.integers(-3, 3, 12_000))
+             if a != b and a // 30 == b // 30] + [(200, 201, 7), (200, 201, 8), (-5, -4, 7)]
+    got = J.part_forests(spark.createDataFrame(pairs, "a bigint, b bigint, part int").repartition(5)).collect()
+    assert {(r.a, r.b) for r in got} <= {p[:2] for p in pairs} and len(got) == 6 * (90 - 3) + 3
+    group = {r.id: r.component for r in connected_components(spark.createDataFrame(got), "a", "b").collect()}
+    assert group == {**{i: i // 30 * 30 for i in range(90)}, 200: 200, 201: 200, -5: -5, -4: -5}
+    assert J.part_forests(spark.createDataFrame([], "a bigint, b bigint, part int")).collect() == []
+
+
 def test_sets_that_only_share_passages_are_no_candidates(spark, monkeypatch):
     """300 texts with the same passage, far longer lists than SHORT_LIST, and 20 near copies of one of them."""
     monkeypatch.setattr(J, "SHORT_LIST", 16)

@@ -28,7 +28,8 @@ partner leaves its m - 1 longest: the least of the shared lists in an order
 common to all sets (by length) is left by neither.  So passages that many
 documents share, and little else, are left by all of them; a pair is excused
 as many lists as it may have left.  What then is short gives pairs, and the
-rest a star, whose pairs are all compared later.
+rest a star, whose pairs are all compared later.  Of the pairs that share
+enough, only a spanning forest of each list's goes on, fewer than its members.
 
 Candidates are joined into groups, whose sets are compared exactly, by sparse
 products over the n-grams that occur twice, in cells of bounded size.  A large
@@ -64,7 +65,7 @@ SHORT_LIST = 128                # members of a list that gives all its pairs
 HASHED_BYTES = 1 << 18          # text whose n-grams are hashed at once: some 100 bytes of memory each
 FOREST_CELLS = 1 << 20          # entries of a cell's matrices held at once beside the intersections
 _STAR = 1 << 20                 # stands for enough shared lists
-_PAIR_SCHEMA = "a bigint, b bigint, n bigint, need bigint"
+_PAIR_SCHEMA = "a bigint, b bigint, n bigint, need bigint, part int"
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -267,9 +268,10 @@ def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return _texts(docs).where("doc_id is not null").mapInArrow(run, "key bigint, doc_id bigint, code int")
 
 
-def _short_pairs(doc: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(a, b, shared lists, needed) of the pairs inside short lists."""
-    out = [np.zeros((0, 4), np.int64)]
+def _short_pairs(key: np.ndarray, doc: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(a, b, shared lists, needed, part) of the pairs inside short lists;
+    part is the least mark of the shared lists."""
+    out = [np.zeros((0, 5), np.int64)]
     for s in range(2, SHORT_LIST + 1):
         at = start[size == s]
         if not len(at):
@@ -278,26 +280,34 @@ def _short_pairs(doc: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.
         a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
         ok = ((code[a] | code[b]) & 1 > 0) & (doc[a] != doc[b])
         a, b = a[ok], b[ok]
-        out.append(np.stack([doc[a], doc[b], np.ones(len(a), np.int64), np.maximum(code[a], code[b]) >> 1], 1))
+        out.append(np.stack([doc[a], doc[b], np.ones(len(a), np.int64), np.maximum(code[a], code[b]) >> 1, _mark(key[a])], 1))
     pairs = np.concatenate(out)
     if not len(pairs):
         return pairs
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     new = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
-    return np.stack([pairs[new, 0], pairs[new, 1], np.add.reduceat(pairs[:, 2], new), np.maximum.reduceat(pairs[:, 3], new)], 1)
+    return np.stack([pairs[new, 0], pairs[new, 1], np.add.reduceat(pairs[:, 2], new), np.maximum.reduceat(pairs[:, 3], new),
+                     np.minimum.reduceat(pairs[:, 4], new)], 1)
+
+
+def _mark(key: np.ndarray) -> np.ndarray:
+    """32 bits of a list's key or a set's id; lists that share a mark do no harm."""
+    return key >> 32
 
 
 def _list_rows(keys: DataFrame, split: bool) -> DataFrame:
-    """(a, b, n, need): the pairs of short lists, and of long lists their
-    members as (doc_id, key, 0, -code) if ``split``, else stars.  Lists are
-    streamed; at most SHORT_LIST members of one are held."""
+    """(a, b, n, need, part): the pairs of short lists, and of long lists their
+    members as (doc_id, key, 0, -code, 0) if ``split``, else stars.  A pair's
+    part is that of a list, a star's that of the member.  Lists are streamed;
+    at most SHORT_LIST members of one are held."""
 
     def long_rows(first, key, doc, code):
         if split:
-            return np.stack([doc, key, np.zeros(len(doc), np.int64), -code], 1)
+            none = np.zeros(len(doc), np.int64)
+            return np.stack([doc, key, none, -code, none], 1)
         more = np.unique(doc)
         more = more[more != first]
-        return np.stack([np.full(len(more), first), more, np.full(len(more), _STAR), np.ones(len(more), np.int64)], 1)
+        return np.stack([np.full(len(more), first), more, np.full(len(more), _STAR), np.ones(len(more), np.int64), _mark(more)], 1)
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]     # a list that may go on
@@ -321,11 +331,12 @@ def _list_rows(keys: DataFrame, split: bool) -> DataFrame:
                 held = [x[:0] for x in (key, doc, code)]
                 if len(start) and not last:
                     long_key, first = key[start[-1]], doc[start[-1]]
-            out.append(_short_pairs(doc, code, start, size))
+            out.append(_short_pairs(key, doc, code, start, size))
             for a, n in zip(start[size > SHORT_LIST], size[size > SHORT_LIST]):
                 out.append(long_rows(doc[a], key[a:a + n], doc[a:a + n], code[a:a + n]))
             rows = np.concatenate(out)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)], names=["a", "b", "n", "need"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, c].copy()) for c in range(4)] + [pa.array(rows[:, 4].astype(np.int32))],
+                                              names=["a", "b", "n", "need", "part"])
 
         for batch in batches:
             columns = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for c, h in enumerate(held)]
@@ -342,10 +353,40 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
             .where("n >= need").select("a", "b"))
 
 
+def part_forests(pairs: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of each ``part``, so that what
+    they join stays joined.  The pairs of a short list, whose number grows with
+    the square of its members, become fewer than these.  A task streams its
+    pairs and holds the sets of one part, some SHORT_LIST."""
+
+    def run(batches):
+        part, parent = None, {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            keep = []
+            for a, b, p in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if p != part:
+                    part, parent = p, {}
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+                keep.append(x != y)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return (pairs.select("a", "b", "part").repartition("part").sortWithinPartitions("part", "a", "b")
+            .mapInArrow(run, "a bigint, b bigint"))
+
+
 def split_candidates(keys: DataFrame) -> DataFrame:
     """(a, b): as ``candidate_pairs``, but a set leaves the longest of its long
     lists, one less than a partner must share with it, before these give
-    stars.  Every pair that shares enough lists is joined, itself or by a star."""
+    stars.  Every pair that shares enough lists is joined, itself, by a star or
+    through other pairs: of these only forests are kept (``part_forests``)."""
     spark, path = keys.sparkSession, f"{checkpoint_dir(keys.sparkSession)}/jaccard-lists-{uuid.uuid4().hex}"
     _list_rows(keys, True).write.parquet(path)              # read three times, by columns
     found = spark.read.schema(_PAIR_SCHEMA).parquet(path)
@@ -362,10 +403,11 @@ def split_candidates(keys: DataFrame) -> DataFrame:
     of_a, of_b = (left.select(F.col("doc_id").alias(c), F.col("lists").alias(f"lists_{c}"), F.col("gone").alias(f"gone_{c}")) for c in "ab")
     # lists are left from the long end, so a pair misses no more than the one that left more of them
     excused = F.least(F.greatest("gone_a", "gone_b"), "lists_a", "lists_b")
-    return (pairs.union(_list_rows(kept, False)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-            .join(of_a, "a", "left").join(of_b, "b", "left")
-            .where(F.col("n") >= F.col("need") - F.when(F.col("lists_a").isNotNull() & F.col("lists_b").isNotNull(), excused).otherwise(0))
-            .select("a", "b"))
+    enough = (pairs.union(_list_rows(kept, False)).groupBy("a", "b")
+              .agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("part").alias("part"))
+              .join(of_a, "a", "left").join(of_b, "b", "left")
+              .where(F.col("n") >= F.col("need") - F.when(F.col("lists_a").isNotNull() & F.col("lists_b").isNotNull(), excused).otherwise(0)))
+    return part_forests(enough)
 
 
 def link_forest(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
