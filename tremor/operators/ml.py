@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tremor.operators.common import attach_row
 from tremor.operators.encode import assemble
 from tremor.operators.together import side_by_side
+from tremor.operators.trees import fit_gbt, fits_one_task
 from tremor.session import materialize
 
 
@@ -70,15 +71,17 @@ def train_gbt(train: DataFrame, feats, label: str = "nb_seismes", max_iter: int
     Training rows are rollup rows (a row per week or zone-week); ``partitions``
     keeps them together, as a round is a handful of tiny jobs.  None leaves
     them as they come, for tables of many zones.  The features are computed
-    by all tasks before that.
+    by all tasks before that.  Rows kept in one partition that one task can hold
+    (:func:`tremor.operators.trees.fits_one_task`) are fitted inside a task: the same model.
     """
     rows = materialize(assemble(train, list(feats)).select("features", F.col(label).cast("double").alias(label),
                                                            *([validation_col] if validation_col else [])))
     if partitions:
         rows = rows.coalesce(partitions)
     fitted = rows.where(~F.col(validation_col)) if validation_col else rows
-    model = GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=column_share,
-                         seed=seed, labelCol=label, featuresCol="features").fit(fitted)
+    learner = GBTRegressor(maxIter=max_iter, stepSize=step, maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=column_share,
+                           seed=seed, labelCol=label, featuresCol="features")
+    model = fit_gbt(learner, fitted) if partitions == 1 and fits_one_task(fitted, label) else learner.fit(fitted)
     if not validation_col:
         return model
     return truncate(model, stop_round(model.evaluateEachIteration(rows.where(F.col(validation_col)), "squared"), patience))
