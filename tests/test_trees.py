@@ -65,3 +65,21 @@ def test_rows_that_one_task_cannot_take_stay_with_mllib(spark):
         assert not T.fits_one_task(assemble(table(spark, 20).withColumn("b", F.lit(odd).cast("double")), FEATS), "nb_seismes")
     with pytest.raises(Exception, match="MUST NOT be NaN"):                 # MLlib refuses such a row, as before
         ml.train_gbt(table(spark, 20).withColumn("b", F.lit(None).cast("double")), FEATS, max_iter=2)
+
+
+@pytest.mark.parametrize("n, odd, alpha, depth", [(120, False, 0.9, 5), (40, True, 0.1, 3), (3, False, 0.1, 4)])
+def test_quantile_rounds_in_one_task_are_the_distributed_ones(spark, n, odd, alpha, depth):
+    df = table(spark, n, odd, seed=4)
+    one, two = (B.train_pinball(df, FEATS, alpha, rounds=3, step=0.3, max_depth=depth, one_task=k) for k in (n, n - 1))
+    assert one == two and len(one.trees) == 3                               # trees, leaf values and start, to the last bit
+
+
+def test_quantile_rounds_stop_when_nothing_moves(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 7.0)] * 9, "a double, b double, nb_seismes double")
+    for model in B.train_interval(df, ["a", "b"], rounds=50):
+        assert model.start == 7 and len(model.trees) == 1 and model.score(np.ones((1, 2))).tolist() == [7]
+
+
+def test_an_interval_fit_takes_few_jobs(spark):
+    (low, high), jobs = jobs_of(spark, lambda: B.train_interval(table(spark, 60), FEATS, rounds=20, step=0.1, max_depth=4))
+    assert len(low.trees) == len(high.trees) == 20 and jobs < 40            # a job a tree level, and one more a round, before

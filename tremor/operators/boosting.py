@@ -8,18 +8,23 @@ prediction starts at the label's alpha quantile.
 
 Training state is one table (features, label, prediction so far), cached every
 round, as each of a round's jobs reads it, and cut every few rounds by a
-reliable checkpoint.  The driver holds the trees: at most
-2^depth leaves a round.  For scoring they become flat arrays that a pandas
+reliable checkpoint.  Rows that one task can hold (``one_task``, set by
+:func:`train_interval`) go through the same rounds inside a task, without a job
+a tree level; trees and leaf values are the same.  The driver holds the trees:
+at most 2^depth leaves a round.  For scoring they become flat arrays that a pandas
 UDF walks, a batch of rows at a time, so 500 trees are not 500 plan nodes.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from tremor.operators.encode import assemble
 from tremor.operators.quantiles import exact_quantile
 from tremor.operators.together import side_by_side
+from tremor.operators.trees import ONE_TASK_ROWS, Grower, dense, fits_one_task, listed
 from tremor.session import materialize
 
 # Rounds, step and depth of the interval models and their two levels.
@@ -131,13 +137,55 @@ def leaf_quantiles(rows: DataFrame, leaf: str, residual: str, alpha: float, smal
     return {int(r[leaf]): float(r["value"]) for r in found.collect()}
 
 
+def _percentile(values: np.ndarray, p: float) -> float:
+    """Spark's exact ``percentile``."""
+    at = (len(values) - 1) * p
+    low, high = math.floor(at), math.ceil(at)
+    found = np.sort(values)
+    a, b = float(found[low]), float(found[high])
+    return a if low == high or a == b else (high - at) * a + (at - low) * b
+
+
+_ROUND_SCHEMA = "number int, feature array<int>, threshold array<double>, left array<int>, right array<int>, leaf array<int>, leaf_values array<double>"
+_ROUND_COLUMNS = [("number", pa.int32()), ("feature", pa.list_(pa.int32())), ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())),
+                  ("right", pa.list_(pa.int32())), ("leaf", pa.list_(pa.int32())), ("leaf_values", pa.list_(pa.float64()))]
+
+
+def _rounds_in_task(model: PinballModel, rows: DataFrame, rounds: int, max_depth: int) -> PinballModel:
+    """The rounds of :func:`train_pinball` over one partition in one task."""
+    alpha, start, step = model.alpha, model.start, model.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = dense(batches)
+        if found is None:
+            return
+        x, y = found
+        grower, f = Grower(x, max_depth), np.full(len(y), start)
+        for number in range(rounds):
+            tree, leaf, _ = grower.grow(np.where(y > f, alpha, alpha - 1))
+            residual = y - f
+            values = np.array([_percentile(residual[leaf == k], alpha) for k in range(tree.leaves)])
+            row = (number, tree.feature, tree.threshold, tree.left, tree.right, tree.leaf, values)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _ROUND_COLUMNS)], [name for name, _ in _ROUND_COLUMNS])
+            if not values.any():
+                return                                      # every later round would be this one again
+            f = f + step * values[leaf]
+
+    for r in sorted(listed(rows, "y").mapInArrow(run, _ROUND_SCHEMA).collect(), key=lambda r: r["number"]):
+        model.trees.append(FlatTree(r["feature"], r["threshold"], r["left"], r["right"], r["leaf"]))
+        model.values.append(dict(enumerate(r["leaf_values"])))
+    return model
+
+
 def train_pinball(train: DataFrame, feats, alpha: float, label: str = "nb_seismes", rounds: int = PINBALL_CONFIG[0],
                   step: float = PINBALL_CONFIG[1], max_depth: int = PINBALL_CONFIG[2], partitions: int | None = 1,
-                  small_table: int = SMALL_TABLE, keep_rounds: int = KEEP_ROUNDS) -> PinballModel:
+                  small_table: int = SMALL_TABLE, keep_rounds: int = KEEP_ROUNDS, one_task: int = 0) -> PinballModel:
     """M9: a boosted model of the label's ``alpha`` quantile.
 
     Rows with a NULL label are left out; without rows the model predicts 0.
-    ``partitions`` as in :func:`tremor.operators.ml.train_gbt`.
+    ``partitions`` as in :func:`tremor.operators.ml.train_gbt`.  Rows of one
+    partition, up to ``one_task`` and none with a missing or infinite value, are
+    fitted in one task: the same model.
     """
     feats = list(feats)
     rows = assemble(train.where(F.col(label).isNotNull()), feats).select("features", F.col(label).cast("double").alias("y"))
@@ -148,6 +196,8 @@ def train_pinball(train: DataFrame, feats, alpha: float, label: str = "nb_seisme
         return model
     small = n <= small_table
     model.start = leaf_quantiles(rows.withColumn("leaf", F.lit(0)), "leaf", "y", alpha, small)[0]
+    if partitions == 1 and fits_one_task(rows, "y", one_task):
+        return _rounds_in_task(model, rows, rounds, max_depth)
     learner = DecisionTreeRegressor(maxDepth=max_depth, labelCol="slope", featuresCol="features", leafCol="leaf", predictionCol="mean")
     state, kept = rows.withColumn("f", F.lit(model.start)), []        # kept: cached since the last checkpoint
     for number in range(rounds):
@@ -174,10 +224,10 @@ def train_pinball(train: DataFrame, feats, alpha: float, label: str = "nb_seisme
     return model
 
 
-def train_interval(train: DataFrame, feats, alphas=(LOW_ALPHA, HIGH_ALPHA), **kwargs) -> list[PinballModel]:
+def train_interval(train: DataFrame, feats, alphas=(LOW_ALPHA, HIGH_ALPHA), one_task: int = ONE_TASK_ROWS, **kwargs) -> list[PinballModel]:
     """The models of several quantiles, fitted side by side."""
     train = materialize(train)
-    return side_by_side(train.sparkSession, [lambda a=a: train_pinball(train, feats, a, **kwargs) for a in alphas])
+    return side_by_side(train.sparkSession, [lambda a=a: train_pinball(train, feats, a, one_task=one_task, **kwargs) for a in alphas])
 
 
 def apply_quantile_interval(pred: DataFrame, low: PinballModel, high: PinballModel, yhat: str = "yhat") -> DataFrame:
